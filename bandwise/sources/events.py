@@ -68,10 +68,10 @@ def _with_file_position(frame: DataFrame) -> DataFrame:
     if len(files) > 1:
         # file listing, not data; Spark broadcasts it only while it is small
         numbers = frame.sparkSession.createDataFrame(
-            [(name.rsplit("/", 1)[-1], number) for number, name in enumerate(files)],
+            [(name, number) for number, name in enumerate(files)],
             "_file string, _number bigint",
         )
-        frame = frame.withColumn("_file", F.col("_metadata.file_name")).join(numbers, "_file")
+        frame = frame.withColumn("_file", F.col("_metadata.file_path")).join(numbers, "_file")
         position = F.col("_number") * F.lit(_FILE_STRIDE) + position
     return frame.withColumn("_row_position", position).drop("_metadata", "_file", "_number")
 
