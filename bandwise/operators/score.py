@@ -76,6 +76,31 @@ def sums_at(numbers: DataFrame, states: DataFrame, residuals: DataFrame) -> Data
     )
 
 
+def running_sums(residuals: DataFrame, states: DataFrame) -> DataFrame:
+    """Number ``m`` and running sum of every residual of a plug, sliced by cycle.
+
+    A join on (plug, m) has unique keys, so a hot plug is spread over all tasks.
+    """
+    carried = states.select(
+        *SLICE,
+        (F.col("n_upto") - F.col("n")).alias("_n_carry"),
+        (F.col("s_upto") - F.col("s")).alias("_s_carry"),
+    )
+    local = Window.partitionBy(*SLICE).orderBy("ts_us", "row_id")
+    inside = residuals.where(F.col("sq").isNotNull()).select(
+        *SLICE,
+        F.row_number().over(local).cast("bigint").alias("_offset"),
+        F.sum("sq")
+        .over(local.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        .alias("_s_inside"),
+    )
+    return inside.join(carried, SLICE).select(
+        *PLUG,
+        (F.col("_n_carry") + F.col("_offset")).alias("m"),
+        (F.col("_s_carry") + F.col("_s_inside")).alias("s_at"),
+    )
+
+
 def scores_at_ticks(
     active: DataFrame,
     states: DataFrame,
@@ -123,7 +148,7 @@ def scores_at_events(
         .withColumn("_s", F.col("_s_carry") + F.coalesce(F.sum("sq").over(earlier), F.lit(0.0)))
         .withColumn("m", F.col("_n") - F.lit(params.window))
     )
-    sums = sums_at(placed, states, residuals)
+    sums = running_sums(residuals, states)
     joined = placed.join(sums, [*PLUG, "m"], "left").join(floors, "house_id")
     return joined.withColumn(
         "residual_score",
