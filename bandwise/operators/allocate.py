@@ -40,9 +40,13 @@ TRACE_COLUMNS = [
 
 
 def with_risk(snapshots: DataFrame, params: Params) -> DataFrame:
-    """House and household aggregates of the scores, and every household's share of the risk."""
-    house = Window.partitionBy(*TICK)
-    household = Window.partitionBy(*TICK, "household_id")
+    """House and household aggregates of the scores, and every household's share of the risk.
+
+    Scores may differ between configurations; then the rows carry ``config_id``.
+    """
+    tick = ["config_id", *TICK] if "config_id" in snapshots.columns else TICK
+    house = Window.partitionBy(*tick)
+    household = Window.partitionBy(*tick, "household_id")
     first = F.row_number().over(household.orderBy("plug_id")) == 1
     rows = (
         snapshots.withColumn("n_household", F.count("*").over(household))
@@ -128,7 +132,10 @@ THRESHOLDS: dict[str, Callable[[], Column]] = {
 def with_configs(
     rows: DataFrame, configs: Sequence[AllocationConfig]
 ) -> DataFrame:
-    """Repeat rows for a literal grid of configurations (bounded by the caller's grid)."""
+    """Repeat rows for a literal grid of configurations (bounded by the caller's grid).
+
+    Rows that carry ``config_id`` already belong to one configuration and only get its settings.
+    """
     grid = F.array(
         *[
             F.struct(
@@ -146,7 +153,10 @@ def with_configs(
             for i, c in enumerate(configs)
         ]
     )
-    return rows.select("*", F.inline(grid))
+    if "config_id" in rows.columns:
+        rows = rows.withColumnRenamed("config_id", "_own_config")
+        grid = F.filter(grid, lambda c: c["config_id"] == F.col("_own_config"))
+    return rows.select("*", F.inline(grid)).drop("_own_config")
 
 
 def allocate(
