@@ -48,25 +48,26 @@ def with_risk(snapshots: DataFrame, params: Params) -> DataFrame:
     house = Window.partitionBy(*tick)
     household = Window.partitionBy(*tick, "household_id")
     first = F.row_number().over(household.orderBy("plug_id")) == 1
-    rows = (
-        snapshots.withColumn("n_household", F.count("*").over(household))
-        .withColumn("sum_household", F.sum("score").over(household))
-        .withColumn("mean_household", F.avg("score").over(household))
-        .withColumn("max_household", F.max("score").over(household))
-        .withColumn("first_of_household", first)
-        .withColumn("n_house", F.count("*").over(house))
-        .withColumn("sum_house", F.sum("score").over(house))
-        .withColumn("median_house", F.median("score").over(house))
-        .withColumn("n_households", F.count_if("first_of_household").over(house))
+    rows = snapshots.withColumns(
+        {
+            "first_of_household": first,
+            "n_household": F.count("*").over(household),
+            "sum_household": F.sum("score").over(household),
+            "mean_household": F.avg("score").over(household),
+            "max_household": F.max("score").over(household),
+            "n_house": F.count("*").over(house),
+            "sum_house": F.sum("score").over(house),
+            "median_house": F.median("score").over(house),
+        }
+    ).withColumn("household_risk", risk_expression(params))
+    one_each = F.when(F.col("first_of_household"), F.col("household_risk"))
+    rows = rows.withColumns(
+        {"n_households": F.count(one_each).over(house), "_total": F.sum(one_each).over(house)}
     )
-    rows = rows.withColumn("household_risk", risk_expression(params))
-    total = F.sum(F.when(F.col("first_of_household"), F.col("household_risk"))).over(house)
-    return rows.withColumn("_total_risk", total).withColumn(
-        "risk_share",
-        F.when(F.col("_total_risk") > 0, F.col("household_risk") / F.col("_total_risk")).otherwise(
-            F.lit(1.0) / F.col("n_households")
-        ),
-    ).drop("_total_risk")
+    share = F.when(F.col("_total") > 0, F.col("household_risk") / F.col("_total")).otherwise(
+        F.lit(1.0) / F.col("n_households")
+    )
+    return rows.withColumn("risk_share", share).drop("_total")
 
 
 def risk_expression(params: Params) -> Column:
@@ -222,71 +223,66 @@ def _capped(
     rows = with_configs(
         risks.join(quantiles.select(*plug_key, "samples", *names), plug_key, "left"), configs
     )
-    rows = (
-        rows.withColumn("house_budget", F.col("epsilon") * F.col("mean_load"))
-        .withColumn(
-            "cap",
-            cap_expression(
-                F.col("house_budget"),
-                chosen,
-                F.col("cap_fraction"),
-                F.col("cap_multiplier"),
-                F.col("cap_min_samples"),
-            ),
-        )
-        .withColumn("own_budget", F.col("house_budget") * household_share())
-        .withColumn("weight", plug_share())
-        .withColumn("clamped", F.least(F.col("own_budget") * F.col("weight"), F.col("cap")))
+    key = ["config_id", *TICK]
+    house = Window.partitionBy(*key)
+    household = Window.partitionBy(*key, "household_id")
+    rows = rows.withColumns(
+        {
+            "house_budget": F.col("epsilon") * F.col("mean_load"),
+            "weight": plug_share(),
+            "own_share": household_share(),
+        }
     )
-    rows = rows.repartition(*TICK)
-    household_key = ["config_id", *TICK, "household_id"]
-    households = (
-        rows.groupBy(*household_key)
-        .agg(
-            F.max("own_budget").alias("_own"),
-            F.sum("cap").alias("_capacity"),
-            F.max("house_budget").alias("_house_budget"),
-            F.max("risk_share").alias("_risk"),
-        )
-        .withColumn("_kept", F.least("_own", "_capacity"))
-        .withColumn("_room", F.col("_capacity") - F.col("_kept"))
-    )
-    house = Window.partitionBy("config_id", *TICK)
-    left_over = F.greatest(
-        F.max("_house_budget").over(house) - F.sum("_kept").over(house), F.lit(0.0)
+    rows = rows.withColumn(
+        "cap",
+        cap_expression(
+            F.col("house_budget"),
+            chosen,
+            F.col("cap_fraction"),
+            F.col("cap_multiplier"),
+            F.col("cap_min_samples"),
+        ),
     )
-    open_room = F.col("_room") > F.lit(params.cap_tolerance)
-    weight = F.when(open_room, F.col("_risk")).otherwise(F.lit(0.0))
-    households = (
-        households.withColumn("_left", left_over)
-        .withColumn("_weight", weight)
-        .withColumn(
-            "_candidate",
-            level_over(
-                ["config_id", *TICK], F.col("_weight"), F.col("_room"), F.col("_left")
-            ),
-        )
-        .withColumn("_level", F.coalesce(F.max("_candidate").over(house), F.lit(0.0)))
-        .withColumn("_spill", F.least(F.col("_room"), F.col("_level") * F.col("_weight")))
-        .select(*household_key, "_kept", (F.col("_kept") + F.col("_spill")).alias("_granted"))
+    own = F.col("house_budget") * F.col("own_share")
+    rows = rows.withColumns({"own_budget": own, "capacity": F.sum("cap").over(household)})
+    # what a household keeps of its own budget, and its room beyond that
+    rows = rows.withColumns(
+        {
+            "kept": F.least("own_budget", "capacity"),
+            "room": F.col("capacity") - F.least("own_budget", "capacity"),
+        }
     )
-    inside = Window.partitionBy(*household_key)
-    rows = (
-        rows.join(households, household_key)
-        .withColumn(
-            "_candidate",
-            level_over(household_key, F.col("weight"), F.col("cap"), F.col("_granted")),
-        )
-        .withColumn("_level", F.coalesce(F.max("_candidate").over(inside), F.lit(0.0)))
-        .withColumn("threshold", F.least(F.col("cap"), F.col("_level") * F.col("weight")))
+    # every household takes part once, with its first row
+    takes_part = F.col("first_of_household") & (F.col("room") > F.lit(params.cap_tolerance))
+    rows = rows.withColumns(
+        {
+            "kept_in_house": F.sum(F.when(F.col("first_of_household"), F.col("kept"))).over(house),
+            "spill_weight": F.when(takes_part, F.col("risk_share")).otherwise(F.lit(0.0)),
+        }
     )
+    left = F.greatest(F.col("house_budget") - F.col("kept_in_house"), F.lit(0.0))
+    rows = rows.withColumn(
+        "spill_candidate", level_over(key, F.col("spill_weight"), F.col("room"), left)
+    ).withColumn("spill_level", F.coalesce(F.max("spill_candidate").over(house), F.lit(0.0)))
+    spill = F.when(
+        F.col("room") > F.lit(params.cap_tolerance),
+        F.least(F.col("room"), F.col("spill_level") * F.col("risk_share")),
+    ).otherwise(F.lit(0.0))
+    rows = rows.withColumn("granted", F.col("kept") + spill)
+    rows = rows.withColumn(
+        "plug_candidate",
+        level_over(
+            [*key, "household_id"], F.col("weight"), F.col("cap"), F.col("granted")
+        ),
+    ).withColumn("plug_level", F.coalesce(F.max("plug_candidate").over(household), F.lit(0.0)))
+    rows = rows.withColumn("threshold", F.least("cap", F.col("plug_level") * F.col("weight")))
     hit = F.col("cap") - F.col("threshold") <= F.lit(params.cap_tolerance)
-    kept = F.sum(F.when(F.col("first_of_household"), F.col("_kept"))).over(house)
+    clamped = F.least(F.col("own_budget") * F.col("weight"), F.col("cap"))
     return _book(
         rows,
         F.count_if(hit).over(house),
-        F.greatest(kept - F.sum("clamped").over(house), F.lit(0.0)),
-        F.greatest(F.sum("threshold").over(house) - kept, F.lit(0.0)),
+        F.greatest(F.col("kept_in_house") - F.sum(clamped).over(house), F.lit(0.0)),
+        F.greatest(F.sum("threshold").over(house) - F.col("kept_in_house"), F.lit(0.0)),
     )
 
 
@@ -297,20 +293,19 @@ def _book(rows: DataFrame, hits: Column, within: Column, spill: Column) -> DataF
     shared = F.when(
         F.col("mode") == "true_hierarchical", F.col("house_budget") * household_share()
     ).otherwise(F.sum("threshold").over(household))
-    return (
-        rows.withColumn("used_budget", F.sum("threshold").over(house))
-        .withColumn(
-            "unused_budget",
-            F.greatest(F.col("house_budget") - F.col("used_budget"), F.lit(0.0)),
-        )
-        .withColumn("household_budget", shared)
-        .withColumn("cap_hit_count", hits.cast("bigint"))
-        .withColumn("within_household_redistributed_budget", within)
-        .withColumn("cross_household_spill_budget", spill)
-        .withColumn("allocation_timestamp", F.timestamp_micros("tick_us"))
-        .withColumn("effective_after", F.timestamp_micros("tick_us"))
-        .select(*TRACE_COLUMNS)
-    )
+    used = F.sum("threshold").over(house)
+    return rows.withColumns(
+        {
+            "used_budget": used,
+            "unused_budget": F.greatest(F.col("house_budget") - used, F.lit(0.0)),
+            "household_budget": shared,
+            "cap_hit_count": hits.cast("bigint"),
+            "within_household_redistributed_budget": within,
+            "cross_household_spill_budget": spill,
+            "allocation_timestamp": F.timestamp_micros("tick_us"),
+            "effective_after": F.timestamp_micros("tick_us"),
+        }
+    ).select(*TRACE_COLUMNS)
 
 
 def cycle_budgets(trace: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from bandwise.session import write_through
 
@@ -70,10 +71,11 @@ def fold_slice(
 
     def resume(table: pa.Table, carried: pa.Table) -> pa.Table:
         if table.num_rows == 0:
-            return table_like(schema)
+            return nothing
         before = carried.to_pylist()
         return step(table.sort_by(sorting), before[0] if before else None)
 
+    nothing = to_arrow_schema(schema).empty_table()
     carried = state.select(*keys, *state_columns)
     return rows.groupBy(*keys).cogroup(carried.groupBy(*keys)).applyInArrow(resume, schema)
 
@@ -118,11 +120,5 @@ def fold_by_key(
     return result
 
 
-def table_like(schema: T.StructType) -> pa.Table:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(schema, timezone="UTC").empty_table()
-
-
 def last_flags(n: int) -> list[bool]:
     return [False] * (n - 1) + [True] if n else []
