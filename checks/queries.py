@@ -212,10 +212,11 @@ def q_drift_scales(spark, sf):
 
 
 def q_drift_scale_lookup(spark, sf):
-    """Scales fitted on the first house's households only reach others through the fallbacks."""
+    """Plugs with few warm-up samples have no scale of their own and use the fallbacks."""
     s = study(spark, sf)
     scales = fit.drift_scales(fit.residual_mads(s.warm_residuals), s.sigma_floors, 1.0)
-    known = scales.where("household_id < 2 and plug_id > household_id")
+    enough = s.quantiles([BASE]).where(F.col("samples") >= 28).select(*PLUG)
+    known = scales.join(enough, PLUG, "left_semi")
     houses = fit.house_scales(known, s.sigma_floors, 1.0)
     return fit.lookup_scales(s.events, known, fit.household_scales(known), houses, 1.0)
 
