@@ -121,7 +121,7 @@ scales as (
   select {PLUG}, mad, greatest(1.4826 * mad, sigma_floor, 1.0) as scale
   from mads join floors using (house_id)),
 firsts as (
-  select house_id, (epoch_us(timestamp) - epoch_us(timestamp '{first}')) // ({period} * 1000000)
+  select house_id, (epoch_us(timestamp) - epoch_us(timestamp '{first}')) // {period * 1_000_000}
            as cell, min(timestamp) as first_ts from evl group by all),
 ticks as (
   select house_id, tick_ts, row_number() over (partition by house_id order by tick_ts) - 1 as cycle
@@ -140,7 +140,7 @@ gov as (
   from eval_r e asof join ticks t on e.house_id = t.house_id and e.timestamp > t.tick_ts),
 seen as (
   select g.*, l.timestamp as last_seen, l.moment as moment_before,
-         l.timestamp is null or epoch_us(g.timestamp) - epoch_us(l.timestamp) > {active} * 1000000
+         l.timestamp is null or epoch_us(g.timestamp) - epoch_us(l.timestamp) > {active * 1_000_000}
            as reactivated
   from gov g asof left join lastrow l
     on g.house_id = l.house_id and g.household_id = l.household_id and g.plug_id = l.plug_id
@@ -355,7 +355,7 @@ run as (
                     down double, fires boolean, held boolean, would boolean, reason varchar)[]
            as done,
          0::bigint as streak0, null::timestamp as last0, 0.0::double as edge0,
-         null::timestamp as at
+         null::timestamp as now_ts
   from (select distinct config, {PLUG} from pb) b cross join pmode p
   left join wbias w using ({PLUG})
   union all
@@ -363,12 +363,12 @@ run as (
          edge + adapts * 0.2::double * coalesce(list_sum([x.r for x in done if x.reason is not null]), 0),
          list_reduce([case when x.reason is not null then 1 else 0 end::bigint for x in done],
                      lambda s, x: case when x = 1 then 0::bigint else s + 1 end, streak),
-         case when list_count([x.r for x in done if x.reason is not null]) > 0 then at else last_tx end,
+         case when list_count([x.r for x in done if x.reason is not null]) > 0 then now_ts else last_tx end,
          case when done[-1].fires or done[-1].held then 0 else done[-1].up end,
          case when done[-1].fires or done[-1].held then 0 else done[-1].down end,
          case when done[-1].fires then 2 else greatest(wait - 1, 0) end::bigint,
          version + adapts * len([x.r for x in done if x.reason is not null]),
-         done, streak, last_tx, edge, at
+         done, streak, last_tx, edge, now_ts
   from (
     select *, list_transform(d1, lambda x: {{
         'event_id': x.event_id, 'row_id': x.row_id, 'value': x.value, 'r': x.r, 'z': x.z,
@@ -379,7 +379,7 @@ run as (
         'reason': case when back then 'inactive_reactivation'
              when drifts = 1 and wait = 0 and greatest(x.up, x.down) >= 5 then 'drift_detected'
              when syncs = 1 and streak >= 4 then 'periodic_sync_count'
-             when syncs = 1 and epoch_us(at) - epoch_us(coalesce(last_tx, timestamp '2024-01-15'))
+             when syncs = 1 and epoch_us(now_ts) - epoch_us(coalesce(last_tx, timestamp '2024-01-15'))
                   >= 259200000000 then 'periodic_sync_time'
              when abs(x.r) > thr then 'normal_deadband' end }}) as done
     from (
@@ -388,7 +388,7 @@ run as (
           'up': greatest(0, up + x.r / scale - 0.5), 'down': greatest(0, down - x.r / scale - 0.5)
         }}) as d1
       from (
-        select run.* exclude (k, done, at, streak0, last0, edge0), b.k, b.timestamp as at, b.thr,
+        select run.* exclude (k, done, now_ts, streak0, last0, edge0), b.k, b.timestamp as now_ts, b.thr,
                b.back, b.scale,
                list_transform(b.items, lambda x: {{
                  'event_id': x.event_id, 'row_id': x.row_id, 'value': x.value,
@@ -398,7 +398,7 @@ run as (
 ),
 flat as (
   select pm, adapts, drifts, syncs, run.config, run.house_id, run.household_id, run.plug_id,
-         run.at as timestamp, wait, streak0, last0, edge0, run.edge as edge, version,
+         run.now_ts as timestamp, wait, streak0, last0, edge0, run.edge as edge, version,
          unnest(done) as x, generate_subscripts(done, 1) as pos, len(done) as size
   from run where k > 0),
 ad as (
