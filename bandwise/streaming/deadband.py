@@ -20,10 +20,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from bandwise.operators.adaptive import INPUT, KEY, SCHEMA, STATE, adaptive_step
 from bandwise.operators.fold import LAST
 from bandwise.params import AdaptiveConfig, Params
-from bandwise.plans.coupled import observed_square  # noqa: F401  (same rule as in batch)
 from bandwise.sources.events import PLUG
 
-_VALUES = ["ts_us", "row_id", "event_id", "value", "baseline", "threshold_used", "cycle"]
 _WAITING = T.StructType([f for f in INPUT.fields if f.name not in KEY])
 _CARRIED = T.StructType(
     [
@@ -53,8 +51,8 @@ class Deadband(StatefulProcessor):
         self.waiting = handle.getListState("waiting", _WAITING)
         self.carried = handle.getValueState("carried", _CARRIED)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values):
-        behind = timer_values.getCurrentWatermarkInMs() * 1000
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):  # noqa: N803
+        behind = timerValues.getCurrentWatermarkInMs() * 1000
         late = []
         for frame in rows:
             for row in frame[_WAITING.names].itertuples(index=False, name=None):
@@ -68,8 +66,8 @@ class Deadband(StatefulProcessor):
         if late:
             yield self._late(key, late)
 
-    def handleExpiredTimer(self, key, timer_values, expired_timer_info):
-        upto = expired_timer_info.getExpiryTimeInMs() * 1000
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N803
+        upto = expiredTimerInfo.getExpiryTimeInMs() * 1000
         held = [tuple(v) for v in self.waiting.get()]
         place = _WAITING.names.index("ts_us")
         ready = sorted((v for v in held if v[place] < upto), key=lambda v: (v[place], v[1 + place]))
@@ -197,8 +195,8 @@ def decide_stream(
         "robust_scale": F.coalesce("robust_scale", F.lit(float(params.drift_min_scale))),
         "initial_bias": F.coalesce("initial_bias", F.lit(0.0)),
     }
+    # without the watermarked column Spark drops nothing itself: late rows reach the state
     rows = joined.select(
-        "timestamp",
         *[fixed.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in INPUT.fields],
     )
     return rows.groupBy(*KEY).transformWithStateInPandas(
