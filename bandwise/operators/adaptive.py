@@ -8,7 +8,7 @@ bias, so this is a true recurrence per plug.  It runs as a keyed fold; everythin
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,13 +17,14 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from bandwise.functions.stats import exact_percentiles, running_totals, tail_means, top_share
-from bandwise.operators.drift import Detector, advance
-from bandwise.operators.fold import LAST, Step, last_flags
+from bandwise.operators.drift import CALM, Detector, advance
+from bandwise.operators.fold import CARRIED, Walk, with_results
 from bandwise.operators.metrics import RUN
 from bandwise.params import AdaptiveConfig, Params
 
 KEY = ["config_id", "house_id", "household_id", "plug_id"]
 ORDER = ["ts_us", "row_id"]
+_READ = ["ts_us", "value", "baseline", "threshold_used", "reactivated", "robust_scale"]
 # Reasons of the adaptive cascade that count as forced.
 ADAPTIVE_REASONS = (
     "invalid_value",
@@ -103,7 +104,6 @@ SCHEMA = T.StructType(
         *INPUT.fields,
         *[T.StructField(name, kind) for name, kind in _RESULT],
         *[T.StructField(name, _STATE_TYPES.get(name, T.LongType())) for name in STATE],
-        T.StructField(LAST, T.BooleanType()),
     ]
 )
 
@@ -124,155 +124,156 @@ def moved(bias: float, innovation: float, alpha: float) -> float:
     return bias + alpha * innovation
 
 
-def adaptive_step(configs: Sequence[AdaptiveConfig], params: Params) -> Step:
-    """Recurrence of one (configuration, plug), for the keyed fold."""
+def adaptive_walk(configs: Sequence[AdaptiveConfig], params: Params) -> Walk:
+    """Recurrence of every (configuration, plug) of a partition, for the keyed fold."""
     by_id = {c.config_id: c for c in configs}
     start_us = params.start_us
 
-    def step(table: pa.Table, carried: dict | None) -> pa.Table:
-        config = by_id[table["config_id"][0].as_py()]
-        return _run_plug(table, carried, config, start_us)
-
-    return step
-
-
-def _run_plug(
-    table: pa.Table, carried: dict | None, config: AdaptiveConfig, start_us: int
-) -> pa.Table:
-    detector, always = detector_of(config), config.allocation.mode == "full_tx"
-    adapts, drifts, syncs, oracle = config.adapts, config.drifts, config.syncs, config.oracle
-    alpha = config.alpha
-    if carried is None:
-        first = table["initial_bias"][0].as_py() or 0.0
-        first = first if adapts else 0.0
-        carried = dict.fromkeys(STATE, 0)
-        carried.update(
-            edge_bias=first, server_bias=first, warmup_bias=first, cusum_up=0.0, cusum_down=0.0,
-            last_tx_us=None, trigger_us=None,
-        )
-    edge, server, initial = (carried[c] for c in ("edge_bias", "server_bias", "warmup_bias"))
-    streak, last_tx, version = (carried[c] for c in ("streak", "last_tx_us", "version"))
-    drift = tuple(carried[c] for c in ("z_run", "cusum_up", "cusum_down", "cooldown_left"))
-    episode, trigger, seen = (carried[c] for c in ("episode", "trigger_us", "episode_events"))
-
-    times = table["ts_us"].to_pylist()
-    values = table["value"].to_pylist()
-    baselines = table["baseline"].to_pylist()
-    thresholds = table["threshold_used"].to_pylist()
-    returned = table["reactivated"].to_pylist()
-    scale = table["robust_scale"][0].as_py()
-    out: list[tuple] = []
-    i, n = 0, len(times)
-    while i < n:
-        j = i
-        while j < n and times[j] == times[i]:
-            j += 1
-        now = times[i]
-        # every decision of a batch reads the state before the batch
-        edge_then, server_then, streak_then, last_tx_then = edge, server, streak, last_tx
-        drift_then = drift
-        anchor = start_us if last_tx_then is None else last_tx_then
-        for k in range(i, j):
-            value, baseline = values[k], baselines[k]
-            known = baseline is not None
-            sound = math.isfinite(value) and value >= 0.0
-            edge_prediction = server_prediction = innovation = None
-            would_send = held = fires = False
-            z = None
-            if known:
-                edge_prediction = baseline + edge_then if adapts else baseline
-                server_prediction = baseline + server_then if adapts else baseline
-                innovation = value - edge_prediction
-                would_send = abs(innovation) > thresholds[k]
-                drift, fires, held = advance(drift_then, innovation / scale, detector, drifts)
-                z = abs(innovation / scale)
-            if not sound:
-                reason = "invalid_value"
-            elif not known:
-                reason = "missing_prediction"
-            elif returned[k]:
-                reason = "inactive_reactivation"
-            elif fires:
-                reason = "drift_detected"
-            elif (
-                syncs
-                and config.max_suppressions is not None
-                and streak_then >= config.max_suppressions
-            ):
-                reason = "periodic_sync_count"
-            elif (
-                syncs
-                and config.max_silence is not None
-                and now - anchor >= config.max_silence * 1_000_000
-            ):
-                reason = "periodic_sync_time"
-            elif always:
-                reason = "full_tx"
-            elif would_send:
-                reason = "normal_deadband"
-            else:
-                reason = None
-            sent = reason is not None
-            # the running episode sees this row before a new trigger replaces it
-            observed = number = None
-            if known and sound and episode and now > trigger:
-                seen += 1
-                observed, number = episode, seen
-            if reason == "drift_detected":
-                episode, trigger, seen = episode + 1, now, 0
-            before = (edge, server)
-            updated = False
-            if known and sound:
-                if adapts and (sent or oracle):
-                    edge = moved(edge, innovation, alpha)
-                if sent:
-                    if adapts:
-                        server = moved(server, innovation, alpha)
-                        version += 1
-                        updated = True
-                    last_tx, streak = now, 0
-                else:
-                    streak += 1
-            out.append(
-                (
-                    edge_prediction,
-                    edge_prediction if oracle else server_prediction,
-                    innovation,
-                    sent,
-                    reason,
-                    would_send,
-                    z,
-                    held,
-                    streak_then,
-                    last_tx_then,
-                    *before,
-                    updated,
-                    observed,
-                    number,
-                    edge,
-                    server,
-                    initial,
-                    streak,
-                    last_tx,
-                    version,
-                    *drift,
-                    episode,
-                    trigger,
-                    seen,
-                )
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plug = None
+        for batch in batches:
+            keys = list(zip(*[batch.column(c).to_pylist() for c in KEY], strict=True))
+            inputs = zip(
+                *[batch.column(c).to_pylist() for c in _READ], strict=True
             )
-        i = j
-    columns = list(zip(*out, strict=True))
-    types = [pa.float64() if isinstance(f.dataType, T.DoubleType)
-             else pa.int64() if isinstance(f.dataType, T.LongType)
-             else pa.bool_() if isinstance(f.dataType, T.BooleanType)
-             else pa.string()
-             for f in SCHEMA.fields[len(INPUT.fields) : -1]]
-    arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
-    return pa.Table.from_arrays(
-        [*[table[f.name] for f in INPUT.fields], *arrays, pa.array(last_flags(n), pa.bool_())],
-        names=SCHEMA.names,
-    )
+            out = []
+            for i, row in enumerate(inputs):
+                if plug is None or plug.key != keys[i]:
+                    plug = PlugWalk(keys[i], by_id[keys[i][0]], start_us, first_state(batch, i))
+                out.append(plug.advance(*row))
+            yield with_results(batch, INPUT.names, SCHEMA.fields[len(INPUT.fields) :], out)
+
+    return walk
+
+
+def first_state(batch: pa.RecordBatch, i: int) -> dict:
+    """State carried into the slice, or the starting bias alone."""
+    carried = {c: batch.column(CARRIED + c)[i].as_py() for c in STATE}
+    if carried["streak"] is None:
+        return {"initial_bias": batch.column("initial_bias")[i].as_py() or 0.0}
+    return carried
+
+
+class PlugWalk:
+    """Predictor, detector and synchronisation state of one plug under one configuration.
+
+    Decisions of one timestamp all read the state before it; their effects add up one by one,
+    except the detector's, of which the last counts.
+    """
+
+    def __init__(self, key: tuple, config: AdaptiveConfig, start_us: int, state: dict):
+        self.key, self.start_us = key, start_us
+        self.detector = detector_of(config)
+        self.always = config.allocation.mode == "full_tx"
+        self.adapts, self.drifts = config.adapts, config.drifts
+        self.oracle, self.alpha = config.oracle, config.alpha
+        self.max_count = config.max_suppressions if config.syncs else None
+        silence = config.max_silence if config.syncs else None
+        self.max_silence_us = None if silence is None else silence * 1_000_000
+        self.now = None
+        if "initial_bias" in state:
+            bias = state["initial_bias"] if self.adapts else 0.0
+            self.edge = self.server = self.initial = bias
+            self.streak, self.last_tx, self.version = 0, None, 0
+            self.drift, self.episode, self.trigger, self.seen = CALM, 0, None, 0
+        else:
+            self.edge, self.server, self.initial = (
+                state[c] for c in ("edge_bias", "server_bias", "warmup_bias")
+            )
+            self.streak, self.last_tx, self.version = (
+                state[c] for c in ("streak", "last_tx_us", "version")
+            )
+            self.drift = tuple(
+                state[c] for c in ("z_run", "cusum_up", "cusum_down", "cooldown_left")
+            )
+            self.episode, self.trigger, self.seen = (
+                state[c] for c in ("episode", "trigger_us", "episode_events")
+            )
+
+    def advance(self, now, value, baseline, threshold, returned, scale) -> tuple:
+        """Decide one value; returns the result and state columns of its row."""
+        if now != self.now:
+            self.now = now
+            self.before = (self.edge, self.server, self.streak, self.last_tx, self.drift)
+        edge, server, streak, last_tx, drift = self.before
+        known = baseline is not None
+        sound = math.isfinite(value) and value >= 0.0
+        local = remote = innovation = z = None
+        would_send = held = fires = False
+        if known:
+            local = baseline + edge if self.adapts else baseline
+            remote = baseline + server if self.adapts else baseline
+            innovation = value - local
+            would_send = abs(innovation) > threshold
+            signed = innovation / scale
+            z = abs(signed)
+            self.drift, fires, held = advance(drift, signed, self.detector, self.drifts)
+        reason = None
+        if not sound:
+            reason = "invalid_value"
+        elif not known:
+            reason = "missing_prediction"
+        elif returned:
+            reason = "inactive_reactivation"
+        elif fires:
+            reason = "drift_detected"
+        elif self.max_count is not None and streak >= self.max_count:
+            reason = "periodic_sync_count"
+        elif self.max_silence_us is not None and (
+            now - (self.start_us if last_tx is None else last_tx) >= self.max_silence_us
+        ):
+            reason = "periodic_sync_time"
+        elif self.always:
+            reason = "full_tx"
+        elif would_send:
+            reason = "normal_deadband"
+        sent = reason is not None
+        # the running episode sees this row before a new trigger replaces it
+        observed = number = None
+        if known and sound and self.episode and now > self.trigger:
+            self.seen += 1
+            observed, number = self.episode, self.seen
+        if reason == "drift_detected":
+            self.episode, self.trigger, self.seen = self.episode + 1, now, 0
+        edge_before, server_before, updated = self.edge, self.server, False
+        if known and sound:
+            if self.adapts and (sent or self.oracle):
+                self.edge = moved(self.edge, innovation, self.alpha)
+            if sent:
+                if self.adapts:
+                    self.server = moved(self.server, innovation, self.alpha)
+                    self.version += 1
+                    updated = True
+                self.last_tx, self.streak = now, 0
+            else:
+                self.streak += 1
+        return (
+            local,
+            local if self.oracle else remote,
+            innovation,
+            sent,
+            reason,
+            would_send,
+            z,
+            held,
+            streak,
+            last_tx,
+            edge_before,
+            server_before,
+            updated,
+            observed,
+            number,
+            self.edge,
+            self.server,
+            self.initial,
+            self.streak,
+            self.last_tx,
+            self.version,
+            *self.drift,
+            self.episode,
+            self.trigger,
+            self.seen,
+        )
 
 
 def finish(folded: DataFrame, configs: Sequence[AdaptiveConfig]) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from bandwise.operators.fit import cap_expression, quantile_name
 from bandwise.operators.waterfill import level_over
 from bandwise.params import MODES, AllocationConfig, Params
+from bandwise.session import spread
 
 TICK = ["house_id", "cycle"]
 TRACE_COLUMNS = [
@@ -179,9 +180,7 @@ def allocate(
     plain = [c for c in configs if c.mode != "true_hierarchical_cap"]
     position = {c.config_id: i for i, c in enumerate(configs)}
     # one exchange by (house, cycle); the bookkeeping windows and household sums stay inside it
-    risks = with_risk(
-        snapshots.join(houses, "house_id").repartition(*TICK), params
-    )
+    risks = with_risk(spread(snapshots.join(houses, "house_id"), *TICK), params)
     parts = []
     if plain:
         rows = with_configs(risks, plain).withColumn(

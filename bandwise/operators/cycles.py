@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from bandwise.params import Params
+from bandwise.session import spread
 from bandwise.sources.events import PLUG
 
 SLICE = ["house_id", "cycle", "household_id", "plug_id"]
@@ -65,7 +66,7 @@ def assign_cycle(evaluation: DataFrame, ticks: DataFrame, params: Params) -> Dat
 
 def by_slice(events: DataFrame) -> DataFrame:
     """The one exchange of the events: later windows, joins and batch sums stay inside it."""
-    return events.repartition("house_id", "cycle")
+    return spread(events, "house_id", "cycle")
 
 
 def slice_states(events: DataFrame, warm_plugs: DataFrame) -> DataFrame:

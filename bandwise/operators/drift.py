@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from bandwise.operators.fold import LAST, fold_by_key, last_flags
+from bandwise.operators.fold import CARRIED, fold_by_key, with_results
 from bandwise.params import DETECTORS
 
 
@@ -79,54 +79,38 @@ def detect_drift(
     Adds ``standardized`` (absolute), ``drift_detected``, ``held_by_cooldown`` and the detector's
     state after each row.
     """
-    kept = [f for f in df.schema.fields]
-    schema = T.StructType(
-        [
-            *kept,
-            T.StructField("standardized", T.DoubleType()),
-            T.StructField("drift_detected", T.BooleanType()),
-            T.StructField("held_by_cooldown", T.BooleanType()),
-            T.StructField("z_run", T.LongType()),
-            T.StructField("cusum_up", T.DoubleType()),
-            T.StructField("cusum_down", T.DoubleType()),
-            T.StructField("cooldown_left", T.LongType()),
-            T.StructField(LAST, T.BooleanType()),
-        ]
-    )
-
-    def step(table: pa.Table, carried: dict | None) -> pa.Table:
-        state = tuple(carried[c] for c in _STATE) if carried else CALM
-        scores, fired, held, after = [], [], [], []
-        for value, width in zip(
-            table[residual].to_pylist(), table[scale].to_pylist(), strict=True
-        ):
-            if value is None:
-                scores.append(None)
-                fired.append(False)
-                held.append(False)
-            else:
-                z = value / width
-                state, fires, kept_back = advance(state, z, detector, True)
-                scores.append(abs(z))
-                fired.append(fires)
-                held.append(kept_back)
-            after.append(state)
-        columns = [table[f.name] for f in kept]
-        return pa.Table.from_arrays(
-            [
-                *columns,
-                pa.array(scores, pa.float64()),
-                pa.array(fired, pa.bool_()),
-                pa.array(held, pa.bool_()),
-                pa.array([s[0] for s in after], pa.int64()),
-                pa.array([s[1] for s in after], pa.float64()),
-                pa.array([s[2] for s in after], pa.float64()),
-                pa.array([s[3] for s in after], pa.int64()),
-                pa.array(last_flags(table.num_rows), pa.bool_()),
-            ],
-            names=schema.names,
-        )
+    kept = df.columns
+    result = [
+        T.StructField("standardized", T.DoubleType()),
+        T.StructField("drift_detected", T.BooleanType()),
+        T.StructField("held_by_cooldown", T.BooleanType()),
+        T.StructField("z_run", T.LongType()),
+        T.StructField("cusum_up", T.DoubleType()),
+        T.StructField("cusum_down", T.DoubleType()),
+        T.StructField("cooldown_left", T.LongType()),
+    ]
+    schema = T.StructType([*df.schema.fields, *result])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, CALM
+        for batch in batches:
+            found = list(zip(*[batch.column(c).to_pylist() for c in keys], strict=True))
+            values = batch.column(residual).to_pylist()
+            widths = batch.column(scale).to_pylist()
+            out = []
+            for i, value in enumerate(values):
+                if found[i] != key:
+                    key = found[i]
+                    carried = tuple(batch.column(CARRIED + c)[i].as_py() for c in _STATE)
+                    state = CALM if carried[0] is None else carried
+                z, fires, held = None, False, False
+                if value is not None:
+                    signed = value / widths[i]
+                    z = abs(signed)
+                    state, fires, held = advance(state, signed, detector, True)
+                out.append((z, fires, held, *state))
+            yield with_results(batch, kept, result, out)
 
     return fold_by_key(
-        df, keys, order, step, schema, _STATE, slice_col=slice_col, max_rows=max_rows
-    ).drop(LAST)
+        df, keys, order, walk, schema, _STATE, slice_col=slice_col, max_rows=max_rows
+    )

@@ -1,25 +1,25 @@
-"""Sequential recurrences per key, with bounded groups.
+"""Sequential recurrences per key, as one sorted pass per partition.
 
-A recurrence that reads its own last decision cannot be split inside one key, but it need not see
-a key's whole history at once: rows are cut into time slices small enough for one task, and the
-state at the end of a slice is written and handed to the next.  Keys run in parallel throughout.
+A recurrence that reads its own last decision cannot be split inside one key.  Rows are hashed by
+key, sorted by key and order by Spark, and streamed through Arrow batches, so a task never holds a
+key's history.  Time is cut into slices of bounded size as well: the state at the end of a slice
+is written and handed to the next, which bounds the work that a lost executor can cost.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
-from bandwise.session import write_through
+from bandwise.session import spread, write_through
 
-# (rows of one key in order, state of the key or None) -> output rows in the same order
-Step = Callable[[pa.Table, dict | None], pa.Table]
-LAST = "is_last"
+# batches of one partition, sorted by key and order -> output batches
+Walk = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+CARRIED = "carried_"
 
 
 def bounded_slices(
@@ -55,36 +55,33 @@ def fold_slice(
     state: DataFrame | None,
     keys: Sequence[str],
     order: Sequence[str],
-    step: Step,
+    walk: Walk,
     schema: T.StructType,
     state_columns: Sequence[str],
 ) -> DataFrame:
-    """Fold one slice; ``schema`` must contain the keys, the state columns and ``is_last``."""
-    sorting = [(name, "ascending") for name in order]
-
+    """Fold one slice; every row brings its key's state before the slice (null if none)."""
     if state is None:
-
-        def start(table: pa.Table) -> pa.Table:
-            return step(table.sort_by(sorting), None)
-
-        return rows.groupBy(*keys).applyInArrow(start, schema)
-
-    def resume(table: pa.Table, carried: pa.Table) -> pa.Table:
-        if table.num_rows == 0:
-            return nothing
-        before = carried.to_pylist()
-        return step(table.sort_by(sorting), before[0] if before else None)
-
-    nothing = to_arrow_schema(schema).empty_table()
-    carried = state.select(*keys, *state_columns)
-    return rows.groupBy(*keys).cogroup(carried.groupBy(*keys)).applyInArrow(resume, schema)
+        kinds = {f.name: f.dataType for f in schema.fields}
+        rows = rows.withColumns(
+            {CARRIED + c: F.lit(None).cast(kinds[c]) for c in state_columns}
+        )
+    else:
+        carried = state.select(*keys, *[F.col(c).alias(CARRIED + c) for c in state_columns])
+        rows = rows.join(carried, list(keys), "left")
+    arranged = spread(rows, *keys).sortWithinPartitions(*keys, *order)
+    return arranged.mapInArrow(walk, schema)
 
 
 def end_states(
-    folded: DataFrame, state: DataFrame | None, keys: Sequence[str], state_columns: Sequence[str]
+    folded: DataFrame,
+    state: DataFrame | None,
+    keys: Sequence[str],
+    order: Sequence[str],
+    state_columns: Sequence[str],
 ) -> DataFrame:
-    """State of every key after a slice: its last row, else what it had before."""
-    latest = folded.where(F.col(LAST)).select(*keys, *state_columns)
+    """State of every key after a slice: that of its last row, else what it had before."""
+    last = F.max_by(F.struct(*state_columns), F.struct(*order))
+    latest = folded.groupBy(*keys).agg(last.alias("_last")).select(*keys, "_last.*")
     if state is None:
         return latest
     idle = state.select(*keys, *state_columns).join(latest.select(*keys), list(keys), "left_anti")
@@ -95,7 +92,7 @@ def fold_by_key(
     rows: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    step: Step,
+    walk: Walk,
     schema: T.StructType,
     state_columns: Sequence[str],
     *,
@@ -105,20 +102,45 @@ def fold_by_key(
     """Fold every key in order; one lazy pass if all keys are small, else slice after slice."""
     ranges = bounded_slices(rows, keys, slice_col, max_rows)
     if len(ranges) <= 1:
-        return fold_slice(rows, None, keys, order, step, schema, state_columns)
+        return fold_slice(rows, None, keys, order, walk, schema, state_columns)
     state, parts = None, []
     for first, last in ranges:
         part = rows.where(F.col(slice_col).between(first, last))
         folded = write_through(
-            fold_slice(part, state, keys, order, step, schema, state_columns), "fold"
+            fold_slice(part, state, keys, order, walk, schema, state_columns), "fold"
         )
         parts.append(folded)
-        state = write_through(end_states(folded, state, keys, state_columns), "fold-state")
+        state = write_through(
+            end_states(folded, state, keys, order, state_columns), "fold-state"
+        )
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
     return result
 
 
-def last_flags(n: int) -> list[bool]:
-    return [False] * (n - 1) + [True] if n else []
+def arrow_type(kind: T.DataType) -> pa.DataType:
+    if isinstance(kind, T.DoubleType):
+        return pa.float64()
+    if isinstance(kind, T.LongType):
+        return pa.int64()
+    if isinstance(kind, T.BooleanType):
+        return pa.bool_()
+    return pa.string()
+
+
+def with_results(
+    batch: pa.RecordBatch,
+    kept: Sequence[str],
+    fields: Sequence[T.StructField],
+    rows: list[tuple],
+) -> pa.RecordBatch:
+    """The kept input columns of a batch followed by result columns given row by row."""
+    columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+    made = [
+        pa.array(values, arrow_type(f.dataType))
+        for values, f in zip(columns, fields, strict=True)
+    ]
+    return pa.RecordBatch.from_arrays(
+        [*[batch.column(n) for n in kept], *made], names=[*kept, *[f.name for f in fields]]
+    )

@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bandwise.functions.stats import largest_group
 from bandwise.operators import adaptive, decide, fit, metrics
 from bandwise.operators import allocate as alloc
 from bandwise.operators.fold import fold_by_key
@@ -108,7 +109,7 @@ class AdaptiveRun:
                 rows,
                 adaptive.KEY,
                 adaptive.ORDER,
-                adaptive.adaptive_step(free, study.params),
+                adaptive.adaptive_walk(free, study.params),
                 adaptive.SCHEMA,
                 adaptive.STATE,
                 slice_col="cycle",
@@ -138,12 +139,18 @@ class AdaptiveRun:
 
     @cached_property
     def batches(self) -> DataFrame:
-        return decide.roll_up(
+        rolled = decide.roll_up(
             self.decisions,
             alloc.cycle_budgets(self.trace),
             self.study.params,
             reasons=adaptive.ADAPTIVE_REASONS,
         )
+        return self.study.hold(rolled, "batches")
+
+    @cached_property
+    def split(self) -> bool:
+        """Whether a house has too many events for order statistics in one task."""
+        return largest_group(self.decisions, metrics.RUN) > self.study.params.hot_rows
 
     # reports -------------------------------------------------------------------------------
 
@@ -153,11 +160,12 @@ class AdaptiveRun:
             self.trace,
             self.decisions,
             reasons=adaptive.ADAPTIVE_REASONS,
+            split=self.split,
         )
 
-    def predictor_summary(self, *, split: bool = True) -> DataFrame:
+    def predictor_summary(self) -> DataFrame:
         return adaptive.predictor_summary(
-            self.decisions, self.configs, self.study.params, split=split
+            self.decisions, self.configs, self.study.params, split=self.split
         )
 
     def plug_predictions(self) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from bandwise.operators import allocate as alloc
 from bandwise.operators import decide, score
-from bandwise.operators.adaptive import KEY, ORDER, SCHEMA, STATE, adaptive_step
+from bandwise.operators.adaptive import KEY, ORDER, SCHEMA, STATE, adaptive_walk
 from bandwise.operators.fold import end_states, fold_slice
 from bandwise.params import AdaptiveConfig, AllocationConfig
 from bandwise.plans.frozen import FrozenRun, Study
@@ -149,11 +149,11 @@ class Coupled:
                 decided = decide.decide(rows)
                 residual = "residual"
             else:
-                step = adaptive_step(self.predictors, study.params)
+                step = adaptive_walk(self.predictors, study.params)
                 folded = fold_slice(adaptive_rows(rows), state, KEY, ORDER, step, SCHEMA, STATE)
                 folded.write.parquet(f"{fold_root}/part={cycle}")
                 decided = spark.read.schema(SCHEMA).parquet(f"{fold_root}/part={cycle}")
-                state = write_through(end_states(decided, state, KEY, STATE), "fold-state")
+                state = write_through(end_states(decided, state, KEY, ORDER, STATE), "fold-state")
                 residual = "residual"
             if cycle < last_cycle:
                 pushed = decided.withColumn("pushed", observed_square(self.estimator, residual))

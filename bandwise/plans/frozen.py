@@ -206,13 +206,23 @@ class FrozenRun:
 
     @cached_property
     def batches(self) -> DataFrame:
-        return decide.roll_up(
+        """One row per configuration, house and timestamp; every report starts from it."""
+        rolled = decide.roll_up(
             self.decisions, self.budgets, self.study.params, reasons=decide.FORCED_REASONS
         )
+        return self.study.hold(rolled, "batches")
+
+    @cached_property
+    def split_batches(self) -> bool:
+        """Whether a house has too many batches for order statistics in one task."""
+        return largest_group(self.batches, metrics.RUN) > self.study.params.hot_rows
 
     def summary(self, *, streaks: bool = True) -> DataFrame:
         return metrics.summarize(
-            self.batches, self.trace, self.streaks if streaks else None
+            self.batches,
+            self.trace,
+            self.streaks if streaks else None,
+            split=self.split_batches,
         )
 
     def daily(self) -> DataFrame:

@@ -366,7 +366,7 @@ def predictor_points(
     run = AdaptiveRun(study, grid)
     epsilon = F.create_map(*[F.lit(x) for c in grid for x in (c.config_id, c.allocation.epsilon)])
     points = run.summary().join(
-        ad.prediction_metrics(run.decisions).select("config_id", "house_id", "prediction_rmse"),
+        ad.prediction_metrics(run.decisions, split=run.split).select("config_id", "house_id", "prediction_rmse"),
         ["config_id", "house_id"],
     )
     label = F.create_map(*[F.lit(x) for c in grid for x in (c.config_id, c.effective_mode)])

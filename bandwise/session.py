@@ -26,6 +26,16 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Hash partitions by key, as many as the session's shuffles have.
+
+    For rows that get many times wider or longer after the exchange: the adaptive planner would
+    merge partitions by what it sees before that.
+    """
+    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(count, *columns)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder for intermediate tables: the cluster's checkpoint folder, a temporary one in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -10,15 +10,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from bandwise.operators.adaptive import INPUT, KEY, SCHEMA, STATE, adaptive_step
-from bandwise.operators.fold import LAST
+from bandwise.operators.adaptive import INPUT, KEY, SCHEMA, STATE, PlugWalk
 from bandwise.params import AdaptiveConfig, Params
 from bandwise.sources.events import PLUG
 
@@ -32,7 +29,7 @@ _CARRIED = T.StructType(
 )
 OUTPUT = T.StructType(
     [
-        *[f for f in SCHEMA.fields if f.name != LAST],
+        *SCHEMA.fields,
         T.StructField("residual_score", T.DoubleType()),
         T.StructField("late", T.BooleanType()),
     ]
@@ -44,7 +41,7 @@ class Deadband(StatefulProcessor):
 
     def __init__(self, configs: list[AdaptiveConfig], params: Params, floor: float):
         self.params, self.floor = params, floor
-        self.step = adaptive_step(configs, params)
+        self.configs = {c.config_id: c for c in configs}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -83,46 +80,35 @@ class Deadband(StatefulProcessor):
     def _decide(self, key, ready: list[tuple]) -> pd.DataFrame:
         carried = dict(zip(_CARRIED.names, self.carried.get(), strict=True)) \
             if self.carried.exists() else None
-        columns = {n: [row[i] for row in ready] for i, n in enumerate(_WAITING.names)}
-        seen = (carried or {}).get("last_seen_us")
-        if seen is None:
-            seen = columns["last_seen_us"][0]
+        state = carried or {"initial_bias": ready[0][_WAITING.names.index("initial_bias")] or 0.0}
+        walk = PlugWalk(tuple(key), self.configs[key[0]], self.params.start_us, state)
+        fixed = dict(zip(KEY, key, strict=True))
+        results = SCHEMA.names[len(INPUT.names) :]
         recent = list((carried or {}).get("recent") or [])
-        # last-seen times are those before each batch
-        last_seen, returned, now = [], [], None
-        for moment in columns["ts_us"]:
-            if now is not None and moment != now:
-                seen = now
-            now = moment
-            last_seen.append(seen)
-            returned.append(seen is None or moment - seen > self.params.active_us)
-        columns["last_seen_us"], columns["reactivated"] = last_seen, returned
-        schema = to_arrow_schema(INPUT)
-        keyed = {n: [k] * len(ready) for n, k in zip(KEY, key, strict=True)}
-        table = pa.table({**columns, **keyed}).select(INPUT.names).cast(schema)
-        state = {n: carried[n] for n in STATE} if carried else None
-        decided = self.step(table, state).to_pylist()
-        scores, i = [], 0
-        while i < len(decided):
-            j = i
-            while j < len(decided) and decided[j]["ts_us"] == decided[i]["ts_us"]:
-                j += 1
-            mean = sum(recent) / len(recent) if recent else None
-            score = self.floor if mean is None else max(mean**0.5, self.floor)
-            scores.extend([score] * (j - i))
-            fresh = [r["residual"] ** 2 for r in decided[i:j] if r["residual"] is not None]
-            recent = (recent + fresh)[-self.params.window :]
-            i = j
-        end = decided[-1]
-        self.carried.update(
-            (*[end[n] for n in [f.name for f in _CARRIED.fields][: len(STATE)]], now, recent)
-        )
-        return _frame(
-            [
-                tuple({**row, "residual_score": s, "late": False}[n] for n in OUTPUT.names)
-                for row, s in zip(decided, scores, strict=True)
-            ]
-        )
+        fresh, now, score, out = [], None, self.floor, []
+        seen = carried["last_seen_us"] if carried else None
+        for value in ready:
+            row = {**dict(zip(_WAITING.names, value, strict=True)), **fixed}
+            if row["ts_us"] != now:
+                # a new batch: last-seen time, score and predictor are those before it
+                seen = now if now is not None else (seen or row["last_seen_us"])
+                recent, fresh = (recent + fresh)[-self.params.window :], []
+                mean = sum(recent) / len(recent) if recent else 0.0
+                score, now = max(mean**0.5, self.floor), row["ts_us"]
+            row["last_seen_us"] = seen
+            row["reactivated"] = seen is None or now - seen > self.params.active_us
+            decided = walk.advance(
+                now, row["value"], row["baseline"], row["threshold_used"], row["reactivated"],
+                row["robust_scale"],
+            )
+            row.update(zip(results, decided, strict=True), residual_score=score, late=False)
+            if row["residual"] is not None:
+                fresh.append(row["residual"] ** 2)
+            out.append(row)
+        recent = (recent + fresh)[-self.params.window :]
+        names = [f.name for f in _CARRIED.fields][: len(STATE)]
+        self.carried.update((*[out[-1][n] for n in names], now, recent))
+        return _frame([tuple(row[n] for n in OUTPUT.names) for row in out])
 
     def _late(self, key, rows: list[tuple]) -> pd.DataFrame:
         known = [
