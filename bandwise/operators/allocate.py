@@ -16,6 +16,7 @@ from bandwise.operators.fit import cap_expression, quantile_name
 from bandwise.operators.waterfill import level_over
 from bandwise.params import MODES, AllocationConfig, Params
 from bandwise.session import spread
+from bandwise.sources.events import PLUG
 
 TICK = ["house_id", "cycle"]
 TRACE_COLUMNS = [
@@ -179,8 +180,14 @@ def allocate(
     capped = [c for c in configs if c.mode == "true_hierarchical_cap"]
     plain = [c for c in configs if c.mode != "true_hierarchical_cap"]
     position = {c.config_id: i for i, c in enumerate(configs)}
-    # one exchange by (house, cycle); the bookkeeping windows and household sums stay inside it
-    risks = with_risk(spread(snapshots.join(houses, "house_id"), *TICK), params)
+    rows = snapshots.join(houses, "house_id")
+    if capped:
+        if quantiles is None:
+            raise ValueError("true_hierarchical_cap needs residual quantiles")
+        names = sorted({quantile_name(c.cap_quantile) for c in capped})
+        rows = rows.join(quantiles.select(*PLUG, "samples", *names), PLUG, "left")
+    # one exchange by (house, cycle); all windows after it stay inside
+    risks = with_risk(spread(rows, *TICK), params)
     parts = []
     if plain:
         rows = with_configs(risks, plain).withColumn(
@@ -195,19 +202,14 @@ def allocate(
         zero = F.lit(0.0)
         parts.append(_book(rows, F.lit(0).cast("bigint"), zero, zero))
     if capped:
-        if quantiles is None:
-            raise ValueError("true_hierarchical_cap needs residual quantiles")
-        parts.append(_capped(risks, quantiles, capped, params))
+        parts.append(_capped(risks, capped, params))
     trace = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     numbers = F.create_map(*[F.lit(x) for pair in position.items() for x in pair])
     return trace.withColumn("config_pos", numbers[F.col("config_id")])
 
 
 def _capped(
-    risks: DataFrame,
-    quantiles: DataFrame,
-    configs: Sequence[AllocationConfig],
-    params: Params,
+    risks: DataFrame, configs: Sequence[AllocationConfig], params: Params
 ) -> DataFrame:
     """Hierarchy with caps.
 
@@ -218,10 +220,7 @@ def _capped(
     chosen = F.lit(None).cast("double")
     for name in names:
         chosen = F.when(F.col("cap_quantile") == name, F.col(name)).otherwise(chosen)
-    plug_key = ["house_id", "household_id", "plug_id"]
-    rows = with_configs(
-        risks.join(quantiles.select(*plug_key, "samples", *names), plug_key, "left"), configs
-    )
+    rows = with_configs(risks, configs)
     key = ["config_id", *TICK]
     house = Window.partitionBy(*key)
     household = Window.partitionBy(*key, "household_id")

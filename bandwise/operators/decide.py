@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from bandwise.functions.stats import running_totals
 from bandwise.operators.cycles import SLICE
 from bandwise.params import AllocationConfig, Params
 
 # Reasons of forced transmissions, frozen predictor.
 FORCED_REASONS = ("full_tx", "missing_prediction", "inactive_reactivation")
 BATCH = ["config_id", "house_id", "cycle", "ts_us"]
+STREAK_KEY = ["config_id", "house_id", "household_id", "plug_id"]
+STREAK_SLICE = ["config_id", "house_id", "cycle", "household_id", "plug_id"]
 
 
 def pack_thresholds(trace: DataFrame) -> DataFrame:
@@ -146,21 +147,66 @@ def with_batch_error(decisions: DataFrame) -> DataFrame:
     )
 
 
+def _local_streaks(decisions: DataFrame) -> DataFrame:
+    """Suppressions since the last transmission of the same plug and cycle.
+
+    ``_after_tx`` tells whether there was one; if not, earlier cycles add to the count.
+    """
+    local = Window.partitionBy(*STREAK_SLICE).orderBy("ts_us", "row_id")
+    upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    number = F.row_number().over(local)
+    return (
+        decisions.withColumn("_number", number)
+        .withColumn("_last_tx", F.max(F.when(F.col("transmitted"), F.col("_number"))).over(upto))
+        .withColumn("_after_tx", F.col("_last_tx").isNotNull())
+        .withColumn("_local", F.col("_number") - F.coalesce("_last_tx", F.lit(0)))
+    )
+
+
+def _carried_streaks(local: DataFrame) -> DataFrame:
+    """Per plug and cycle: the streak that reaches it, and its own longest ones."""
+    slices = local.groupBy(*STREAK_SLICE).agg(
+        F.count("*").alias("_n"),
+        F.max("_after_tx").alias("_sent"),
+        F.max(F.when(~F.col("_after_tx"), F.col("_local"))).alias("_lead"),
+        F.max(F.when(F.col("_after_tx"), F.col("_local"))).alias("_inner"),
+        F.max_by("_local", "_number").alias("_end"),
+    )
+    along = Window.partitionBy(*STREAK_KEY).orderBy("cycle")
+    total = F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # rows up to the last transmission of any cycle so far
+    settled = F.when(F.col("_sent"), F.col("_upto") - F.col("_end"))
+    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
+    return slices.withColumn("_upto", total).withColumn(
+        "_carry",
+        F.col("_upto") - F.col("_n") - F.coalesce(F.max(settled).over(earlier), F.lit(0)),
+    )
+
+
 def with_streaks(decisions: DataFrame) -> DataFrame:
     """Add ``consecutive_suppression``: 0 on transmission, else the running count per plug."""
-    key = ["config_id", "house_id", "household_id", "plug_id"]
-    order = ["ts_us", "row_id"]
-    numbered = running_totals(decisions, key, "cycle", order, sums={"_rn": F.lit(1)})
-    marked = running_totals(
-        numbered,
-        key,
-        "cycle",
-        order,
-        maxima={"_last_tx": F.when(F.col("transmitted"), F.col("_rn"))},
-    )
-    return marked.withColumn(
-        "consecutive_suppression", F.col("_rn") - F.coalesce("_last_tx", F.lit(0))
-    ).drop("_rn", "_last_tx")
+    local = _local_streaks(decisions)
+    carried = _carried_streaks(local).select(*STREAK_SLICE, "_carry")
+    streak = F.when(F.col("_after_tx"), F.col("_local")).otherwise(
+        F.col("_local") + F.col("_carry")
+    )
+    return (
+        local.join(carried, STREAK_SLICE)
+        .withColumn("consecutive_suppression", streak)
+        .drop("_number", "_last_tx", "_after_tx", "_local", "_carry")
+    )
+
+
+def longest_streaks(decisions: DataFrame) -> DataFrame:
+    """Longest run of suppressions per configuration and house, in one pass over the events."""
+    carried = _carried_streaks(_local_streaks(decisions))
+    longest = F.greatest(F.coalesce("_lead", F.lit(0)) + F.when(
+        F.col("_lead").isNotNull(), F.col("_carry")).otherwise(F.lit(0)),
+        F.coalesce("_inner", F.lit(0)),
+    )
+    return carried.groupBy("config_id", "house_id").agg(
+        F.max(longest).alias("maximum_consecutive_suppression")
+    )
 
 
 def decision_table(decisions: DataFrame) -> DataFrame:

@@ -81,15 +81,15 @@ def budget_metrics(trace: DataFrame) -> DataFrame:
 def summarize(
     batches: DataFrame,
     trace: DataFrame,
-    streaks: DataFrame | None = None,
+    longest: DataFrame | None = None,
     *,
     reasons: Sequence[str] = FORCED_REASONS,
     split: bool = True,
 ) -> DataFrame:
     """The whole summary row per configuration and house.
 
-    ``streaks`` (decisions with ``consecutive_suppression``) is optional because it needs one more
-    pass over the events; without it that column is left out.
+    ``longest`` (longest streak per run) is optional because it needs one more pass over the
+    events; without it that column is left out.
     """
     budget_columns = [
         "budget_violation_count",
@@ -110,10 +110,7 @@ def summarize(
         .fillna(0, budget_columns)
         .fillna(0.0, amount_columns)
     )
-    if streaks is not None:
-        longest = streaks.groupBy(*RUN).agg(
-            F.max("consecutive_suppression").alias("maximum_consecutive_suppression")
-        )
+    if longest is not None:
         summary = summary.join(longest, RUN)
     return summary.withColumn("safety_pass", safety_pass())
 

@@ -158,7 +158,9 @@ class AdaptiveRun:
         return metrics.summarize(
             self.batches,
             self.trace,
-            self.decisions,
+            self.decisions.groupBy(*metrics.RUN).agg(
+                F.max("consecutive_suppression").alias("maximum_consecutive_suppression")
+            ),
             reasons=adaptive.ADAPTIVE_REASONS,
             split=self.split,
         )

@@ -221,7 +221,7 @@ class FrozenRun:
         return metrics.summarize(
             self.batches,
             self.trace,
-            self.streaks if streaks else None,
+            decide.longest_streaks(self.decisions) if streaks else None,
             split=self.split_batches,
         )
 
