@@ -270,8 +270,8 @@ def spearman(df: DataFrame, keys: Sequence[str], left: str, right: str, name: st
     constant = (
         (F.min("_l") == F.max("_l")) & (F.min("_r") == F.max("_r")) & (F.min("_l") == F.min("_r"))
     )
-    coefficient = F.corr("_rank_l", "_rank_r")
-    usable = coefficient.isNotNull() & ~F.isnan(coefficient)
+    spread = F.stddev_pop("_rank_l") * F.stddev_pop("_rank_r")
+    coefficient = F.covar_pop("_rank_l", "_rank_r") / spread
     return ranked.groupBy(*keys).agg(
-        F.when(constant, F.lit(1.0)).when(usable, coefficient).otherwise(F.lit(0.0)).alias(name)
+        F.when(constant, F.lit(1.0)).when(spread > 0, coefficient).otherwise(F.lit(0.0)).alias(name)
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +35,8 @@ DEFAULT_COLUMNS = {
 }
 # Position of a row inside a set of files: file number times this, plus the row number in the file.
 _FILE_STRIDE = 1 << 40
+# The same file may be listed with one or three slashes after its scheme.
+_SCHEME = r"^([A-Za-z0-9+.-]+):/+"
 
 
 def read_events(
@@ -68,10 +71,11 @@ def _with_file_position(frame: DataFrame) -> DataFrame:
     if len(files) > 1:
         # file listing, not data; Spark broadcasts it only while it is small
         numbers = frame.sparkSession.createDataFrame(
-            [(name, number) for number, name in enumerate(files)],
+            [(re.sub(_SCHEME, r"\1:/", name), number) for number, name in enumerate(files)],
             "_file string, _number bigint",
         )
-        frame = frame.withColumn("_file", F.col("_metadata.file_path")).join(numbers, "_file")
+        path = F.regexp_replace(F.col("_metadata.file_path"), _SCHEME, "$1:/")
+        frame = frame.withColumn("_file", path).join(numbers, "_file", "left")
         position = F.col("_number") * F.lit(_FILE_STRIDE) + position
     return frame.withColumn("_row_position", position).drop("_metadata", "_file", "_number")
 
