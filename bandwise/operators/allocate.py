@@ -164,7 +164,7 @@ def with_configs(
 
 def allocate(
     snapshots: DataFrame,
-    houses: DataFrame,
+    houses: DataFrame | None,
     quantiles: DataFrame | None,
     configs: Sequence[AllocationConfig],
     params: Params,
@@ -172,7 +172,7 @@ def allocate(
     """Threshold trace of a grid of configurations.
 
     ``snapshots``: active plugs per tick with ``score`` and ``tick_us``; ``houses``: ``mean_load``
-    and ``sigma_floor``; ``quantiles``: warm-up residual quantiles, needed for caps only.
+    and ``sigma_floor``, unless the snapshots bring them; ``quantiles``: warm-up residual quantiles, needed for caps only.
     """
     unknown = {c.mode for c in configs} - set(MODES)
     if unknown:
@@ -180,7 +180,9 @@ def allocate(
     capped = [c for c in configs if c.mode == "true_hierarchical_cap"]
     plain = [c for c in configs if c.mode != "true_hierarchical_cap"]
     position = {c.config_id: i for i, c in enumerate(configs)}
-    rows = snapshots.join(houses, "house_id")
+    rows = snapshots
+    if "mean_load" not in snapshots.columns:
+        rows = snapshots.join(houses, "house_id")
     if capped:
         if quantiles is None:
             raise ValueError("true_hierarchical_cap needs residual quantiles")

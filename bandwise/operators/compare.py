@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from bandwise.functions.stats import spearman
 
 CYCLE = ["house_id", "cycle"]
+TIE_DIGITS = 9
 PLUG_CYCLE = ["house_id", "cycle", "household_id", "plug_id"]
 # Compared objectives, fields of the tail table, compared metrics.
 OBJECTIVES = ("transmission_ratio", "rmse", "cvar99", "max")
@@ -253,7 +254,7 @@ def matched_by(
     ranked = F.transform(
         "_choices",
         lambda b: F.struct(
-            F.abs(b[measure] - F.col(measure)).alias("gap"),
+            F.round(F.abs(b[measure] - F.col(measure)), TIE_DIGITS).alias("gap"),
             b["epsilon"].alias("epsilon"),
             b.alias("base"),
         ),
@@ -364,8 +365,15 @@ def tradeoff_summary(points: DataFrame, matches: DataFrame, frozen="slot_median_
 def best_pick(
     candidates: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
 ) -> DataFrame:
-    """First candidate of every group in a lexicographic order; a bounded grid per group."""
-    ranked = Window.partitionBy(*keys).orderBy(*order)
+    """First candidate of every group in a lexicographic order; a bounded grid per group.
+
+    Named figures are compared to nine digits: sums of the same numbers in another order are ties.
+    """
+    kinds = dict(candidates.dtypes)
+    steps = [
+        F.round(c, TIE_DIGITS) if isinstance(c, str) and kinds[c] == "double" else c for c in order
+    ]
+    ranked = Window.partitionBy(*keys).orderBy(*steps)
     return (
         candidates.withColumn("_rank", F.row_number().over(ranked))
         .where(F.col("_rank") == 1)

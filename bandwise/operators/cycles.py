@@ -18,6 +18,7 @@ from bandwise.session import spread
 from bandwise.sources.events import PLUG
 
 SLICE = ["house_id", "cycle", "household_id", "plug_id"]
+SLICE_TOTALS = ["last_us", "n", "s", "prev_last_us", "next_cycle", "n_upto", "s_upto"]
 
 
 def period_cell(params: Params) -> Column:
@@ -103,6 +104,15 @@ def slice_states(events: DataFrame, warm_plugs: DataFrame) -> DataFrame:
     )
 
 
+def brought_along(states: DataFrame) -> list[str]:
+    """Columns of a state table beyond its own: house or plug figures that ride with the slices.
+
+    Events, snapshots and scores get them from the join they need anyway, so no event-sized table
+    is ever joined (and shuffled) by house or by plug alone.
+    """
+    return [c for c in states.columns if c not in SLICE and c not in SLICE_TOTALS]
+
+
 def active_sets(states: DataFrame, ticks: DataFrame, params: Params) -> DataFrame:
     """Plugs whose last event lies in ``(tick - T, tick]``, with the slice that was their last.
 
@@ -121,6 +131,7 @@ def active_sets(states: DataFrame, ticks: DataFrame, params: Params) -> DataFram
         "last_us",
         "n_upto",
         "s_upto",
+        *brought_along(states),
         F.explode(F.sequence(F.col("cycle") + 1, last)).alias("cycle"),
     )
     joined = candidates.join(
@@ -131,7 +142,9 @@ def active_sets(states: DataFrame, ticks: DataFrame, params: Params) -> DataFram
 
 def with_last_seen(events: DataFrame, states: DataFrame, params: Params) -> DataFrame:
     """Previous last-seen time strictly before the batch, and the reactivation flag."""
-    carried = states.where(F.col("cycle") >= 0).select(*SLICE, "prev_last_us")
+    carried = states.where(F.col("cycle") >= 0).select(
+        *SLICE, "prev_last_us", *brought_along(states)
+    )
     earlier = (
         Window.partitionBy(*SLICE)
         .orderBy("ts_us")

@@ -27,13 +27,12 @@ def pack_thresholds(trace: DataFrame) -> DataFrame:
 
 
 def with_thresholds(
-    events: DataFrame,
-    trace: DataFrame,
-    houses: DataFrame,
-    configs: Sequence[AllocationConfig],
+    events: DataFrame, trace: DataFrame, configs: Sequence[AllocationConfig]
 ) -> DataFrame:
     """One row per event and configuration; a plug outside the allocation has threshold 0.
 
+    ``events`` bring ``mean_load`` along.
+
     Events meet one packed row per plug and cycle in the partitioning they already have and are
     repeated for the grid only after the join.
     """
@@ -47,9 +46,7 @@ def with_thresholds(
             for i in range(len(configs))
         ]
     )
-    joined = events.join(pack_thresholds(trace), SLICE, "left").join(
-        houses.select("house_id", "mean_load"), "house_id"
-    )
+    joined = events.join(pack_thresholds(trace), SLICE, "left")
     repeated = joined.select(
         "*", F.inline(F.coalesce(F.col("thresholds"), none))
     ).drop("thresholds")

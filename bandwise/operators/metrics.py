@@ -192,7 +192,9 @@ def forced_counts(decisions: DataFrame) -> DataFrame:
 
 def top_batches(batches: DataFrame, k: int) -> DataFrame:
     """The ``k`` worst timestamps of every run, ranked."""
-    worst = Window.partitionBy(*RUN).orderBy(F.desc("abs_house_error"), F.asc("ts_us"))
+    worst = Window.partitionBy(*RUN).orderBy(
+        F.desc(F.round("abs_house_error", 9)), F.asc("ts_us")
+    )
     ranked = batches.withColumn("batch_rank", F.row_number().over(worst))
     return ranked.where(F.col("batch_rank") <= k)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from bandwise.operators.cycles import SLICE
+from bandwise.operators.cycles import SLICE, brought_along
 from bandwise.params import Params
 from bandwise.sources.events import PLUG
 
@@ -105,13 +105,15 @@ def scores_at_ticks(
     active: DataFrame,
     states: DataFrame,
     residuals: DataFrame,
-    floors: DataFrame,
     params: Params,
 ) -> DataFrame:
-    """Score of every active plug at every tick: last ``window`` squares up to the tick."""
+    """Score of every active plug at every tick: last ``window`` squares up to the tick.
+
+    ``active`` brings ``sigma_floor`` (and whatever else rides with the states) along.
+    """
     numbers = active.withColumn("m", F.col("n_upto") - F.lit(params.window))
     sums = sums_at(numbers, states, residuals)
-    joined = numbers.join(sums, [*PLUG, "m"], "left").join(floors, "house_id")
+    joined = numbers.join(sums, [*PLUG, "m"], "left")
     total = F.col("s_upto") - F.coalesce("s_at", F.lit(0.0))
     return joined.select(
         "house_id",
@@ -120,6 +122,7 @@ def scores_at_ticks(
         "household_id",
         "plug_id",
         "last_us",
+        *brought_along(states),
         score_expression(
             total, F.least(F.col("n_upto"), F.lit(params.window)), F.col("sigma_floor")
         ).alias("score"),
@@ -130,7 +133,6 @@ def scores_at_events(
     events: DataFrame,
     states: DataFrame,
     residuals: DataFrame,
-    floors: DataFrame,
     params: Params,
 ) -> DataFrame:
     """Add ``residual_score``: the score each event meets, from rows strictly before its batch."""
@@ -149,7 +151,7 @@ def scores_at_events(
         .withColumn("m", F.col("_n") - F.lit(params.window))
     )
     sums = running_sums(residuals, states)
-    joined = placed.join(sums, [*PLUG, "m"], "left").join(floors, "house_id")
+    joined = placed.join(sums, [*PLUG, "m"], "left")
     return joined.withColumn(
         "residual_score",
         score_expression(
@@ -157,4 +159,4 @@ def scores_at_events(
             F.least(F.col("_n"), F.lit(params.window)),
             F.col("sigma_floor"),
         ),
-    ).drop("_n_carry", "_s_carry", "_n", "_s", "m", "s_at", "sigma_floor")
+    ).drop("_n_carry", "_s_carry", "_n", "_s", "m", "s_at")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bandwise.functions.stats import largest_group
-from bandwise.operators import adaptive, decide, fit, metrics
+from bandwise.operators import adaptive, cycles, decide, fit, metrics
 from bandwise.operators import allocate as alloc
 from bandwise.operators.fold import fold_by_key
 from bandwise.params import AdaptiveConfig
@@ -73,9 +73,21 @@ class AdaptiveRun:
 
     # decisions -----------------------------------------------------------------------------
 
+    @cached_property
+    def seen(self) -> DataFrame:
+        """Events with last-seen time, robust scale and starting biases (one per alpha)."""
+        study = self.study
+        states = study.states.join(self.scales, PLUG)
+        if self.biases is not None:
+            by_alpha = self.biases.groupBy(*PLUG).agg(
+                F.map_from_entries(F.collect_list(F.struct("alpha", "bias"))).alias("biases")
+            )
+            states = states.join(by_alpha, PLUG, "left")
+        return cycles.with_last_seen(study.scored, states, study.params)
+
     def _rows(self, thresholded: DataFrame) -> DataFrame:
-        """Input rows of the fold: thresholded events with scale and starting bias."""
-        rows = thresholded.join(self.scales, PLUG).withColumnRenamed("prediction", "baseline")
+        """Input rows of the fold, from thresholded events."""
+        rows = thresholded.withColumnRenamed("prediction", "baseline")
         if self.biases is None:
             rows = rows.withColumn("initial_bias", F.lit(0.0))
         else:
@@ -86,10 +98,8 @@ class AdaptiveRun:
                     for x in (c.config_id, c.alpha if c.bias_from_warmup and c.adapts else -1.0)
                 ]
             )
-            rows = rows.withColumn("alpha", of_config[F.col("config_id")])
-            rows = rows.join(self.biases, [*PLUG, "alpha"], "left").withColumn(
-                "initial_bias", F.coalesce("bias", F.lit(0.0))
-            )
+            found = F.try_element_at(F.col("biases"), of_config[F.col("config_id")])
+            rows = rows.withColumn("initial_bias", F.coalesce(found, F.lit(0.0)))
         return rows.select(*[F.col(f.name).cast(f.dataType) for f in adaptive.INPUT.fields])
 
     @cached_property
@@ -103,7 +113,7 @@ class AdaptiveRun:
             allocations = [c.allocation for c in free]
             trace = study.run(allocations).trace
             rows = self._rows(
-                decide.with_thresholds(study.seen, trace, study.houses, allocations)
+                decide.with_thresholds(self.seen, trace, allocations)
             )
             folded = fold_by_key(
                 rows,
@@ -119,7 +129,11 @@ class AdaptiveRun:
             folds.append(write_through(folded, "decisions"))
         if coupled:
             walk = Coupled(
-                study, [c.allocation for c in coupled], self.estimator, predictors=coupled
+                study,
+                [c.allocation for c in coupled],
+                self.estimator,
+                predictors=coupled,
+                seen=self.seen,
             )
             trace, folded = walk.walk(self._rows)
             traces.append(trace)

@@ -84,13 +84,18 @@ def moved_windows(windows: DataFrame, decided: DataFrame, window: int) -> DataFr
 
 
 def window_scores(
-    active: DataFrame, windows: DataFrame, study: Study, configs: Sequence[AllocationConfig]
+    active: DataFrame, windows: DataFrame, configs: Sequence[AllocationConfig]
 ) -> DataFrame:
     total = F.aggregate("recent", F.lit(0.0), lambda a, x: a + x)
     joined = (
-        per_config(active.select("house_id", "cycle", "tick_us", "household_id", "plug_id"), configs)
+        per_config(
+            active.select(
+                "house_id", "cycle", "tick_us", "household_id", "plug_id", "mean_load",
+                "sigma_floor",
+            ),
+            configs,
+        )
         .join(windows, KEY, "left")
-        .join(study.sigma_floors, "house_id")
     )
     return joined.withColumn(
         "score",
@@ -99,7 +104,7 @@ def window_scores(
             F.coalesce(F.size("recent"), F.lit(0)),
             F.col("sigma_floor"),
         ),
-    ).drop("recent", "sigma_floor")
+    ).drop("recent")
 
 
 class Coupled:
@@ -111,6 +116,7 @@ class Coupled:
         configs: Sequence[AllocationConfig],
         estimator: str = "uniform_proxy",
         predictors: Sequence[AdaptiveConfig] | None = None,
+        seen: DataFrame | None = None,
     ):
         if estimator not in ESTIMATORS:
             raise ValueError(f"unknown estimator: {estimator}")
@@ -118,6 +124,7 @@ class Coupled:
         self.configs = list(configs)
         self.estimator = estimator
         self.predictors = list(predictors) if predictors else None
+        self.seen = study.seen if seen is None else seen
 
     def walk(self, adaptive_rows=None) -> tuple[DataFrame, DataFrame | None]:
         """Trace and, with predictors, the folded decisions of all cycles.
@@ -127,7 +134,7 @@ class Coupled:
         study, configs = self.study, self.configs
         spark = study.events.sparkSession
         active = write_through(study.active, "active", partition_by="cycle")
-        events = write_through(study.seen, "seen", partition_by="cycle")
+        events = write_through(self.seen, "seen", partition_by="cycle")
         capped = any(c.mode == "true_hierarchical_cap" for c in configs)
         quantiles = study.quantiles(configs) if capped else None
         trace_root, fold_root = new_table_path(spark, "trace"), new_table_path(spark, "fold")
@@ -137,13 +144,13 @@ class Coupled:
         trace_schema = decided = None
         last_cycle = int(study.ticks.agg(F.max("cycle")).first()[0])
         for cycle in range(last_cycle + 1):
-            scored = window_scores(active.where(F.col("cycle") == cycle), windows, study, configs)
-            trace = alloc.allocate(scored, study.houses, quantiles, configs, study.params)
+            scored = window_scores(active.where(F.col("cycle") == cycle), windows, configs)
+            trace = alloc.allocate(scored, None, quantiles, configs, study.params)
             trace_schema = trace.schema
             trace.write.parquet(f"{trace_root}/part={cycle}")
             trace = spark.read.schema(trace_schema).parquet(f"{trace_root}/part={cycle}")
             rows = decide.with_thresholds(
-                events.where(F.col("cycle") == cycle), trace, study.houses, configs
+                events.where(F.col("cycle") == cycle), trace, configs
             )
             if self.predictors is None:
                 decided = decide.decide(rows)

@@ -118,7 +118,8 @@ class Study:
 
     @cached_property
     def states(self) -> DataFrame:
-        return self.hold(cycles.slice_states(self.scored, self.warm_plugs), "states")
+        states = cycles.slice_states(self.scored, self.warm_plugs)
+        return self.hold(states.join(self.houses, "house_id"), "states")
 
     @cached_property
     def active(self) -> DataFrame:
@@ -143,7 +144,7 @@ class Study:
     def snapshots(self) -> DataFrame:
         """Active plugs with their score at every tick."""
         scores = score.scores_at_ticks(
-            self.active, self.states, self.residual_rows, self.sigma_floors, self.params
+            self.active, self.states, self.residual_rows, self.params
         )
         return self.hold(scores, "snapshots")
 
@@ -155,7 +156,7 @@ class Study:
     def seen_with_scores(self) -> DataFrame:
         """Like ``seen`` with the score every event meets (one more pass over the residuals)."""
         return score.scores_at_events(
-            self.seen, self.states, self.residual_rows, self.sigma_floors, self.params
+            self.seen, self.states, self.residual_rows, self.params
         )
 
     # configurations ------------------------------------------------------------------------
@@ -179,7 +180,7 @@ class FrozenRun:
         quantiles = self.study.quantiles(self.configs) if capped else None
         study = self.study
         trace = alloc.allocate(
-            study.snapshots, study.houses, quantiles, self.configs, study.params
+            study.snapshots, None, quantiles, self.configs, study.params
         )
         return study.hold(trace, "trace")
 
@@ -188,7 +189,7 @@ class FrozenRun:
         return alloc.cycle_budgets(self.trace)
 
     def _decide(self, events: DataFrame) -> DataFrame:
-        rows = decide.with_thresholds(events, self.trace, self.study.houses, self.configs)
+        rows = decide.with_thresholds(events, self.trace, self.configs)
         return decide.decide(rows)
 
     @cached_property

@@ -322,7 +322,8 @@ class PredictorComparison:
             & F.col("deployable")
             & (F.col("predictor_mode") != "slot_median_frozen")
         )
-        return compare.best_pick(eligible, ["house_id"], [*PICK_ORDER, _triggers()])
+        listed = F.array_position(F.array(*map(F.lit, PREDICTOR_MODES)), F.col("predictor_mode"))
+        return compare.best_pick(eligible, ["house_id"], [*PICK_ORDER, _triggers(), listed])
 
     def causes(self, k: int | None = None) -> DataFrame:
         """Root causes of the outliers of the frozen and of each house's selected predictor."""

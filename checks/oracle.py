@@ -695,9 +695,11 @@ cmp as (
    and f.predictor_mode = 'slot_median_frozen'),
 sel as (
   select house_id, predictor_mode from (
-    select *, row_number() over (partition by house_id order by cvar99, rmse, max,
-      transmission_ratio, drift_trigger_count + periodic_sync_count_trigger_count
-        + periodic_sync_time_trigger_count) as rk
+    select *, row_number() over (partition by house_id order by round(cvar99, 9), round(rmse, 9),
+      round(max, 9), round(transmission_ratio, 9),
+      drift_trigger_count + periodic_sync_count_trigger_count + periodic_sync_time_trigger_count,
+      list_position(['slot_median_ewma', 'slot_median_ewma_periodic_sync',
+        'slot_median_ewma_drift', 'slot_median_ewma_drift_periodic_sync'], predictor_mode)) as rk
     from cmp where not rejected and predictor_mode <> 'slot_median_frozen') where rk = 1),
 selall as (
   select house_id, coalesce(s.predictor_mode, 'slot_median_frozen') as pm
@@ -1050,7 +1052,8 @@ def statements() -> dict[str, str]:
               select p.*, u.epsilon as ue, u.transmission_ratio as utr, u.rmse as ur,
                 u.cvar99 as uc, abs(u.transmission_ratio - p.transmission_ratio) as gap,
                 row_number() over (partition by p.house_id, p.mode, p.epsilon
-                  order by abs(u.transmission_ratio - p.transmission_ratio), u.epsilon) as rk
+                  order by round(abs(u.transmission_ratio - p.transmission_ratio), 9), u.epsilon)
+                as rk
               from points p join points u on u.house_id = p.house_id and u.mode = 'uniform'
               where p.mode <> 'uniform')
             select house_id, mode, {r('epsilon', 'mode_epsilon')}, {r('transmission_ratio', 'mode_tr')},
@@ -1062,7 +1065,8 @@ def statements() -> dict[str, str]:
         "best_pick": _sweep(
             f"""select house_id, mode, {rs('epsilon, cvar99')} from (
               select *, row_number() over (partition by house_id
-                order by cvar99, rmse, max, transmission_ratio, mode) as rk from points)
+                order by round(cvar99, 9), round(rmse, 9), round(max, 9),
+                  round(transmission_ratio, 9), mode) as rk from points)
             where rk = 1"""
         ),
         "verdict": query(
@@ -1083,7 +1087,8 @@ def statements() -> dict[str, str]:
         ),
         "ofat_grid": query(
             f""", j as (select *, row_number() over (partition by house_id
-                order by cvar99, rmse, transmission_ratio, config) as rk from summ
+                order by round(cvar99, 9), round(rmse, 9), round(transmission_ratio, 9), config)
+                as rk from summ
               where bound_violation_count = 0 and suppression_violation_count = 0
                 and budget_violation_count = 0)
             select s.house_id, s.config as candidate, {r('s.cvar99', 'cvar99')},

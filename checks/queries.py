@@ -614,12 +614,12 @@ def q_plug_predictions(spark, sf):
 
 def q_predictor_summary(spark, sf):
     rows = comparison(spark, sf).run.predictor_summary()
-    return rows.drop("config_id", "drift_triggers_by_plug")
+    return rows.drop("config_id")
 
 
 def q_triggers_by_plug(spark, sf):
     rows = ad.triggers_by_plug(_adaptive(spark, sf))
-    return rows.select("house_id", F.explode("drift_triggers_by_plug").alias("plug", "triggers"))
+    return rows.select("house_id", "plug", "triggers")
 
 
 def q_adaptive_summary(spark, sf):
@@ -675,7 +675,7 @@ def q_consolidated_runs(spark, sf):
     rows = comparison(spark, sf).run
     adaptive = (
         rows.summary()
-        .join(rows.predictor_summary().drop("drift_triggers_by_plug"), ["config_id", "house_id"])
+        .join(rows.predictor_summary(), ["config_id", "house_id"])
         .withColumnRenamed("mode", "allocator_mode")
         .withColumns({"source_group": F.lit("predictors"), "source_path": F.lit("predictors")})
         .drop("config_id")
