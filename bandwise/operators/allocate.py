@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from bandwise.operators.fit import cap_expression, quantile_name
 from bandwise.operators.waterfill import level_over
-from bandwise.params import MODES, AllocationConfig, Params
+from bandwise.params import KNOWN_MODES, AllocationConfig, Params
 from bandwise.session import spread
 from bandwise.sources.events import PLUG
 
@@ -132,6 +132,14 @@ THRESHOLDS: dict[str, Callable[[], Column]] = {
 }
 
 
+def register_allocator(name: str, threshold: Callable[[], Column]) -> None:
+    """Add an uncapped allocator: an expression over the risk table and a configuration's columns."""
+    if name in KNOWN_MODES:
+        raise ValueError(f"allocator exists: {name}")
+    KNOWN_MODES.add(name)
+    THRESHOLDS[name] = threshold
+
+
 def with_configs(
     rows: DataFrame, configs: Sequence[AllocationConfig]
 ) -> DataFrame:
@@ -174,7 +182,7 @@ def allocate(
     ``snapshots``: active plugs per tick with ``score`` and ``tick_us``; ``houses``: ``mean_load``
     and ``sigma_floor``, unless the snapshots bring them; ``quantiles``: warm-up residual quantiles, needed for caps only.
     """
-    unknown = {c.mode for c in configs} - set(MODES)
+    unknown = {c.mode for c in configs} - KNOWN_MODES
     if unknown:
         raise ValueError(f"unknown mode: {sorted(unknown)}")
     capped = [c for c in configs if c.mode == "true_hierarchical_cap"]

@@ -15,6 +15,8 @@ MODES = (
     "true_hierarchical",
     "true_hierarchical_cap",
 )
+# Modes a configuration may name; registering an allocator adds to it.
+KNOWN_MODES = set(MODES)
 PREDICTOR_MODES = (
     "slot_median_frozen",
     "slot_median_ewma",
@@ -122,7 +124,7 @@ class AllocationConfig:
     cap_min_samples: int = 30
 
     def __post_init__(self) -> None:
-        if self.mode not in MODES:
+        if self.mode not in KNOWN_MODES:
             raise ValueError(f"unknown mode: {self.mode}")
         if not 0.0 <= self.cap_quantile <= 1.0:
             raise ValueError("cap quantile must be in [0, 1]")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import replace
 from functools import cached_property
 
@@ -21,11 +21,20 @@ class Study:
     """Tables of one study, built when first asked for; shared ones are written once.
 
     ``events`` are accepted events.  ``split`` tells whether per-plug order statistics must split
-    plugs over tasks; None decides by the size of the largest plug.
+    plugs over tasks; None decides by the size of the largest plug.  ``predictor`` replaces the
+    seasonal medians: it adds ``prediction`` and ``residual`` to events.
     """
 
-    def __init__(self, events: DataFrame, params: Params, *, split: bool | None = None):
+    def __init__(
+        self,
+        events: DataFrame,
+        params: Params,
+        *,
+        split: bool | None = None,
+        predictor: Callable[[DataFrame], DataFrame] | None = None,
+    ):
         configure(events.sparkSession)
+        self._predictor = predictor
         self.params = params
         self.events = events
         self.warm = events.where(splits.inside(params.warmup))
@@ -49,7 +58,8 @@ class Study:
 
     def derive(self, **changes) -> Study:
         """The same events under changed parameters."""
-        return Study(self.events, replace(self.params, **changes), split=self._split)
+        params = replace(self.params, **changes)
+        return Study(self.events, params, split=self._split, predictor=self._predictor)
 
     # warm-up -------------------------------------------------------------------------------
 
@@ -63,6 +73,8 @@ class Study:
         return self.hold(fit.plug_medians(self.warm, split=self.split), "plug_medians")
 
     def predict(self, events: DataFrame) -> DataFrame:
+        if self._predictor is not None:
+            return self._predictor(events)
         return fit.predict(
             events, self.slot_medians, self.plug_medians, self.params.slot_seconds
         )

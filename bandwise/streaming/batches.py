@@ -70,11 +70,7 @@ def allocation_windows(events: DataFrame, params: Params, delay: str) -> DataFra
 
 
 def stream_spells(events: DataFrame, gap_seconds: int, delay: str) -> DataFrame:
-    """Activity spells as session windows.
-
-    A session ends ``gap_seconds`` after its last event, that moment excluded: a gap of exactly
-    that length starts a new session here and does not in the batch operator.
-    """
+    """Activity spells as session windows; a gap of exactly ``gap_seconds`` does not end one."""
     return (
         events.withWatermark("timestamp", delay)
         .groupBy(

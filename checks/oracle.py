@@ -1229,6 +1229,73 @@ def statements() -> dict[str, str]:
             where timestamp <= (select max(timestamp) from acc) - interval 1 hour
             group by house_id, timestamp"""
         ),
+        "stream_ticks": query(
+            """select house_id,
+            make_timestamp((epoch_us(timestamp) // 21600000000) * 21600000000) as period_start,
+            min(timestamp) as allocation_timestamp, count(*) as events from acc
+            where make_timestamp((epoch_us(timestamp) // 21600000000 + 1) * 21600000000)
+              <= (select max(timestamp) from acc) - interval 1 hour
+            group by house_id, epoch_us(timestamp) // 21600000000"""
+        ),
+        "stream_spells": query(
+            f""",
+            gaps as (
+              select *, case when prev is null
+                or epoch_us(timestamp) - epoch_us(prev) > 86400000000 then 1 else 0 end as fresh
+              from (select *, lag(timestamp) over (
+                      partition by {PLUG} order by timestamp, row_id) as prev from acc)),
+            numbered as (
+              select *, sum(fresh) over (
+                partition by {PLUG} order by timestamp, row_id) as spell from gaps)
+            select house_id, household_id, plug_id, min(timestamp) as spell_start,
+                   max(timestamp) as spell_end, count(*) as events
+            from numbered group by {PLUG}, spell
+            having max(timestamp) + interval 86400 second
+              <= (select max(timestamp) from acc) - interval 1 hour"""
+        ),
+        "adaptive_summary": adaptive(
+            f""",
+            counted as (
+              select pm, house_id, any_value(mode) as mode,
+                count(*) filter (reason = 'inactive_reactivation')::bigint as f_back,
+                count(*) filter (reason = 'drift_detected')::bigint as f_drift,
+                count(*) filter (reason = 'periodic_sync_count')::bigint as f_count,
+                count(*) filter (reason = 'periodic_sync_time')::bigint as f_time,
+                count(*) filter (sent) as transmitted, count(*) as n,
+                count(*) filter (not sent and abs(innovation) > threshold_used + 1e-9) as sv,
+                max(case when sent then 0 else streak0 + 1 end) as streak
+              from ad group by all),
+            util as (
+              select pm, house_id, count(*) as batches, max(a.e / a.budget) as ub,
+                avg(coalesce(c.used, 0) / a.budget) as bu, max(a.budget) as house_budget
+              from abatch a left join cyc c using (config, house_id, cycle)
+              group by pm, house_id)
+            select s.house_id, s.pm as predictor_mode, k.mode, s.valid_events,
+              u.batches as timestamp_batches, k.transmitted, k.n - k.transmitted as suppressed,
+              {r('s.transmission_ratio', 'transmission_ratio')},
+              {r('1 - s.transmission_ratio', 'reduction')}, {r('s.mae', 'mae')},
+              {r('s.rmse', 'rmse')}, {r('s.max', 'max')}, s.bound_violation_count,
+              k.sv as suppression_violation_count, {r('u.ub', 'max_bound_utilization')},
+              {r('u.bu', 'mean_budget_utilization')}, {r('u.house_budget', 'house_budget')},
+              {r('s.p95', 'p95')}, {r('s.p99', 'p99')}, {r('s.cvar95', 'cvar95')},
+              {r('s.cvar99', 'cvar99')}, b.budget_violation_count,
+              {r('b.unused_budget', 'unused_budget')},
+              {r('b.unused_budget_ratio', 'unused_budget_ratio')},
+              b.number_of_cycles_with_unused_budget, b.cap_hit_count,
+              {r('b.cap_hit_rate', 'cap_hit_rate')},
+              {r('b.within_household_redistributed_budget',
+                 'within_household_redistributed_budget')},
+              {r('b.cross_household_spill_budget', 'cross_household_spill_budget')},
+              k.streak as maximum_consecutive_suppression,
+              s.bound_violation_count = 0 and k.sv = 0 and b.budget_violation_count = 0
+                as safety_pass,
+              0::bigint as forced_invalid_value, 0::bigint as forced_full_tx,
+              0::bigint as forced_missing_prediction, k.f_back as forced_inactive_reactivation,
+              k.f_drift as forced_drift_detected, k.f_count as forced_periodic_sync_count,
+              k.f_time as forced_periodic_sync_time
+            from asum s join counted k using (pm, house_id) join util u using (pm, house_id)
+            join budgeted b on b.house_id = s.house_id and b.config = 'uniform@5'"""
+        ),
         "stream_predictions": query(
             f"select event_id, {rs('value, prediction, residual')} from eval_r"
         ),

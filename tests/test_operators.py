@@ -101,6 +101,27 @@ def test_flat_equals_legacy_and_caps_bind(spark):
     assert alloc.require_caps(trace).count() == 0
 
 
+def test_own_allocator_and_predictor(spark):
+    from bandwise.plans.frozen import Study
+    from tests.fixtures import SCHEMA, drifting_house
+
+    alloc.register_allocator("half_uniform", lambda: F.col("house_budget") / F.col("n_house") / 2)
+    with pytest.raises(ValueError, match="exists"):
+        alloc.register_allocator("half_uniform", lambda: F.lit(0.0))
+
+    def constant(events):
+        return events.withColumn("prediction", F.lit(50.0)).withColumn(
+            "residual", F.col("value") - 50.0
+        )
+
+    events = spark.createDataFrame(drifting_house(), SCHEMA)
+    study = Study(events, house_params(), predictor=constant)
+    run = study.run(mode_grid(("half_uniform", "uniform"), (0.05,)))
+    used = {r.mode: r.used_budget / r.house_budget for r in run.trace.collect()}
+    assert used["half_uniform"] == pytest.approx(0.5) and used["uniform"] == pytest.approx(1.0)
+    assert {r.prediction for r in run.decisions.collect()} == {50.0}
+
+
 def test_unknown_mode_is_refused():
     with pytest.raises(ValueError, match="unknown mode"):
         AllocationConfig("x", "nothing")
