@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandwise.llm import exact_dedup, licenses, quality_fm
+from bandwise.llm import exact_dedup, licenses, mixing, quality_fm, quotes, vector_caps
 from bandwise.llm.common import remainder, table
 
 
@@ -22,6 +22,15 @@ def op1_quality_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("domain", mixing.domain())
+    return mixing.plan(docs, ["domain", "lang", "source"])
+
+
+def op7_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -30,8 +39,12 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op10_vector_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_caps.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    functions = (op1_quality_machine, op8_exact_dedup, op9_license_scan)
+    functions = (op1_quality_machine, op3_source_mixing, op7_quotation_linking, op8_exact_dedup, op9_license_scan, op10_vector_caps)
     return {f.__name__: f for f in functions}
 
 
@@ -42,6 +55,90 @@ select d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id as kept, sha256(d
 from d join g on d.text = g.text
 """
 
+# one level of the tree: children `k` share the budget of `p`, capacity c and weight w of each
+_LEVEL = """
+n{i} as (select {keys}, sum(supply)::double * 2 as c, pow(sum(supply)::double, 0.5) as w from leaves group by {keys}
+         having sum(supply) > 0),
+o{i} as (select *,
+         coalesce(sum(c) over (partition by {family} order by c / w, {keys} rows between unbounded preceding and 1 preceding), 0) as before,
+         sum(w) over (partition by {family} order by c / w, {keys} rows between current row and unbounded following) as rest
+         from (select n.*, p.budget as above from n{i} n join b{above} p on {same}) x),
+f{i} as (select *, c * rest <= (above - before) * w as filled from o{i}),
+b{i} as (select {keys}, case when filled then c else (above - coalesce(sum(case when filled then c end) over (partition by {family}), 0))
+         / (sum(case when not filled then w end) over (partition by {family})) * w end as budget from f{i}),
+"""
+
+
+def _levels(path: list[str]) -> str:
+    found = []
+    for i in range(1, len(path) + 1):
+        above = path[: i - 1]
+        same = " and ".join(f"n.{c} is not distinct from p.{c}" for c in above) or "true"
+        found.append(_LEVEL.format(i=i, above=i - 1, keys=", ".join(path[:i]), family=", ".join(above) or "1", same=same))
+    return "".join(found)
+
+
+OP3 = f"""
+with d as (
+  select doc_id, 'd' || ((strpos('0123456789abcdef', substr(md5(source), 1, 1)) - 1) % 4) as domain, lang, source,
+         len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+')) as tokens from documents),
+leaves as (select domain, lang, source, sum(tokens)::bigint as supply from d group by all),
+b0 as (select least(floor(sum(supply) * 1.0), sum(supply) * 2)::double as budget from leaves),
+{_levels(["domain", "lang", "source"])}
+q as (select l.*, coalesce(floor(greatest(b.budget, 0) + 1e-6), 0)::bigint as quota from leaves l left join b3 b
+      on l.domain is not distinct from b.domain and l.lang is not distinct from b.lang and l.source is not distinct from b.source),
+e as (select *, case when supply > 0 then quota // supply else 0 end as epochs from q),
+r as (select d.*, e.supply, e.quota, e.epochs, e.quota - e.epochs * e.supply as rest,
+             md5('17-' || e.epochs || '-' || coalesce(d.doc_id::varchar, '')) as key
+      from d join e on d.domain is not distinct from e.domain and d.lang is not distinct from e.lang and d.source is not distinct from e.source),
+s as (select *, coalesce(sum(tokens) over (partition by domain, lang, source order by key
+      rows between unbounded preceding and 1 preceding), 0) as begins from r)
+select doc_id, domain, lang, source, tokens, (epochs + case when begins < rest then 1 else 0 end)::int as copies, supply, quota from s
+"""
+
+OP7 = r"""
+with recursive m as (
+  select row_number() over () as message, conv_id, turn, role, coalesce(conv_id::varchar, '') as conversation,
+         coalesce(turn, 4611686018427387904) as place, coalesce(text, '') as text from conversations),
+split as (select message, conversation, place, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) as parts from m),
+numbered as (select message, conversation, place, unnest(parts) as raw, unnest(range(len(parts))) as line from split),
+lines as (
+  select *, length(replace(replace(regexp_extract(raw, '^((?:[ \t]*>)+)', 1), ' ', ''), chr(9), '')) as level,
+         trim(regexp_replace(lower(case when regexp_matches(raw, '^[ \t]*>') then regexp_extract(raw, '^((?:[ \t]*>)+)[ \t]?(.*)$', 2)
+              else raw end), '[ \t]+', ' ', 'g')) as normal from numbered),
+quoted as (select *, lag(line) over w as previous, lag(level) over w as previous_level from lines where level > 0 and normal <> ''
+           window w as (partition by message order by line)),
+passed as (select *, sum(case when previous + 1 = line and previous_level = level then 0 else 1 end) over (partition by message order by line) as passage
+           from quoted),
+origins as (select conversation, normal, min(struct_pack(place := place, message := message)) as origin from lines
+            where level = 0 and normal <> '' group by all),
+matched as (select p.message, p.passage, p.level, case when o.origin.place < p.place then o.origin end as origin, count(*) as n
+            from passed p left join origins o using (conversation, normal) group by all),
+passages as (select message, passage, level, max(case when origin is not null then struct_pack(n := n, f := -origin.place, o := origin) end) as best
+             from matched group by all),
+replies as (
+  select message, count(*) as n_passages, count(best) as n_linked, max(level) as max_level,
+         max(case when best is not null then struct_pack(l := -level, n := best.n, p := -best.o.place, o := best.o) end).o as target
+  from passages group by message),
+paths as (
+  select m.message, [m.place] as path from m left join replies r using (message) where r.target is null
+  union all
+  select r.message, list_append(p.path, m.place) from replies r join paths p on p.message = r.target.message join m on m.message = r.message),
+cleaned as (
+  select m.*, r.n_passages, r.n_linked, r.max_level, r.target, p.path,
+    case when r.n_passages > 0 then trim(regexp_replace(regexp_replace(
+      array_to_string(list_filter(list_transform(range(len(parts)), lambda i: case
+        when regexp_matches(parts[i + 1], '^[ \t]*>') then null
+        when regexp_matches(parts[i + 1], '^On [^\n]* wrote:[ \t]*$') and regexp_matches(coalesce(parts[i + 2], ''), '^[ \t]*>') then null
+        else parts[i + 1] end), lambda x: x is not null), chr(10)), '^\n+', ''), '\n+$', '')) else m.text end as content
+  from m join split s using (message) left join replies r using (message) join paths p using (message))
+select conv_id, turn, role, case when target.place <> 4611686018427387904 then target.place end as reply_to,
+  array_to_string(list_transform(path, lambda x: lpad(x::varchar, 19, '0')), '/') as path, (len(path) - 1)::int as depth,
+  coalesce(n_passages, 0) as n_passages, coalesce(n_linked, 0) as n_linked, coalesce(max_level, 0)::int as max_level, content,
+  '<|' || coalesce(role, 'user') || '|>' || chr(10) || content || chr(10) || '<|end|>' || chr(10) as formatted
+from cleaned
+"""
+
 
 def statements() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8}
+    return {"op3_source_mixing": OP3, "op7_quotation_linking": OP7, "op8_exact_dedup": OP8}
