@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandwise.session import configure
+from bandwise.session import configure, write_through
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,3 +41,21 @@ def replaced(batch, **columns):
 
 def non_empty(batches: Iterator) -> Iterator:
     return (b for b in batches if b.num_rows)
+
+
+def keep_rows(docs: DataFrame, flags: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """The rows of docs that `flags` (id, text_sha256, kept; one row per row of docs) keeps, with all their columns.
+
+    Rows are matched by id and text.  Where rows agree in both, one of them stays if any is kept.
+    """
+    keys = flags.groupBy(F.col(id_column).alias("__id"), F.col("text_sha256").alias("__sha")).agg(
+        F.max("kept").alias("__kept"), F.count("*").alias("__rows")
+    )
+    keys = write_through(keys.where("__kept"), "kept")
+    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
+    same = F.col(id_column).cast("long").eqNullSafe(F.col("__id")) & (F.sha2(text, 256) == F.col("__sha"))
+    kept = docs.join(keys.where("__rows = 1"), same, "left_semi")
+    repeated = keys.where("__rows > 1")
+    if not repeated.isEmpty():
+        kept = kept.unionByName(docs.join(repeated, same, "left_semi").dropDuplicates([id_column, text_column]))
+    return kept.select(*docs.columns)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,3 +29,19 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if labels.where("old <> label").isEmpty():
             return labels.select("node", F.col("label").alias("component"))
         labels = labels.drop("old")
+
+
+def local_roots(p: np.ndarray, q: np.ndarray, n: int) -> np.ndarray:
+    """Smallest member of each local group; the links p to q are given in both directions, sorted by p."""
+    label = np.arange(n)
+    if not len(p):
+        return label
+    first = np.flatnonzero(np.diff(p, prepend=-1))
+    nodes = p[first]
+    while True:
+        near = label.copy()
+        near[nodes] = np.minimum(label[nodes], np.minimum.reduceat(label[q], first))
+        near = near[near]
+        if (near == label).all():
+            return label
+        label = near

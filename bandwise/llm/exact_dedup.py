@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bandwise.llm.common import non_empty, partitions
+from bandwise.llm.common import keep_rows, non_empty, partitions
 from bandwise.session import write_through
 
 #: Buckets of the first level, and parts of a bucket that is dealt again.
@@ -216,13 +216,4 @@ def drop_copies(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
     """
     if options.get("normalise"):
         raise ValueError("drop_copies compares texts as they are")
-    groups = exact_groups(docs, id_column=id_column, text_column=text_column, **options)
-    keys = groups.groupBy(F.col(id_column).alias("__id"), F.col("text_sha256").alias("__sha")).agg(
-        F.max("kept").alias("__kept"), F.count("*").alias("__rows")
-    )
-    keys = write_through(keys.where("__kept"), "grace-kept")
-    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    same = F.col(id_column).cast("long").eqNullSafe(F.col("__id")) & (F.sha2(text, 256) == F.col("__sha"))
-    single = docs.join(keys.where("__rows = 1"), same, "left_semi")
-    repeated = docs.join(keys.where("__rows > 1"), same, "left_semi")
-    return single.unionByName(repeated.dropDuplicates([id_column, text_column])).select(*docs.columns)
+    return keep_rows(docs, exact_groups(docs, id_column=id_column, text_column=text_column, **options), id_column, text_column)

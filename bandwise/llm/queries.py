@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandwise.llm import exact_dedup, licenses, mixing, quality_fm, quotes, vector_caps
+from bandwise.llm import dart_minhash, exact_dedup, language_crf, licenses, mixing, quality_fm, quotes, vector_caps
 from bandwise.llm.common import remainder, table
 
 
@@ -27,6 +27,17 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(docs, ["domain", "lang", "source"])
 
 
+def op4_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_crf.fit(docs.where(remainder("doc_id", 3) != 1))
+    found = language_crf.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "n_languages")
+
+
+def op5_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dart_minhash.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op7_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.format_chats(table(spark, sf_dir, "conversations"))
 
@@ -44,7 +55,7 @@ def op10_vector_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    functions = (op1_quality_machine, op3_source_mixing, op7_quotation_linking, op8_exact_dedup, op9_license_scan, op10_vector_caps)
+    functions = (op1_quality_machine, op3_source_mixing, op4_language_crf, op5_dart_minhash, op7_quotation_linking, op8_exact_dedup, op9_license_scan, op10_vector_caps)
     return {f.__name__: f for f in functions}
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bandwise.llm.common import non_empty, partitions
-from bandwise.llm.components import components
+from bandwise.llm.components import components, local_roots
 from bandwise.session import write_through
 
 
@@ -76,22 +76,6 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _roots(p: np.ndarray, q: np.ndarray, n: int) -> np.ndarray:
-    """Smallest member of each local group; the links p to q are given in both directions, sorted by p."""
-    label = np.arange(n)
-    if not len(p):
-        return label
-    first = np.flatnonzero(np.diff(p, prepend=-1))
-    nodes = p[first]
-    while True:
-        near = label.copy()
-        near[nodes] = np.minimum(label[nodes], np.minimum.reduceat(label[q], first))
-        near = near[near]
-        if (near == label).all():
-            return label
-        label = near
-
-
 def verify(group: pa.Table, least: float) -> pa.Table:
     """Links in one pair of blocks of a cell: id, links (weights of partners counted here), root."""
     dims = len(group.column("embedding")[0])
@@ -125,7 +109,7 @@ def verify(group: pa.Table, least: float) -> pa.Table:
         here = ~(bits[s] & bits[t]).any(axis=1)
         counts += np.bincount(s[here], weight[t[here]], len(x))
     counts = np.rint(counts).astype(np.int64)
-    roots = _roots(p, q, len(x))
+    roots = local_roots(p, q, len(x))
     linked = np.unique(p)
     return pa.table({"cid": ids[linked], "links": counts[linked], "root": ids[roots[linked]]})
 
