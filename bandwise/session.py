@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,9 +25,24 @@ def configure(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, wherever it was imported from."""
+    context = spark.sparkContext
+    if getattr(context, "_bandwise_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="bandwise-")) / "bandwise_package.zip"  # the driver's own; Spark serves it
+    with zipfile.ZipFile(archive, "w") as file:
+        for path in sorted(root.rglob("*.py")):
+            file.write(path, path.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._bandwise_shipped = True
+
+
 def spread(df: DataFrame, *columns: str) -> DataFrame:
     """Hash partitions by key, as many as the session's shuffles have.
 
