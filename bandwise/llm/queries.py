@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandwise.llm import dart_minhash, exact_dedup, language_crf, licenses, mixing, quality_fm, quotes, vector_caps
+from bandwise.llm import dart_minhash, exact_dedup, language_crf, licenses, mixing, ngram_trie, quality_fm, quotes, vector_caps
 from bandwise.llm.common import remainder, table
 
 
@@ -38,6 +38,10 @@ def op5_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_minhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_trie.score(table(spark, sf_dir, "documents"), remainder("doc_id", 10) == 0)
+
+
 def op7_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.format_chats(table(spark, sf_dir, "conversations"))
 
@@ -55,7 +59,7 @@ def op10_vector_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    functions = (op1_quality_machine, op3_source_mixing, op4_language_crf, op5_dart_minhash, op7_quotation_linking, op8_exact_dedup, op9_license_scan, op10_vector_caps)
+    functions = (op1_quality_machine, op3_source_mixing, op4_language_crf, op5_dart_minhash, op6_ngram_trie, op7_quotation_linking, op8_exact_dedup, op9_license_scan, op10_vector_caps)
     return {f.__name__: f for f in functions}
 
 
