@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandwise.llm import dart_minhash, exact_dedup, language_crf, licenses, mixing, ngram_trie, quality_fm, quotes, vector_caps
+from bandwise.llm import dart_minhash, exact_dedup, language_crf, licenses, mixing, ngram_trie, piece_transducer, quality_fm, quotes, vector_caps
 from bandwise.llm.common import remainder, table
 
 
@@ -22,6 +22,10 @@ def op1_quality_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_piece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_transducer.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("domain", mixing.domain())
     return mixing.plan(docs, ["domain", "lang", "source"])
@@ -59,7 +63,7 @@ def op10_vector_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    functions = (op1_quality_machine, op3_source_mixing, op4_language_crf, op5_dart_minhash, op6_ngram_trie, op7_quotation_linking, op8_exact_dedup, op9_license_scan, op10_vector_caps)
+    functions = (op1_quality_machine, op2_piece_transducer, op3_source_mixing, op4_language_crf, op5_dart_minhash, op6_ngram_trie, op7_quotation_linking, op8_exact_dedup, op9_license_scan, op10_vector_caps)
     return {f.__name__: f for f in functions}
 
 

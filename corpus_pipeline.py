@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandwise.llm import exact_dedup, quality_fm
+from bandwise.llm import dart_minhash, exact_dedup, mixing, piece_transducer, quality_fm
 from bandwise.llm.common import remainder, table
 from bandwise.session import write_through
 
@@ -27,7 +27,24 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_copies(docs)
 
 
-STAGES = [("quality", quality), ("exact_dedup", exact)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, that with the smallest id."""
+    return dart_minhash.drop_near_copies(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As many tokens as there are, dealt to domains, languages and sources by the root of their supply: a document of
+    a small source comes twice, and of a large one those behind the cut go."""
+    path = {"domain": mixing.domain(), "lang": F.col("lang"), "source": F.col("source")}
+    return mixing.mix(docs, path)
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and whether they decode to its text."""
+    return piece_transducer.encode(docs)
+
+
+STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mix), ("pieces", pieces)]
 
 #: Trained classifiers, dart signatures and transducers have no SQL counterpart.
 ORACLE_SQL = None
