@@ -10,7 +10,7 @@ which depends on w and the pair, and a denominator, which depends on v alone; so
 2.  Entries: tasks pack their texts in chunks to (word, context, document, times).  An entry goes to the shard of its word, or, if the
     word is heavy, to that of the pair, so that frequent words are spread over all shards.  Unigram terms of heavy words
     are added where the text is.
-3.  A shard builds a trie of two levels: words, and below each word its contexts, from the training documents' entries.
+3.  A shard builds tries of two levels, for one range of its words after another: words, and below each word its contexts, from the training documents' entries.
     Sorted keys and pointers are monotone and kept as Elias-Fano sequences, logarithms of smoothed probabilities as 16-bit
     codes.  The levels are a memory-mapped file, and looked up by successor search among the contexts of the word.
 4.  Shards answer with packed sums per chunk and document, which are added up per chunk.
@@ -40,7 +40,9 @@ ADDED = 0.1
 #: Weight of the unigram distribution, in observations of a context.
 MASS = 100.0
 HEAVY_SHARE = 65_536
-CHUNK_BYTES = 12_000_000
+CHUNK_BYTES = 8_000_000
+#: Entries of a shard whose trie is built at a time: a shard is worked on in ranges of its words.
+RANGE_ENTRIES = 500_000
 CHUNK_DOCS = 60_000
 _CONTEXT_BITS = 40
 
@@ -337,6 +339,40 @@ def _entries(batches: Iterator[pa.RecordBatch], shards: int, heavy, start: int)
         yield flush()
 
 
+def _add_range(held: list[tuple], least: int, most: int, share) -> None:
+    """Builds the trie of the words from `least` to `most` (excluded), and adds their numerators to each chunk's scores."""
+    mask = np.uint64((1 << _CONTEXT_BITS) - 1)
+    cuts, names = [], []
+    for _, word, *_ in held:
+        a = int(np.searchsorted(word, np.uint64(least)))
+        b = len(word) if most >> 64 else int(np.searchsorted(word, np.uint64(most)))
+        cuts.append((a, b))
+        names.append(word[a:b])
+    vocabulary = np.unique(np.concatenate(names)) if names else np.zeros(0, np.uint64)
+    if not len(vocabulary):
+        return
+    parts = []
+    for (r, word, context_at, entry_at, train, _), (a, b) in zip(held, cuts, strict=True):
+        c, d = int(context_at[a]), int(context_at[b])
+        e, f = int(entry_at[c]), int(entry_at[d])
+        wide = np.zeros((d - c, 8), np.uint8)
+        wide[:, :5] = np.frombuffer(r["contexts"], np.uint8, 5 * (d - c), 5 * c).reshape(-1, 5)
+        node = np.repeat(np.searchsorted(vocabulary, word[a:b]), np.diff(context_at[a : b + 1]))
+        pairs = (node.astype(np.uint64) << np.uint64(_CONTEXT_BITS)) | wide.view(np.uint64).ravel()
+        doc = np.frombuffer(r["docs"], np.uint16, f - e, 2 * e).astype(np.int64)
+        times = np.frombuffer(r["times"], np.uint32, f - e, 4 * e)
+        pair = np.repeat(np.arange(d - c), np.diff(entry_at[c : d + 1]))
+        parts.append((pairs, np.bincount(pair, times * train[doc], d - c), pair, doc, times))
+    joined, learned = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
+    used = learned > 0
+    distinct, inverse = np.unique(joined[used], return_inverse=True)
+    number = np.bincount(inverse, learned[used], len(distinct))
+    trie = Trie(vocabulary, share(vocabulary), (distinct >> np.uint64(_CONTEXT_BITS)).astype(np.int64), distinct & mask, number, MASS)
+    for x, (pairs, _, pair, doc, times) in zip(held, parts, strict=True):
+        numerators = trie.log_numerators(vocabulary[(pairs >> np.uint64(_CONTEXT_BITS)).astype(np.int64)], pairs & mask)
+        np.add(x[5], np.bincount(doc, times * numerators[pair], len(x[5])), out=x[5])
+
+
 def _answer(group: pa.Table, total: float, heavy) -> pa.Table:
     """One shard: builds its trie from the training entries and answers every chunk with sums per document."""
     rows = group.to_pylist()
@@ -359,34 +395,22 @@ def _answer(group: pa.Table, total: float, heavy) -> pa.Table:
         for r in rows if r["ids"] is not None
     ]
     view = lambda r, n, kind: np.frombuffer(r[n], kind)
-    if chunks:
-        vocabulary = np.unique(np.concatenate([view(r, "words", np.uint64) for r in chunks]))
-        share = (counts(vocabulary) + ADDED) / total
-        pair_keys, trained, entries = [], [], []
-        for r in chunks:
-            node = np.searchsorted(vocabulary, view(r, "words", np.uint64))
-            wide = np.zeros((len(r["contexts"]) // 5, 8), np.uint8)
-            wide[:, :5] = view(r, "contexts", np.uint8).reshape(-1, 5)
-            context = wide.view(np.uint64).ravel()
-            pair_keys.append((np.repeat(node, view(r, "n_contexts", np.uint32)).astype(np.uint64) << np.uint64(_CONTEXT_BITS)) | context)
-            train = np.unpackbits(view(r, "train", np.uint8))
-            doc, times = view(r, "docs", np.uint16).astype(np.int64), view(r, "times", np.uint32)
-            pair = np.repeat(np.arange(len(context)), view(r, "n_docs", np.uint32))
-            trained.append(np.bincount(pair, times * train[doc], len(context)))
-            entries.append((pair, doc, times))
-        joined, learned = np.concatenate(pair_keys), np.concatenate(trained)
-        used = learned > 0
-        distinct, inverse = np.unique(joined[used], return_inverse=True)
-        times = np.bincount(inverse, learned[used], len(distinct))
-        mask = np.uint64((1 << _CONTEXT_BITS) - 1)
-        trie = Trie(vocabulary, share, (distinct >> np.uint64(_CONTEXT_BITS)).astype(np.int64), distinct & mask, times, MASS)
-        for r, pairs, (pair, doc, times) in zip(chunks, pair_keys, entries, strict=True):
-            numerators = trie.log_numerators(vocabulary[(pairs >> np.uint64(_CONTEXT_BITS)).astype(np.int64)], pairs & mask)
-            u_doc, u_times = view(r, "u_docs", np.uint16).astype(np.int64), view(r, "u_times", np.uint32)
-            c = np.repeat(counts(view(r, "u_words", np.uint64)), view(r, "u_n", np.uint32))
-            docs = int(max(doc.max(initial=-1), u_doc.max(initial=-1))) + 1
-            score = np.bincount(doc, times * numerators[pair], docs) - np.bincount(u_doc, u_times * np.log10(c + MASS), docs)
-            out.append({"chunk": r["chunk"], "base": np.bincount(u_doc, u_times * np.log10(c + ADDED), docs).tobytes(), "known": np.bincount(u_doc, u_times * (c > 0), docs).astype(np.float32).tobytes(), "score": score.astype(np.float32).tobytes()})
+    held = []
+    for r in chunks:
+        context_at = np.concatenate([[0], np.cumsum(view(r, "n_contexts", np.uint32), dtype=np.int64)])
+        entry_at = np.concatenate([[0], np.cumsum(view(r, "n_docs", np.uint32), dtype=np.int64)])
+        train = np.unpackbits(view(r, "train", np.uint8)).astype(bool)
+        u_doc, u_times = view(r, "u_docs", np.uint16).astype(np.int64), view(r, "u_times", np.uint32)
+        c = np.repeat(counts(view(r, "u_words", np.uint64)), view(r, "u_n", np.uint32))
+        score = -np.bincount(u_doc, u_times * np.log10(c + MASS), len(train))
+        held.append((r, view(r, "words", np.uint64), context_at, entry_at, train, score))
+        base, known = np.bincount(u_doc, u_times * np.log10(c + ADDED), len(train)), np.bincount(u_doc, u_times * (c > 0), len(train))
+        out.append({"chunk": r["chunk"], "base": base.tobytes(), "known": known.astype(np.float32).tobytes()})
+    ranges = max(1, -(-sum(int(x[3][-1]) for x in held) // RANGE_ENTRIES))
+    for k in range(ranges):
+        _add_range(held, k * (1 << 64) // ranges, (k + 1) * (1 << 64) // ranges, lambda w: (counts(w) + ADDED) / total)
+    for row, x in zip(out[len(out) - len(held) :], held, strict=True):
+        row["score"] = x[5].astype(np.float32).tobytes()
     return pa.Table.from_batches([_rows(out)]).select(["chunk", *_SUMS, "ids", "held", "n_tokens"])
 
 
@@ -399,7 +423,7 @@ def _added(group: pa.Table, tokens: int, types: int) -> pa.Table:
     for r in rows:
         for k in _SUMS:
             part = np.frombuffer(r[k], np.float64 if k == "base" or r is head else np.float32)
-            sums[k][: len(part)] += part
+            sums[k] += part[:docs]
     n_tokens = np.array(head["n_tokens"], np.int64)
     return pa.table(
         {
