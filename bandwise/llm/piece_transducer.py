@@ -36,7 +36,8 @@ from bandwise.llm.text import Block, Hasher, blocks
 BLANK = "▁"
 _UNKNOWN, _NONE, _BEGIN = -2, -1, (1 << 20) - 1
 #: Words whose encodings a worker keeps, and pairs of pieces.
-KEPT_WORDS, KEPT_PAIRS = 1_500_000, 3_000_000
+KEPT_WORDS, KEPT_PAIRS = 800_000, 2_000_000
+BLOCK_BYTES = 2_000_000
 
 
 def default_model() -> str:
@@ -278,7 +279,7 @@ def encode(docs: DataFrame, *, text_column: str = "text", model: str | None = No
         is_byte[machine.byte_ids] = True
         for batch in non_empty(batches):
             column = normalised(batch.column(batch.schema.names.index("__text")))
-            for block in blocks(column):
+            for block in blocks(column, BLOCK_BYTES):
                 ids, first = machine.encode_block(block)
                 spelled, at = machine.decode_ids(ids)
                 border = at[first]
