@@ -40,9 +40,9 @@ ADDED = 0.1
 #: Weight of the unigram distribution, in observations of a context.
 MASS = 100.0
 HEAVY_SHARE = 65_536
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 4_000_000
 #: Entries of a shard whose trie is built at a time: a shard is worked on in ranges of its words.
-RANGE_ENTRIES = 500_000
+RANGE_ENTRIES = 250_000
 CHUNK_DOCS = 60_000
 _CONTEXT_BITS = 40
 
@@ -188,9 +188,9 @@ def _counted(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.Reco
         for block in blocks(batch.column(0)):
             found, _ = _tokens(block)
             held += [found, np.full(len(block), END)]
-            if sum(map(len, held)) > 2_000_000:
+            if sum(map(len, held)) > 1_000_000:
                 fold()
-            if len(keys) > 4_000_000:
+            if len(keys) > 1_000_000:
                 yield from flush()
                 keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     fold()
