@@ -28,7 +28,7 @@ from bandwise.llm.common import non_empty, replaced
 from bandwise.llm.text import LETTERS, Hasher, blocks, mix, per_document, words
 
 UNKNOWN = "und"
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 6_000_000
 _PREFIXES, _SUFFIXES, _GRAMS = (1, 2, 3), (1, 2, 3, 4), (2, 3)
 
 
