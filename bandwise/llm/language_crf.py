@@ -179,9 +179,16 @@ def fit(
     docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang", sample_docs: int = 1_500, max_bytes: int = 100_000, **options
 ) -> Model | None:
     """Fit on at most `sample_docs` rows with a label and a text of 1 to `max_bytes` bytes, those of the lowest hashes."""
-    rows = docs.select(F.col(id_column).cast("string").alias("id"), F.col(text_column).cast("string").alias("text"), F.col(label_column).alias("label"))
+    rows = docs.select(
+        F.coalesce(F.col(id_column).cast("string"), F.lit("")).alias("id"), F.col(text_column).cast("string").alias("text"), F.col(label_column).alias("label")
+    )
     rows = rows.where("label is not null and text is not null").where(F.octet_length("text").between(1, max_bytes))
-    found = rows.orderBy(F.xxhash64("id"), "id", "label", F.xxhash64("text")).limit(sample_docs).toArrow()
+    order = [F.xxhash64("id"), "id", "label", "content"]
+    rows = rows.withColumn("content", F.xxhash64("text"))
+    # at most sample_docs keys, without their texts
+    chosen = rows.select("id", "label", "content").distinct().orderBy(*order).limit(sample_docs)
+    found = rows.join(F.broadcast(chosen), ["id", "label", "content"], "left_semi").dropDuplicates(["id", "label", "content"])
+    found = found.orderBy(*order).toArrow()
     if not found.num_rows:
         return None
     return fit_model(found.column("text").to_pylist(), found.column("label").to_pylist(), **options)
