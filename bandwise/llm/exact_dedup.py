@@ -31,8 +31,10 @@ from bandwise.session import write_through
 
 #: Buckets of the first level, and parts of a bucket that is dealt again.
 FANOUT = 1024
-#: Distinct content of one bucket, and of one task's table before it is flushed.
+#: Distinct content of one bucket.
 BUCKET_BYTES = 64_000_000
+#: Distinct content of a task's table before it is flushed.
+FOLD_BYTES = 20_000_000
 
 
 class Table:
@@ -174,7 +176,7 @@ def exact_groups(
     spark = docs.sparkSession
     bits = max(1, (fanout - 1).bit_length())
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    records = write_through(rows.mapInArrow(_fold(normalise, bucket_bytes), RECORDS), "grace")
+    records = write_through(rows.mapInArrow(_fold(normalise, min(bucket_bytes, FOLD_BYTES)), RECORDS), "grace")
     level = records.where("text is not null").select("id", "copy", "hash", "size", "copies", "text")
     level, depth, settled = level.withColumn("bucket", F.shiftrightunsigned("hash", 64 - bits)), 1, []
     while True:
