@@ -307,7 +307,7 @@ def _packed(found: list[tuple[np.ndarray, np.ndarray]], train: np.ndarray, shard
     }
     # an end token whose word isn't heavy can only come from a corpus without training documents
     if END not in heavy_keys:
-        sums["base"] += np.log10(ADDED)
+        sums["base"] = sums["base"] + np.log10(ADDED)
     return rows, sums
 
 
@@ -402,10 +402,10 @@ def _answer(group: pa.Table, total: float, heavy) -> pa.Table:
         train = np.unpackbits(view(r, "train", np.uint8)).astype(bool)
         u_doc, u_times = view(r, "u_docs", np.uint16).astype(np.int64), view(r, "u_times", np.uint32)
         c = np.repeat(counts(view(r, "u_words", np.uint64)), view(r, "u_n", np.uint32))
-        score = -np.bincount(u_doc, u_times * np.log10(c + MASS), len(train))
+        score = np.zeros(len(train)) - np.bincount(u_doc, u_times * np.log10(c + MASS), len(train))
         held.append((r, view(r, "words", np.uint64), context_at, entry_at, train, score))
         base, known = np.bincount(u_doc, u_times * np.log10(c + ADDED), len(train)), np.bincount(u_doc, u_times * (c > 0), len(train))
-        out.append({"chunk": r["chunk"], "base": base.tobytes(), "known": known.astype(np.float32).tobytes()})
+        out.append({"chunk": r["chunk"], "base": base.astype(np.float64).tobytes(), "known": known.astype(np.float32).tobytes()})
     ranges = max(1, -(-sum(int(x[3][-1]) for x in held) // RANGE_ENTRIES))
     for k in range(ranges):
         _add_range(held, k * (1 << 64) // ranges, (k + 1) * (1 << 64) // ranges, lambda w: (counts(w) + ADDED) / total)
