@@ -7,24 +7,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _EPOCH_MICROS = {"seconds": 1_000_000, "milliseconds": 1_000, "microseconds": 1}
+#: Microseconds of the years 1 to 9999: epoch values beyond them cannot be read.
+_FIRST_MICROS, _LAST_MICROS = -62_135_596_800_000_000, 253_402_300_799_999_999
+
+
+def _epoch(number: Column, factor: int) -> Column:
+    """An epoch value as a timestamp; null if it is out of range or not a number."""
+    # NaN is larger than every number, so it is out of range
+    inside = number.between(F.lit(-(-_FIRST_MICROS // factor)), F.lit(_LAST_MICROS // factor))
+    return F.when(inside, F.timestamp_micros((number * F.lit(factor)).cast("bigint")))
 
 
 def to_utc(name: str, data_type: T.DataType, unit: str = "seconds") -> Column:
-    """Any timestamp representation as a UTC TIMESTAMP; text that cannot be read becomes null."""
+    """Any timestamp representation as a UTC TIMESTAMP; a cell that cannot be read becomes null."""
     if unit not in _EPOCH_MICROS:
         raise ValueError(f"unknown timestamp unit: {unit}")
     cell = F.col(name)
     if isinstance(data_type, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return cell.cast("timestamp")
-    factor = F.lit(_EPOCH_MICROS[unit])
+    factor = _EPOCH_MICROS[unit]
+    if isinstance(data_type, T.IntegralType):
+        return _epoch(cell.cast("bigint"), factor)
     if isinstance(data_type, T.NumericType):
-        return F.timestamp_micros((cell * factor).cast("bigint"))
+        return _epoch(cell, factor)
     # text cells (CSV): a number is an epoch value, anything else is parsed
     number = cell.try_cast("bigint")
     fraction = cell.try_cast("double")
     return F.coalesce(
-        F.timestamp_micros(number * factor),
-        F.timestamp_micros((fraction * factor).cast("bigint")),
+        _epoch(number, factor),
+        F.when(number.isNull(), _epoch(fraction, factor)),
         F.try_to_timestamp(cell),
     )
 

@@ -188,3 +188,14 @@ def test_sinks_and_consolidation(spark, tmp_path):
     sinks.write_table(drift, str(tmp_path / "out" / "drift_events"))
     shown = sinks.inspect(spark, str(tmp_path / "out"), "drift_events", 2).collect()
     assert [r.event_id for r in shown] == ["1", "2"]
+
+
+def test_unreadable_timestamps_become_null(spark):
+    from pyspark.sql import functions as F
+
+    from bandwise.functions.time import to_utc
+
+    for kind, cells in (("string", ["99999999999999999", "1e30", "nan", "x", "1378015200"]), ("bigint", [99999999999999999, 1378015200]), ("double", [1e30, float("nan"), 1378015200.0])):
+        table = spark.createDataFrame([(c,) for c in cells], f"t {kind}")
+        found = table.select(F.unix_seconds(to_utc("t", table.schema["t"].dataType)).alias("s")).collect()
+        assert [r.s for r in found] == [None] * (len(cells) - 1) + [1378015200]
