@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from bandwise.functions.stats import exact_percentiles, running_totals, tail_means, top_share
-from bandwise.operators.drift import CALM, Detector, advance
+from bandwise.operators.drift import CALM, Detector, observe
 from bandwise.operators.fold import CARRIED, Walk, with_results
 from bandwise.operators.metrics import RUN
 from bandwise.params import AdaptiveConfig, Params
@@ -207,7 +207,7 @@ class PlugWalk:
             would_send = abs(innovation) > threshold
             signed = innovation / scale
             z = abs(signed)
-            self.drift, fires, held = advance(drift, signed, self.detector, self.drifts)
+            self.drift, fires, held = observe(drift, signed, self.detector, self.drifts)
         reason = None
         if not sound:
             reason = "invalid_value"

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,36 +30,48 @@ class Detector:
         if self.kind not in DETECTORS:
             raise ValueError(f"unknown detector: {self.kind}")
 
-
-# run of large scores, positive sum, negative sum, events of cooldown left
+    @cached_property
+    def limits(self) -> tuple[float, float, float]:
+        """Levels at which the run of large scores and the two sums raise an alarm."""
+        never = math.inf
+        return {
+            "zscore_consecutive": (self.z_count, never, never),
+            "cusum": (never, self.threshold_h, self.threshold_h),
+        }.get(self.kind, (never, never, never))
+
+    def steps(self, z: float) -> tuple[float, float, float]:
+        """What one score adds to the three levels; minus infinity empties a level."""
+        if self.kind == "zscore_consecutive":
+            return (1 if abs(z) >= self.z_threshold else -math.inf), 0, 0
+        if self.kind == "cusum":
+            return 0, z - self.kappa, -z - self.kappa
+        return 0, 0, 0
+
+
+# levels of the run of large scores, the positive and the negative sum; events of cooldown left
 DriftState = tuple[int, float, float, int]
 CALM: DriftState = (0, 0.0, 0.0, 0)
 
 
-def advance(
+def observe(
     state: DriftState, z: float, detector: Detector, enabled: bool
 ) -> tuple[DriftState, bool, bool]:
     """Next state, whether it triggers, and whether a trigger was held back by the cooldown.
 
-    The state also advances while triggers are disabled.  A trigger, held back or not, clears the
-    evidence; only a real one starts the cooldown, which counts the key's own events.
+    Every detector is a set of sums reflected at zero, with an alarm when one reaches its limit.  An
+    alarm in the cooldown is held back.  Levels move while triggers are disabled, and start anew
+    after an alarm that triggered or was held back; only a trigger starts the cooldown, which counts
+    the key's own events.
     """
-    run, up, down, wait = state
-    alarm = False
-    if detector.kind == "zscore_consecutive":
-        run = run + 1 if abs(z) >= detector.z_threshold else 0
-        alarm = run >= detector.z_count
-    elif detector.kind == "cusum":
-        up = max(0.0, up + z - detector.kappa)
-        down = max(0.0, down - z - detector.kappa)
-        alarm = max(up, down) >= detector.threshold_h
-    fires = enabled and alarm and wait == 0
-    held = alarm and wait > 0
-    if fires or held:
-        run, up, down = 0, 0.0, 0.0
-    return (run, up, down, detector.cooldown if fires else max(wait - 1, 0)), fires, (
-        enabled and held
-    )
+    *levels, cooling = state
+    levels = [max(0, level + step) for level, step in zip(levels, detector.steps(z), strict=True)]
+    alarm = any(level >= limit for level, limit in zip(levels, detector.limits, strict=True))
+    held = alarm and cooling > 0
+    fires = alarm and enabled and not held
+    if held or fires:
+        levels = CALM[:3]
+    left = detector.cooldown if fires else max(cooling - 1, 0)
+    return (*levels, left), fires, held and enabled
 
 
 _STATE = ["z_run", "cusum_up", "cusum_down", "cooldown_left"]
@@ -107,7 +121,7 @@ def detect_drift(
                 if value is not None:
                     signed = value / widths[i]
                     z = abs(signed)
-                    state, fires, held = advance(state, signed, detector, True)
+                    state, fires, held = observe(state, signed, detector, True)
                 out.append((z, fires, held, *state))
             yield with_results(batch, kept, result, out)
 

@@ -220,14 +220,14 @@ def test_detectors_step_by_step():
     z = drift.Detector("zscore_consecutive", z_threshold=2, z_count=2, cooldown=2)
     state, fired, held = drift.CALM, [], []
     for _ in range(5):
-        state, fires, kept = drift.advance(state, 3.0, z, True)
+        state, fires, kept = drift.observe(state, 3.0, z, True)
         fired.append(fires)
         held.append(kept)
     assert fired == [False, True, False, False, False] or fired == [False, True, False, False, True]
     c = drift.Detector("cusum", kappa=0, threshold_h=2)
     for value, expected in ((3.0, True), (-3.0, True), (0.1, False)):
-        assert drift.advance(drift.CALM, value, c, True)[1] is expected
-    state, fires, _ = drift.advance(drift.CALM, 9.0, c, False)
+        assert drift.observe(drift.CALM, value, c, True)[1] is expected
+    state, fires, _ = drift.observe(drift.CALM, 9.0, c, False)
     assert not fires and state[1] == 9.0
 
 
@@ -237,7 +237,7 @@ def test_cusum_never_fires_during_cooldown(series, cooldown):
     detector = drift.Detector("cusum", kappa=0.5, threshold_h=4.0, cooldown=cooldown)
     state, since = drift.CALM, None
     for z in series:
-        state, fires, _ = drift.advance(state, z, detector, True)
+        state, fires, _ = drift.observe(state, z, detector, True)
         assert state[1] >= 0 and state[2] >= 0 and 0 <= state[3] <= cooldown
         if fires:
             assert since is None or since >= cooldown
