@@ -332,9 +332,10 @@ def cycle_budgets(trace: DataFrame) -> DataFrame:
     )
 
 
-def require_caps(trace: DataFrame, capped_mode: str = "true_hierarchical_cap") -> DataFrame:
-    """Active plugs of the capped mode without a cap; must be empty."""
-    active = trace.where(F.col("mode") == capped_mode)
-    with_cap = active.where(F.col("cap").isNotNull())
-    key = ["config_id", "house_id", "cycle", "household_id", "plug_id"]
-    return active.join(with_cap.select(*key), key, "left_anti").select(*key)
+def missing_caps(active: DataFrame, quantiles: DataFrame, min_samples: int = 1) -> DataFrame:
+    """Active plugs whose cap cannot come from their own residuals: too few samples or none.
+
+    The allocation gives them the share of the house budget instead.
+    """
+    enough = quantiles.where(F.col("samples") >= min_samples)
+    return active.join(enough.select(*PLUG), PLUG, "left_anti").select(*TICK, *PLUG[1:])

@@ -411,6 +411,7 @@ def against_frozen(rows: DataFrame, frozen: str = "slot_median_frozen") -> DataF
 
 def outlier_class() -> Column:
     """Most likely cause of a large prediction error; the first rule that applies."""
+    # The class names, 20 suppressions in a row, 10 and 5 robust scales.
     z = F.coalesce("standardized_innovation", F.lit(0.0))
     reason = F.coalesce("reason", F.lit(""))
     return (

@@ -34,13 +34,27 @@ def split_counts(events: DataFrame, params: Params) -> DataFrame:
     )
 
 
+def split_report(events: DataFrame, params: Params) -> DataFrame:
+    """``split_counts`` with what is wrong per house: no warm-up under its evaluation, a late start,
+    an early end."""
+    return split_counts(events, params).withColumns(
+        {
+            "lacks_warmup": (F.col("warmup_events") == 0)
+            & (F.col("validation_events") + F.col("evaluation_events") > 0),
+            "starts_late": F.col("first_timestamp") > F.lit(params.warmup[0]),
+            "ends_early": F.col("last_timestamp") < F.lit(params.evaluation[1]),
+        }
+    )
+
+
 def check_splits(events: DataFrame, params: Params) -> None:
-    """Raise if a split is empty everywhere or, with validation, the data does not cover the study.
+    """Raise if a split is empty everywhere, a house that is evaluated has no warm-up, or, with
+    validation, the data does not cover the study.
 
     Only one aggregated row reaches the driver.
     """
     row = (
-        split_counts(events, params)
+        split_report(events, params)
         .agg(
             F.sum("warmup_events").alias("warmup"),
             F.sum("validation_events").alias("validation"),
@@ -49,6 +63,8 @@ def check_splits(events: DataFrame, params: Params) -> None:
             F.max("last_timestamp").alias("last"),
             (F.min("first_timestamp") > F.lit(params.warmup[0])).alias("late"),
             (F.max("last_timestamp") < F.lit(params.evaluation[1])).alias("short"),
+            F.count_if("lacks_warmup").alias("lacking"),
+            F.min(F.when(F.col("lacks_warmup"), F.col("house_id"))).alias("example"),
         )
         .first()
     )
@@ -61,3 +77,7 @@ def check_splits(events: DataFrame, params: Params) -> None:
             continue
         if not row[name]:
             raise ValueError(f"{name} split is empty")
+    if row["lacking"]:
+        raise ValueError(
+            f"{row['lacking']} houses have no warm-up events, the first is {row['example']}"
+        )

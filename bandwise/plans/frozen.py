@@ -89,7 +89,12 @@ class Study:
 
     @cached_property
     def houses(self) -> DataFrame:
-        """``mean_load`` and ``sigma_floor`` per house."""
+        """``mean_load`` and ``sigma_floor`` per house.
+
+        Every plan joins its events with them, so a house without warm-up is an error here.
+        """
+        if not self.params.validation:  # a study with validation runs on its parts
+            splits.check_splits(self.events, self.params)
         floors = fit.sigma_floors(
             fit.plug_sigmas(self.warm_residuals), self.params.floor_percentile, split=self.split
         )

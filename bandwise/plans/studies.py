@@ -535,6 +535,7 @@ class StagedSearch:
         def label(limit):
             return "off" if limit is None else str(limit)
 
+        # Names of the stages and of their candidates.
         stages = (
             (
                 "A_alpha",

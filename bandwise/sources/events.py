@@ -50,10 +50,14 @@ def read_events(
     """Scan a CSV or Parquet event table into the target schema, without filtering."""
     if fmt == "csv":
         # cells stay text; casts decide what is readable, so no inference pass is needed
+        frame = spark.read.option("header", True).csv(path)
+        has_id = {**DEFAULT_COLUMNS, **(columns or {})}["id"] in frame.columns
         return normalize(
-            spark.read.option("header", True).csv(path),
+            frame,
             columns=columns,
             timestamp_unit=timestamp_unit,
+            # without an id: split number and row in the split, so equal rows differ
+            row_id=None if has_id else F.monotonically_increasing_id(),
         )
     if fmt == "parquet":
         frame = spark.read.parquet(path)
@@ -90,7 +94,8 @@ def normalize(
     """Rename and cast source columns; unreadable cells become null, missing columns are an error.
 
     Works on batch and streaming frames.  Without a row position the order inside one timestamp
-    comes from the data itself: the id if it is a number, else a hash of the whole row.
+    comes from the data itself: the id if it is a number, else a hash of the whole row, which wholly
+    equal rows share.
     """
     names = {**DEFAULT_COLUMNS, **(columns or {})}
     missing = {source for target, source in names.items() if target != "id"} - set(frame.columns)

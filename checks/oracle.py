@@ -11,7 +11,7 @@ MODES = (
     "full_tx", "uniform", "flat_variance", "legacy_two_stage", "true_hierarchical",
     "true_hierarchical_cap",
 )
-EPSILONS = (0.5, 2.0, 5.0, 10.0)
+EPSILONS = (0.5, 1.0, 2.0, 3.0, 4.0, 5.0, 7.5, 10.0, 15.0)
 
 
 def r(expression: str, name: str | None = None) -> str:
@@ -688,8 +688,8 @@ cmp as (
     case when r.transmission_ratio > f.transmission_ratio
          then (f.cvar99 - r.cvar99) / (r.transmission_ratio - f.transmission_ratio) else 0 end
       as tail_reduction_per_additional_transmission,
-    r.transmission_ratio - f.transmission_ratio > 1.0 or r.bound_violation_count > 0 as rejected,
-    case when r.transmission_ratio - f.transmission_ratio > 1.0 then 'additional_tr_limit'
+    r.transmission_ratio - f.transmission_ratio > 0.055 or r.bound_violation_count > 0 as rejected,
+    case when r.transmission_ratio - f.transmission_ratio > 0.055 then 'additional_tr_limit'
          when r.bound_violation_count > 0 then 'safety' end as rejection_reason
   from rowsp r join rowsp f on f.house_id = r.house_id
    and f.predictor_mode = 'slot_median_frozen'),
@@ -770,6 +770,12 @@ select l_suppkey, l_orderkey, l_linenumber,
 from li join lvl using (l_suppkey)"""
 
 
+# cells that are NaN or cannot be read, as null
+_SOURCE = """select event_id, case when row_id % 11 <> 0 then timestamp end as timestamp,
+  case when not ({unread}) then round(value, 6) + 0.0::double end as value,
+  property::bigint as property, plug_id, household_id, house_id{more} from ev"""
+
+
 def statements() -> dict[str, str]:
     warm_counts = """count(*) as input_rows, count(*) filter ({h}) as wrong_house,
   count(*) filter (not ({h}) and property <> 1) as wrong_property,
@@ -799,6 +805,36 @@ def statements() -> dict[str, str]:
             count(*) as total_events, min(timestamp) as first_timestamp,
             max(timestamp) as last_timestamp from acc group by all"""
         ),
+        "split_report": query(
+            """select house_id,
+            count(*) filter (timestamp between timestamp '2024-01-01'
+              and timestamp '2024-01-14 23:59:59.999999') as warmup_events,
+            count(*) filter (timestamp between timestamp '2024-01-15'
+              and timestamp '2024-01-19 23:59:59.999999') as validation_events,
+            count(*) filter (timestamp between timestamp '2024-01-20'
+              and timestamp '2024-01-30 23:59:59.999999') as evaluation_events,
+            count(*) as total_events, min(timestamp) as first_timestamp,
+            max(timestamp) as last_timestamp,
+            min(timestamp) > timestamp '2024-01-14 23:59:59.999999'
+              and max(timestamp) >= timestamp '2024-01-15' as lacks_warmup,
+            min(timestamp) > timestamp '2024-01-01' as starts_late,
+            max(timestamp) < timestamp '2024-01-30 23:59:59.999999' as ends_early
+            from ev group by all"""
+        ),
+        "read_csv_events": query(_SOURCE.format(unread="row_id % 7 = 0 or row_id % 13 = 0", more=", row_id")),
+        "read_parquet_events": query(_SOURCE.format(unread="row_id % 7 = 0", more="")),
+        "read_without_id": query(
+            """select house_id, format, count(*) as rows, count(*) as ids,
+            count(*) filter (row_id % 11 <> 0) as timestamps,
+            count(*) filter (value >= 0 and isfinite(value) and row_id % 7 <> 0
+              and (format = 'parquet' or row_id % 13 <> 0)) as valid
+            from ev, (values ('csv'), ('parquet')) t(format) group by all"""
+        ),
+        "curated_range": query(
+            f"""select event_id, timestamp, {r('value')}, property::bigint as property, plug_id,
+            household_id, house_id, row_id from acc where house_id = 1 and timestamp between
+            timestamp '2024-01-15' and timestamp '2024-01-19 23:59:59.999999'"""
+        ),
         "slot_median_fit": query(
             f"select {PLUG}, weekday, slot, {r('slot_median')} from slot_m"
         ),
@@ -881,8 +917,9 @@ def statements() -> dict[str, str]:
         ),
         "waterfill": _lineitem_levels(),
         "missing_caps": query(
-            """select config as config_id, house_id, cycle, household_id, plug_id from trace
-            where mode = 'true_hierarchical_cap' and cap is null"""
+            f"""select house_id, cycle, household_id, plug_id from trace
+            where mode = 'true_hierarchical_cap' and ({PLUG}) not in (
+              select ({PLUG}) from warm_r group by {PLUG} having count(*) >= 25)"""
         ),
         "decide_full_tx": decisions_of("full_tx"),
         "decide_uniform": decisions_of("uniform"),
@@ -1109,49 +1146,49 @@ def statements() -> dict[str, str]:
         "adaptive_uniform_drift": adaptive_of("slot_median_ewma_drift"),
         "adaptive_uniform_drift_sync": adaptive_of("slot_median_ewma_drift_periodic_sync"),
     }
-    full = "slot_median_ewma_drift_periodic_sync"
     out |= {
         "drift_events": adaptive(
-            f"""select house_id, household_id, plug_id, timestamp, event_id,
+            f"""select pm as predictor_mode, house_id, household_id, plug_id, timestamp, event_id,
             streak0 as prior_consecutive_suppressions, {r('innovation')},
             {r('abs(innovation)', 'absolute_innovation')}, {r('scale', 'robust_scale')},
             {r('z', 'standardized_innovation')}, would as normal_would_transmit,
             not would as additional_transmission
-            from ad where pm = '{full}' and reason = 'drift_detected'"""
+            from ad where reason = 'drift_detected'"""
         ),
         "resync_events": adaptive(
-            f"""select house_id, household_id, plug_id, timestamp, event_id, reason,
+            """select pm as predictor_mode, house_id, household_id, plug_id, timestamp, event_id, reason,
             streak0 as prior_consecutive_suppressions, last0 as prior_last_transmitted_timestamp,
             would as normal_would_transmit, not would as additional_transmission
-            from ad where pm = '{full}' and reason like 'periodic%'"""
+            from ad where reason like 'periodic%'"""
         ),
         "update_trace": adaptive(
             f""", moves as (
               select *, edge0 + 0.2 * sum(case when sent then innovation else 0 end) over w as after,
                 version - (sum(sent::int) over (partition by pm, {PLUG}, timestamp)
                   - sum(sent::int) over w) as ver
-              from ad where pm = '{full}' window w as (partition by pm, {PLUG}, timestamp
+              from ad where adapts = 1 window w as (partition by pm, {PLUG}, timestamp
                 order by row_id rows between unbounded preceding and current row))
-            select event_id, reason, {r('innovation')},
+            select pm as predictor_mode, event_id, reason, {r('innovation')},
               {r('after - 0.2 * innovation', 'server_bias_before')},
               {r('after', 'server_bias_after')}, ver::bigint as predictor_state_version
             from moves where sent"""
         ),
         "bias_trace": adaptive(
             f""", moves as (
-              select *, edge0 + 0.2 * sum(case when sent then innovation else 0 end) over w as after
-              from ad where pm = '{full}' window w as (partition by pm, {PLUG}, timestamp
+              select *, edge0 + adapts * 0.2 * sum(case when sent then innovation else 0 end) over w
+                as after
+              from ad window w as (partition by pm, {PLUG}, timestamp
                 order by row_id rows between unbounded preceding and current row)),
-            numbered as (select *, row_number() over (partition by house_id
+            numbered as (select *, row_number() over (partition by pm, house_id
               order by timestamp, household_id, plug_id, row_id) as event_number from moves)
-            select house_id, event_number, event_id, {r('after', 'edge_bias')}, sent as transmitted
-            from numbered where event_number % 10 = 0 or sent"""
+            select pm as predictor_mode, house_id, event_number, event_id, {r('after', 'edge_bias')}, sent as transmitted
+            from numbered where event_number % 10 = 0 or (sent and adapts = 1)"""
         ),
         "silence_durations": adaptive(
-            f"select event_id, {r('silence_seconds')} from sil where pm = '{full}'"
+            f"select pm as predictor_mode, event_id, {r('silence_seconds')} from sil"
         ),
         "recovery_episodes": adaptive(
-            f"""select house_id, household_id, plug_id, ep as episode_number,
+            f"""select pm as predictor_mode, house_id, household_id, plug_id, ep as episode_number,
             trigger_ts as trigger_timestamp, rec_ts as recovered_timestamp,
             {r('(epoch_us(rec_ts) - epoch_us(trigger_ts)) / 1e6', 'recovery_time_after_drift')},
             rec_events as recovery_events_after_drift,
@@ -1159,7 +1196,7 @@ def statements() -> dict[str, str]:
             {r('e1', 'post_trigger_prediction_error_1')},
             {r('e5', 'post_trigger_prediction_error_5')},
             {r('e10', 'post_trigger_prediction_error_10')}, rec_ts is null as unresolved
-            from eps where pm = '{full}'"""
+            from eps"""
         ),
         "prediction_metrics": adaptive(
             f"""select pm as predictor_mode, house_id, events, {rs('''prediction_mae,
@@ -1172,8 +1209,8 @@ def statements() -> dict[str, str]:
             from topout where outlier_rank <= 30"""
         ),
         "triggers_by_plug": adaptive(
-            f"""select house_id, household_id || ':' || plug_id as plug, count(*) as triggers
-            from ad where pm = '{full}' and reason = 'drift_detected' group by all"""
+            """select pm as predictor_mode, house_id, household_id || ':' || plug_id as plug,
+            count(*) as triggers from ad where reason = 'drift_detected' group by all"""
         ),
         "predictor_summary": adaptive(
             _PREDICTOR_SUMMARY + f"select {_PSUM_REST}, {rs(_PSUM_DOUBLES)} from psum"

@@ -35,11 +35,20 @@ from bandwise.plans.studies import (
     sensitivity,
 )
 from bandwise.session import new_table_path
-from bandwise.sources.events import PLUG, accept, filter_counts
+from bandwise.sources.events import (
+    PLUG,
+    accept,
+    filter_counts,
+    read_curated,
+    read_events,
+    valid_value,
+    write_curated,
+)
 from bandwise.sources.sinks import consolidate
 
 EPSILON = 5.0
-EPSILONS = (0.5, 2.0, 5.0, 10.0)
+EPSILONS = (0.5, 1.0, 2.0, 3.0, 4.0, 5.0, 7.5, 10.0, 15.0)
+PREDICTOR_EPSILONS = (0.5, 1.0, 2.0, 4.0, 5.0, 7.5, 10.0)
 CAPS = dict(cap_fraction=0.05, cap_min_samples=25)
 PARAMS = Params(
     warmup=interval("2024-01-01", "2024-01-14 23:59:59.999999"),
@@ -68,7 +77,7 @@ TEMPLATE = AdaptiveConfig(
     max_suppressions=4,
     max_silence=259_200,
 )
-SILENT_LIMIT = 1.0  # additional transmissions allowed in the comparison
+SILENT_LIMIT = 0.055  # additional transmissions allowed in the comparison
 
 _MEMO: dict[tuple, object] = {}
 
@@ -172,6 +181,71 @@ def q_split_counts(spark, sf):
     return splits.split_counts(accepted(spark, sf, STAGED), STAGED)
 
 
+def q_split_report(spark, sf):
+    return splits.split_report(plug_events(spark, sf), STAGED)
+
+
+def _source_file(spark, sf, fmt):
+    """The readings as a file, with epoch seconds and some cells that cannot be read."""
+    rows = plug_events(spark, sf)
+    number = F.col("row_id")
+    stamp = F.unix_seconds("timestamp")
+    rows = rows.select(
+        number.alias("number"),
+        F.when(number % 11 == 0, F.lit(99_999_999_999_999_999)).otherwise(stamp).alias("timestamp"),
+        F.when(number % 7 == 0, F.lit("nan").cast("double")).otherwise(F.col("value")).alias("value"),
+        "property", "plug_id", "household_id", "house_id",
+    )
+    path = new_table_path(spark, f"source-{fmt}")
+    if fmt == "csv":
+        text = F.when(F.col("number") % 13 == 0, F.lit("n/a")).otherwise(F.col("value").cast("string"))
+        rows.withColumn("value", text).write.option("header", True).csv(path)
+    else:
+        rows.write.parquet(path)
+    return path
+
+
+def _nan_as_null(rows):
+    return rows.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+
+
+def q_read_csv_events(spark, sf):
+    path = _source_file(spark, sf, "csv")
+    return _nan_as_null(read_events(spark, path, "csv", columns={"id": "number"}))
+
+
+def q_read_parquet_events(spark, sf):
+    path = _source_file(spark, sf, "parquet")
+    rows = read_events(spark, path, "parquet", columns={"id": "number"})
+    return _nan_as_null(rows).drop("row_id")
+
+
+def q_read_without_id(spark, sf):
+    """Every row has its own id, in both formats, equal rows too."""
+    counts = []
+    for fmt in ("csv", "parquet"):
+        path = _source_file(spark, sf, fmt)
+        rows = read_events(spark, path, fmt)
+        counts.append(
+            rows.groupBy("house_id").agg(
+                F.lit(fmt).alias("format"),
+                F.count("*").alias("rows"),
+                F.countDistinct("event_id").alias("ids"),
+                F.count("timestamp").alias("timestamps"),
+                F.count_if(valid_value()).alias("valid"),
+            )
+        )
+    return counts[0].unionByName(counts[1])
+
+
+def q_curated_range(spark, sf):
+    """Accepted events written by house and day, one house and some days read back."""
+    path = new_table_path(spark, "curated")
+    write_curated(accepted(spark, sf), path)
+    first, last = STAGED.validation
+    return read_curated(spark, path, first, last, house_id=1)
+
+
 def q_slot_median_fit(spark, sf):
     warm = study(spark, sf).warm
     return fit.slot_medians(warm, PARAMS.slot_seconds)
@@ -346,7 +420,8 @@ def q_waterfill(spark, sf):
 
 
 def q_missing_caps(spark, sf):
-    return alloc.require_caps(modes_run(spark, sf).trace)
+    s = study(spark, sf)
+    return alloc.missing_caps(s.active, s.quantiles([BASE]), BASE.cap_min_samples)
 
 
 # decisions and metrics -----------------------------------------------------------------------------
@@ -568,39 +643,44 @@ _FULL_MODE = "slot_median_ewma_drift_periodic_sync"
 
 
 def _adaptive(spark, sf):
-    decisions = comparison(spark, sf).run.decisions
-    return decisions.where(F.col("predictor_mode") == _FULL_MODE)
+    return comparison(spark, sf).run.decisions
+
+
+def _with_predictor(rows):
+    return rows.withColumn("predictor_mode", F.split("config_id", "/")[1])
 
 
 def q_update_trace(spark, sf):
     rows = ad.update_trace(_adaptive(spark, sf))
     return rows.select(
-        "event_id", "reason", "innovation", "server_bias_before", "server_bias_after",
-        "predictor_state_version",
+        "predictor_mode", "event_id", "reason", "innovation", "server_bias_before",
+        "server_bias_after", "predictor_state_version",
     )
 
 
 def q_drift_events(spark, sf):
     rows = ad.drift_events(_adaptive(spark, sf))
-    return rows.drop("config_id", "predictor_mode")
+    return rows.drop("config_id")
 
 
 def q_resync_events(spark, sf):
-    return ad.resync_events(_adaptive(spark, sf)).drop("config_id", "predictor_mode")
+    return ad.resync_events(_adaptive(spark, sf)).drop("config_id")
 
 
 def q_bias_trace(spark, sf):
     rows = ad.bias_trace(_adaptive(spark, sf), every=10)
-    return rows.select("house_id", "event_number", "event_id", "edge_bias", "transmitted")
+    return rows.select(
+        "predictor_mode", "house_id", "event_number", "event_id", "edge_bias", "transmitted"
+    )
 
 
 def q_silence_durations(spark, sf):
     rows = ad.silence_durations(_adaptive(spark, sf), PARAMS)
-    return rows.select("event_id", "silence_seconds")
+    return _with_predictor(rows).select("predictor_mode", "event_id", "silence_seconds")
 
 
 def q_recovery_episodes(spark, sf):
-    return ad.recovery_episodes(_adaptive(spark, sf)).drop("config_id")
+    return _with_predictor(ad.recovery_episodes(_adaptive(spark, sf))).drop("config_id")
 
 
 def q_prediction_metrics(spark, sf):
@@ -619,7 +699,7 @@ def q_predictor_summary(spark, sf):
 
 def q_triggers_by_plug(spark, sf):
     rows = ad.triggers_by_plug(_adaptive(spark, sf))
-    return rows.select("house_id", "plug", "triggers")
+    return _with_predictor(rows).select("predictor_mode", "house_id", "plug", "triggers")
 
 
 def q_adaptive_summary(spark, sf):
@@ -650,7 +730,7 @@ def _predictor_points(spark, sf):
         spark,
         sf,
         "predictor-points",
-        lambda: predictor_points(study(spark, sf), BASE, TEMPLATE, "slot_median_ewma", EPSILONS),
+        lambda: predictor_points(study(spark, sf), BASE, TEMPLATE, "slot_median_ewma", PREDICTOR_EPSILONS),
     )
 
 
@@ -702,8 +782,8 @@ def q_predictor_matrix(spark, sf):
 
 def q_staged_search(spark, sf):
     search = StagedSearch(
-        study(spark, sf, STAGED), BASE, TEMPLATE, maximum_additional_tr=1.0,
-        maximum_unresolved_fraction=1.0,
+        study(spark, sf, STAGED), BASE, TEMPLATE, maximum_additional_tr=SILENT_LIMIT,
+        maximum_unresolved_fraction=0.5,
     )
     return search.candidates
 

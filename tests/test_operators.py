@@ -98,7 +98,9 @@ def test_flat_equals_legacy_and_caps_bind(spark):
     assert of("true_hierarchical_cap") == pytest.approx([1.0, 2.0, 3.0])
     row = trace.where("mode = 'true_hierarchical_cap'").first()
     assert (row.used_budget, row.unused_budget, row.cap_hit_count) == (6.0, 4.0, 3)
-    assert alloc.require_caps(trace).count() == 0
+    known = spark.createDataFrame(quants, QUANT).where("plug_id <> 1")
+    lacking = alloc.missing_caps(trace.where("mode = 'uniform'"), known).collect()
+    assert lacking and {r.plug_id for r in lacking} == {1}
 
 
 def test_own_allocator_and_predictor(spark):

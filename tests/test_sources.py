@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bandwise.operators import fit, splits
 from bandwise.params import Params, interval
+from bandwise.plans.frozen import Study
 from bandwise.sources import events as ev
 from bandwise.sources import sinks
 from tests.fixtures import SCHEMA, START, drifting_house, house_params
@@ -199,3 +200,21 @@ def test_unreadable_timestamps_become_null(spark):
         table = spark.createDataFrame([(c,) for c in cells], f"t {kind}")
         found = table.select(F.unix_seconds(to_utc("t", table.schema["t"].dataType)).alias("s")).collect()
         assert [r.s for r in found] == [None] * (len(cells) - 1) + [1378015200]
+
+
+def test_house_without_warmup_is_an_error(spark):
+    rows = [*drifting_house(house=0), *drifting_house(seed=11, house=5)]
+    params = house_params()
+    events = spark.createDataFrame(rows, SCHEMA)
+    lone = events.where((F.col("house_id") == 0) | splits.inside(params.evaluation))
+    report = {r.house_id: r.lacks_warmup for r in splits.split_report(lone, params).collect()}
+    assert report == {0: False, 5: True}
+    with pytest.raises(ValueError, match="1 houses have no warm-up events, the first is 5"):
+        _ = Study(lone, params).houses
+
+
+def test_equal_rows_of_a_csv_file_have_their_own_ids(spark, tmp_path):
+    path = tmp_path / "events.csv"
+    path.write_text("\n".join([HEADER, *["1377993600,2,1,2,1,0"] * 3]) + "\n")
+    rows = ev.read_events(spark, str(path), "csv").collect()
+    assert len({r.event_id for r in rows}) == len({r.row_id for r in rows}) == 3
