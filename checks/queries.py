@@ -782,8 +782,8 @@ def q_predictor_matrix(spark, sf):
 
 def q_staged_search(spark, sf):
     search = StagedSearch(
-        study(spark, sf, STAGED), BASE, TEMPLATE, maximum_additional_tr=SILENT_LIMIT,
-        maximum_unresolved_fraction=0.5,
+        study(spark, sf, STAGED), BASE, TEMPLATE, maximum_additional_tr=0.1,
+        maximum_unresolved_fraction=0.64,
     )
     return search.candidates
 
