@@ -64,12 +64,17 @@ def observe(
     the key's own events.
     """
     *levels, cooling = state
-    levels = [max(0, level + step) for level, step in zip(levels, detector.steps(z), strict=True)]
+    # the zeros keep their types: a whole number, then two doubles
+    zeros = CALM[:3]
+    levels = [
+        max(zero, level + step)
+        for zero, level, step in zip(zeros, levels, detector.steps(z), strict=True)
+    ]
     alarm = any(level >= limit for level, limit in zip(levels, detector.limits, strict=True))
     held = alarm and cooling > 0
     fires = alarm and enabled and not held
     if held or fires:
-        levels = CALM[:3]
+        levels = zeros
     left = detector.cooldown if fires else max(cooling - 1, 0)
     return (*levels, left), fires, held and enabled
 
