@@ -13,7 +13,8 @@ class Rule(NamedTuple):
     label: str
     #: 4 machine-readable tag, 3 grant with version, 2 name, 1 mention; 0 base phrases, which are never suppressed
     priority: int
-    #: words that must occur in the text before the pattern is tried
+    #: word that every match of the pattern holds, so that the pattern is tried only in texts with it; a pattern whose
+    #: alternatives share no word is several rules
     keyword: str
     pattern: str
     confidence: float
@@ -31,7 +32,8 @@ mit-0; mit 0; mit; mit no attribution(?: licen[sc]e)?;
 bsd-2-clause; bsd 2 clause; bsd; (?:simplified|freebsd|2 clause|two clause) bsd(?: licen[sc]e)?;
 bsd-3-clause; bsd 3 clause; bsd; (?:new|revised|modified|3 clause|three clause) bsd(?: licen[sc]e)?;
 bsd-4-clause; bsd 4 clause; bsd; (?:original|4 clause|four clause) bsd(?: licen[sc]e)?;
-0bsd; 0bsd; 0bsd; (?:zero clause bsd|0bsd)(?: licen[sc]e)?;
+0bsd; 0bsd; 0bsd; 0bsd(?: licen[sc]e)?;
+0bsd; 0bsd; zero; zero clause bsd(?: licen[sc]e)?;
 gpl-1.0; gpl 1 0(?: only| or later)?; general; gnu general public licen[sc]e; (?:version |v )?1(?: 0)?
 gpl-2.0; gpl 2 0(?: only| or later)?; general; (?:gnu )?general public licen[sc]e; (?:version |v )?2(?: 0)?
 gpl-3.0; gpl 3 0(?: only| or later)?; general; (?:gnu )?general public licen[sc]e; (?:version |v )?3(?: 0)?
@@ -64,7 +66,8 @@ eupl-1.1; eupl 1 1; european; european union public licen[sc]e; (?:version |v )?
 eupl-1.2; eupl 1 2; european; european union public licen[sc]e; (?:version |v )?1 2
 isc; isc; isc; isc licen[sc]e;
 zlib; zlib; zlib; zlib(?: libpng)? licen[sc]e;
-libpng; libpng(?: 2 0)?; libpng; (?:png reference library|libpng) licen[sc]e;
+libpng; libpng(?: 2 0)?; libpng; libpng licen[sc]e;
+libpng; libpng(?: 2 0)?; png; png reference library licen[sc]e;
 bsl-1.0; bsl 1 0; boost; boost software licen[sc]e; (?:version |v )?1(?: 0)?
 busl-1.1; busl 1 1; business; business source licen[sc]e; (?:version |v )?1 1
 sspl-1.0; sspl 1 0; server; server side public licen[sc]e; (?:version |v )?1
@@ -122,9 +125,9 @@ public-domain; domain; public domain (?:work|mark|dedication); 0.7
 proprietary; confidential; proprietary and confidential; 0.8
 proprietary; property; is the (?:sole )?property of; 0.4
 proprietary; permission; without (?:the )?(?:express |prior )*(?:written )?permission; 0.5
-proprietary; reproduction; (?:unauthori[sz]ed )?(?:copying|reproduction|redistribution)(?: or \\w+)?(?: of this \\w+)? is (?:strictly )?prohibited; 0.7
+proprietary; prohibited; (?:unauthori[sz]ed )?(?:copying|reproduction|redistribution)(?: or \\w+)?(?: of this \\w+)? is (?:strictly )?prohibited; 0.7
 copyright; copyright; copyright(?: c)? (?:19|20)[0-9]{2}; 0.5
-copyright; copyright; copyrighted (?:material|work|content); 0.5
+copyright; copyrighted; copyrighted (?:material|work|content); 0.5
 copyright; copr; copr (?:19|20)[0-9]{2}; 0.4
 permissive; permission; permission is hereby granted(?: free of charge)?; 0.8
 permissive; permission; permission to use copy modify and(?: or)? distribute; 0.8
@@ -138,7 +141,7 @@ commercial-restriction; commercial; (?:for )?non commercial (?:use|purposes) onl
 commercial-restriction; commercial; not for commercial use; 0.7
 share-alike; alike; share alike; 0.4
 terms; terms; terms (?:of use|of service|and conditions) apply; 0.4
-licensed; licensed; (?:licensed|released|distributed|available) under (?:the )?terms; 0.4
+licensed; terms; (?:licensed|released|distributed|available) under (?:the )?terms; 0.4
 royalty-free; royalty; royalty free licen[sc]e; 0.5
 perpetual; perpetual; perpetual worldwide non exclusive; 0.6
 open-government; government; open government licen[sc]e(?: (?:v|version) ?[1-3](?: 0)?)?; 0.8

@@ -290,6 +290,46 @@ def test_licenses(spark, docs, rows, nothing):
     assert licenses.scan(docs).count() == len(rows) and not licenses.scan(nothing).collect()
 
 
+def _examples(pattern: str) -> list[str]:
+    """A match of a rule's pattern, and one more for each further alternative, optional part and member of a class."""
+
+    def choices(kind, value) -> list[str]:
+        name = str(kind)
+        if name == "LITERAL":
+            return [chr(value)]
+        if name == "IN":
+            return [x for k, v in value for x in {"LITERAL": lambda: [chr(v)], "RANGE": lambda: [chr(v[0]), chr(v[1])], "CATEGORY": lambda: ["w"]}[str(k)]()]
+        if name == "BRANCH":
+            return [x for part in value[1] for x in sequence(part)]
+        if name == "SUBPATTERN":
+            return sequence(value[-1])
+        assert name == "MAX_REPEAT"
+        return [""] * (value[0] == 0) + sequence(value[2])
+
+    def sequence(tokens) -> list[str]:
+        parts = [choices(*token) for token in tokens]
+        first = [p[0] for p in parts]
+        varied = ["".join([*first[:i], x, *first[i + 1 :]]) for i, p in enumerate(parts) for x in p[1:]]
+        return list(dict.fromkeys(["".join(first), *varied]))
+
+    return sequence(re._parser.parse(pattern))
+
+
+@pytest.fixture(scope="module")
+def license_examples(spark):
+    """Matches of every rule by (rule, text), and the detections of their scan."""
+    table = license_rules.rules()
+    made = [(f"{i}:{k}", f"zzz {x} zzz") for i, r in enumerate(table) for k, x in enumerate(_examples(r.pattern))]
+    texts = spark.createDataFrame(made, "doc_id string, text string").repartition(4)
+    scanned = lambda rules: {(r.id, r.rule, r.start, r.end) for r in licenses.detections(texts, table=rules).where("rule is not null").collect()}
+    return made, scanned(table), scanned([r._replace(keyword="zzz") for r in table])
+
+
+def test_license_prefilter_drops_no_match(license_examples):
+    made, found, unfiltered = license_examples
+    assert len(made) > 1000 and found == unfiltered
+
+
 def test_suppression_is_by_priority_and_containment(spark):
     text = "this is licensed under the apache license version 2 0 and the mit license"
     found = licenses.detections(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
