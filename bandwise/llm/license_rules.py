@@ -1,7 +1,8 @@
 """Hand-written signature rules for licenses, in order of priority.
 
 A rule is written over the words of a text: one blank stands between words, letters are lower case, and every
-character that is not a letter or digit separates words ("GPL-2.0" is "gpl 2 0").  A pattern matches whole words.
+character that is not a letter or digit separates words ("GPL-2.0" is "gpl 2 0").  A pattern matches whole words.  Blanks
+are widened before use, so an optional blank is written as a group: "share(?: )?alike".
 """
 
 from __future__ import annotations
@@ -110,15 +111,17 @@ mulan-2.0; mulanpsl 2 0; mulan; mulan permissive(?: software)? licen[sc]e; (?:ve
 ms-pl; ms pl; microsoft; microsoft public licen[sc]e;
 ms-rl; ms rl; microsoft; microsoft reciprocal licen[sc]e;
 bluedoc; blueoak 1 0 0; blue; blue oak model licen[sc]e; (?:version |v )?1 0 0
-openrail-m; openrail m?; openrail; (?:creativeml )?openrail(?: m)?(?: licen[sc]e)?;
+openrail-m; openrail(?: m)?; openrail; (?:creativeml )?openrail(?: m)?(?: licen[sc]e)?;
 """
 
 # label; keyword; pattern; confidence: statements without a family
 _MENTIONS = """
 cc-by; creative; creative commons attribution(?: [1-4] [05])?(?: international| unported| generic)?; 0.9
-cc-by-sa; creative; creative commons attribution share ?alike(?: [1-4] [05])?; 0.9
-cc-by-nc; creative; creative commons attribution non ?commercial(?: [1-4] [05])?; 0.9
-cc-by-nd; creative; creative commons attribution no ?deriv(?:s|atives|ative works)(?: [1-4] [05])?; 0.9
+cc-by-sa; creative; creative commons attribution share(?: )?alike(?: [1-4] [05])?; 0.9
+cc-by-nc; creative; creative commons attribution non(?: )?commercial(?: [1-4] [05])?; 0.9
+cc-by-nd; creative; creative commons attribution no(?: )?deriv(?:s|atives|ative works)(?: [1-4] [05])?; 0.9
+cc-by-nc-sa; creative; creative commons attribution non(?: )?commercial share(?: )?alike(?: [1-4] [05])?; 0.9
+cc-by-nc-nd; creative; creative commons attribution non(?: )?commercial no(?: )?deriv(?:s|atives|ative works)(?: [1-4] [05])?; 0.9
 creative-commons; creative; creative commons(?: public)? licen[sc]es?; 0.6
 public-domain; domain; (?:in|into|to) the public domain; 0.7
 public-domain; domain; public domain (?:work|mark|dedication); 0.7
@@ -144,7 +147,7 @@ terms; terms; terms (?:of use|of service|and conditions) apply; 0.4
 licensed; terms; (?:licensed|released|distributed|available) under (?:the )?terms; 0.4
 royalty-free; royalty; royalty free licen[sc]e; 0.5
 perpetual; perpetual; perpetual worldwide non exclusive; 0.6
-open-government; government; open government licen[sc]e(?: (?:v|version) ?[1-3](?: 0)?)?; 0.8
+open-government; government; open government licen[sc]e(?: (?:v|version)(?: )?[1-3](?: 0)?)?; 0.8
 crown-copyright; crown; crown copyright; 0.7
 eula; eula; eula; 0.5
 eula; user; end user licen[sc]e agreement; 0.7

@@ -304,7 +304,7 @@ def _examples(pattern: str) -> list[str]:
         if name == "SUBPATTERN":
             return sequence(value[-1])
         assert name == "MAX_REPEAT"
-        return [""] * (value[0] == 0) + sequence(value[2])
+        return [""] * (value[0] == 0) + [x * max(value[0], 1) for x in sequence(value[2])]
 
     def sequence(tokens) -> list[str]:
         parts = [choices(*token) for token in tokens]
@@ -330,6 +330,23 @@ def test_license_prefilter_drops_no_match(license_examples):
     assert len(made) > 1000 and found == unfiltered
 
 
+def test_license_rules_match_their_examples(license_examples):
+    made, found, _ = license_examples
+    missed = [(i, x) for i, x in made if (i, int(i.split(":")[0]), 1, len(x.split()) - 1) not in found]
+    assert not missed
+
+
+def test_official_names_of_restrictive_licenses(spark):
+    names = {
+        "Attribution": "cc-by", "Attribution-ShareAlike": "cc-by-sa", "Attribution-NonCommercial": "cc-by-nc", "Attribution-NoDerivatives": "cc-by-nd",
+        "Attribution-NoDerivs": "cc-by-nd", "Attribution Share Alike": "cc-by-sa", "Attribution-NonCommercial-ShareAlike": "cc-by-nc-sa",
+        "Attribution-NonCommercial-NoDerivatives": "cc-by-nc-nd",
+    }
+    made = [(label, f"under the Creative Commons {name} 4.0 International License") for name, label in names.items()]
+    found = licenses.scan(spark.createDataFrame(made, "doc_id string, text string")).collect()
+    assert len(found) == len(names) and all(r.labels == r.doc_id for r in found)
+
+
 def test_suppression_is_by_priority_and_containment(spark):
     text = "this is licensed under the apache license version 2 0 and the mit license"
     found = licenses.detections(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
