@@ -63,8 +63,6 @@ STAGED = replace(
     validation=interval("2024-01-15", "2024-01-19 23:59:59.999999"),
     evaluation=interval("2024-01-20", "2024-01-30 23:59:59.999999"),
 )
-# thresholds that depend on decisions are renewed once a day
-DAILY = replace(PARAMS, period_seconds=86_400, active_seconds=172_800)
 BASE = AllocationConfig("base", "uniform", EPSILON, **CAPS)
 TEMPLATE = AdaptiveConfig(
     BASE,
@@ -143,7 +141,7 @@ def proxy_study(spark: SparkSession, sf_dir: str) -> HouseStudy:
         spark,
         sf_dir,
         "proxy",
-        lambda: HouseStudy(study(spark, sf_dir, DAILY), EPSILON, EPSILONS, **CAPS),
+        lambda: HouseStudy(study(spark, sf_dir), EPSILON, EPSILONS, **CAPS),
     )
 
 
@@ -776,8 +774,8 @@ def q_exact_proxy(spark, sf):
 
 
 def q_predictor_matrix(spark, sf):
-    allocators = mode_grid(("uniform", "flat_variance"), (EPSILON,), **CAPS)
-    return predictor_matrix(study(spark, sf, DAILY), allocators, TEMPLATE)
+    allocators = mode_grid(epsilons=(EPSILON,), **CAPS)
+    return predictor_matrix(study(spark, sf), allocators, TEMPLATE)
 
 
 def q_staged_search(spark, sf):
