@@ -6,9 +6,10 @@ from bandwise.streaming.batches import (
     predict_stream,
     stream_events,
     stream_spells,
+    until_end,
 )
 from bandwise.streaming.deadband import decide_stream
-from bandwise.streaming.sinks import write_stream
+from bandwise.streaming.sinks import write_bounded, write_stream
 
 __all__ = [
     "allocation_windows",
@@ -17,5 +18,7 @@ __all__ = [
     "predict_stream",
     "stream_events",
     "stream_spells",
+    "until_end",
+    "write_bounded",
     "write_stream",
 ]

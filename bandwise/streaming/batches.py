@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,10 @@ from bandwise.operators import fit
 from bandwise.params import Params
 from bandwise.sources.events import accept, normalize
 
+# Fixed value: time of the row that ends a bounded input; every event is earlier.
+END = datetime(9000, 1, 1, tzinfo=UTC)
+MARK = "timestamp timestamp"
+
 
 def stream_events(
     spark: SparkSession,
@@ -42,10 +47,27 @@ def predict_stream(
     return fit.predict(events, slots, plugs, slot_seconds)
 
 
+def until_end(events: DataFrame, marks: str) -> DataFrame:
+    """Events of a bounded stream and the end mark, once there is one in the folder ``marks``."""
+    spark = events.sparkSession
+    spark.createDataFrame([], MARK).write.mode("append").parquet(marks)
+    return events.unionByName(
+        spark.readStream.schema(MARK).parquet(marks), allowMissingColumns=True
+    )
+
+
+def watermarked(events: DataFrame, delay: str) -> DataFrame:
+    """Events under a watermark; an end mark moves the watermark and goes no further.
+
+    A condition on the watermarked column is not pushed below the watermark.
+    """
+    return events.withWatermark("timestamp", delay).where(F.col("timestamp") < F.lit(END))
+
+
 def batch_rollup(events: DataFrame, delay: str) -> DataFrame:
     """Load of every house and timestamp, emitted once the watermark has passed it."""
     return (
-        events.withWatermark("timestamp", delay)
+        watermarked(events, delay)
         .groupBy("house_id", "timestamp")
         .agg(
             F.sum("value").alias("actual_house"),
@@ -59,7 +81,7 @@ def allocation_windows(events: DataFrame, params: Params, delay: str) -> DataFra
     length = f"{params.period_seconds} seconds"
     offset_us = params.start_us % params.period_us
     return (
-        events.withWatermark("timestamp", delay)
+        watermarked(events, delay)
         .groupBy(
             "house_id", F.window("timestamp", length, length, f"{offset_us} microseconds")
         )
@@ -72,7 +94,7 @@ def allocation_windows(events: DataFrame, params: Params, delay: str) -> DataFra
 def stream_spells(events: DataFrame, gap_seconds: int, delay: str) -> DataFrame:
     """Activity spells as session windows; a gap of exactly ``gap_seconds`` does not end one."""
     return (
-        events.withWatermark("timestamp", delay)
+        watermarked(events, delay)
         .groupBy(
             "house_id",
             "household_id",

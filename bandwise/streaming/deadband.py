@@ -16,10 +16,14 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from bandwise.operators.adaptive import INPUT, KEY, SCHEMA, STATE, PlugWalk
+from bandwise.operators.cycles import period_cell
 from bandwise.params import AdaptiveConfig, Params
 from bandwise.sources.events import PLUG
+from bandwise.streaming.batches import watermarked
 
-_WAITING = T.StructType([f for f in INPUT.fields if f.name not in KEY])
+_WAITING = T.StructType(
+    [*[f for f in INPUT.fields if f.name not in KEY], T.StructField("floor", T.DoubleType())]
+)
 _CARRIED = T.StructType(
     [
         *[f for f in SCHEMA.fields if f.name in STATE],
@@ -39,8 +43,8 @@ OUTPUT = T.StructType(
 class Deadband(StatefulProcessor):
     """State of one (configuration, plug): waiting values, predictor state, last W squares."""
 
-    def __init__(self, configs: list[AdaptiveConfig], params: Params, floor: float):
-        self.params, self.floor = params, floor
+    def __init__(self, configs: list[AdaptiveConfig], params: Params):
+        self.params = params
         self.configs = {c.config_id: c for c in configs}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -85,7 +89,7 @@ class Deadband(StatefulProcessor):
         fixed = dict(zip(KEY, key, strict=True))
         results = SCHEMA.names[len(INPUT.names) :]
         recent = list((carried or {}).get("recent") or [])
-        fresh, now, score, out = [], None, self.floor, []
+        fresh, now, score, out = [], None, None, []
         seen = carried["last_seen_us"] if carried else None
         for value in ready:
             row = {**dict(zip(_WAITING.names, value, strict=True)), **fixed}
@@ -94,7 +98,7 @@ class Deadband(StatefulProcessor):
                 seen = now if now is not None else (seen or row["last_seen_us"])
                 recent, fresh = (recent + fresh)[-self.params.window :], []
                 mean = sum(recent) / len(recent) if recent else 0.0
-                score, now = max(mean**0.5, self.floor), row["ts_us"]
+                score, now = max(mean**0.5, row["floor"]), row["ts_us"]
             row["last_seen_us"] = seen
             row["reactivated"] = seen is None or now - seen > self.params.active_us
             decided = walk.advance(
@@ -155,23 +159,36 @@ def decide_stream(
     *,
     delay: str,
     floor: float,
+    ticks: DataFrame | None = None,
 ) -> DataFrame:
     """Decisions of a predicted event stream.
 
     ``thresholds``: plug key and ``threshold`` (a static table; a new query picks up a refreshed
-    one).  ``plugs``: plug key, ``last_us``, ``robust_scale`` and ``initial_bias`` from the
-    warm-up.
+    one); with ``ticks`` also ``cycle``, and an event obeys the newest tick strictly before it (in
+    a period without a tick: threshold 0).  ``plugs``: plug key, ``last_us``, ``robust_scale`` and
+    ``initial_bias`` from the warm-up, and the house's ``sigma_floor`` if not all have ``floor``.
     """
-    joined = (
-        events.withWatermark("timestamp", delay)
-        .withColumn("ts_us", F.unix_micros("timestamp"))
-        .join(thresholds.select(*PLUG, "threshold"), PLUG, "left")
-        .join(plugs.select(*PLUG, "last_us", "robust_scale", "initial_bias"), PLUG, "left")
+    own_floor = "sigma_floor" in plugs.columns
+    fitted = ["last_us", "robust_scale", "initial_bias", *["sigma_floor"] * own_floor]
+    rows = watermarked(events, delay).withColumn("ts_us", F.unix_micros("timestamp"))
+    by = list(PLUG)
+    if ticks is None:
+        rows = rows.withColumn("cycle", F.lit(0))
+    else:
+        by.append("cycle")
+        cells = ticks.select("house_id", "cell", "tick_us", F.col("cycle").alias("_cell_cycle"))
+        early = (F.col("ts_us") <= F.col("tick_us")).cast("bigint")
+        rows = (
+            rows.withColumn("cell", period_cell(params))
+            .join(cells, ["house_id", "cell"], "left")
+            .withColumn("cycle", F.col("_cell_cycle") - early)
+        )
+    joined = rows.join(thresholds.select(*by, "threshold"), by, "left").join(
+        plugs.select(*PLUG, *fitted), PLUG, "left"
     )
     fixed = {
         "config_id": F.lit(config.config_id),
         "mode": F.lit(config.allocation.mode),
-        "cycle": F.lit(0),
         "baseline": F.col("prediction"),
         "threshold_used": F.coalesce("threshold", F.lit(0.0)),
         "cap": F.lit(None),
@@ -184,9 +201,12 @@ def decide_stream(
     # without the watermarked column Spark drops nothing itself: late rows reach the state
     rows = joined.select(
         *[fixed.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in INPUT.fields],
+        (F.coalesce("sigma_floor", F.lit(floor)) if own_floor else F.lit(floor))
+        .cast("double")
+        .alias("floor"),
     )
     return rows.groupBy(*KEY).transformWithStateInPandas(
-        statefulProcessor=Deadband([config], params, floor),
+        statefulProcessor=Deadband([config], params),
         outputStructType=OUTPUT,
         outputMode="Append",
         timeMode="EventTime",

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from bandwise.streaming.batches import END, MARK
+
 
 def write_stream(
     df: DataFrame,
@@ -36,3 +38,16 @@ def write_stream(
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
+
+
+def write_bounded(
+    df: DataFrame, path: str, checkpoint: str, marks: str, *, name: str = "bandwise"
+) -> None:
+    """Write what a bounded input gives, the open state at its end included.
+
+    ``df`` reads its events through ``until_end`` with the same folder.  The mark comes after all
+    input has been worked on, so no event is late because of it.
+    """
+    write_stream(df, path, checkpoint, name=name, available_now=True).awaitTermination()
+    df.sparkSession.createDataFrame([(END,)], MARK).write.mode("append").parquet(marks)
+    write_stream(df, path, checkpoint, name=name, available_now=True).awaitTermination()

@@ -808,15 +808,18 @@ def _stream(spark: SparkSession, sf: str) -> DataFrame:
     return accept(rows, PARAMS)
 
 
-def _run_stream(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
-    from bandwise.streaming import write_stream
+def _run_stream(
+    spark: SparkSession, events: DataFrame, operator: Callable[[DataFrame], DataFrame], name: str
+) -> DataFrame:
+    """The whole result of a streaming operator: the given events end, and so does its state."""
+    from bandwise.streaming import until_end, write_bounded
 
     path = new_table_path(spark, name)
-    query = write_stream(
-        rows, f"{path}/data", f"{path}/checkpoint", name=f"{name}-{uuid.uuid4().hex[:8]}",
-        available_now=True,
+    rows = operator(until_end(events, f"{path}/end"))
+    write_bounded(
+        rows, f"{path}/data", f"{path}/checkpoint", f"{path}/end",
+        name=f"{name}-{uuid.uuid4().hex[:8]}",
     )
-    query.awaitTermination()
     return spark.read.schema(rows.schema).option("recursiveFileLookup", True).parquet(
         f"{path}/data"
     )
@@ -825,42 +828,55 @@ def _run_stream(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
 def q_stream_batches(spark, sf):
     from bandwise.streaming import batch_rollup
 
-    return _run_stream(spark, batch_rollup(_stream(spark, sf), "1 hour"), "stream-batches")
+    return _run_stream(
+        spark, _stream(spark, sf), lambda rows: batch_rollup(rows, "1 hour"), "stream-batches"
+    )
 
 
 def q_stream_ticks(spark, sf):
     from bandwise.streaming import allocation_windows
 
-    rows = allocation_windows(_stream(spark, sf), PARAMS, "1 hour")
-    return _run_stream(spark, rows, "stream-ticks")
+    return _run_stream(
+        spark, _stream(spark, sf), lambda rows: allocation_windows(rows, PARAMS, "1 hour"),
+        "stream-ticks",
+    )
 
 
 def q_stream_spells(spark, sf):
     from bandwise.streaming import stream_spells
 
-    rows = stream_spells(_stream(spark, sf), PARAMS.active_seconds, "1 hour")
-    return _run_stream(spark, rows, "stream-spells")
+    return _run_stream(
+        spark, _stream(spark, sf), lambda rows: stream_spells(rows, PARAMS.active_seconds, "1 hour"),
+        "stream-spells",
+    )
 
 
 def q_stream_predictions(spark, sf):
-    from bandwise.streaming import predict_stream
+    from bandwise.streaming import predict_stream, write_stream
 
     s = study(spark, sf)
     rows = _stream(spark, sf).where(splits.inside(PARAMS.evaluation))
     rows = predict_stream(rows, s.slot_medians, s.plug_medians, PARAMS.slot_seconds)
-    return _run_stream(
-        spark, rows.select("event_id", "value", "prediction", "residual"), "stream-predictions"
+    rows = rows.select("event_id", "value", "prediction", "residual")
+    path = new_table_path(spark, "stream-predictions")
+    query = write_stream(
+        rows, f"{path}/data", f"{path}/checkpoint", available_now=True,
+        name=f"stream-predictions-{uuid.uuid4().hex[:8]}",
+    )
+    query.awaitTermination()
+    return spark.read.schema(rows.schema).option("recursiveFileLookup", True).parquet(
+        f"{path}/data"
     )
 
 
-def stream_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Static sides of the stateful stream: first thresholds and starting states per plug."""
-    s = study(spark, sf)
-    run = s.run(mode_grid(("uniform",), (EPSILON,)))
-    thresholds = run.trace.where("cycle = 0").select(*PLUG, "threshold")
-    adaptive = AdaptiveRun(s, [TEMPLATE])
-    plugs = s.warm_plugs.select(*PLUG, "last_us").join(adaptive.scales, PLUG)
-    return thresholds, plugs.withColumn("initial_bias", F.lit(0.0))
+def stream_inputs(s: Study, config: AdaptiveConfig) -> tuple[DataFrame, DataFrame]:
+    """Static sides of the stateful stream: thresholds per cycle, and starting states per plug."""
+    thresholds = s.run([config.allocation]).trace.select(*PLUG, "cycle", "threshold")
+    adaptive = AdaptiveRun(s, [config])
+    biases = adaptive.biases.select(*PLUG, F.col("bias").alias("initial_bias"))
+    plugs = adaptive.scales.join(s.warm_plugs.select(*PLUG, "last_us"), PLUG, "left")
+    plugs = plugs.join(biases, PLUG, "left").join(s.sigma_floors, "house_id", "left")
+    return thresholds, plugs
 
 
 def q_stream_deadband(spark, sf):
@@ -871,14 +887,17 @@ def q_stream_deadband(spark, sf):
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     )
     s = study(spark, sf)
-    thresholds, plugs = stream_inputs(spark, sf)
+    config = replace(TEMPLATE, predictor_mode=_FULL_MODE)
+    thresholds, plugs = stream_inputs(s, config)
+
+    def decided(rows: DataFrame) -> DataFrame:
+        return decide_stream(
+            rows, thresholds, plugs, config, PARAMS, delay="1 hour", floor=1.0, ticks=s.ticks
+        )
+
     rows = _stream(spark, sf).where(splits.inside(PARAMS.evaluation))
     rows = predict_stream(rows, s.slot_medians, s.plug_medians, PARAMS.slot_seconds)
-    config = replace(TEMPLATE, predictor_mode=_FULL_MODE, bias_from_warmup=False)
-    decided = decide_stream(
-        rows, thresholds, plugs, config, PARAMS, delay="1 hour", floor=1.0
-    )
-    out = _run_stream(spark, decided, "stream-deadband")
+    out = _run_stream(spark, rows, decided, "stream-deadband")
     return out.select(
         "event_id", "prediction", "threshold_used", "transmitted",
         F.col("forced_reason").alias("reason"), "late",
