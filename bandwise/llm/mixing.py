@@ -83,7 +83,8 @@ def leaf_cuts(
     narrow = write_through(narrow, "mix-tokens")
     leaves = narrow.groupBy(*path).agg(F.sum("tokens").alias("supply"))
     if weights is not None:
-        leaves = leaves.join(weights.select(*path, "weight"), path, "left")
+        leaves = leaves.alias("l").join(weights.select(*path, "weight").alias("w"), same_columns("l", "w", path), "left")
+        leaves = leaves.select(*(F.col(f"l.{c}").alias(c) for c in path), "supply", "weight")
     leaves = write_through(leaves, "mix-leaves")
     quota = allocate(
         leaves, path, F.floor(F.sum("supply") * budget_ratio), max_epochs=max_epochs, power=power, weight="weight" if weights is not None else None

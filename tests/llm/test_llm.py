@@ -378,6 +378,14 @@ def test_mixing(spark, docs, rows, nothing):
     assert out.columns == docs.columns and out.count() == sum(r.copies for r in plan)
 
 
+def test_weights_of_null_paths_are_found(spark):
+    made = [(i, "a b c d", lang, "s") for i, lang in enumerate(["en", "en", None, None])]
+    weights = spark.createDataFrame([("en", "s", 1.0), (None, "s", 3.0)], "lang string, source string, weight double")
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string, source string")
+    found = mixing.plan(docs, ["lang", "source"], weights=weights, budget_ratio=0.5).collect()
+    assert {(r.lang, r.quota) for r in found} == {("en", 2), (None, 6)}
+
+
 def test_shortage_goes_to_siblings_first(spark):
     leaves = spark.createDataFrame([("a", "x", 10, 1.0), ("a", "y", 1000, 1.0), ("b", "z", 1000, 2.0)], "p string, q string, supply long, weight double")
     quota = {r.q: r.quota for r in mixing.allocate(leaves, ["p", "q"], F.lit(400), max_epochs=1, weight="weight").collect()}
