@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandwise.llm import dart_minhash, exact_dedup, language_crf, licenses, mixing, ngram_trie, piece_transducer, quality_fm, quotes, vector_caps
+from bandwise.llm import (
+    dart_minhash,
+    exact_dedup,
+    importance,
+    language_crf,
+    licenses,
+    mixing,
+    ngram_trie,
+    piece_transducer,
+    quality_fm,
+    quotes,
+    secret_novelty,
+    term_pipeline,
+    vector_caps,
+)
 from bandwise.llm.common import remainder, table
 
 
@@ -62,8 +76,22 @@ def op10_vector_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_caps.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secret_novelty.report(secret_novelty.scan(docs, secret_novelty.identifiers(docs)))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_term_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return term_pipeline.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    functions = (op1_quality_machine, op2_piece_transducer, op3_source_mixing, op4_language_crf, op5_dart_minhash, op6_ngram_trie, op7_quotation_linking, op8_exact_dedup, op9_license_scan, op10_vector_caps)
+    functions = (op1_quality_machine, op2_piece_transducer, op3_source_mixing, op4_language_crf, op5_dart_minhash, op6_ngram_trie, op7_quotation_linking, op8_exact_dedup, op9_license_scan, op10_vector_caps, op11_secret_novelty, op12_importance_resampling, op13_term_pipeline)
     return {f.__name__: f for f in functions}
 
 
@@ -159,5 +187,58 @@ from cleaned
 """
 
 
+# CRC-32 of the words: a table of 256 remainders by rule, then one step per byte
+OP12 = r"""
+with recursive steps as (
+  select i, i as v, 0 as k from range(256) t(i)
+  union all select i, case when v % 2 = 1 then xor(3988292384, v // 2) else v // 2 end, k + 1 from steps where k < 8),
+remainders as (select list(v order by i) as r from steps where k = 8),
+split as (
+  select 'd' as side, row_number() over () as row, doc_id, text from documents
+  union all select 'b', row_number() over (), null, text from benchmark),
+lists as (select side, row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from split),
+features as (select side, row, unnest(words) as word from lists),
+spelled as (select word, hex(word) as h from (select distinct word from features)),
+bytes as (select word, list_transform(range(len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::bigint) as bs from spelled),
+hashed as (select word, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, bs),
+           lambda c, b: xor(c // 256, r[(xor(c, b) % 256) + 1]))) % 10000 as bucket from bytes, remainders),
+held as (select side, row, bucket from features join hashed using (word)),
+buckets as (select bucket, count(*) filter (side = 'd') as s, count(*) filter (side = 'b') as t from held group by bucket),
+totals as (select coalesce(sum(s), 0) as s_all, coalesce(sum(t), 0) as t_all from buckets),
+gain as (select bucket, floor(1000 * ln(((t + 1)::double * (s_all + 10000)::double) / ((s + 1)::double * (t_all + 10000)::double)))::bigint as g
+         from buckets, totals),
+weights as (select row, count(*) as n_features, sum(g)::bigint as weight from held join gain using (bucket) where side = 'd' group by row),
+noise as (select row, doc_id, len(words) as n_words, ('0x' || substr(sha256('2024:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint as h
+          from lists where side = 'd'),
+scored as (select doc_id, n_words, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+           coalesce(weight, 0) + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296)))::bigint as score
+           from noise left join weights using (row)),
+ranked as (select *, row_number() over (order by n_words < 20, score desc, doc_id) as place,
+           floor(10 * count(*) filter (n_words >= 20) over () / 100) as drawn from scored)
+select doc_id, n_features::bigint as n_features, weight::bigint as weight, score::bigint as score,
+  case when place <= drawn then place end::bigint as rank from ranked
+"""
+
+OP13 = r"""
+with split as (
+  select 'd' as side, row_number() over () as row, doc_id as id, text from documents
+  union all select 'b', row_number() over (), item_id, text from benchmark),
+lists as (select side, row, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms from split),
+totals as (select count(*)::bigint as n_all, sum(len(terms))::bigint as l_all from lists where side = 'd' and len(terms) > 0),
+found as (select side, row, id, len(terms)::bigint as n, unnest(terms) as term from lists),
+asked as (select distinct row as item, id as item_id, term from found where side = 'b'),
+held as (select row, id as doc_id, n, term, count(*)::bigint as tf from found
+         where side = 'd' and term in (select term from asked) group by all),
+weight as (select term, floor(1000 * ln((2 * n_all + 2)::double / (2 * count(*) + 1)))::bigint as w from held, totals group by term, n_all),
+parts as (select row, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_all) // l_all))) as c
+          from held join weight using (term), totals),
+scores as (select item, item_id, row, doc_id, sum(c)::bigint as score from asked join parts using (term) group by all),
+ranked as (select *, row_number() over (partition by item order by score desc, doc_id, row) as rank from scores where score > 0)
+select item_id, rank::int as rank, doc_id, score from ranked where rank <= 10
+"""
+
+
 def statements() -> dict[str, str]:
-    return {"op3_source_mixing": OP3, "op7_quotation_linking": OP7, "op8_exact_dedup": OP8}
+    return {"op12_importance_resampling": OP12, "op13_term_pipeline": OP13, "op3_source_mixing": OP3, "op7_quotation_linking": OP7, "op8_exact_dedup": OP8}

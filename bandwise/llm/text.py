@@ -167,3 +167,18 @@ def per_document(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     sums = np.zeros((len(values) + 1, *values.shape[1:]), np.float64)
     np.cumsum(values, axis=0, out=sums[1:])
     return sums[first[1:]] - sums[first[:-1]]
+
+
+_NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def coded_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Words `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of texts (null: none) with A-Z lower-cased, by kernels of Arrow:
+    the row of each word, its number, and the distinct words by number."""
+    text = pc.fill_null(column.cast(pa.large_string()), "")
+    parts = pc.split_pattern_regex(pc.ascii_lower(text), pattern=_NO_WORD)
+    flat, owner = pc.list_flatten(parts), pc.list_parent_indices(parts)
+    real = pc.not_equal(pc.binary_length(flat), 0)  # splitting leaves empty strings at both ends of a text
+    coded = pc.dictionary_encode(flat.filter(real))
+    owner = owner.filter(real).to_numpy(zero_copy_only=False).astype(np.int64)
+    return owner, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
