@@ -73,9 +73,11 @@ def by_slice(events: DataFrame) -> DataFrame:
 def slice_states(events: DataFrame, warm_plugs: DataFrame) -> DataFrame:
     """One row per plug and cycle with events (cycle -1 is the warm-up) and running totals.
 
-    ``warm_plugs`` has ``last_us`` and, for the score, ``n`` and ``s`` of the warm-up tail.  The
-    windows run over a plug's cycles, not over its events.
+    ``warm_plugs`` has ``last_us`` and, for the score, ``n`` and ``s`` of the warm-up tail, and
+    ``cycle`` if what came before is not the warm-up.  The windows run over a plug's cycles, not
+    over its events.
     """
+    cycle = F.col("cycle") if "cycle" in warm_plugs.columns else F.lit(-1).cast("bigint")
     current = events.groupBy(*SLICE).agg(
         F.max("ts_us").alias("last_us"),
         F.count("sq").alias("n"),
@@ -83,7 +85,7 @@ def slice_states(events: DataFrame, warm_plugs: DataFrame) -> DataFrame:
     )
     before = warm_plugs.select(
         "house_id",
-        F.lit(-1).cast("bigint").alias("cycle"),
+        cycle.alias("cycle"),
         "household_id",
         "plug_id",
         "last_us",

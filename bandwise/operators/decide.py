@@ -101,10 +101,7 @@ def roll_up(
     sums = decisions.groupBy(*BATCH).agg(
         F.first("mode").alias("mode"),
         F.first("house_budget").alias("house_budget"),
-        F.sum("value").alias("actual_house"),
-        F.sum("reconstructed").alias("reconstructed_house"),
-        F.count("*").alias("event_count"),
-        F.count_if("transmitted").alias("transmitted_count"),
+        *batch_sums(),
         F.count_if(violation).alias("suppression_violations"),
         *[F.count_if(F.col("forced_reason") == r).alias(f"forced_{r}") for r in reasons],
     )
@@ -112,14 +109,29 @@ def roll_up(
         "config_id", "house_id", "cycle", F.col("used_budget").alias("allocated_budget")
     )
     joined = sums.join(used, ["config_id", "house_id", "cycle"], "left")
+    joined = joined.withColumn("timestamp", F.timestamp_micros("ts_us"))
+    return with_batch_figures(joined, params)
+
+
+def batch_sums() -> list[Column]:
+    """What one timestamp of a house sums up from its decided events."""
+    return [
+        F.sum("value").alias("actual_house"),
+        F.sum("reconstructed").alias("reconstructed_house"),
+        F.count("*").alias("event_count"),
+        F.count_if("transmitted").alias("transmitted_count"),
+    ]
+
+
+def with_batch_figures(batches: DataFrame, params: Params) -> DataFrame:
+    """House error and the use of the budget, from the sums of one timestamp."""
     budget = F.col("house_budget")
 
     def share(part: Column) -> Column:
         return F.when(budget > 0, part / budget).otherwise(F.lit(0.0))
 
     return (
-        joined.withColumn("timestamp", F.timestamp_micros("ts_us"))
-        .withColumn("house_error", F.col("actual_house") - F.col("reconstructed_house"))
+        batches.withColumn("house_error", F.col("actual_house") - F.col("reconstructed_house"))
         .withColumn("abs_house_error", F.abs("house_error"))
         .withColumn("allocated_budget", F.coalesce("allocated_budget", F.lit(0.0)))
         .withColumn("budget_utilization", share(F.col("allocated_budget")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 import zipfile
@@ -20,6 +21,8 @@ SETTINGS = {
     # bounds of what a Python worker gets at once, whatever the length of texts
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     "spark.sql.execution.arrow.maxBytesPerBatch": "8388608",
+    # stateful streams: states larger than memory, and several kinds of state per key
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
@@ -43,6 +46,9 @@ def ship(spark: SparkSession) -> None:
         for path in sorted(root.rglob("*.py")):
             file.write(path, path.relative_to(root.parent))
     context.addPyFile(str(archive))
+    # stateful streams start a Python process beside the driver that does not get shipped files
+    paths = [str(root.parent), context.environment.get("PYTHONPATH", "")]
+    context.environment["PYTHONPATH"] = os.pathsep.join(p for p in paths if p)
     context._bandwise_shipped = True
 
 

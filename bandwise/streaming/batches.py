@@ -47,13 +47,15 @@ def predict_stream(
     return fit.predict(events, slots, plugs, slot_seconds)
 
 
+def end_marks(spark: SparkSession, marks: str) -> DataFrame:
+    """Stream of the end mark in the folder ``marks``, of times only."""
+    spark.createDataFrame([], MARK).write.mode("append").parquet(marks)
+    return spark.readStream.schema(MARK).parquet(marks)
+
+
 def until_end(events: DataFrame, marks: str) -> DataFrame:
     """Events of a bounded stream and the end mark, once there is one in the folder ``marks``."""
-    spark = events.sparkSession
-    spark.createDataFrame([], MARK).write.mode("append").parquet(marks)
-    return events.unionByName(
-        spark.readStream.schema(MARK).parquet(marks), allowMissingColumns=True
-    )
+    return events.unionByName(end_marks(events.sparkSession, marks), allowMissingColumns=True)
 
 
 def watermarked(events: DataFrame, delay: str) -> DataFrame:

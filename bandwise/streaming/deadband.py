@@ -1,7 +1,8 @@
 """Stateful dead-band decisions on a stream, one state per plug.
 
 Values of one timestamp wait in the state until the watermark has passed it; then the batch is
-decided as a whole by the same recurrence as in the batch operators.  Rows behind the watermark
+decided as a whole by the same recurrence as in the batch operators.  Each timer touches only the
+values of its own moment.  Rows behind the watermark
 are reported as late and never change a committed batch.
 """
 
@@ -24,6 +25,10 @@ from bandwise.streaming.batches import watermarked
 _WAITING = T.StructType(
     [*[f for f in INPUT.fields if f.name not in KEY], T.StructField("floor", T.DoubleType())]
 )
+_TIME = _WAITING.names.index("ts_us")
+#: Waiting values by the millisecond of their time, the unit of timers.
+_MOMENT = T.StructType([T.StructField("ms", T.LongType())])
+_VALUES = T.StructType([T.StructField("values", T.ArrayType(_WAITING))])
 _CARRIED = T.StructType(
     [
         *[f for f in SCHEMA.fields if f.name in STATE],
@@ -49,36 +54,33 @@ class Deadband(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", _WAITING)
+        self.waiting = handle.getMapState("waiting", _MOMENT, _VALUES)
         self.carried = handle.getValueState("carried", _CARRIED)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):  # noqa: N803
         behind = timerValues.getCurrentWatermarkInMs() * 1000
-        late = []
+        late, fresh = [], {}
         for frame in rows:
             for row in frame[_WAITING.names].itertuples(index=False, name=None):
                 row = tuple(None if pd.isna(x) else x for x in row)
-                moment = int(row[_WAITING.names.index("ts_us")])
-                if moment < behind:
+                if int(row[_TIME]) < behind:
                     late.append(row)
-                    continue
-                self.waiting.appendValue(_typed(row))
-                self.handle.registerTimer(moment // 1000 + 1)
+                else:
+                    fresh.setdefault(int(row[_TIME]) // 1000, []).append(_typed(row))
+        for moment, values in fresh.items():
+            if self.waiting.containsKey((moment,)):
+                values = [*map(tuple, self.waiting.getValue((moment,))[0]), *values]
+            else:
+                self.handle.registerTimer(moment + 1)
+            self.waiting.updateValue((moment,), (values,))
         if late:
             yield self._late(key, late)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N803
-        upto = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        held = [tuple(v) for v in self.waiting.get()]
-        place = _WAITING.names.index("ts_us")
-        ready = sorted((v for v in held if v[place] < upto), key=lambda v: (v[place], v[1 + place]))
-        if not ready:
-            return
-        rest = [v for v in held if v[place] >= upto]
-        if rest:
-            self.waiting.put(rest)
-        else:
-            self.waiting.clear()
+        # one timer for each millisecond with values; Spark fires those of a key in order of time
+        moment = (expiredTimerInfo.getExpiryTimeInMs() - 1,)
+        ready = sorted(map(tuple, self.waiting.getValue(moment)[0]), key=lambda v: (v[_TIME], v[_TIME + 1]))
+        self.waiting.removeKey(moment)
         yield self._decide(key, ready)
 
     def _decide(self, key, ready: list[tuple]) -> pd.DataFrame:

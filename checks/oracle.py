@@ -1262,16 +1262,12 @@ def statements() -> dict[str, str]:
         ),
         "stream_batches": query(
             f"""select house_id, timestamp, {r('sum(value)', 'actual_house')},
-            count(*) as event_count from acc
-            where timestamp <= (select max(timestamp) from acc) - interval 1 hour
-            group by house_id, timestamp"""
+            count(*) as event_count from acc group by house_id, timestamp"""
         ),
         "stream_ticks": query(
             """select house_id,
             make_timestamp((epoch_us(timestamp) // 21600000000) * 21600000000) as period_start,
             min(timestamp) as allocation_timestamp, count(*) as events from acc
-            where make_timestamp((epoch_us(timestamp) // 21600000000 + 1) * 21600000000)
-              <= (select max(timestamp) from acc) - interval 1 hour
             group by house_id, epoch_us(timestamp) // 21600000000"""
         ),
         "stream_spells": query(
@@ -1286,9 +1282,7 @@ def statements() -> dict[str, str]:
                 partition by {PLUG} order by timestamp, row_id) as spell from gaps)
             select house_id, household_id, plug_id, min(timestamp) as spell_start,
                    max(timestamp) as spell_end, count(*) as events
-            from numbered group by {PLUG}, spell
-            having max(timestamp) + interval 86400 second
-              <= (select max(timestamp) from acc) - interval 1 hour"""
+            from numbered group by {PLUG}, spell"""
         ),
         "adaptive_summary": adaptive(
             f""",
@@ -1333,6 +1327,29 @@ def statements() -> dict[str, str]:
             from asum s join counted k using (pm, house_id) join util u using (pm, house_id)
             join budgeted b on b.house_id = s.house_id and b.config = 'uniform@5'"""
         ),
+        "stream_deadband": adaptive(
+            f"""select event_id, {rs('prediction, threshold_used')}, sent as transmitted, reason,
+            false as late from ad where pm = 'slot_median_ewma_drift_periodic_sync'"""
+        ),
+        "stream_thresholds": query(
+            f"""select mode, house_id, cycle, household_id, plug_id, {rs('score, threshold, cap')},
+            {rs('household_budget, used_budget, unused_budget')}, cap_hit_count from trace"""
+        ),
+        "stream_rollup": query(
+            f"""select mode, house_id, timestamp, {rs('actual_house, reconstructed_house')},
+            {rs('house_error, abs_house_error')}, event_count, transmitted_count,
+            {rs('allocated_budget')}, {r('bu', 'budget_utilization')},
+            {r('ub', 'bound_utilization')}, bad as bound_violation from batch"""
+        ),
+        "stream_late": query(
+            """,
+            parts as (
+              select *, value > 100 as second,
+                max(timestamp) filter (value <= 100) over () - interval 1 hour as behind from evl)
+            select house_id, count(*) filter (second and timestamp < behind) as late_events,
+              count(*) filter (not second or timestamp >= behind) as events
+            from parts group by house_id"""
+        ),
         "stream_predictions": query(
             f"select event_id, {rs('value, prediction, residual')} from eval_r"
         ),

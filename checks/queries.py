@@ -879,13 +879,21 @@ def stream_inputs(s: Study, config: AdaptiveConfig) -> tuple[DataFrame, DataFram
     return thresholds, plugs
 
 
+def _written(spark: SparkSession, path: str, schema) -> DataFrame:
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
+
+
+def _predicted_stream(spark, sf):
+    from bandwise.streaming import predict_stream
+
+    s = study(spark, sf)
+    rows = _stream(spark, sf).where(splits.inside(PARAMS.evaluation))
+    return predict_stream(rows, s.slot_medians, s.plug_medians, PARAMS.slot_seconds)
+
+
 def q_stream_deadband(spark, sf):
-    from bandwise.streaming import decide_stream, predict_stream
+    from bandwise.streaming import decide_stream
 
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
     s = study(spark, sf)
     config = replace(TEMPLATE, predictor_mode=_FULL_MODE)
     thresholds, plugs = stream_inputs(s, config)
@@ -895,21 +903,98 @@ def q_stream_deadband(spark, sf):
             rows, thresholds, plugs, config, PARAMS, delay="1 hour", floor=1.0, ticks=s.ticks
         )
 
-    rows = _stream(spark, sf).where(splits.inside(PARAMS.evaluation))
-    rows = predict_stream(rows, s.slot_medians, s.plug_medians, PARAMS.slot_seconds)
-    out = _run_stream(spark, rows, decided, "stream-deadband")
+    out = _run_stream(spark, _predicted_stream(spark, sf), decided, "stream-deadband")
     return out.select(
         "event_id", "prediction", "threshold_used", "transmitted",
         F.col("forced_reason").alias("reason"), "late",
     )
 
 
+def q_stream_late(spark, sf):
+    """Readings above 100 arrive when all others have been worked on; those behind the watermark are only counted."""
+    from bandwise.streaming import decide_stream, predict_stream, until_end, write_bounded
+    from bandwise.streaming.deadband import late_counts
+
+    s = study(spark, sf)
+    config = replace(TEMPLATE, predictor_mode=_FULL_MODE)
+    thresholds, plugs = stream_inputs(s, config)
+    path = new_table_path(spark, "stream-late")
+    second = F.col("value") > 100
+
+    def deliver(condition):
+        s.evaluation.where(condition).write.mode("append").parquet(f"{path}/in")
+
+    deliver(~second)
+    source = spark.readStream.schema(s.evaluation.schema).parquet(f"{path}/in")
+    rows = predict_stream(source, s.slot_medians, s.plug_medians, PARAMS.slot_seconds)
+    decided = decide_stream(
+        until_end(rows, f"{path}/end"), thresholds, plugs, config, PARAMS, delay="1 hour", floor=1.0,
+        ticks=s.ticks,
+    )
+    write_bounded(
+        decided, f"{path}/data", f"{path}/checkpoint", f"{path}/end",
+        name=f"stream-late-{uuid.uuid4().hex[:8]}", more=[lambda: deliver(second)],
+    )
+    return late_counts(_written(spark, f"{path}/data", decided.schema)).drop("config_id")
+
+
+def _stream_allocation(spark, sf):
+    """Thresholds of all six modes from the event stream; the folder they are written to."""
+    from bandwise.streaming import StreamAllocation, gather_periods, until_end, write_bounded
+
+    def build():
+        path = new_table_path(spark, "stream-allocation")
+        allocation = StreamAllocation(study(spark, sf), mode_grid(epsilons=(EPSILON,), **CAPS), path)
+        allocation.start()
+        rows = until_end(_predicted_stream(spark, sf), f"{path}/end")
+        write_bounded(
+            gather_periods(rows, PARAMS, "1 hour"), f"{path}/periods", f"{path}/checkpoint", f"{path}/end",
+            name=f"stream-allocation-{uuid.uuid4().hex[:8]}", refresh=allocation.refresh,
+        )
+        return allocation
+
+    return shared(spark, sf, "stream-allocation", build)
+
+
+def q_stream_thresholds(spark, sf):
+    path = _stream_allocation(spark, sf).path
+    rows = spark.read.parquet(f"{path}/trace")
+    return rows.select(
+        "mode", "house_id", "cycle", "household_id", "plug_id", "score", "threshold", "cap", "household_budget",
+        "used_budget", "unused_budget", "cap_hit_count",
+    )
+
+
+def q_stream_rollup(spark, sf):
+    """Reconstructed load and house error: events joined with the thresholds' stream."""
+    from bandwise.streaming import rolled_decisions, threshold_stream, until_end, write_bounded
+    from bandwise.streaming.allocation import end_of_periods
+
+    allocation = _stream_allocation(spark, sf)
+    path = new_table_path(spark, "stream-rollup")
+    events = until_end(_predicted_stream(spark, sf), f"{path}/end")
+    thresholds = end_of_periods(threshold_stream(spark, allocation.path), f"{path}/end")
+    rows = rolled_decisions(events, thresholds, allocation.configs, PARAMS, "1 hour")
+    write_bounded(
+        rows, f"{path}/data", f"{path}/checkpoint", f"{path}/end", name=f"stream-rollup-{uuid.uuid4().hex[:8]}"
+    )
+    return _written(spark, f"{path}/data", rows.schema).select(
+        "mode", "house_id", "timestamp", "actual_house", "reconstructed_house", "house_error", "abs_house_error",
+        "event_count", "transmitted_count", "allocated_budget", "budget_utilization", "bound_utilization",
+        "bound_violation",
+    )
+
+
 # registry ------------------------------------------------------------------------------------------
 
+# thresholds that depend on decisions walk the cycles from the driver: in the library, not registered
+_UNREGISTERED = ("decide_proxy", "exact_proxy", "predictor_matrix")
+
 _PLAIN = {
     name[2:]: function
     for name, function in list(globals().items())
     if name.startswith("q_") and name not in ("q_alloc", "q_decide", "q_detect_drift", "q_adaptive")
+    and name[2:] not in _UNREGISTERED
 }
 _BY_ARGUMENT = {
     **{f"alloc_{short}": partial(q_alloc, mode=mode) for short, mode in (

@@ -6,8 +6,6 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entries
-from bandwise.params import MODES
-from checks import queries
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(DATA).is_dir(), reason="given tables not present")
@@ -24,6 +22,10 @@ COMPARED = (
     "adaptive_uniform_drift_sync",
     "recovery_episodes",
     "spearman",
+    "stream_batches",
+    "stream_rollup",
+    "stream_thresholds",
+    "stream_late",
 )
 
 
@@ -56,15 +58,6 @@ def test_agrees_with_duckdb(spark, name):
     assert found == want
 
 
-def test_coupled_queries_are_whole(spark, monkeypatch):
-    """They run every cycle of the other queries, and the matrix every allocator."""
-    given = {}
-    monkeypatch.setattr(queries, "predictor_matrix", lambda study, grid, _: given.update(study=study, grid=grid))
-    queries.q_predictor_matrix(spark, DATA)
-    assert [c.mode for c in given["grid"]] == list(MODES)
-    assert given["study"].params == queries.proxy_study(spark, DATA).study.params == queries.PARAMS
-
-
 def test_entry(spark):
     frame = entries.entry(spark)
     assert frame.count() == 18 and "transmission_ratio" in frame.columns

@@ -12,21 +12,25 @@ from bandwise.plans.adaptive import AdaptiveRun
 from bandwise.plans.frozen import Study
 from bandwise.sources.events import PLUG
 from bandwise.streaming import (
+    StreamAllocation,
     allocation_windows,
     batch_rollup,
     decide_stream,
+    gather_periods,
     predict_stream,
+    rolled_decisions,
     stream_events,
     stream_spells,
+    threshold_stream,
     until_end,
     write_bounded,
     write_stream,
 )
+from bandwise.streaming.allocation import end_of_periods
 from bandwise.streaming.deadband import late_counts
 from checks.queries import stream_inputs
 from tests.fixtures import SCHEMA, START, drifting_house, house_params
 
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 FLUSH = START + timedelta(days=30)
 
 
@@ -98,7 +102,6 @@ def test_rollup_ticks_and_spells(spark, source, rows, tmp_path):
 
 
 def test_stateful_decisions_equal_the_batch_fold(spark, source, rows, tmp_path):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     params = house_params(period_seconds=86400 * 2)
     study = Study(spark.createDataFrame(rows, SCHEMA), params)
     allocation = mode_grid(("uniform",), (0.05,))[0]
@@ -181,7 +184,6 @@ def test_bounded_windows_are_whole(spark, whole, rows):
 
 def test_bounded_decisions_are_whole(spark, whole, rows):
     """Every event is decided, with the fitted threshold of its cycle, floor and starting bias."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     params = house_params()
     study = Study(spark.createDataFrame(rows, SCHEMA), params)
     allocation = mode_grid(("uniform",), (0.05,))[0]
@@ -209,6 +211,48 @@ def test_bounded_decisions_are_whole(spark, whole, rows):
     assert least >= study.houses.first().sigma_floor > 0
 
 
+def test_thresholds_and_rollup_over_several_micro_batches(spark, whole, source, rows, tmp_path):
+    """State that is carried between micro-batches gives the thresholds and errors of the batch plan."""
+    params = house_params()
+    study = Study(spark.createDataFrame(rows, SCHEMA), params)
+    configs = mode_grid(("uniform", "flat_variance", "true_hierarchical_cap"), (0.05,), cap_min_samples=5)
+    batch = study.run(configs)
+    allocation = StreamAllocation(study, configs, str(tmp_path / "allocation"))
+    allocation.start()
+
+    def predicted():
+        events = stream(spark, source)
+        return predict_stream(events, study.slot_medians, study.plug_medians, params.slot_seconds)
+
+    periods = gather_periods(until_end(predicted(), str(tmp_path / "end")), params, "1 hour")
+    write_bounded(
+        periods, str(tmp_path / "periods"), str(tmp_path / "ck"), str(tmp_path / "end"),
+        name="periods", refresh=allocation.refresh,
+    )
+    trace = spark.read.parquet(f"{allocation.path}/trace")
+    assert trace.where("epoch >= 0").select("epoch").distinct().count() >= 2
+    key = ["config_id", "house_id", "cycle", "household_id", "plug_id"]
+    figures = ["score", "threshold", "used_budget"]
+    want = batch.trace.select(*key, *[F.col(c).alias(f"w_{c}") for c in figures])
+    pairs = trace.join(want, key)
+    assert pairs.count() == trace.count() == want.count() > 0
+    for c in figures:
+        assert pairs.where(F.abs(F.col(c) - F.col(f"w_{c}")) > 1e-9).count() == 0, c
+
+    path = str(tmp_path / "rolled")
+    thresholds = end_of_periods(threshold_stream(spark, allocation.path), f"{path}-end")
+    rolled = rolled_decisions(until_end(predicted(), f"{path}-end"), thresholds, configs, params, "1 hour")
+    write_bounded(rolled, path, f"{path}-ck", f"{path}-end", name="rolled")
+    got = spark.read.schema(rolled.schema).option("recursiveFileLookup", True).parquet(path)
+    key, figures = ["config_id", "house_id", "timestamp"], ["house_error", "reconstructed_house", "allocated_budget"]
+    exact = ["event_count", "transmitted_count", "bound_violation"]
+    want = batch.batches.select(*key, *exact, *[F.col(c).alias(f"w_{c}") for c in figures])
+    pairs = got.join(want, [*key, *exact])
+    assert pairs.count() == got.count() == want.count() > 0
+    for c in figures:
+        assert pairs.where(F.abs(F.col(c) - F.col(f"w_{c}")) > 1e-9).count() == 0, c
+
+
 def test_update_trace_of_nothing_keeps_its_schema(spark, rows):
     study = Study(spark.createDataFrame(rows, SCHEMA), house_params())
     frozen = AdaptiveConfig(AllocationConfig("f", "uniform", 0.05))
