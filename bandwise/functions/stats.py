@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from bandwise.session import write_through
+
+#: Parts that a cell of values is cut into in one round, and rows of a cell whose values are ranked at once.  A bucket of
+#: `order_bucket` holds at most 2**46 different doubles, so two rounds leave at most 2**18 different values in a cell.
+PARTS, ROUNDS, CELL_ROWS = 16_384, 2, 100_000
+
 
 def order_bucket(value: Column) -> Column:
     """Order-preserving bucket of a double: about 64 buckets per power of two, 0 for zero."""
@@ -20,190 +26,183 @@ def order_bucket(value: Column) -> Column:
     )
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Row count of the largest group: the size check before a group-local algorithm is chosen."""
-    row = df.groupBy(*keys).count().agg(F.max("count")).first()
-    return int(row[0] or 0)
+Powers = Mapping[str, Callable[[Column], Column]]
+#: What tail means and top shares add up: the values themselves.
+VALUES: Powers = {"s": lambda v: v}
 
 
-def exact_percentiles(
+def order_statistics(
     df: DataFrame,
     keys: Sequence[str],
     value: Column,
-    probs: Mapping[str, float],
+    ranks: Mapping[str, Callable[[Column], Column]],
     *,
-    split: bool = False,
+    powers: Powers = VALUES,
+    sums: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Linear-interpolated percentiles per group, one column per entry of ``probs``.
+    """The values at some ranks (from 0, ascending) of each group, with the sums above them.
 
-    ``split=False`` uses the built-in aggregate, which holds the distinct values of a group in one
-    task.  ``split=True`` never does: a histogram over order-preserving buckets locates the bucket
-    of every wanted rank, and only the rows of those buckets are ranked.
+    A rank is a function of the group's row count ``n``.  Its column is a struct: ``v``, the value;
+    ``ties``, the rows that equal it; ``above``, the rows above it; and for each of ``powers``
+    (functions of a value) ``above_<name>``, their sum over those rows.  Also returned per group:
+    ``n``, ``least``, ``most``, ``total_<name>`` of the powers, and ``sums`` of other expressions.
+    Null values are no rows; a group without any gives none, and keys are not null.
+
+    One pass counts the rows by cells of neighbouring values.  Each wanted rank lies in one cell, and
+    most cells tell its value by their least and largest.  Only rows of the others are read again:
+    cells of many rows are cut into parts between these two, which are cells again, and the
+    different values of small ones are ranked.  Equal values are counted together on the map side.
+    So no task ever holds a group, or all rows of one value; the driver learns the rows of the
+    largest open cell.  Between passes only the cells with wanted ranks are kept, in a table.
     """
-    rows = df.select(*keys, value.alias("_v")).where(F.col("_v").isNotNull())
-    if not split:
-        wanted = F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs.values()]))
-        picked = rows.groupBy(*keys).agg(wanted.alias("_p"))
-        return picked.select(*keys, *[F.col("_p")[i].alias(n) for i, n in enumerate(probs)])
-
-    rows = rows.withColumn("_b", order_bucket(F.col("_v")))
-    whole = Window.partitionBy(*keys)
-    ahead = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    histogram = (
-        rows.groupBy(*keys, "_b")
-        .agg(F.count("*").alias("_c"))
-        .withColumn("_before", F.coalesce(F.sum("_c").over(ahead), F.lit(0)))
-        .withColumn("_n", F.sum("_c").over(whole))
-    )
-    probes = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(name).alias("name"), F.lit(float(p)).alias("p"))
-                for name, p in probs.items()
-            ]
-        )
+    extra = dict(sums or {})
+    named = {f"_k{i}": F.col(k) for i, k in enumerate(keys)}
+    rows = df.select(
+        *[c.alias(n) for n, c in named.items()], value.cast("double").alias("_v"), *[c.alias(f"_x_{n}") for n, c in extra.items()]
     )
-    position = F.col("_q.p") * (F.col("_n") - 1)
-
-    def inside(rank: str, before: str, count: str) -> Column:
-        return (F.col(rank) >= F.col(before)) & (F.col(rank) < F.col(before) + F.col(count))
-
-    targets = (
-        histogram.withColumn("_q", probes)
-        .withColumn("_pos", position)
-        .withColumn("_lo", F.floor("_pos"))
-        .withColumn("_hi", F.ceil("_pos"))
-        .where(inside("_lo", "_before", "_c") | inside("_hi", "_before", "_c"))
-        .select(*keys, "_b", "_before", F.col("_q.name").alias("_name"), "_pos", "_lo", "_hi")
+    rows = rows.where(F.col("_v").isNotNull()).withColumn("_c0", order_bucket(F.col("_v")))
+    group, path = list(named), ["_c0"]
+    added = [f"_p_{n}" for n in powers]
+    measured = [
+        F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
+        *[F.sum(f(F.col("_v"))).alias(f"_p_{n}") for n, f in powers.items()],
+    ]
+    cells = rows.groupBy(*group, "_c0").agg(*measured, *[F.sum(f"_x_{n}").alias(f"_x_{n}") for n in extra])
+    whole = Window.partitionBy(*group)
+    totals = {
+        "n": F.sum("_n").over(whole), "least": F.min("_lo").over(whole), "most": F.max("_hi").over(whole),
+        **{f"total_{n}": F.sum(f"_p_{n}").over(whole) for n in powers}, **{n: F.sum(f"_x_{n}").over(whole) for n in extra},
+    }
+    placed = _placed(cells, group, "_c0", ["_n", *added]).withColumns(totals)
+    wanted = F.array(*[F.struct(F.lit(n).alias("_name"), f(F.col("n")).cast("long").alias("_rank")) for n, f in ranks.items()])
+    inside = F.filter(wanted, lambda w: (w["_rank"] >= F.col("_before")) & (w["_rank"] < F.col("_before") + F.col("_n")))
+    hit = placed.select("*", F.inline(inside)).withColumn("_rank", F.col("_rank") - F.col("_before"))
+    hit = write_through(hit.drop("_before", *[f"_x_{n}" for n in extra]), "ranks")
+    settled, still = _settle(hit, powers), hit.where(_open())
+    rows = rows.drop(*[f"_x_{n}" for n in extra])
+    largest = still.agg(F.max("_n")).first()[0]
+    while largest and largest > CELL_ROWS and len(path) <= ROUNDS:
+        edges = still.select(*group, *path, F.col("_lo").alias("_from"), F.col("_hi").alias("_to")).distinct()
+        part = F.least(F.floor((F.col("_v") - F.col("_from")) / (F.col("_to") - F.col("_from")) * PARTS), F.lit(PARTS - 1)).cast("int")
+        step = f"_c{len(path)}"
+        rows = rows.join(edges, [*group, *path]).withColumn(step, part).drop("_from", "_to")
+        hit = write_through(_descend(rows.groupBy(*group, *path, step).agg(*measured), still, group, path, step, added), "ranks")
+        settled = settled.unionByName(_settle(hit, powers))
+        path.append(step)
+        still = hit.where(_open())
+        largest = still.agg(F.max("_n")).first()[0]
+    if largest:
+        ranked = rows.join(still.select(*group, *path).distinct(), [*group, *path]).withColumn("_value", F.col("_v"))
+        cells = ranked.groupBy(*group, *path, "_value").agg(*measured)
+        settled = settled.unionByName(_settle(_descend(cells, still, group, path, "_value", added), powers))
+    wide = settled.groupBy(*group).agg(
+        *[F.first(n).alias(n) for n in totals],
+        *[F.max(F.when(F.col("_name") == n, F.col("_found"))).alias(n) for n in ranks],
     )
-    needed = targets.select(*keys, "_b", "_before").distinct()
-    inner = Window.partitionBy(*keys, "_b").orderBy("_v")
-    ranked = (
-        rows.join(needed, [*keys, "_b"])
-        .groupBy(*keys, "_b", "_before", "_v")
-        .agg(F.count("*").alias("_c"))
-        .withColumn(
-            "_start",
-            F.col("_before")
-            + F.coalesce(
-                F.sum("_c").over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-            ),
-        )
-        .select(*keys, "_b", "_v", "_start", "_c")
-    )
-    found = (
-        ranked.join(targets.drop("_before"), [*keys, "_b"])
-        .groupBy(*keys, "_name", "_pos", "_lo")
-        .agg(
-            F.max(F.when(inside("_lo", "_start", "_c"), F.col("_v"))).alias("_v_lo"),
-            F.max(F.when(inside("_hi", "_start", "_c"), F.col("_v"))).alias("_v_hi"),
-        )
-        .withColumn(
-            "_value",
-            F.col("_v_lo") + (F.col("_v_hi") - F.col("_v_lo")) * (F.col("_pos") - F.col("_lo")),
-        )
-    )
-    return found.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_name") == n, F.col("_value"))).alias(n) for n in probs]
+    return wide.select(*[F.col(n).alias(k) for n, k in zip(group, keys, strict=True)], *totals, *ranks)
+
+
+def _open() -> Column:
+    """Cells whose least and largest value do not tell all others."""
+    return (F.col("_lo") < F.col("_hi")) & (F.col("_n") > 2)
+
+
+def _settle(hit: DataFrame, powers: Powers) -> DataFrame:
+    """Ranks whose value is known."""
+    low = (F.col("_lo") < F.col("_hi")) & (F.col("_rank") == 0)  # of two values the larger is above
+    found = F.struct(
+        F.when(F.col("_rank") == 0, F.col("_lo")).otherwise(F.col("_hi")).alias("v"),
+        F.when(F.col("_lo") == F.col("_hi"), F.col("_n")).otherwise(F.lit(1)).alias("ties"),
+        (F.col("_over_n") + low.cast("long")).alias("above"),
+        *[(F.col(f"_over_p_{n}") + F.when(low, f(F.col("_hi"))).otherwise(F.lit(0.0))).alias(f"above_{n}") for n, f in powers.items()],
     )
+    inner = ("_lo", "_hi", "_n", "_rank", "_over", "_p_", "_c", "_value")  # group columns begin with _k
+    own = [c for c in hit.columns if not c.startswith(inner)]
+    return hit.where(~_open()).select(*own, "_name", found.alias("_found"))
 
 
-def tail_means(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: Column,
-    tails: Mapping[str, tuple[str, float]],
-    *,
-    split: bool = False,
-) -> DataFrame:
-    """Percentile and the mean of the values at or above it: ``{cvar_name: (pct_name, p)}``."""
-    rows = df.select(*keys, value.alias("_x"))
-    limits = exact_percentiles(
-        rows, keys, F.col("_x"), {pct: p for pct, p in tails.values()}, split=split
+def _placed(cells: DataFrame, family: list[str], step: str, added: list[str]) -> DataFrame:
+    """Cells with the rows before them, and the rows and sums over them."""
+    below = Window.partitionBy(*family).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy(*family).orderBy(F.desc(step)).rowsBetween(Window.unboundedPreceding, -1)
+    return cells.select(
+        "*",
+        F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_before"),
+        *[F.coalesce(F.sum(c).over(over), F.lit(0)).alias(f"_over{c}") for c in added],
     )
-    joined = rows.join(limits, list(keys))
-    return joined.groupBy(*keys).agg(
-        *[F.max(pct).alias(pct) for pct, _ in tails.values()],
-        *[
-            F.avg(F.when(F.col("_x") >= F.col(pct), F.col("_x"))).alias(name)
-            for name, (pct, _) in tails.items()
-        ],
+
+
+def _descend(cells: DataFrame, still: DataFrame, group: list[str], path: list[str], step: str, added: list[str]) -> DataFrame:
+    """The part of its cell that holds each rank, with what lies above it."""
+    counts = ["_n", *added]
+    parts = _placed(cells, [*group, *path], step, counts)
+    carried = [F.col(f"_over{c}").alias(f"_far{c}") for c in counts]
+    asked = still.select(
+        *[c for c in still.columns if c not in ("_n", "_lo", "_hi", *added) and not c.startswith("_over")], *carried
     )
+    joined = parts.join(asked, [*group, *path])
+    joined = joined.where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_n")))
+    sums = {f"_over{c}": F.col(f"_over{c}") + F.col(f"_far{c}") for c in counts}
+    joined = joined.withColumns({"_rank": F.col("_rank") - F.col("_before"), **sums})
+    return joined.drop("_before", *[f"_far{c}" for c in counts])
 
 
-def top_share(
-    df: DataFrame, keys: Sequence[str], value: Column, fractions: Mapping[str, float]
-) -> DataFrame:
-    """Share of the total carried by the largest ``max(ceil(n * f), 1)`` values of each group.
+def position_ranks(probs: Mapping[str, float]) -> dict[str, Callable[[Column], Column]]:
+    """The two ranks that linear interpolation needs, per probability."""
+    ranks: dict[str, Callable[[Column], Column]] = {}
+    for name, p in probs.items():
+        ranks[f"{name}__lo"] = lambda n, p=p: F.floor(F.lit(float(p)) * (n - 1))
+        ranks[f"{name}__hi"] = lambda n, p=p: F.ceil(F.lit(float(p)) * (n - 1))
+    return ranks
 
-    The value at the cut rank is found with the split percentile; rows above it are summed and the
-    ties at the cut are counted, so no group is ever sorted in one task.
-    """
-    rows = df.select(*keys, value.alias("_x")).where(F.col("_x").isNotNull())
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.sum("_x").alias("_total"))
-    shares = sizes.select(*keys)
-    whole = Window.partitionBy(*keys)
-    histogram = (
-        rows.groupBy(*keys, order_bucket(F.col("_x")).alias("_b"))
-        .agg(F.count("*").alias("_c"), F.sum("_x").alias("_s"))
-        .withColumn(
-            "_above",
-            F.coalesce(
-                F.sum("_c").over(
-                    whole.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
-                ),
-                F.lit(0),
-            ),
-        )
-        .withColumn(
-            "_above_sum",
-            F.coalesce(
-                F.sum("_s").over(
-                    whole.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
-                ),
-                F.lit(0.0),
-            ),
-        )
-        .join(sizes, list(keys))
+
+def percentile_column(name: str, p: float) -> Column:
+    """Linear interpolation between the order statistics of `position_ranks`."""
+    low, high = F.col(f"{name}__lo.v"), F.col(f"{name}__hi.v")
+    position = F.lit(float(p)) * (F.col("n") - 1)
+    return low + (high - low) * (position - F.floor(position))
+
+
+def tail_mean_column(name: str, p: float, power: str = "s") -> Column:
+    """Mean of the values at or above the percentile, from the same order statistics."""
+    at = F.when(percentile_column(name, p) <= F.col(f"{name}__lo.v"), F.col(f"{name}__lo")).otherwise(F.col(f"{name}__hi"))
+    return (at[f"above_{power}"] + at["ties"] * at["v"]) / (at["above"] + at["ties"])
+
+
+def top_share_rank(fraction: float) -> Callable[[Column], Column]:
+    """Rank of the smallest of the largest ``max(ceil(n * f), 1)`` values."""
+    return lambda n: n - F.greatest(F.ceil(n * F.lit(float(fraction))), F.lit(1))
+
+
+def top_share_column(name: str, fraction: float, power: str, of: Callable[[Column], Column]) -> Column:
+    """Share of the total of a power that the largest ``max(ceil(n * f), 1)`` values carry."""
+    count = F.greatest(F.ceil(F.col("n") * F.lit(float(fraction))), F.lit(1))
+    part = F.col(f"{name}.above_{power}") + (count - F.col(f"{name}.above")) * of(F.col(f"{name}.v"))
+    total = F.col(f"total_{power}")
+    return F.when(total > 0, part / total).otherwise(F.lit(0.0))
+
+
+def exact_percentiles(df: DataFrame, keys: Sequence[str], value: Column, probs: Mapping[str, float]) -> DataFrame:
+    """Linear-interpolated percentiles per group, one column per entry of ``probs``."""
+    found = order_statistics(df, keys, value, position_ranks(probs), powers={})
+    return found.select(*keys, *[percentile_column(n, p).alias(n) for n, p in probs.items()])
+
+
+def tail_means(df: DataFrame, keys: Sequence[str], value: Column, tails: Mapping[str, tuple[str, float]]) -> DataFrame:
+    """Percentile and the mean of the values at or above it: ``{cvar_name: (pct_name, p)}``."""
+    found = order_statistics(df, keys, value, position_ranks(dict(tails.values())))
+    return found.select(
+        *keys,
+        *[percentile_column(n, p).alias(n) for n, p in tails.values()],
+        *[tail_mean_column(n, p).alias(name) for name, (n, p) in tails.items()],
     )
-    for name, fraction in fractions.items():
-        wanted = F.greatest(F.ceil(F.col("_n") * F.lit(fraction)), F.lit(1))
-        cut = histogram.withColumn("_k", wanted).where(
-            (F.col("_above") < F.col("_k")) & (F.col("_above") + F.col("_c") >= F.col("_k"))
-        )
-        inner = Window.partitionBy(*keys).orderBy(F.desc("_x"))
-        inside = (
-            rows.withColumn("_b", order_bucket(F.col("_x")))
-            .join(cut.select(*keys, "_b", "_above", "_above_sum", "_k", "_total"), [*keys, "_b"])
-            .groupBy(*keys, "_above", "_above_sum", "_k", "_total", "_x")
-            .agg(F.count("*").alias("_c"))
-            .withColumn(
-                "_prior",
-                F.coalesce(
-                    F.sum("_c").over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-                ),
-            )
-            .withColumn(
-                "_take",
-                F.greatest(
-                    F.least(F.col("_c"), F.col("_k") - F.col("_above") - F.col("_prior")),
-                    F.lit(0),
-                ),
-            )
-            .groupBy(*keys)
-            .agg(
-                (F.max("_above_sum") + F.sum(F.col("_take") * F.col("_x"))).alias("_part"),
-                F.max("_total").alias("_total"),
-            )
-            .select(
-                *keys,
-                F.when(F.col("_total") > 0, F.col("_part") / F.col("_total"))
-                .otherwise(F.lit(0.0))
-                .alias(name),
-            )
-        )
-        shares = shares.join(inside, list(keys), "left")
-    return shares.fillna(0.0, list(fractions))
+
+
+def top_share(df: DataFrame, keys: Sequence[str], value: Column, fractions: Mapping[str, float]) -> DataFrame:
+    """Share of the total carried by the largest ``max(ceil(n * f), 1)`` values of each group."""
+    found = order_statistics(df, keys, value, {n: top_share_rank(f) for n, f in fractions.items()})
+    shares = [top_share_column(n, f, "s", lambda v: v).alias(f"_{n}") for n, f in fractions.items()]
+    return found.select(*keys, *shares).withColumnsRenamed({f"_{n}": n for n in fractions})
 
 
 def running_totals(

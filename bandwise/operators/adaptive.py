@@ -11,16 +11,25 @@ import math
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from bandwise.functions.stats import exact_percentiles, running_totals, tail_means, top_share
+from bandwise.functions.stats import (
+    order_statistics,
+    percentile_column,
+    position_ranks,
+    running_totals,
+    tail_mean_column,
+    top_share_column,
+    top_share_rank,
+)
 from bandwise.operators.drift import CALM, Detector, observe
 from bandwise.operators.fold import CARRIED, Walk, with_results
 from bandwise.operators.metrics import RUN
 from bandwise.params import AdaptiveConfig, Params
+from bandwise.session import write_through
 
 KEY = ["config_id", "house_id", "household_id", "plug_id"]
 ORDER = ["ts_us", "row_id"]
@@ -299,8 +308,12 @@ def finish(folded: DataFrame, configs: Sequence[AdaptiveConfig]) -> DataFrame:
 
 def observed(decisions: DataFrame) -> DataFrame:
     """Rows that count as predictions: predicted, with a valid value."""
+    return decisions.where(_is_observed())
+
+
+def _is_observed() -> Column:
     valid = ~F.isnan("value") & (F.col("value") >= 0) & (F.col("value") < F.lit(float("inf")))
-    return decisions.where(F.col("edge_prediction").isNotNull() & valid)
+    return F.col("edge_prediction").isNotNull() & valid
 
 
 # traces ------------------------------------------------------------------------------------
@@ -396,44 +409,45 @@ def bias_trace(
 
 def silence_durations(decisions: DataFrame, params: Params) -> DataFrame:
     """Seconds of silence that each transmission ends; the evaluation start counts as one."""
-    since = F.coalesce(F.col("prior_last_tx_us"), F.lit(params.start_us))
     return observed(decisions).where("transmitted").select(
-        *KEY,
-        "timestamp",
-        "event_id",
-        (F.greatest(F.col("ts_us") - since, F.lit(0)) / F.lit(1e6)).alias("silence_seconds"),
+        *KEY, "timestamp", "event_id", _silence(params).alias("silence_seconds")
     )
 
 
+def _silence(params: Params) -> Column:
+    since = F.coalesce(F.col("prior_last_tx_us"), F.lit(params.start_us))
+    return F.greatest(F.col("ts_us") - since, F.lit(0)) / F.lit(1e6)
+
+
 def recovery_episodes(decisions: DataFrame) -> DataFrame:
-    """What happened after every drift trigger, until the plug's next one."""
+    """What happened after every drift trigger, until the plug's next one.
+
+    A row can open an episode and be observed in the one before; both are gathered in one pass.
+    """
     key = [*KEY, "episode_number"]
-    triggers = decisions.where(F.col("forced_reason") == "drift_detected").select(
-        *KEY,
-        F.col("episode").alias("episode_number"),
-        F.col("ts_us").alias("_trigger_us"),
-        F.abs("innovation").alias("pre_trigger_absolute_prediction_error"),
-    )
     error = F.abs(F.col("innovation"))
-
-    def nth(number: int):
-        return F.max(F.when(F.col("observed_number") == number, error))
-
-    first_good = F.min(
-        F.when(error <= F.col("robust_scale"), F.struct("observed_number", "ts_us"))
+    opens = F.when(F.col("forced_reason") == "drift_detected", F.col("episode"))
+    roles = F.array(
+        F.struct(opens.alias("episode_number"), F.lit(True).alias("_opens")),
+        F.struct(F.col("observed_episode").alias("episode_number"), F.lit(False).alias("_opens")),
     )
-    later = (
-        decisions.where(F.col("observed_episode").isNotNull())
-        .groupBy(*KEY, F.col("observed_episode").alias("episode_number"))
-        .agg(
-            nth(1).alias("post_trigger_prediction_error_1"),
-            nth(5).alias("post_trigger_prediction_error_5"),
-            nth(10).alias("post_trigger_prediction_error_10"),
-            first_good.alias("_recovered"),
-        )
+    rows = decisions.select(
+        *KEY, "ts_us", "observed_number", "robust_scale", error.alias("_error"),
+        F.inline(F.filter(roles, lambda r: r["episode_number"].isNotNull())),
+    )
+    seen = ~F.col("_opens")
+
+    def nth(number: int) -> Column:
+        return F.max(F.when(seen & (F.col("observed_number") == number), F.col("_error")))
+
+    good = seen & (F.col("_error") <= F.col("robust_scale"))
+    joined = rows.groupBy(*key).agg(
+        F.max(F.when(F.col("_opens"), F.col("ts_us"))).alias("_trigger_us"),
+        F.max(F.when(F.col("_opens"), F.col("_error"))).alias("pre_trigger_absolute_prediction_error"),
+        *[nth(n).alias(f"post_trigger_prediction_error_{n}") for n in (1, 5, 10)],
+        F.min(F.when(good, F.struct("observed_number", "ts_us"))).alias("_recovered"),
     )
-    joined = triggers.join(later, key, "left")
-    return joined.select(
+    return joined.where(F.col("_trigger_us").isNotNull()).select(
         *key,
         F.timestamp_micros("_trigger_us").alias("trigger_timestamp"),
         F.timestamp_micros("_recovered.ts_us").alias("recovered_timestamp"),
@@ -452,41 +466,52 @@ def recovery_episodes(decisions: DataFrame) -> DataFrame:
 # metrics -----------------------------------------------------------------------------------
 
 
-def prediction_metrics(
-    decisions: DataFrame, keys: Sequence[str] = tuple(RUN), *, split: bool = True
-) -> DataFrame:
-    """Central, tail and concentration figures of the innovations, exact at any size."""
-    rows = observed(decisions).select(*keys, "innovation")
-    error = F.col("innovation")
-    central = rows.groupBy(*keys).agg(
-        F.count("*").alias("events"),
-        F.avg(F.abs(error)).alias("prediction_mae"),
-        F.sqrt(F.avg(error * error)).alias("prediction_rmse"),
-        F.avg(error).alias("prediction_bias"),
-    )
-    tails = tail_means(
-        rows,
-        keys,
-        F.abs(error),
-        {
-            "prediction_cvar95": ("prediction_p95", 0.95),
-            "prediction_cvar99": ("prediction_p99", 0.99),
-        },
-        split=split,
-    )
-    shares = top_share(
+TAILS = {"prediction_cvar95": ("prediction_p95", 0.95), "prediction_cvar99": ("prediction_p99", 0.99)}
+SHARES = {"top_1_percent_squared_error_share": 0.01, "top_5_percent_squared_error_share": 0.05}
+
+
+def _square(value: Column) -> Column:
+    return value * value
+
+
+def figure_columns() -> list[Column]:
+    """Central, tail and concentration figures from the order statistics of absolute innovations.
+
+    The largest squares are the squares of the largest absolute values.
+    """
+    return [
+        F.col("n").alias("events"),
+        (F.col("total_s") / F.col("n")).alias("prediction_mae"),
+        F.sqrt(F.col("total_q") / F.col("n")).alias("prediction_rmse"),
+        (F.col("signed") / F.col("n")).alias("prediction_bias"),
+        *[percentile_column(n, p).alias(n) for n, p in TAILS.values()],
+        *[tail_mean_column(n, p).alias(name) for name, (n, p) in TAILS.items()],
+        *[top_share_column(n, f, "q", _square).alias(n) for n, f in SHARES.items()],
+    ]
+
+
+def _figures_of(rows: DataFrame, keys: Sequence[str], value: Column, signed: Column, **more: float) -> DataFrame:
+    """One pass for all of them; ``more`` are further percentiles."""
+    return order_statistics(
         rows,
         keys,
-        error * error,
+        value,
         {
-            "top_1_percent_squared_error_share": 0.01,
-            "top_5_percent_squared_error_share": 0.05,
+            **position_ranks({**dict(TAILS.values()), **more}),
+            **{n: top_share_rank(f) for n, f in SHARES.items()},
         },
+        powers={"s": lambda v: v, "q": _square},
+        sums={"signed": signed},
     )
-    return central.join(tails, list(keys)).join(shares, list(keys))
 
 
-def plug_predictions(decisions: DataFrame, *, split: bool = False) -> DataFrame:
+def prediction_metrics(decisions: DataFrame, keys: Sequence[str] = tuple(RUN)) -> DataFrame:
+    """Figures of the innovations per run, or by other keys."""
+    rows = _figures_of(observed(decisions), keys, F.abs("innovation"), F.col("innovation"))
+    return rows.select(*keys, *figure_columns())
+
+
+def plug_predictions(decisions: DataFrame) -> DataFrame:
     """Prediction figures and final predictor state per plug."""
     final = F.struct("ts_us", "row_id", "edge_bias", "server_bias", "version", "warmup_bias")
     states = decisions.groupBy(*KEY).agg(
@@ -498,7 +523,7 @@ def plug_predictions(decisions: DataFrame, *, split: bool = False) -> DataFrame:
             "periodic_sync_time_count"
         ),
     )
-    return prediction_metrics(decisions, KEY, split=split).join(
+    return prediction_metrics(decisions, KEY).join(
         states.select(
             *KEY,
             "predictor_mode",
@@ -524,64 +549,46 @@ def triggers_by_plug(decisions: DataFrame) -> DataFrame:
 
 
 def predictor_summary(
-    decisions: DataFrame,
-    configs: Sequence[AdaptiveConfig],
-    params: Params,
-    *,
-    split: bool = True,
+    decisions: DataFrame, configs: Sequence[AdaptiveConfig], params: Params
 ) -> DataFrame:
-    """Prediction quality, updates, drift, synchronisation, silence and recovery per run."""
+    """Prediction quality, updates, drift, synchronisation, silence and recovery per run.
+
+    Three passes over the decisions: counts and final states per plug, episodes, and all measured
+    values as one narrow table, of which every percentile, tail and share comes from one aggregate.
+    """
     oracles = [c.config_id for c in configs if c.oracle]
     reason = F.coalesce(F.col("forced_reason"), F.lit(""))
     drifted, synced = reason == "drift_detected", reason.isin(*SYNC_REASONS)
     extra = ~F.col("normal_would_transmit")
     apart = F.abs(F.col("edge_bias") - F.col("server_bias")) > F.lit(params.tolerance)
     deployable = ~F.col("config_id").isin(*oracles) if oracles else F.lit(True)
-    z = F.when(drifted, F.col("standardized_innovation"))
-    totals = decisions.groupBy(*RUN).agg(
+    counted = {
+        "predictor_update_count": F.col("updated"),
+        "predictor_state_divergence_count": apart & deployable,
+        "drift_trigger_count": drifted,
+        "redundant_drift_trigger_count": drifted & F.col("normal_would_transmit"),
+        "additional_drift_transmission_count": drifted & extra,
+        "detector_cooldown_suppression_count": F.col("held_by_cooldown"),
+        "periodic_sync_count_trigger_count": reason == "periodic_sync_count",
+        "periodic_sync_time_trigger_count": reason == "periodic_sync_time",
+        "additional_periodic_transmission_count": synced & extra,
+    }
+    plugs = decisions.groupBy(*KEY).agg(
         F.first("predictor_mode").alias("predictor_mode"),
         F.count("*").alias("_events"),
-        F.count_if("updated").alias("predictor_update_count"),
-        F.count_if(apart & deployable).alias("predictor_state_divergence_count"),
-        F.count_if(drifted).alias("drift_trigger_count"),
-        F.count_if(drifted & F.col("normal_would_transmit")).alias(
-            "redundant_drift_trigger_count"
-        ),
-        F.count_if(drifted & extra).alias("additional_drift_transmission_count"),
-        F.max(z).alias("max_standardized_innovation_at_trigger"),
-        F.count_if("held_by_cooldown").alias("detector_cooldown_suppression_count"),
-        F.count_if(reason == "periodic_sync_count").alias("periodic_sync_count_trigger_count"),
-        F.count_if(reason == "periodic_sync_time").alias("periodic_sync_time_trigger_count"),
-        F.count_if(synced & extra).alias("additional_periodic_transmission_count"),
+        *[F.count_if(c).alias(n) for n, c in counted.items()],
         F.max("streak").alias("maximum_consecutive_suppressions_observed"),
+        # bias at the end
+        F.abs(F.max(F.struct("ts_us", "row_id", "server_bias"))["server_bias"]).alias("_bias"),
     )
-    # biases at the end, per plug
-    finals = decisions.groupBy(*KEY).agg(
-        F.max(F.struct("ts_us", "row_id", "server_bias")).alias("_final")
-    )
-    size = F.abs(F.col("_final.server_bias"))
-    biases = finals.groupBy(*RUN).agg(
-        F.avg(size).alias("mean_abs_adaptive_bias"), F.max(size).alias("max_abs_adaptive_bias")
-    )
-    fired = decisions.where(drifted).select(*RUN, "standardized_innovation")
-    trigger_scores = exact_percentiles(
-        fired,
-        RUN,
-        F.col("standardized_innovation"),
-        {"median_standardized_innovation_at_trigger": 0.5},
-        split=split,
-    )
-    silence = silence_durations(decisions, params)
-    silences = silence.groupBy(*RUN).agg(
-        F.avg("silence_seconds").alias("mean_silence_seconds"),
-        F.max("silence_seconds").alias("max_silence_seconds"),
-    ).join(
-        exact_percentiles(
-            silence, RUN, F.col("silence_seconds"), {"p95_silence_seconds": 0.95}, split=split
-        ),
-        RUN,
+    totals = plugs.groupBy(*RUN).agg(
+        F.first("predictor_mode").alias("predictor_mode"),
+        *[F.sum(n).alias(n) for n in ("_events", *counted)],
+        F.max("maximum_consecutive_suppressions_observed").alias("maximum_consecutive_suppressions_observed"),
+        F.avg("_bias").alias("mean_abs_adaptive_bias"),
+        F.max("_bias").alias("max_abs_adaptive_bias"),
     )
-    episodes = recovery_episodes(decisions)
+    episodes = write_through(recovery_episodes(decisions), "episodes")
     recovery = episodes.groupBy(*RUN).agg(
         F.max("recovery_time_after_drift").alias("max_recovery_time_after_drift"),
         F.avg(
@@ -590,15 +597,36 @@ def predictor_summary(
         ).alias("mean_error_reduction_after_resync"),
         F.count_if("unresolved").alias("number_of_unresolved_drift_episodes"),
     )
-    recovery_times = exact_percentiles(
-        episodes,
-        RUN,
-        F.col("recovery_time_after_drift"),
-        {"median_recovery_time_after_drift": 0.5, "p95_recovery_time_after_drift": 0.95},
-        split=split,
+    known, signed = _is_observed(), F.col("innovation")
+    values = {
+        "innovation": F.when(known, F.abs("innovation")),
+        "trigger": F.when(drifted, F.col("standardized_innovation")),
+        "silence": F.when(known & F.col("transmitted"), _silence(params)),
+    }
+    listed = F.array(
+        *[F.struct(F.lit(n).alias("kind"), v.cast("double").alias("value"), signed.alias("signed")) for n, v in values.items()]
+    )
+    measured = decisions.select(*RUN, F.inline(F.filter(listed, lambda x: x["value"].isNotNull())))
+    recovered = episodes.select(
+        *RUN, F.lit("recovery").alias("kind"), F.col("recovery_time_after_drift").alias("value"), F.lit(None).cast("double").alias("signed")
     )
-    joined = prediction_metrics(decisions, split=split).join(totals, RUN, "right")
-    for table in (biases, trigger_scores, silences, recovery, recovery_times):
+    measured = write_through(measured.unionByName(recovered), "measured")
+    found = _figures_of(measured, [*RUN, "kind"], F.col("value"), F.col("signed"), p50=0.5, p95=0.95)
+
+    def of(kind: str, **columns: Column) -> DataFrame:
+        return found.where(F.col("kind") == kind).select(*RUN, *[c.alias(n) for n, c in columns.items()])
+
+    joined = found.where(F.col("kind") == "innovation").select(*RUN, *figure_columns()).join(totals, RUN, "right")
+    tables = (
+        of("trigger", median_standardized_innovation_at_trigger=percentile_column("p50", 0.5),
+           max_standardized_innovation_at_trigger=F.col("most")),
+        of("silence", mean_silence_seconds=F.col("total_s") / F.col("n"), max_silence_seconds=F.col("most"),
+           p95_silence_seconds=percentile_column("p95", 0.95)),
+        recovery,
+        of("recovery", median_recovery_time_after_drift=percentile_column("p50", 0.5),
+           p95_recovery_time_after_drift=percentile_column("p95", 0.95)),
+    )
+    for table in tables:
         joined = joined.join(table, RUN, "left")
     zeros = [
         f.name

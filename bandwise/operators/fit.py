@@ -26,15 +26,14 @@ def with_slot(events: DataFrame, slot_seconds: int) -> DataFrame:
     )
 
 
-def slot_medians(warm: DataFrame, slot_seconds: int, *, split: bool = False) -> DataFrame:
+def slot_medians(warm: DataFrame, slot_seconds: int) -> DataFrame:
     return exact_percentiles(
         with_slot(warm, slot_seconds), [*PLUG, *SLOT], F.col("value"), {"slot_median": 0.5},
-        split=split,
     )
 
 
-def plug_medians(warm: DataFrame, *, split: bool = False) -> DataFrame:
-    return exact_percentiles(warm, PLUG, F.col("value"), {"plug_median": 0.5}, split=split)
+def plug_medians(warm: DataFrame) -> DataFrame:
+    return exact_percentiles(warm, PLUG, F.col("value"), {"plug_median": 0.5})
 
 
 def predict(
@@ -73,15 +72,13 @@ def plug_sigmas(residuals: DataFrame) -> DataFrame:
 
 
 def sigma_floors(
-    sigmas: DataFrame, floor_percentile: float, *, split: bool = False
-) -> DataFrame:
+    sigmas: DataFrame, floor_percentile: float) -> DataFrame:
     """Percentile of the positive plug sigmas per house, 1.0 for a house without any."""
     positive = exact_percentiles(
         sigmas.where(F.col("sigma") > 0),
         ["house_id"],
         F.col("sigma"),
         {"positive_floor": floor_percentile / 100.0},
-        split=split,
     )
     return (
         sigmas.select("house_id")
@@ -96,12 +93,11 @@ def quantile_name(p: float) -> str:
 
 
 def residual_quantiles(
-    residuals: DataFrame, probs: Sequence[float] = BASE_QUANTILES, *, split: bool = False
-) -> DataFrame:
+    residuals: DataFrame, probs: Sequence[float] = BASE_QUANTILES) -> DataFrame:
     """Sample count and quantiles of the absolute warm-up residual per plug."""
     wanted = {quantile_name(p): p for p in sorted({*BASE_QUANTILES, *probs})}
     counts = residuals.groupBy(*PLUG).agg(F.count("*").alias("samples"))
-    values = exact_percentiles(residuals, PLUG, F.abs("residual"), wanted, split=split)
+    values = exact_percentiles(residuals, PLUG, F.abs("residual"), wanted)
     return counts.join(values, PLUG, "left")
 
 
@@ -131,18 +127,17 @@ def cap_expression(
     ).otherwise(limit)
 
 
-def residual_medians(residuals: DataFrame, *, split: bool = False) -> DataFrame:
+def residual_medians(residuals: DataFrame) -> DataFrame:
     return exact_percentiles(
-        residuals, PLUG, F.col("residual"), {"residual_median": 0.5}, split=split
+        residuals, PLUG, F.col("residual"), {"residual_median": 0.5}
     )
 
 
-def residual_mads(residuals: DataFrame, *, split: bool = False) -> DataFrame:
+def residual_mads(residuals: DataFrame) -> DataFrame:
     """Median absolute deviation from the plug's own residual median."""
-    centred = residuals.join(residual_medians(residuals, split=split), PLUG, "left")
+    centred = residuals.join(residual_medians(residuals), PLUG, "left")
     return exact_percentiles(
         centred, PLUG, F.abs(F.col("residual") - F.col("residual_median")), {"mad": 0.5},
-        split=split,
     )
 
 
@@ -155,17 +150,16 @@ def drift_scales(mads: DataFrame, floors: DataFrame, min_scale: float) -> DataFr
     )
 
 
-def household_scales(scales: DataFrame, *, split: bool = False) -> DataFrame:
+def household_scales(scales: DataFrame) -> DataFrame:
     return exact_percentiles(
-        scales, ["house_id", "household_id"], F.col("scale"), {"household_scale": 0.5}, split=split
+        scales, ["house_id", "household_id"], F.col("scale"), {"household_scale": 0.5}
     )
 
 
 def house_scales(
-    scales: DataFrame, floors: DataFrame, min_scale: float, *, split: bool = False
-) -> DataFrame:
+    scales: DataFrame, floors: DataFrame, min_scale: float) -> DataFrame:
     medians = exact_percentiles(
-        scales, ["house_id"], F.col("scale"), {"median_scale": 0.5}, split=split
+        scales, ["house_id"], F.col("scale"), {"median_scale": 0.5}
     )
     fallback = F.greatest(F.col("sigma_floor"), F.lit(float(min_scale)), F.lit(1.0))
     return floors.join(medians, "house_id", "left").select(

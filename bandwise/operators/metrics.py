@@ -20,14 +20,13 @@ def _ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
 
-def error_tails(batches: DataFrame, *, split: bool = True) -> DataFrame:
+def error_tails(batches: DataFrame) -> DataFrame:
     """Quantiles of the absolute house error and the mean beyond them."""
     return tail_means(
         batches,
         RUN,
         F.col("abs_house_error"),
         {"cvar95": ("p95", 0.95), "cvar99": ("p99", 0.99)},
-        split=split,
     )
 
 
@@ -84,7 +83,6 @@ def summarize(
     longest: DataFrame | None = None,
     *,
     reasons: Sequence[str] = FORCED_REASONS,
-    split: bool = True,
 ) -> DataFrame:
     """The whole summary row per configuration and house.
 
@@ -105,7 +103,7 @@ def summarize(
     ]
     summary = (
         batch_metrics(batches, reasons=reasons)
-        .join(error_tails(batches, split=split), RUN)
+        .join(error_tails(batches), RUN)
         .join(budget_metrics(trace), RUN, "left")
         .fillna(0, budget_columns)
         .fillna(0.0, amount_columns)

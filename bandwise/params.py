@@ -74,8 +74,8 @@ class Params:
     lambda_count: float = 0.1
     cap_tolerance: float = 1e-9
     drift_min_scale: float = 1.0
-    # rows of one group above which exact percentiles and per-key folds are split
-    hot_rows: int = 5_000_000
+    # rows of one key that a fold works through between two written states
+    slice_rows: int = 5_000_000
 
     def __post_init__(self) -> None:
         spans = [("warmup", self.warmup)]

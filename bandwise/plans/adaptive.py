@@ -8,7 +8,6 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bandwise.functions.stats import largest_group
 from bandwise.operators import adaptive, cycles, decide, fit, metrics
 from bandwise.operators import allocate as alloc
 from bandwise.operators.fold import fold_by_key
@@ -43,7 +42,7 @@ class AdaptiveRun:
         least = study.params.drift_min_scale
         per_plug = study.hold(
             fit.drift_scales(
-                fit.residual_mads(study.warm_residuals, split=study.split),
+                fit.residual_mads(study.warm_residuals),
                 study.sigma_floors,
                 least,
             ),
@@ -53,8 +52,8 @@ class AdaptiveRun:
             fit.lookup_scales(
                 study.events,
                 per_plug,
-                fit.household_scales(per_plug, split=study.split),
-                fit.house_scales(per_plug, study.sigma_floors, least, split=study.split),
+                fit.household_scales(per_plug),
+                fit.house_scales(per_plug, study.sigma_floors, least),
                 least,
             ),
             "robust-scales",
@@ -123,7 +122,7 @@ class AdaptiveRun:
                 adaptive.SCHEMA,
                 adaptive.STATE,
                 slice_col="cycle",
-                max_rows=study.params.hot_rows,
+                max_rows=study.params.slice_rows,
             )
             traces.append(trace)
             folds.append(write_through(folded, "decisions"))
@@ -161,11 +160,6 @@ class AdaptiveRun:
         )
         return self.study.hold(rolled, "batches")
 
-    @cached_property
-    def split(self) -> bool:
-        """Whether a house has too many events for order statistics in one task."""
-        return largest_group(self.decisions, metrics.RUN) > self.study.params.hot_rows
-
     # reports -------------------------------------------------------------------------------
 
     def summary(self) -> DataFrame:
@@ -176,16 +170,15 @@ class AdaptiveRun:
                 F.max("consecutive_suppression").alias("maximum_consecutive_suppression")
             ),
             reasons=adaptive.ADAPTIVE_REASONS,
-            split=self.split,
         )
 
     def predictor_summary(self) -> DataFrame:
         return adaptive.predictor_summary(
-            self.decisions, self.configs, self.study.params, split=self.split
+            self.decisions, self.configs, self.study.params
         )
 
     def plug_predictions(self) -> DataFrame:
-        return adaptive.plug_predictions(self.decisions, split=self.study.split)
+        return adaptive.plug_predictions(self.decisions)
 
     def recovery(self) -> DataFrame:
         return adaptive.recovery_episodes(self.decisions)

@@ -9,7 +9,6 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bandwise.functions.stats import largest_group
 from bandwise.operators import allocate as alloc
 from bandwise.operators import cycles, decide, fit, metrics, score, splits
 from bandwise.params import AllocationConfig, Params
@@ -20,9 +19,8 @@ from bandwise.sources.events import PLUG
 class Study:
     """Tables of one study, built when first asked for; shared ones are written once.
 
-    ``events`` are accepted events.  ``split`` tells whether per-plug order statistics must split
-    plugs over tasks; None decides by the size of the largest plug.  ``predictor`` replaces the
-    seasonal medians: it adds ``prediction`` and ``residual`` to events.
+    ``events`` are accepted events.  ``predictor`` replaces the seasonal medians: it adds
+    ``prediction`` and ``residual`` to events.
     """
 
     def __init__(
@@ -30,7 +28,6 @@ class Study:
         events: DataFrame,
         params: Params,
         *,
-        split: bool | None = None,
         predictor: Callable[[DataFrame], DataFrame] | None = None,
     ):
         configure(events.sparkSession)
@@ -39,7 +36,6 @@ class Study:
         self.events = events
         self.warm = events.where(splits.inside(params.warmup))
         self.evaluation = events.where(splits.inside(params.evaluation))
-        self._split = split
         self._quantiles: dict[tuple[float, ...], DataFrame] = {}
 
     def hold(self, table: DataFrame, name: str) -> DataFrame:
@@ -50,27 +46,21 @@ class Study:
         """
         return write_through(table, name)
 
-    @cached_property
-    def split(self) -> bool:
-        if self._split is None:
-            return largest_group(self.warm, PLUG) > self.params.hot_rows
-        return self._split
-
     def derive(self, **changes) -> Study:
         """The same events under changed parameters."""
         params = replace(self.params, **changes)
-        return Study(self.events, params, split=self._split, predictor=self._predictor)
+        return Study(self.events, params, predictor=self._predictor)
 
     # warm-up -------------------------------------------------------------------------------
 
     @cached_property
     def slot_medians(self) -> DataFrame:
-        fitted = fit.slot_medians(self.warm, self.params.slot_seconds, split=self.split)
+        fitted = fit.slot_medians(self.warm, self.params.slot_seconds)
         return self.hold(fitted, "slot_medians")
 
     @cached_property
     def plug_medians(self) -> DataFrame:
-        return self.hold(fit.plug_medians(self.warm, split=self.split), "plug_medians")
+        return self.hold(fit.plug_medians(self.warm), "plug_medians")
 
     def predict(self, events: DataFrame) -> DataFrame:
         if self._predictor is not None:
@@ -96,7 +86,7 @@ class Study:
         if not self.params.validation:  # a study with validation runs on its parts
             splits.check_splits(self.events, self.params)
         floors = fit.sigma_floors(
-            fit.plug_sigmas(self.warm_residuals), self.params.floor_percentile, split=self.split
+            fit.plug_sigmas(self.warm_residuals), self.params.floor_percentile
         )
         return self.hold(fit.mean_loads(self.warm).join(floors, "house_id"), "houses")
 
@@ -104,7 +94,7 @@ class Study:
         probs = tuple(sorted({*fit.BASE_QUANTILES, *(c.cap_quantile for c in configs)}))
         if probs not in self._quantiles:
             self._quantiles[probs] = self.hold(
-                fit.residual_quantiles(self.warm_residuals, probs, split=self.split), "quantiles"
+                fit.residual_quantiles(self.warm_residuals, probs), "quantiles"
             )
         return self._quantiles[probs]
 
@@ -230,17 +220,11 @@ class FrozenRun:
         )
         return self.study.hold(rolled, "batches")
 
-    @cached_property
-    def split_batches(self) -> bool:
-        """Whether a house has too many batches for order statistics in one task."""
-        return largest_group(self.batches, metrics.RUN) > self.study.params.hot_rows
-
     def summary(self, *, streaks: bool = True) -> DataFrame:
         return metrics.summarize(
             self.batches,
             self.trace,
             decide.longest_streaks(self.decisions) if streaks else None,
-            split=self.split_batches,
         )
 
     def daily(self) -> DataFrame:

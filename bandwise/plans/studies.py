@@ -102,7 +102,7 @@ def one_at_a_time(base: AllocationConfig) -> list[AllocationConfig]:
 
 def sensitivity(study: Study, base: AllocationConfig) -> DataFrame:
     """One-factor-at-a-time candidates on the validation interval, the best pick marked."""
-    tuned = Study(study.events, study.params.on_validation(), split=study._split)
+    tuned = Study(study.events, study.params.on_validation())
     summary = tuned.run(one_at_a_time(base)).summary(streaks=False)
     rows = summary.select(
         "house_id",
@@ -367,7 +367,7 @@ def predictor_points(
     run = AdaptiveRun(study, grid)
     epsilon = F.create_map(*[F.lit(x) for c in grid for x in (c.config_id, c.allocation.epsilon)])
     points = run.summary().join(
-        ad.prediction_metrics(run.decisions, split=run.split).select("config_id", "house_id", "prediction_rmse"),
+        ad.prediction_metrics(run.decisions).select("config_id", "house_id", "prediction_rmse"),
         ["config_id", "house_id"],
     )
     label = F.create_map(*[F.lit(x) for c in grid for x in (c.config_id, c.effective_mode)])
@@ -434,7 +434,7 @@ class StagedSearch:
         events = study.events
         if house_id is not None:
             events = events.where(F.col("house_id") == house_id)
-        self.study = Study(events, params, split=study._split)
+        self.study = Study(events, params)
         self.allocation, self.template = allocation, template
         self.limit, self.unresolved_limit = maximum_additional_tr, maximum_unresolved_fraction
 

@@ -250,7 +250,7 @@ def q_slot_median_fit(spark, sf):
 
 
 def q_plug_median_fit(spark, sf):
-    return fit.plug_medians(study(spark, sf).warm, split=True)
+    return fit.plug_medians(study(spark, sf).warm)
 
 
 def q_predict_slot_median(spark, sf):
@@ -269,7 +269,7 @@ def q_sigma_floor(spark, sf):
 
 
 def q_residual_quantiles(spark, sf):
-    return fit.residual_quantiles(study(spark, sf).warm_residuals, split=True)
+    return fit.residual_quantiles(study(spark, sf).warm_residuals)
 
 
 def q_plug_caps(spark, sf):
@@ -474,7 +474,6 @@ def q_cvar(spark, sf):
         ["l_returnflag"],
         F.col("l_extendedprice"),
         {"cvar95": ("p95", 0.95), "cvar99": ("p99", 0.99)},
-        split=True,
     )
 
 

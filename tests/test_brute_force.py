@@ -136,6 +136,6 @@ def test_adaptive_modes_match(study, rows, mode, estimator):
 def test_folding_in_slices_changes_nothing(study, spark, rows):
     configs = candidates("uniform")
     whole = AdaptiveRun(study, configs)
-    sliced = AdaptiveRun(study.derive(hot_rows=20), configs)
+    sliced = AdaptiveRun(study.derive(slice_rows=20), configs)
     left, right = whole.decisions, sliced.decisions
     assert left.exceptAll(right).count() == 0 and right.exceptAll(left).count() == 0

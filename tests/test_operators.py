@@ -166,19 +166,31 @@ def values(spark):
     return spark.createDataFrame(rows, "k string, v double"), rows
 
 
-def test_split_percentiles_are_exact(values):
-    df, rows = values
-    probs = {"a": 0.0, "b": 0.05, "c": 0.5, "d": 0.95, "e": 0.99, "f": 1.0}
-    for split in (False, True):
-        for r in stats.exact_percentiles(df, ["k"], F.col("v"), probs, split=split).collect():
-            mine = [v for k, v in rows if k == r.k]
-            for name, p in probs.items():
-                assert r[name] == pytest.approx(float(np.quantile(mine, p)), rel=1e-12, abs=1e-12)
+@pytest.fixture(scope="module")
+def narrow(spark):
+    """All values of a group in one bucket, most of them equal, others a hair apart."""
+    rng = random.Random(4)
+    rows = [("near", 5.0 + rng.random() * 1e-3) for _ in range(3000)] + [("near", 5.0005)] * 3000
+    rows += [("tight", 7.0 + k * 2.0**-50) for k in range(50)] + [("neg", -3.0 - rng.random() * 1e-9) for _ in range(500)]
+    return spark.createDataFrame(rows, "k string, v double"), rows
 
 
-def test_tail_means_and_top_share(values):
-    df, rows = values
-    tails = stats.tail_means(df, ["k"], F.abs("v"), {"cvar": ("p", 0.95)}, split=True)
+@pytest.mark.parametrize("given", ["values", "narrow"])
+def test_percentiles_are_exact(given, request):
+    df, rows = request.getfixturevalue(given)
+    probs = {"a": 0.0, "b": 0.05, "c": 0.5, "d": 0.95, "e": 0.99, "f": 1.0}
+    found = stats.exact_percentiles(df, ["k"], F.col("v"), probs).collect()
+    assert len(found) == len({k for k, _ in rows})
+    for r in found:
+        mine = [v for k, v in rows if k == r.k]
+        for name, p in probs.items():
+            assert r[name] == pytest.approx(float(np.quantile(mine, p)), rel=1e-15, abs=1e-12)
+
+
+@pytest.mark.parametrize("given", ["values", "narrow"])
+def test_tail_means_and_top_share(given, request):
+    df, rows = request.getfixturevalue(given)
+    tails = stats.tail_means(df, ["k"], F.abs("v"), {"cvar": ("p", 0.95)})
     shares = stats.top_share(df, ["k"], F.col("v") * F.col("v"), {"s1": 0.01, "s5": 0.05})
     for r in tails.join(shares, "k").collect():
         mine = np.abs([v for k, v in rows if k == r.k])
