@@ -18,7 +18,7 @@ from bandwise.session import spread
 from bandwise.sources.events import PLUG
 
 SLICE = ["house_id", "cycle", "household_id", "plug_id"]
-SLICE_TOTALS = ["last_us", "n", "s", "prev_last_us", "next_cycle", "n_upto", "s_upto"]
+SLICE_TOTALS = ["last_us", "n", "prev_last_us", "next_cycle", "n_upto"]
 
 
 def period_cell(params: Params) -> Column:
@@ -73,15 +73,13 @@ def by_slice(events: DataFrame) -> DataFrame:
 def slice_states(events: DataFrame, warm_plugs: DataFrame) -> DataFrame:
     """One row per plug and cycle with events (cycle -1 is the warm-up) and running totals.
 
-    ``warm_plugs`` has ``last_us`` and, for the score, ``n`` and ``s`` of the warm-up tail, and
-    ``cycle`` if what came before is not the warm-up.  The windows run over a plug's cycles, not
+    ``warm_plugs`` has ``last_us`` and, for the score, ``n`` of the warm-up tail, and ``cycle`` if what came before is not the warm-up.  The windows run over a plug's cycles, not
     over its events.
     """
     cycle = F.col("cycle") if "cycle" in warm_plugs.columns else F.lit(-1).cast("bigint")
     current = events.groupBy(*SLICE).agg(
         F.max("ts_us").alias("last_us"),
         F.count("sq").alias("n"),
-        F.coalesce(F.sum("sq"), F.lit(0.0)).alias("s"),
     )
     before = warm_plugs.select(
         "house_id",
@@ -90,7 +88,6 @@ def slice_states(events: DataFrame, warm_plugs: DataFrame) -> DataFrame:
         "plug_id",
         "last_us",
         F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n"),
-        F.coalesce(F.col("s"), F.lit(0.0)).alias("s"),
     )
     order = Window.partitionBy(*PLUG).orderBy("cycle")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -98,11 +95,9 @@ def slice_states(events: DataFrame, warm_plugs: DataFrame) -> DataFrame:
         *SLICE,
         "last_us",
         "n",
-        "s",
         F.lag("last_us").over(order).alias("prev_last_us"),
         F.lead("cycle").over(order).alias("next_cycle"),
         F.sum("n").over(upto).alias("n_upto"),
-        F.sum("s").over(upto).alias("s_upto"),
     )
 
 
@@ -132,7 +127,6 @@ def active_sets(states: DataFrame, ticks: DataFrame, params: Params) -> DataFram
         F.col("cycle").alias("from_cycle"),
         "last_us",
         "n_upto",
-        "s_upto",
         *brought_along(states),
         F.explode(F.sequence(F.col("cycle") + 1, last)).alias("cycle"),
     )

@@ -1,4 +1,9 @@
-"""Rolling second moment of the last W residuals, as differences of running sums."""
+"""Rolling second moment of the last W residuals, as sums over blocks of W.
+
+The residuals of a plug are numbered, and every W numbers are a block.  The last W of them are the
+end of one block and the beginning of the next, so their sum is a suffix sum plus a prefix sum:
+nothing is ever subtracted, and no window holds more than W rows.
+"""
 
 from __future__ import annotations
 
@@ -13,91 +18,43 @@ from bandwise.sources.events import PLUG
 
 def score_expression(total: Column, count: Column, floor: Column) -> Column:
     """Root mean square, at least the floor; the floor if there is no history."""
-    moment = F.when(count > 0, F.greatest(total / count, F.lit(0.0)))
+    moment = F.when(count > 0, total / count)
     return F.greatest(F.coalesce(F.sqrt(moment), floor), floor)
 
 
-def _position_of(states: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Which slice holds a plug's residual number ``m``, and how far into it.
-
-    ``wanted`` has the plug key and ``m``.  Slices and wanted numbers are merged in one window
-    over the slice table, which is small; events are not touched.
-    """
-    marks = states.where(F.col("n") > 0).select(
-        *PLUG,
-        (F.col("n_upto") - F.col("n") + 1).alias("m"),
-        F.lit(0).alias("_kind"),
-        F.struct(
-            "cycle",
-            (F.col("n_upto") - F.col("n")).alias("n_before"),
-            (F.col("s_upto") - F.col("s")).alias("s_before"),
-        ).alias("_at"),
-    )
-    asked = wanted.select(*PLUG, "m", F.lit(1).alias("_kind")).withColumn(
-        "_at", F.lit(None).cast(marks.schema["_at"].dataType)
-    )
-    along = (
-        Window.partitionBy(*PLUG)
-        .orderBy("m", "_kind")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return (
-        marks.unionByName(asked)
-        .withColumn("_at", F.last("_at", ignorenulls=True).over(along))
-        .where(F.col("_kind") == 1)
-        .select(
-            "house_id",
-            F.col("_at.cycle").alias("cycle"),
-            "household_id",
-            "plug_id",
-            "m",
-            (F.col("m") - F.col("_at.n_before")).alias("offset"),
-            F.col("_at.s_before").alias("s_before"),
-        )
-    )
-
-
-def sums_at(numbers: DataFrame, states: DataFrame, residuals: DataFrame) -> DataFrame:
-    """Running sum of squares after a plug's residual number ``m``.
+def numbered(residuals: DataFrame, states: DataFrame) -> DataFrame:
+    """Number ``m`` of every residual of a plug, counted inside its slice and carried between them.
 
     ``residuals`` has the slice key, event order and ``sq`` (warm-up tail as cycle -1).
     """
-    places = _position_of(states, numbers.where(F.col("m") > 0).select(*PLUG, "m").distinct())
+    carried = states.select(*SLICE, (F.col("n_upto") - F.col("n")).alias("_carry"))
     local = Window.partitionBy(*SLICE).orderBy("ts_us", "row_id")
     inside = residuals.where(F.col("sq").isNotNull()).select(
-        *SLICE,
-        F.row_number().over(local).cast("bigint").alias("offset"),
-        F.sum("sq")
-        .over(local.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        .alias("s_inside"),
+        *SLICE, "sq", F.row_number().over(local).cast("bigint").alias("_offset")
     )
-    return places.join(inside, [*SLICE, "offset"]).select(
-        *PLUG, "m", (F.col("s_before") + F.col("s_inside")).alias("s_at")
+    return inside.join(carried, SLICE).select(
+        *PLUG, (F.col("_carry") + F.col("_offset")).alias("m"), "sq"
     )
 
 
-def running_sums(residuals: DataFrame, states: DataFrame) -> DataFrame:
-    """Number ``m`` and running sum of every residual of a plug, sliced by cycle.
-
-    A join on (plug, m) has unique keys, so a hot plug is spread over all tasks.
-    """
-    carried = states.select(
-        *SLICE,
-        (F.col("n_upto") - F.col("n")).alias("_n_carry"),
-        (F.col("s_upto") - F.col("s")).alias("_s_carry"),
+def window_sums(residuals: DataFrame, states: DataFrame, window: int) -> DataFrame:
+    """Sum of the last ``window`` squares up to every residual: plug key, ``m`` and ``total``."""
+    rows = numbered(residuals, states).withColumn("_block", F.expr(f"(m - 1) div {window}"))
+    upto = Window.partitionBy(*PLUG, "_block").orderBy("m")
+    onward = Window.partitionBy(*PLUG, "_block").orderBy(F.desc("m"))
+    rows = rows.select(
+        *PLUG, "m", F.sum("sq").over(upto).alias("_head"), F.sum("sq").over(onward).alias("_rest")
     )
-    local = Window.partitionBy(*SLICE).orderBy("ts_us", "row_id")
-    inside = residuals.where(F.col("sq").isNotNull()).select(
-        *SLICE,
-        F.row_number().over(local).cast("bigint").alias("_offset"),
-        F.sum("sq")
-        .over(local.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        .alias("_s_inside"),
+    ends = rows.select(*PLUG, "m", "_head", F.lit(None).cast("double").alias("_rest"))
+    # the suffix from a block's second number on is what a window ending in the next block takes
+    begins = rows.where(F.col("m") % window != 1 % window).select(
+        *PLUG, (F.col("m") + window - 1).alias("m"), F.lit(None).cast("double").alias("_head"), "_rest"
     )
-    return inside.join(carried, SLICE).select(
-        *PLUG,
-        (F.col("_n_carry") + F.col("_offset")).alias("m"),
-        (F.col("_s_carry") + F.col("_s_inside")).alias("s_at"),
+    both = ends.unionByName(begins).groupBy(*PLUG, "m")
+    return (
+        both.agg(F.max("_head").alias("_head"), F.max("_rest").alias("_rest"))
+        .where(F.col("_head").isNotNull())
+        .select(*PLUG, "m", (F.col("_head") + F.coalesce("_rest", F.lit(0.0))).alias("total"))
     )
 
 
@@ -111,10 +68,9 @@ def scores_at_ticks(
 
     ``active`` brings ``sigma_floor`` (and whatever else rides with the states) along.
     """
-    numbers = active.withColumn("m", F.col("n_upto") - F.lit(params.window))
-    sums = sums_at(numbers, states, residuals)
+    numbers = active.withColumn("m", F.col("n_upto"))
+    sums = window_sums(residuals, states, params.window)
     joined = numbers.join(sums, [*PLUG, "m"], "left")
-    total = F.col("s_upto") - F.coalesce("s_at", F.lit(0.0))
     return joined.select(
         "house_id",
         "cycle",
@@ -124,7 +80,7 @@ def scores_at_ticks(
         "last_us",
         *brought_along(states),
         score_expression(
-            total, F.least(F.col("n_upto"), F.lit(params.window)), F.col("sigma_floor")
+            F.col("total"), F.least(F.col("n_upto"), F.lit(params.window)), F.col("sigma_floor")
         ).alias("score"),
     )
 
@@ -137,26 +93,19 @@ def scores_at_events(
 ) -> DataFrame:
     """Add ``residual_score``: the score each event meets, from rows strictly before its batch."""
     carried = states.where(F.col("cycle") >= 0).select(
-        *SLICE,
-        (F.col("n_upto") - F.col("n")).alias("_n_carry"),
-        (F.col("s_upto") - F.col("s")).alias("_s_carry"),
+        *SLICE, (F.col("n_upto") - F.col("n")).alias("_n_carry")
     )
     earlier = (
         Window.partitionBy(*SLICE).orderBy("ts_us").rangeBetween(Window.unboundedPreceding, -1)
     )
-    placed = (
-        events.join(carried, SLICE)
-        .withColumn("_n", F.col("_n_carry") + F.coalesce(F.count("sq").over(earlier), F.lit(0)))
-        .withColumn("_s", F.col("_s_carry") + F.coalesce(F.sum("sq").over(earlier), F.lit(0.0)))
-        .withColumn("m", F.col("_n") - F.lit(params.window))
+    placed = events.join(carried, SLICE).withColumn(
+        "m", F.col("_n_carry") + F.coalesce(F.count("sq").over(earlier), F.lit(0))
     )
-    sums = running_sums(residuals, states)
+    sums = window_sums(residuals, states, params.window)
     joined = placed.join(sums, [*PLUG, "m"], "left")
     return joined.withColumn(
         "residual_score",
         score_expression(
-            F.col("_s") - F.coalesce("s_at", F.lit(0.0)),
-            F.least(F.col("_n"), F.lit(params.window)),
-            F.col("sigma_floor"),
+            F.col("total"), F.least(F.col("m"), F.lit(params.window)), F.col("sigma_floor")
         ),
-    ).drop("_n_carry", "_s_carry", "_n", "_s", "m", "s_at")
+    ).drop("_n_carry", "m", "total")

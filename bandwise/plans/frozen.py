@@ -120,7 +120,7 @@ class Study:
     @cached_property
     def warm_plugs(self) -> DataFrame:
         last = fit.last_seen(self.warm).select(*PLUG, F.unix_micros("last_seen").alias("last_us"))
-        tails = self.tail.groupBy(*PLUG).agg(F.count("*").alias("n"), F.sum("sq").alias("s"))
+        tails = self.tail.groupBy(*PLUG).agg(F.count("*").alias("n"))
         return last.join(tails, PLUG, "left")
 
     @cached_property

@@ -117,7 +117,7 @@ class StreamAllocation:
         # what was before is one more slice, older than all events: they are at or behind the newest tick
         before = self._read("cycles", state).select("house_id", (F.col("cycle") - 1).alias("cycle"))
         tail = self._read("tail", state).join(before, "house_id")
-        totals = tail.groupBy(*PLUG).agg(F.count("*").alias("n"), F.sum("sq").alias("s"))
+        totals = tail.groupBy(*PLUG).agg(F.count("*").alias("n"))
         plugs = self._read("plugs", state).join(totals, PLUG, "left").join(before, "house_id")
         states = cycles.slice_states(events, plugs).join(self.study.houses, "house_id")
         residuals = events.select(*cycles.SLICE, "ts_us", "row_id", "sq").unionByName(

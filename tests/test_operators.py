@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from bandwise.functions import stats
 from bandwise.operators import allocate as alloc
-from bandwise.operators import compare, drift, metrics
+from bandwise.operators import compare, cycles, drift, metrics, score
 from bandwise.operators.adaptive import moved
 from bandwise.operators.fit import quantile_name
 from bandwise.operators.waterfill import waterfill
@@ -166,6 +166,22 @@ def values(spark):
     return spark.createDataFrame(rows, "k string, v double"), rows
 
 
+def test_window_sums_keep_small_squares_after_large_ones(spark):
+    rows = [(0, 0, 0, 0, t, t, 1e12 if t < 50 else 1e-6 * (t % 7 + 1)) for t in range(100)]
+    rows = [(r[0], t // 9, *r[2:]) for t, r in enumerate(rows)] + [(1, 3, 0, 0, 1, 1, None), (1, 3, 0, 0, 2, 2, 4.0)]
+    schema = "house_id long, cycle long, household_id long, plug_id long, ts_us long, row_id long, sq double"
+    events = spark.createDataFrame(rows, schema).repartition(5)
+    warm = spark.createDataFrame([(0, 0, 0, 0, 0), (1, 0, 0, 0, 0)], "house_id long, household_id long, plug_id long, last_us long, n long")
+    states = cycles.slice_states(events, warm)
+    for window in (1, 7, 20, 1000):
+        got = {(r.house_id, r.m): r.total for r in score.window_sums(events, states, window).collect()}
+        squares = [r[-1] for r in rows if r[0] == 0]
+        for m in range(1, 101):
+            want = math.fsum(squares[max(0, m - window) : m])
+            assert got[0, m] == pytest.approx(want, rel=1e-9, abs=0)
+        assert got[1, 1] == 4.0 and len(got) == 101
+
+
 @pytest.fixture(scope="module")
 def narrow(spark):
     """All values of a group in one bucket, most of them equal, others a hair apart."""
