@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -77,20 +77,19 @@ def order_statistics(
     wanted = F.array(*[F.struct(F.lit(n).alias("_name"), f(F.col("n")).cast("long").alias("_rank")) for n, f in ranks.items()])
     inside = F.filter(wanted, lambda w: (w["_rank"] >= F.col("_before")) & (w["_rank"] < F.col("_before") + F.col("_n")))
     hit = placed.select("*", F.inline(inside)).withColumn("_rank", F.col("_rank") - F.col("_before"))
-    hit = write_through(hit.drop("_before", *[f"_x_{n}" for n in extra]), "ranks")
+    hit, largest = held_with(hit.drop("_before", *[f"_x_{n}" for n in extra]), "ranks", _open_rows())
     settled, still = _settle(hit, powers), hit.where(_open())
     rows = rows.drop(*[f"_x_{n}" for n in extra])
-    largest = still.agg(F.max("_n")).first()[0]
     while largest and largest > CELL_ROWS and len(path) <= ROUNDS:
         edges = still.select(*group, *path, F.col("_lo").alias("_from"), F.col("_hi").alias("_to")).distinct()
         part = F.least(F.floor((F.col("_v") - F.col("_from")) / (F.col("_to") - F.col("_from")) * PARTS), F.lit(PARTS - 1)).cast("int")
         step = f"_c{len(path)}"
         rows = rows.join(edges, [*group, *path]).withColumn(step, part).drop("_from", "_to")
-        hit = write_through(_descend(rows.groupBy(*group, *path, step).agg(*measured), still, group, path, step, added), "ranks")
+        hit = _descend(rows.groupBy(*group, *path, step).agg(*measured), still, group, path, step, added)
+        hit, largest = held_with(hit, "ranks", _open_rows())
         settled = settled.unionByName(_settle(hit, powers))
         path.append(step)
         still = hit.where(_open())
-        largest = still.agg(F.max("_n")).first()[0]
     if largest:
         ranked = rows.join(still.select(*group, *path).distinct(), [*group, *path]).withColumn("_value", F.col("_v"))
         cells = ranked.groupBy(*group, *path, "_value").agg(*measured)
@@ -107,6 +106,17 @@ def _open() -> Column:
     return (F.col("_lo") < F.col("_hi")) & (F.col("_n") > 2)
 
 
+def _open_rows() -> Column:
+    return F.max(F.when(_open(), F.col("_n")))
+
+
+def held_with(table: DataFrame, name: str, figure: Column) -> tuple[DataFrame, int | None]:
+    """Write a table through, with one figure of its rows that the write observes."""
+    seen = Observation()
+    written = write_through(table.observe(seen, figure.alias("figure")), name)
+    return written, seen.get["figure"]
+
+
 def _settle(hit: DataFrame, powers: Powers) -> DataFrame:
     """Ranks whose value is known."""
     low = (F.col("_lo") < F.col("_hi")) & (F.col("_rank") == 0)  # of two values the larger is above

@@ -1,7 +1,8 @@
 """Division of a house's error budget over its active plugs at every tick.
 
 An allocator takes rows keyed by (house_id, cycle, household_id, plug_id) with ``score`` and adds
-``threshold``.  All windows are over one house at one tick and share the (house, cycle) exchange.
+``threshold``.  What it needs of a household or a house are sums over its plugs, taken with partial
+sums and joined back, and water levels; no task holds all plugs of a house or household at a tick.
 """
 
 from __future__ import annotations
@@ -10,12 +11,12 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from bandwise.functions.stats import exact_percentiles
 from bandwise.operators.fit import cap_expression, quantile_name
-from bandwise.operators.waterfill import level_over
+from bandwise.operators.waterfill import water_levels
 from bandwise.params import KNOWN_MODES, AllocationConfig, Params
-from bandwise.session import spread
+from bandwise.session import write_through
 from bandwise.sources.events import PLUG
 
 TICK = ["house_id", "cycle"]
@@ -41,35 +42,41 @@ TRACE_COLUMNS = [
 ]
 
 
-def with_risk(snapshots: DataFrame, params: Params) -> DataFrame:
-    """House and household aggregates of the scores, and every household's share of the risk.
+def household_risks(snapshots: DataFrame, params: Params) -> DataFrame:
+    """Per tick and household: aggregates of the scores, those of the house, and its share of the risk.
 
     Scores may differ between configurations; then the rows carry ``config_id``.
     """
-    tick = ["config_id", *TICK] if "config_id" in snapshots.columns else TICK
-    house = Window.partitionBy(*tick)
-    household = Window.partitionBy(*tick, "household_id")
-    first = F.row_number().over(household.orderBy("plug_id")) == 1
-    rows = snapshots.withColumns(
-        {
-            "first_of_household": first,
-            "n_household": F.count("*").over(household),
-            "sum_household": F.sum("score").over(household),
-            "mean_household": F.avg("score").over(household),
-            "max_household": F.max("score").over(household),
-            "n_house": F.count("*").over(house),
-            "sum_house": F.sum("score").over(house),
-            "median_house": F.median("score").over(house),
-        }
-    ).withColumn("household_risk", risk_expression(params))
-    one_each = F.when(F.col("first_of_household"), F.col("household_risk"))
-    rows = rows.withColumns(
-        {"n_households": F.count(one_each).over(house), "_total": F.sum(one_each).over(house)}
+    tick = _tick(snapshots)
+    households = snapshots.groupBy(*tick, "household_id").agg(
+        F.count("*").alias("n_household"),
+        F.sum("score").alias("sum_household"),
+        F.avg("score").alias("mean_household"),
+        F.max("score").alias("max_household"),
     )
+    households = write_through(households, "households")
+    houses = households.groupBy(*tick).agg(
+        F.sum("n_household").alias("n_house"),
+        F.sum("sum_household").alias("sum_house"),
+        F.count("*").alias("n_households"),
+    )
+    medians = exact_percentiles(snapshots, tick, F.col("score"), {"median_house": 0.5})
+    rows = households.join(houses, tick).join(medians, tick)
+    rows = write_through(rows.withColumn("household_risk", risk_expression(params)), "risks")
+    totals = rows.groupBy(*tick).agg(F.sum("household_risk").alias("_total"))
     share = F.when(F.col("_total") > 0, F.col("household_risk") / F.col("_total")).otherwise(
         F.lit(1.0) / F.col("n_households")
     )
-    return rows.withColumn("risk_share", share).drop("_total")
+    return rows.join(totals, tick).withColumn("risk_share", share).drop("_total")
+
+
+def _tick(rows: DataFrame) -> list[str]:
+    return ["config_id", *TICK] if "config_id" in rows.columns else TICK
+
+
+def with_risk(snapshots: DataFrame, params: Params) -> DataFrame:
+    """Snapshots with the figures of their household and house."""
+    return snapshots.join(household_risks(snapshots, params), [*_tick(snapshots), "household_id"])
 
 
 def risk_expression(params: Params) -> Column:
@@ -196,8 +203,7 @@ def allocate(
             raise ValueError("true_hierarchical_cap needs residual quantiles")
         names = sorted({quantile_name(c.cap_quantile) for c in capped})
         rows = rows.join(quantiles.select(*PLUG, "samples", *names), PLUG, "left")
-    # one exchange by (house, cycle); all windows after it stay inside
-    risks = with_risk(spread(rows, *TICK), params)
+    risks = with_risk(rows, params)
     parts = []
     if plain:
         rows = with_configs(risks, plain).withColumn(
@@ -210,7 +216,7 @@ def allocate(
             "cap", F.lit(None).cast("double")
         )
         zero = F.lit(0.0)
-        parts.append(_book(rows, F.lit(0).cast("bigint"), zero, zero))
+        parts.append(_book(rows, None, F.sum(F.lit(0)), zero, zero))
     if capped:
         parts.append(_capped(risks, capped, params))
     trace = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
@@ -232,8 +238,7 @@ def _capped(
         chosen = F.when(F.col("cap_quantile") == name, F.col(name)).otherwise(chosen)
     rows = with_configs(risks, configs)
     key = ["config_id", *TICK]
-    house = Window.partitionBy(*key)
-    household = Window.partitionBy(*key, "household_id")
+    family = [*key, "household_id"]
     rows = rows.withColumns(
         {
             "house_budget": F.col("epsilon") * F.col("mean_load"),
@@ -252,62 +257,71 @@ def _capped(
         ),
     )
     own = F.col("house_budget") * F.col("own_share")
-    rows = rows.withColumns({"own_budget": own, "capacity": F.sum("cap").over(household)})
-    # what a household keeps of its own budget, and its room beyond that
-    rows = rows.withColumns(
-        {
-            "kept": F.least("own_budget", "capacity"),
-            "room": F.col("capacity") - F.least("own_budget", "capacity"),
-        }
+    rows = write_through(
+        rows.withColumns({"own_budget": own, "clamped": F.least(own * F.col("weight"), F.col("cap"))}), "capped"
     )
-    # every household takes part once, with its first row
-    takes_part = F.col("first_of_household") & (F.col("room") > F.lit(params.cap_tolerance))
-    rows = rows.withColumns(
-        {
-            "kept_in_house": F.sum(F.when(F.col("first_of_household"), F.col("kept"))).over(house),
-            "spill_weight": F.when(takes_part, F.col("risk_share")).otherwise(F.lit(0.0)),
-        }
+    # what a household keeps of its own budget, and its room beyond that
+    kept = F.least("own_budget", "capacity")
+    households = (
+        rows.groupBy(*family)
+        .agg(
+            F.sum("cap").alias("capacity"), F.sum("clamped").alias("clamped"),
+            *[F.first(c).alias(c) for c in ("house_budget", "own_budget", "risk_share")],
+        )
+        .withColumns({"kept": kept, "room": F.col("capacity") - kept})
+    )
+    households = write_through(households, "household-budgets")
+    houses = households.groupBy(*key).agg(
+        F.max("house_budget").alias("house_budget"), F.sum("kept").alias("kept_in_house"), F.sum("clamped").alias("clamped")
     )
     left = F.greatest(F.col("house_budget") - F.col("kept_in_house"), F.lit(0.0))
-    rows = rows.withColumn(
-        "spill_candidate", level_over(key, F.col("spill_weight"), F.col("room"), left)
-    ).withColumn("spill_level", F.coalesce(F.max("spill_candidate").over(house), F.lit(0.0)))
+    has_room = F.col("room") > F.lit(params.cap_tolerance)
+    levels = water_levels(
+        households.where(has_room), key, room=F.col("room"), weight=F.col("risk_share"),
+        amounts=houses.withColumn("amount", left),
+    ).withColumnRenamed("level", "spill_level")
     spill = F.when(
-        F.col("room") > F.lit(params.cap_tolerance),
-        F.least(F.col("room"), F.col("spill_level") * F.col("risk_share")),
+        has_room, F.least(F.col("room"), F.coalesce("spill_level", F.lit(0.0)) * F.col("risk_share"))
     ).otherwise(F.lit(0.0))
-    rows = rows.withColumn("granted", F.col("kept") + spill)
-    rows = rows.withColumn(
-        "plug_candidate",
-        level_over(
-            [*key, "household_id"], F.col("weight"), F.col("cap"), F.col("granted")
-        ),
-    ).withColumn("plug_level", F.coalesce(F.max("plug_candidate").over(household), F.lit(0.0)))
-    rows = rows.withColumn("threshold", F.least("cap", F.col("plug_level") * F.col("weight")))
+    granted = households.join(levels, key, "left").select(*family, (F.col("kept") + spill).alias("amount"))
+    granted = write_through(granted, "granted")
+    filled = water_levels(rows, family, room=F.col("cap"), weight=F.col("weight"), amounts=granted)
+    rows = rows.drop("clamped").join(filled, family, "left").withColumn(
+        "threshold", F.least("cap", F.coalesce("level", F.lit(0.0)) * F.col("weight"))
+    )
     hit = F.col("cap") - F.col("threshold") <= F.lit(params.cap_tolerance)
-    clamped = F.least(F.col("own_budget") * F.col("weight"), F.col("cap"))
     return _book(
         rows,
-        F.count_if(hit).over(house),
-        F.greatest(F.col("kept_in_house") - F.sum(clamped).over(house), F.lit(0.0)),
-        F.greatest(F.sum("threshold").over(house) - F.col("kept_in_house"), F.lit(0.0)),
+        houses.select(*key, "kept_in_house", "clamped"),
+        F.count_if(hit),
+        F.greatest(F.col("kept_in_house") - F.col("clamped"), F.lit(0.0)),
+        F.greatest(F.col("used_budget") - F.col("kept_in_house"), F.lit(0.0)),
     )
 
 
-def _book(rows: DataFrame, hits: Column, within: Column, spill: Column) -> DataFrame:
-    """Totals every trace row carries: used and unused budget, household budget, cap figures."""
-    house = Window.partitionBy("config_id", *TICK)
-    household = Window.partitionBy("config_id", *TICK, "household_id")
+def _book(
+    rows: DataFrame, houses: DataFrame | None, hits: Column, within: Column, spill: Column
+) -> DataFrame:
+    """Totals every trace row carries: used and unused budget, household budget, cap figures.
+
+    ``houses`` brings what the last two expressions need, per configuration, house and cycle.
+    """
+    key, family = ["config_id", *TICK], ["config_id", *TICK, "household_id"]
+    shares = rows.groupBy(*family).agg(F.sum("threshold").alias("spent_in_household"), hits.cast("bigint").alias("_hits"))
+    shares = write_through(shares, "spent")
+    totals = shares.groupBy(*key).agg(
+        F.sum("spent_in_household").alias("used_budget"), F.sum("_hits").alias("cap_hit_count")
+    )
+    if houses is not None:
+        totals = totals.join(houses, key)
+    shares = shares.drop("_hits").join(totals, key)
     shared = F.when(
         F.col("mode") == "true_hierarchical", F.col("house_budget") * household_share()
-    ).otherwise(F.sum("threshold").over(household))
-    used = F.sum("threshold").over(house)
-    return rows.withColumns(
+    ).otherwise(F.col("spent_in_household"))
+    return rows.join(shares, family).withColumns(
         {
-            "used_budget": used,
-            "unused_budget": F.greatest(F.col("house_budget") - used, F.lit(0.0)),
+            "unused_budget": F.greatest(F.col("house_budget") - F.col("used_budget"), F.lit(0.0)),
             "household_budget": shared,
-            "cap_hit_count": hits.cast("bigint"),
             "within_household_redistributed_budget": within,
             "cross_household_spill_budget": spill,
             "allocation_timestamp": F.timestamp_micros("tick_us"),

@@ -381,9 +381,9 @@ def q_alloc_cap(spark, sf):
 
 
 def q_household_shares(spark, sf):
-    rows = alloc.with_risk(study(spark, sf).snapshots, PARAMS)
+    rows = alloc.household_risks(study(spark, sf).snapshots, PARAMS)
     rows = rows.withColumn("alpha_fair", F.lit(0.2))
-    return rows.where("first_of_household").select(
+    return rows.select(
         "house_id",
         "cycle",
         "household_id",

@@ -14,6 +14,7 @@ from bandwise.operators import allocate as alloc
 from bandwise.operators import compare, cycles, drift, metrics, score
 from bandwise.operators.adaptive import moved
 from bandwise.operators.fit import quantile_name
+from bandwise.operators import waterfill as water
 from bandwise.operators.waterfill import waterfill
 from bandwise.params import MODES, AllocationConfig, mode_grid
 from tests import brute
@@ -203,6 +204,72 @@ def test_percentiles_are_exact(given, request):
             assert r[name] == pytest.approx(float(np.quantile(mine, p)), rel=1e-15, abs=1e-12)
 
 
+def test_percentiles_of_large_cells_are_cut_in_rounds(narrow, monkeypatch):
+    monkeypatch.setattr(stats, "CELL_ROWS", 30)
+    df, rows = narrow
+    found = stats.exact_percentiles(df, ["k"], F.col("v"), {"a": 0.2, "b": 0.5, "c": 0.97}).collect()
+    for r in found:
+        mine = [v for k, v in rows if k == r.k]
+        for name, p in {"a": 0.2, "b": 0.5, "c": 0.97}.items():
+            assert r[name] == pytest.approx(float(np.quantile(mine, p)), rel=1e-15, abs=1e-12)
+
+
+@pytest.mark.parametrize("cell_rows", [100_000, 40])
+def test_water_levels_of_large_groups(spark, monkeypatch, cell_rows):
+    """Also with all ratios in one cell, all equal, too little and too much water, and rows that take no part."""
+    monkeypatch.setattr(water, "CELL_ROWS", cell_rows)
+    rng = random.Random(8)
+    rows, amounts = [], []
+
+    def group(name, pairs, share):
+        rows.extend((name, *p) for p in pairs)
+        amounts.append((name, share * sum(r for r, w in pairs if w > 0 and r > 0)))
+
+    near = [(w * (3.0 + rng.random() * 1e-3), w) for w in (rng.random() + 0.1 for _ in range(2000))]
+    for share in (0.0, 0.3, 0.9996, 0.9999, 1.0, 2.0):
+        group(f"near{share}", near, share)
+        group(f"wide{share}", [(rng.expovariate(0.1), rng.random()) for _ in range(300)], share)
+    group("equal", [(2.0 * w, float(w)) for w in range(1, 50)], 0.7)
+    group("single", [(4.0, 0.5)], 0.5)
+    group("partly", [(5.0, 0.0), (0.0, 1.0), (6.0, 1.0), (1.0, 2.0)], 0.8)
+    df = spark.createDataFrame(rows, "g string, room double, w double").repartition(6)
+    given = spark.createDataFrame(amounts, "g string, amount double")
+    found = water.water_levels(df, ["g"], room=F.col("room"), weight=F.col("w"), amounts=given).collect()
+    assert len(found) == len(amounts)
+    for r in found:
+        mine = [(room, w) for g, room, w in rows if g == r.g and room > 0 and w > 0]
+        amount = dict(amounts)[r.g]
+        spent = math.fsum(min(room, r.level * w) for room, w in mine)
+        assert spent == pytest.approx(min(amount, math.fsum(room for room, _ in mine)), rel=1e-9, abs=1e-9), r.g
+
+
+def test_one_house_of_many_plugs(spark, monkeypatch):
+    """The capped allocation in rounds spends what the one in one step spends."""
+    rng = random.Random(6)
+    rows = [(1, 0, 5, h, p, 0, 1000.0, 0.5, 1.0 + rng.random() * 1e-3) for h in range(3) for p in range(400)]
+    schema = "house_id long, cycle long, tick_us long, household_id long, plug_id long, last_us long, mean_load double, sigma_floor double, score double"
+    snapshots = spark.createDataFrame(rows, schema)
+    q = ", ".join(f"{quantile_name(p)} double" for p in (0.9, 0.95, 0.99))
+    quantiles = spark.createDataFrame(
+        [(1, h, p, 50, *[0.3 + rng.random()] * 3) for h in range(3) for p in range(400)],
+        f"house_id long, household_id long, plug_id long, samples long, {q}",
+    )
+    config = AllocationConfig("cap", "true_hierarchical_cap", 0.9, cap_fraction=0.25)
+    traces = []
+    for limit in (100_000, 25):
+        monkeypatch.setattr(water, "CELL_ROWS", limit)
+        monkeypatch.setattr(stats, "CELL_ROWS", limit)
+        trace = alloc.allocate(snapshots, None, quantiles, [config], house_params())
+        traces.append({(r.household_id, r.plug_id): r for r in trace.collect()})
+    assert len(traces[0]) == len(traces[1]) == 1200
+    for key, r in traces[0].items():
+        other = traces[1][key]
+        assert r.threshold == pytest.approx(other.threshold, rel=1e-9) and r.cap_hit_count == other.cap_hit_count
+        assert 0 < r.threshold <= r.cap and r.used_budget == pytest.approx(other.used_budget)
+    some = next(iter(traces[0].values()))
+    assert some.used_budget == pytest.approx(min(900.0, math.fsum(r.cap for r in traces[0].values())))
+
+
 @pytest.mark.parametrize("given", ["values", "narrow"])
 def test_tail_means_and_top_share(given, request):
     df, rows = request.getfixturevalue(given)
