@@ -204,6 +204,8 @@ def allocate(
         names = sorted({quantile_name(c.cap_quantile) for c in capped})
         rows = rows.join(quantiles.select(*PLUG, "samples", *names), PLUG, "left")
     risks = with_risk(rows, params)
+    if plain and capped:
+        risks = write_through(risks, "risk-rows")
     parts = []
     if plain:
         rows = with_configs(risks, plain).withColumn(
