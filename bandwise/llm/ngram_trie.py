@@ -210,9 +210,10 @@ def _merged(group: pa.Table) -> pa.Table:
 def _above(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     for batch in non_empty(batches):
         for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            counts = np.frombuffer(c, np.int64)
-            chosen = np.flatnonzero(counts >= least)
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(k, np.int64)[chosen]), pa.array(counts[chosen])], names=["key", "count"])
+            keys, counts = np.frombuffer(k, np.int64), np.frombuffer(c, np.int64)
+            # the end token always goes along: it opens and closes every text, however few and long they are
+            chosen = np.flatnonzero((counts >= least) | (keys.view(np.uint64) == END))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[chosen]), pa.array(counts[chosen])], names=["key", "count"])
 
 
 _PACKED = ("words", "n_contexts", "contexts", "n_docs", "docs", "times", "u_words", "u_n", "u_docs", "u_times", "train")
@@ -305,7 +306,7 @@ def _packed(found: list[tuple[np.ndarray, np.ndarray]], train: np.ndarray, shard
         "known": np.bincount(which, c > 0, docs),
         "score": -np.bincount(doc[contexts].astype(np.int64), np.log10(count[number[contexts].astype(np.int64)] + MASS), docs) - np.log10(start + MASS),
     }
-    # an end token whose word isn't heavy can only come from a corpus without training documents
+    # without training documents there is no count of the end token
     if END not in heavy_keys:
         sums["base"] = sums["base"] + np.log10(ADDED)
     return rows, sums
@@ -445,7 +446,7 @@ def score(docs: DataFrame, held_out: Column, *, id_column: str = "doc_id", text_
     merged = write_through(merged, "trie-counts")
     tokens, types = (x or 0 for x in merged.agg(F.sum("tokens"), F.sum("types")).first())
     least = max(1.0, tokens / HEAVY_SHARE)
-    # counts that reach this share of all tokens: at most HEAVY_SHARE words
+    # counts that reach this share of all tokens: at most HEAVY_SHARE words and the end token
     frequent = merged.select("keys", "counts").mapInArrow(lambda b: _above(b, least), "key long, count long").toArrow()
     heavy_keys, heavy_counts = frequent.column("key").to_numpy().view(np.uint64), frequent.column("count").to_numpy()
     order = np.argsort(heavy_keys)

@@ -222,7 +222,10 @@ def test_forward_backward_equals_enumeration():
     assert np.allclose(language_crf.marginals(emission, transition, np.array([0, 4])), truth, atol=1e-5)
 
 
-def test_trie(spark, docs, rows, nothing):
+@pytest.mark.parametrize("share", [ngram_trie.HEAVY_SHARE, 4])
+def test_trie(spark, docs, rows, nothing, monkeypatch, share):
+    """With a share of 4 the end token is as rare as in a corpus of few, very long texts."""
+    monkeypatch.setattr(ngram_trie, "HEAVY_SHARE", share)
     found = {(r.doc_id, r.n_tokens): r for r in ngram_trie.score(docs, remainder("doc_id", 10) == 0).collect()}
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     texts = [(i, re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low)) + [0]) for i, t, *_ in rows]
