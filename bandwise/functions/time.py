@@ -18,8 +18,15 @@ def _epoch(number: Column, factor: int) -> Column:
     return F.when(inside, F.timestamp_micros((number * F.lit(factor)).cast("bigint")))
 
 
-def to_utc(name: str, data_type: T.DataType, unit: str = "seconds") -> Column:
-    """Any timestamp representation as a UTC TIMESTAMP; a cell that cannot be read becomes null."""
+def to_utc(
+    name: str, data_type: T.DataType, unit: str = "seconds", pattern: str | None = None
+) -> Column:
+    """Any timestamp representation as a UTC TIMESTAMP; a cell that cannot be read becomes null.
+
+    ``pattern`` declares what text cells hold: ``epoch`` for numbers, ``text`` for dates in Spark's
+    own notation, or a date pattern such as ``yyyyMMdd``.  Without it each cell decides: a number is
+    an epoch value, anything else is parsed.
+    """
     if unit not in _EPOCH_MICROS:
         raise ValueError(f"unknown timestamp unit: {unit}")
     cell = F.col(name)
@@ -30,14 +37,18 @@ def to_utc(name: str, data_type: T.DataType, unit: str = "seconds") -> Column:
         return _epoch(cell.cast("bigint"), factor)
     if isinstance(data_type, T.NumericType):
         return _epoch(cell, factor)
-    # text cells (CSV): a number is an epoch value, anything else is parsed
     number = cell.try_cast("bigint")
     fraction = cell.try_cast("double")
-    return F.coalesce(
-        _epoch(number, factor),
-        F.when(number.isNull(), _epoch(fraction, factor)),
-        F.try_to_timestamp(cell),
+    epoch = F.coalesce(
+        _epoch(number, factor), F.when(number.isNull(), _epoch(fraction, factor))
     )
+    if pattern is None:
+        return F.coalesce(epoch, F.when(fraction.isNull(), F.try_to_timestamp(cell)))
+    if pattern == "epoch":
+        return epoch
+    if pattern == "text":
+        return F.try_to_timestamp(cell)
+    return F.try_to_timestamp(cell, F.lit(pattern))
 
 
 def weekday_of(ts: Column) -> Column:

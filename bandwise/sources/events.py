@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bandwise.functions.time import to_utc
@@ -46,42 +46,102 @@ def read_events(
     *,
     columns: Mapping[str, str] | None = None,
     timestamp_unit: str = "seconds",
+    timestamp_format: str | None = None,
 ) -> DataFrame:
-    """Scan a CSV or Parquet event table into the target schema, without filtering."""
+    """Scan a CSV or Parquet event table into the target schema, without filtering.
+
+    Without an id a row is numbered by its file, in the order of names, and its place in the file;
+    the numbers do not depend on how Spark splits the files.
+    """
     if fmt == "csv":
         # cells stay text; casts decide what is readable, so no inference pass is needed
         frame = spark.read.option("header", True).csv(path)
-        has_id = {**DEFAULT_COLUMNS, **(columns or {})}["id"] in frame.columns
+        names = {**DEFAULT_COLUMNS, **(columns or {})}
+        has_id = names["id"] in frame.columns
+        _require(names, frame)
         return normalize(
-            frame,
+            frame if has_id else _with_line_position(frame),
             columns=columns,
             timestamp_unit=timestamp_unit,
-            # without an id: split number and row in the split, so equal rows differ
-            row_id=None if has_id else F.monotonically_increasing_id(),
+            timestamp_format=timestamp_format,
+            row_id=None if has_id else F.col("_row_position"),
         )
     if fmt == "parquet":
         frame = spark.read.parquet(path)
         return normalize(
             _with_file_position(frame), columns=columns, timestamp_unit=timestamp_unit,
-            row_id=F.col("_row_position"),
+            timestamp_format=timestamp_format, row_id=F.col("_row_position"),
         )
     raise ValueError(f"unknown event format: {fmt}")
 
 
-def _with_file_position(frame: DataFrame) -> DataFrame:
+def _file_numbers(frame: DataFrame) -> DataFrame:
+    """Files of a scan by the order of their names: a listing, not data."""
     files = sorted(frame.inputFiles())
-    frame = frame.select("*", "_metadata")
-    position = F.col("_metadata.row_index")
-    if len(files) > 1:
-        # file listing, not data; Spark broadcasts it only while it is small
-        numbers = frame.sparkSession.createDataFrame(
-            [(re.sub(_SCHEME, r"\1:/", name), number) for number, name in enumerate(files)],
-            "_file string, _number bigint",
-        )
-        path = F.regexp_replace(F.col("_metadata.file_path"), _SCHEME, "$1:/")
-        frame = frame.withColumn("_file", path).join(numbers, "_file", "left")
-        position = F.col("_number") * F.lit(_FILE_STRIDE) + position
-    return frame.withColumn("_row_position", position).drop("_metadata", "_file", "_number")
+    return frame.sparkSession.createDataFrame(
+        [(re.sub(_SCHEME, r"\1:/", name), number) for number, name in enumerate(files)],
+        "_file string, _number bigint",
+    )
+
+
+def _file_name() -> Column:
+    return F.regexp_replace(F.col("_metadata.file_path"), _SCHEME, "$1:/")
+
+
+def _with_file_position(frame: DataFrame) -> DataFrame:
+    numbers = _file_numbers(frame)
+    position = F.col("_number") * F.lit(_FILE_STRIDE) + F.col("_metadata.row_index")
+    placed = frame.select("*", "_metadata").withColumn("_file", _file_name())
+    return (
+        placed.join(numbers, "_file", "left")
+        .withColumn("_row_position", position)
+        .drop("_metadata", "_file", "_number")
+    )
+
+
+def _with_line_position(frame: DataFrame) -> DataFrame:
+    """Row numbers of text files, which have no row index, in two passes.
+
+    The first counts the rows of every split; running sums over the splits of a file give the number
+    of each split's first row, and the second pass counts on from there.  Both passes are scans of
+    one plan and see the same splits; a row without its split is an error.
+    """
+    split = ["_file", "_start", "_length"]
+    scanned = frame.select(
+        "*",
+        _file_name().alias("_file"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.col("_metadata.file_block_length").alias("_length"),
+        # grows along a split by one a row
+        F.monotonically_increasing_id().alias("_place"),
+    )
+    sizes = scanned.groupBy(*split).agg(
+        F.count("*").alias("_rows"), F.min("_place").alias("_first")
+    )
+    before = Window.partitionBy("_file").orderBy("_start")
+    sizes = sizes.withColumn(
+        "_offset",
+        F.coalesce(
+            F.sum("_rows").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+        ),
+    )
+    starts = sizes.join(_file_numbers(frame), "_file", "left")
+    inside = F.col("_place") - F.col("_first")
+    position = F.when(
+        inside.between(F.lit(0), F.col("_rows") - 1),
+        F.col("_number") * F.lit(_FILE_STRIDE) + F.col("_offset") + inside,
+    ).otherwise(F.raise_error(F.lit("the files were split in two ways; read them again")))
+    return (
+        scanned.join(starts, split, "left")
+        .withColumn("_row_position", position)
+        .drop(*split, "_place", "_rows", "_first", "_offset", "_number")
+    )
+
+
+def _require(names: Mapping[str, str], frame: DataFrame) -> None:
+    missing = {source for target, source in names.items() if target != "id"} - set(frame.columns)
+    if missing:
+        raise ValueError(f"missing required columns: {sorted(missing)}")
 
 
 def normalize(
@@ -89,6 +149,7 @@ def normalize(
     *,
     columns: Mapping[str, str] | None = None,
     timestamp_unit: str = "seconds",
+    timestamp_format: str | None = None,
     row_id: Column | None = None,
 ) -> DataFrame:
     """Rename and cast source columns; unreadable cells become null, missing columns are an error.
@@ -98,9 +159,7 @@ def normalize(
     equal rows share.
     """
     names = {**DEFAULT_COLUMNS, **(columns or {})}
-    missing = {source for target, source in names.items() if target != "id"} - set(frame.columns)
-    if missing:
-        raise ValueError(f"missing required columns: {sorted(missing)}")
+    _require(names, frame)
     has_id = names["id"] in frame.columns
     if row_id is None:
         content = F.xxhash64(*[F.col(c) for c in frame.columns])
@@ -108,7 +167,12 @@ def normalize(
             row_id = F.coalesce(F.col(names["id"]).cast("string").try_cast("bigint"), content)
         else:
             row_id = content
-    stamp = to_utc(names["timestamp"], frame.schema[names["timestamp"]].dataType, timestamp_unit)
+    stamp = to_utc(
+        names["timestamp"],
+        frame.schema[names["timestamp"]].dataType,
+        timestamp_unit,
+        timestamp_format,
+    )
     whole = [names[c] for c in ("property", "plug_id", "household_id", "house_id")]
     prepared = frame.select(
         (F.col(names["id"]) if has_id else F.lit(None)).cast("string").alias("_id"),

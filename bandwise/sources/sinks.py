@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 from bandwise.operators.metrics import safety_pass
 
 RESULT_ORDER = ("timestamp", "household_id", "plug_id", "event_id")
-# Report tables are one row per run, house, household or day; they fit one file.
 REPORT_FORMATS = ("csv", "json", "parquet")
 INSPECTABLE = {
     "outliers": ("outlier_rank",),
@@ -85,21 +84,42 @@ def write_mode(overwrite: bool) -> str:
     return "overwrite" if overwrite else "errorifexists"
 
 
-def in_result_order(df: DataFrame) -> DataFrame:
-    """Deterministic order for reading by people: event order, or the trigger time."""
+def result_order(df: DataFrame) -> list[str]:
+    """Columns of the deterministic order: event order, or the trigger time."""
     columns = [c for c in RESULT_ORDER if c in df.columns]
     if "timestamp" in columns:
-        return df.orderBy(*columns)
-    if "trigger_timestamp" in df.columns:
-        return df.orderBy("trigger_timestamp")
-    return df
+        return columns
+    return ["trigger_timestamp"] if "trigger_timestamp" in df.columns else []
 
 
-def write_report(df: DataFrame, path: str, fmt: str = "csv", *, overwrite: bool = False) -> None:
-    """One file of a small report table; CSV needs flat columns, JSON keeps maps."""
+def in_result_order(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Rows dealt to tasks by ranges of the order and sorted inside them.
+
+    The order holds over the files of a table in the order of their names, and inside every
+    partition of a partitioned one: its columns come first, so a partition is written by the tasks of
+    its own range only, and Spark has nothing to sort again.
+    """
+    order = [*partition_by, *(c for c in result_order(df) if c not in partition_by)]
+    if not order:
+        return df
+    return df.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def write_report(
+    df: DataFrame,
+    path: str,
+    fmt: str = "csv",
+    *,
+    overwrite: bool = False,
+    one_file: bool = False,
+) -> None:
+    """A report table; CSV needs flat columns, JSON keeps maps.
+
+    ``one_file`` is for tables of a run, house or day, which one task can write.
+    """
     if fmt not in REPORT_FORMATS:
         raise ValueError(f"unknown report format: {fmt}")
-    writer = df.coalesce(1).write.mode(write_mode(overwrite))
+    writer = (df.coalesce(1) if one_file else df).write.mode(write_mode(overwrite))
     if fmt == "csv":
         nested = [
             f.name
@@ -118,10 +138,15 @@ def write_report(df: DataFrame, path: str, fmt: str = "csv", *, overwrite: bool
 def write_table(
     df: DataFrame, path: str, *, overwrite: bool = False, partition_by: Sequence[str] = ()
 ) -> None:
-    """A result table of any size as Parquet, sorted; an empty one keeps its schema."""
-    ordered = in_result_order(df)
-    writer = ordered.write.mode(write_mode(overwrite))
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    """A result table of any size as Parquet, sorted; an empty one keeps its schema.
+
+    Overwriting a partitioned table replaces the partitions that the rows belong to, when the job is
+    committed, and leaves the others.
+    """
+    writer = in_result_order(df, partition_by).write.mode(write_mode(overwrite))
+    if partition_by:
+        writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by)
+    writer.parquet(path)
 
 
 def inspect(spark: SparkSession, root: str, artifact: str, n: int = 20) -> DataFrame:
@@ -134,13 +159,37 @@ def inspect(spark: SparkSession, root: str, artifact: str, n: int = 20) -> DataF
 
 
 def read_runs(spark: SparkSession, pattern: str, fmt: str = "parquet") -> DataFrame:
-    """Summary tables of many runs by glob, with the file they came from."""
+    """Summary tables of many runs by glob, in files of any of the report formats.
+
+    Adds ``source_path``, the folder of the run's table, and ``source_group``, the folder above, unless
+    the table has a group.  Columns that some runs lack are null there.
+    """
+    if fmt not in REPORT_FORMATS:
+        raise ValueError(f"unknown report format: {fmt}")
     reader = spark.read.option("mergeSchema", True)
     if fmt == "csv":
-        frame = spark.read.option("header", True).csv(pattern)
+        # files may have different headers, and a CSV scan takes one: each folder is read by its own
+        frame = _read_csv_runs(spark, pattern)
     else:
         frame = reader.format(fmt).load(pattern)
-    return frame.select("*", F.col("_metadata.file_path").alias("source_path"))
+    folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")
+    frame = frame.select("*", folder.alias("source_path")) if fmt != "csv" else frame
+    if "source_group" not in frame.columns:
+        group = F.regexp_extract("source_path", "([^/]+)/[^/]*$", 1)
+        frame = frame.withColumn("source_group", group)
+    return frame
+
+
+def _read_csv_runs(spark: SparkSession, pattern: str) -> DataFrame:
+    plain = spark.read.option("header", True)
+    folders = sorted({name.rsplit("/", 1)[0] for name in plain.csv(pattern).inputFiles()})
+    merged = None
+    for folder in folders:  # one report folder a run: a listing, not data
+        part = plain.csv(folder).withColumn("source_path", F.lit(folder))
+        merged = part if merged is None else merged.unionByName(part, allowMissingColumns=True)
+    if merged is None:
+        raise ValueError("no run summaries found")
+    return merged
 
 
 def consolidate(baselines: DataFrame | None, adaptive: DataFrame | None) -> DataFrame:
@@ -174,8 +223,14 @@ def consolidate(baselines: DataFrame | None, adaptive: DataFrame | None) -> Data
     merged = parts[0]
     for part in parts[1:]:
         merged = merged.unionByName(part, allowMissingColumns=True)
+    # cells of CSV reports are text
+    texts = {
+        f.name
+        for f in merged.schema.fields
+        if isinstance(f.dataType, T.StringType) and f.name not in _TEXT
+    }
     columns = [
-        F.col(name)
+        (F.col(name).try_cast("double").alias(name) if name in texts else F.col(name))
         if name in merged.columns
         else F.lit(None).cast("string" if name in _TEXT else "double").alias(name)
         for name in CONSOLIDATED

@@ -218,3 +218,87 @@ def test_equal_rows_of_a_csv_file_have_their_own_ids(spark, tmp_path):
     path.write_text("\n".join([HEADER, *["1377993600,2,1,2,1,0"] * 3]) + "\n")
     rows = ev.read_events(spark, str(path), "csv").collect()
     assert len({r.event_id for r in rows}) == len({r.row_id for r in rows}) == 3
+
+
+def test_csv_row_numbers_do_not_depend_on_file_splits(spark, tmp_path):
+    folder = tmp_path / "files"
+    folder.mkdir()
+    lines = [f"{1377993600 + i},{i % 5},1,{i},7,3" for i in range(400)]
+    (folder / "b.csv").write_text("\n".join([HEADER, *lines[300:]]) + "\n")
+    (folder / "a.csv").write_text("\n".join([HEADER, *lines[:150], "", *lines[150:300]]) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("700b", "2kb", "1mb"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = ev.read_events(spark, str(folder), "csv").collect()
+            got = {r.plug_id: r.row_id for r in rows}
+            assert got == {i: i if i < 300 else (1 << 40) + i - 300 for i in range(400)}
+            assert all(r.event_id == str(r.row_id) for r in rows)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_declared_timestamp_formats(spark):
+    from bandwise.functions.time import to_utc
+
+    table = spark.createDataFrame([("20130901",), ("2013-09-01",), (None,)], "t string")
+    kind = table.schema["t"].dataType
+
+    def read(pattern):
+        stamp = F.unix_seconds(to_utc("t", kind, "seconds", pattern))
+        return [r[0] for r in table.select(stamp).collect()]
+
+    day = 1377993600
+    assert read("yyyyMMdd") == [day, None, None]
+    assert read("text")[1:] == [day, None]
+    assert read("epoch") == [20130901, None, None]
+    assert read(None) == [20130901, day, None]
+
+
+def test_sorted_tables_keep_their_order_over_files(spark, tmp_path):
+    rows = spark.range(5000).select(
+        F.expr("timestamp'2013-09-01' + make_interval(0,0,0,0,0,0, pmod(hash(id), 900))").alias("timestamp"),
+        F.expr("id % 3").alias("household_id"), F.expr("id % 7").alias("plug_id"),
+        F.col("id").cast("string").alias("event_id"), F.expr("id % 2").alias("part"),
+    )
+    path = str(tmp_path / "table")
+    sinks.write_table(rows.repartition(8), path, partition_by=["part"])
+
+    def ordered():
+        # within a partition the file names are in the order of the ranges
+        found = spark.read.parquet(path).select(
+            "part", "timestamp", "household_id", "plug_id", "event_id",
+            F.col("_metadata.file_name").alias("name"), F.col("_metadata.row_index").alias("at"),
+        ).collect()
+        for part in (0, 1):
+            read = sorted((r for r in found if r.part == part), key=lambda r: (r.name, r["at"]))
+            keys = [(r.timestamp, r.household_id, r.plug_id, r.event_id) for r in read]
+            assert keys == sorted(keys)
+        return found
+
+    assert len(ordered()) == 5000
+    # replacing one partition leaves the other
+    sinks.write_table(rows.where("part = 1 and id < 100"), path, partition_by=["part"], overwrite=True)
+    found = ordered()
+    assert len([r for r in found if r.part == 0]) == 2500
+    assert len([r for r in found if r.part == 1]) == 50
+
+
+def test_runs_of_all_formats_are_consolidated(spark, tmp_path):
+    base = spark.createDataFrame(
+        [("uniform", 0, 0, 0, 0.5)],
+        "mode string, bound_violation_count bigint, suppression_violation_count bigint, "
+        "budget_violation_count bigint, rmse double",
+    )
+    for fmt in sinks.REPORT_FORMATS:
+        sinks.write_report(base, str(tmp_path / fmt / "one" / "summary"), fmt, one_file=True)
+        sinks.write_report(
+            base.withColumn("mae", F.lit(0.25)), str(tmp_path / fmt / "two" / "summary"), fmt
+        )
+        read = sinks.read_runs(spark, str(tmp_path / fmt / "*" / "summary"), fmt)
+        merged = sinks.consolidate(read, None).collect()
+        assert [(r.source_group, r.mae, r.rmse) for r in merged] == [("one", None, 0.5), ("two", 0.25, 0.5)]
+        assert all(r.safety_pass for r in merged)
+        assert all(r.source_path.endswith(f"{r.source_group}/summary") for r in merged)
+    with pytest.raises(ValueError, match="unknown report format"):
+        sinks.read_runs(spark, str(tmp_path / "*"), "orc")
