@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,31 +49,39 @@ def split_report(events: DataFrame, params: Params) -> DataFrame:
     )
 
 
-def check_splits(events: DataFrame, params: Params) -> None:
+def check_splits(events: DataFrame, params: Params, slack: timedelta = timedelta(0)) -> None:
     """Raise if a split is empty everywhere, a house that is evaluated has no warm-up, or, with
-    validation, the data does not cover the study.
+    validation, the data of a house does not cover the study but for ``slack`` at either end.
 
     Only one aggregated row reaches the driver.
     """
+    late = F.col("first_timestamp") > F.lit(params.warmup[0] + slack)
+    short = F.col("last_timestamp") < F.lit(params.evaluation[1] - slack)
     row = (
         split_report(events, params)
         .agg(
             F.sum("warmup_events").alias("warmup"),
             F.sum("validation_events").alias("validation"),
             F.sum("evaluation_events").alias("evaluation"),
-            F.min("first_timestamp").alias("first"),
-            F.max("last_timestamp").alias("last"),
-            (F.min("first_timestamp") > F.lit(params.warmup[0])).alias("late"),
-            (F.max("last_timestamp") < F.lit(params.evaluation[1])).alias("short"),
+            F.count_if(late).alias("late"),
+            F.min(F.when(late, F.col("house_id"))).alias("late_house"),
+            F.count_if(short).alias("short"),
+            F.min(F.when(short, F.col("house_id"))).alias("short_house"),
             F.count_if("lacks_warmup").alias("lacking"),
             F.min(F.when(F.col("lacks_warmup"), F.col("house_id"))).alias("example"),
         )
         .first()
     )
     if params.validation is not None and row["late"]:
-        raise ValueError(f"input coverage starts after warm-up start: {row['first']}")
+        raise ValueError(
+            f"input coverage starts after warm-up start in {row['late']} houses, the first is "
+            f"{row['late_house']}"
+        )
     if params.validation is not None and row["short"]:
-        raise ValueError(f"input coverage ends before evaluation end: {row['last']}")
+        raise ValueError(
+            f"input coverage ends before evaluation end in {row['short']} houses, the first is "
+            f"{row['short_house']}"
+        )
     for name in ("warmup", "validation", "evaluation"):
         if name == "validation" and params.validation is None:
             continue

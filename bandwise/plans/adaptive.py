@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -22,13 +23,27 @@ SCORE_FREE = ("full_tx", "uniform")
 
 
 class AdaptiveRun:
-    """Decisions and reports of a grid of (allocator, predictor) candidates."""
+    """Decisions and reports of a grid of (allocator, predictor) candidates.
+
+    ``assigned`` (house_id, config_id) lets every house run candidates of its own.  These share one
+    allocator, whose thresholds are worked out once; a house's rows are repeated for its candidates only.
+    """
 
     def __init__(
-        self, study: Study, configs: Sequence[AdaptiveConfig], *, estimator: str = "exact"
+        self,
+        study: Study,
+        configs: Sequence[AdaptiveConfig],
+        *,
+        estimator: str = "exact",
+        assigned: DataFrame | None = None,
     ):
         if len({c.config_id for c in configs}) != len(configs) or not configs:
             raise ValueError("configurations must be non-empty and unique")
+        if assigned is not None:
+            shared = {replace(c.allocation, config_id="") for c in configs}
+            if len(shared) > 1 or configs[0].allocation.mode not in SCORE_FREE:
+                raise ValueError("candidates per house need one allocator that reads no scores")
+        self.assigned = assigned
         self.study = study
         self.configs = list(configs)
         self.estimator = estimator
@@ -110,10 +125,17 @@ class AdaptiveRun:
         coupled = [c for c in self.configs if c.allocation.mode not in SCORE_FREE]
         if free:
             allocations = [c.allocation for c in free]
-            trace = study.run(allocations).trace
-            rows = self._rows(
-                decide.with_thresholds(self.seen, trace, allocations)
-            )
+            if self.assigned is None:
+                trace = study.run(allocations).trace
+                thresholded = decide.with_thresholds(self.seen, trace, allocations)
+            else:
+                trace = study.run(allocations[:1]).trace
+                thresholded = decide.with_thresholds(self.seen, trace, allocations[:1])
+                thresholded, trace = (
+                    part.drop("config_id").join(self.assigned, "house_id").select(*part.columns)
+                    for part in (thresholded, trace)
+                )
+            rows = self._rows(thresholded)
             folded = fold_by_key(
                 rows,
                 adaptive.KEY,

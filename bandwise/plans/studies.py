@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import replace
+from datetime import timedelta
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bandwise.operators import adaptive as ad
-from bandwise.operators import compare, metrics
+from bandwise.operators import compare, metrics, splits
 from bandwise.params import (
     MODES,
     PREDICTOR_MODES,
@@ -415,9 +416,14 @@ def predictor_matrix(
 class StagedSearch:
     """Four-stage search on the validation interval: alpha, CUSUM, count limit, silence limit.
 
-    Every stage is one grid job; only the winner's id (one row) decides the next stage.  All
-    houses are judged together: a candidate's figures are those of one house, given as
-    ``house_id``, or the means over houses.
+    Every house is searched for itself: a stage is one job over a table of (house, candidate), in
+    which a house has the candidates that follow from its own winner of the stage before.  What
+    reaches the driver is the distinct winners, at most one per candidate of the grid.  A house whose
+    candidates are all rejected stops at that stage and has no row in ``selected``; it is an error
+    only if no house goes on.
+
+    The data of every house must reach from the start of the warm-up to the end of the evaluation;
+    ``slack`` allows for the distance between readings.
     """
 
     def __init__(
@@ -429,11 +435,13 @@ class StagedSearch:
         house_id: int | None = None,
         maximum_additional_tr: float = 0.03,
         maximum_unresolved_fraction: float = 0.5,
+        slack: timedelta = timedelta(0),
     ):
         params = study.params.on_validation()
         events = study.events
         if house_id is not None:
             events = events.where(F.col("house_id") == house_id)
+        splits.check_splits(events, study.params, slack)
         self.study = Study(events, params)
         self.allocation, self.template = allocation, template
         self.limit, self.unresolved_limit = maximum_additional_tr, maximum_unresolved_fraction
@@ -455,30 +463,28 @@ class StagedSearch:
             "frozen-ratio",
         )
 
-    def _stage(self, name: str, configs: Sequence[AdaptiveConfig]) -> DataFrame:
-        """Judged candidates of a stage."""
-        rows = predictor_rows(AdaptiveRun(self.study, configs)).join(
-            self._frozen_ratio, "house_id"
+    def _stage(
+        self, name: str, configs: Sequence[AdaptiveConfig], assigned: DataFrame
+    ) -> DataFrame:
+        """Judged candidates of a stage, one row per house and candidate."""
+        run = AdaptiveRun(
+            self.study, configs, assigned=assigned.select("house_id", "config_id")
         )
-        drifts = F.sum("drift_trigger_count")
-        judged = rows.groupBy("config_id").agg(
-            F.first("predictor_mode").alias("predictor_mode"),
-            F.avg("transmission_ratio").alias("transmission_ratio"),
-            F.avg(F.col("transmission_ratio") - F.col("frozen_ratio")).alias(
-                "additional_TR_vs_frozen"
-            ),
-            F.avg("rmse").alias("rmse"),
-            F.avg("cvar99").alias("cvar99"),
-            F.avg("max").alias("max"),
-            drifts.alias("drift_trigger_count"),
-            F.sum(
-                F.col("periodic_sync_count_trigger_count")
-                + F.col("periodic_sync_time_trigger_count")
-            ).alias("periodic_sync_trigger_count"),
-            F.when(drifts > 0, F.sum("number_of_unresolved_drift_episodes") / drifts)
-            .otherwise(F.lit(0.0))
-            .alias("unresolved_drift_fraction"),
-            F.bool_and("safety_pass").alias("safety_pass"),
+        drifts = F.col("drift_trigger_count")
+        judged = (
+            predictor_rows(run)
+            .join(self._frozen_ratio, "house_id")
+            .join(assigned, ["house_id", "config_id"])
+            .withColumns(
+                {
+                    "additional_TR_vs_frozen": F.col("transmission_ratio") - F.col("frozen_ratio"),
+                    "periodic_sync_trigger_count": F.col("periodic_sync_count_trigger_count")
+                    + F.col("periodic_sync_time_trigger_count"),
+                    "unresolved_drift_fraction": F.when(
+                        drifts > 0, F.col("number_of_unresolved_drift_episodes") / drifts
+                    ).otherwise(F.lit(0.0)),
+                }
+            )
         )
         reasons = F.array_compact(
             F.array(
@@ -490,7 +496,6 @@ class StagedSearch:
                 F.when(~F.col("safety_pass"), "safety"),
             )
         )
-        judged = judged.withColumn("_reasons", reasons)
         settings = {
             "alpha": "double",
             "detector": "string",
@@ -499,38 +504,45 @@ class StagedSearch:
             "max_suppressions": "bigint",
             "max_silence": "bigint",
         }
-        for field, kind in settings.items():
-            values = [F.lit(x) for c in configs for x in (c.config_id, getattr(c, field))]
-            judged = judged.withColumn(
-                field, F.create_map(*values)[F.col("config_id")].cast(kind)
-            )
         return self.study.hold(
-            judged.select(
+            judged.withColumn("_reasons", reasons).select(
+                "house_id",
                 F.lit(name).alias("stage"),
-                F.col("config_id").alias("candidate_id"),
-                *[c for c in judged.columns if c not in ("config_id", "_reasons")],
+                "candidate_id",
+                "config_id",
+                "predictor_mode",
+                "transmission_ratio",
+                "additional_TR_vs_frozen",
+                "rmse",
+                "cvar99",
+                "max",
+                "drift_trigger_count",
+                "periodic_sync_trigger_count",
+                "unresolved_drift_fraction",
+                "safety_pass",
+                *[_labels(configs, field).cast(kind).alias(field) for field, kind in settings.items()],
                 (F.size("_reasons") > 0).alias("rejected"),
                 F.nullif(F.array_join("_reasons", ","), F.lit("")).alias("rejection_reason"),
             ),
             f"stage-{name}",
         )
 
-    def _winner(self, name: str, rows: DataFrame, configs: Sequence[AdaptiveConfig]):
+    def _winners(self, name: str, rows: DataFrame) -> DataFrame:
+        """The best candidate of every house that has an eligible one."""
         order = [
             *PICK_ORDER,
             F.col("drift_trigger_count") + F.col("periodic_sync_trigger_count"),
             "candidate_id",
         ]
-        best = compare.best_pick(rows.where(~F.col("rejected")), ["stage"], order).first()
-        if best is None:
-            raise ValueError(f"all predictor validation candidates rejected in stage {name}")
-        return next(c for c in configs if c.config_id == best["candidate_id"])
+        best = compare.best_pick(rows.where(~F.col("rejected")), ["house_id"], order)
+        return self.study.hold(best, f"winners-{name}")
 
     @cached_property
-    def _search(self) -> tuple[DataFrame, AdaptiveConfig]:
+    def _search(self) -> tuple[DataFrame, DataFrame, list[AdaptiveConfig]]:
         both = "slot_median_ewma_drift_periodic_sync"
         off = dict(max_suppressions=None, max_silence=None)
-        best, tables = self.template, []
+        spark = self.study.events.sparkSession
+        tables = []
 
         def label(limit):
             return "off" if limit is None else str(limit)
@@ -570,20 +582,51 @@ class StagedSearch:
                 ],
             ),
         )
+        branches = [self.template]
+        houses = self._frozen_ratio.select("house_id", F.lit(0).alias("branch"))
         for name, build in stages:
-            configs = build(best)
-            rows = self._stage(name, configs)
-            tables.append(rows)
-            best = self._winner(name, rows, configs)
+            # one candidate may follow from several winners, so its configurations are numbered by them
+            grid = [
+                (i, c.config_id, replace(c, allocation=replace(c.allocation, config_id=f"{c.config_id}|{i}")))
+                for i, branch in enumerate(branches)
+                for c in build(branch)
+            ]
+            configs = [c for _, _, c in grid]
+            listed = spark.createDataFrame(
+                [(i, c.config_id, label) for i, label, c in grid],
+                "branch int, config_id string, candidate_id string",
+            )
+            assigned = self.study.hold(
+                houses.join(listed, "branch").select("house_id", "config_id", "candidate_id"),
+                f"assigned-{name}",
+            )
+            rows = self._stage(name, configs, assigned)
+            tables.append(rows.drop("config_id"))
+            winners = self._winners(name, rows)
+            chosen = {r.config_id for r in winners.select("config_id").distinct().collect()}
+            if not chosen:
+                raise ValueError(f"all predictor validation candidates rejected in stage {name}")
+            branches = [c for c in configs if c.config_id in chosen]
+            numbers = spark.createDataFrame(
+                [(c.config_id, i) for i, c in enumerate(branches)], "config_id string, branch int"
+            )
+            houses = winners.join(numbers, "config_id").select("house_id", "branch")
         candidates = tables[0]
         for table in tables[1:]:
             candidates = candidates.unionByName(table)
-        return candidates, best
+        return candidates, winners, branches
 
     @property
     def candidates(self) -> DataFrame:
+        """All judged candidates: house, stage, settings, figures, and why one was rejected."""
         return self._search[0]
 
     @property
-    def selected(self) -> AdaptiveConfig:
-        return self._search[1]
+    def selected(self) -> DataFrame:
+        """The winner of the last stage, with its settings, of every house that reached it."""
+        return self._search[1].drop("config_id")
+
+    def on(self, study: Study) -> AdaptiveRun:
+        """Every house with its own selected predictor, on another study, such as the evaluation's."""
+        _, winners, branches = self._search
+        return AdaptiveRun(study, branches, assigned=winners.select("house_id", "config_id"))

@@ -572,6 +572,44 @@ _SUMMARY = f"""select mode, house_id, valid_events, timestamp_batches, transmitt
     as safety_pass,
   forced_full_tx, forced_missing_prediction, forced_inactive_reactivation from summ"""
 
+# Columns of the consolidated table, by where their figures come from.
+_OF_RUNS = (
+    "valid_events, timestamp_batches, transmitted, suppressed, transmission_ratio, reduction, rmse, "
+    "p95, p99, cvar95, cvar99, max, house_budget, bound_violation_count, suppression_violation_count, "
+    "budget_violation_count, maximum_consecutive_suppression"
+).split(", ")
+_OF_PREDICTORS = (
+    "prediction_mae, prediction_rmse, prediction_p95, prediction_p99, prediction_cvar95, "
+    "prediction_cvar99, prediction_bias, predictor_update_count, predictor_update_rate, "
+    "drift_trigger_count, additional_drift_transmission_count, periodic_sync_count_trigger_count, "
+    "periodic_sync_time_trigger_count, additional_periodic_transmission_count, "
+    "maximum_consecutive_suppressions_observed, predictor_state_divergence_count"
+).split(", ")
+
+
+def _consolidated(found: dict[str, str]) -> str:
+    """Two folders of frozen runs, one of which lacks the mean error, and one of adaptive ones."""
+    none = ", ".join(f"null::varchar as {c}" for c in (
+        "experiment_name", "input_sha256", "evaluation_start", "evaluation_end"))
+    group = "case when mode = 'uniform' then 'uniform' else 'modes' end"
+    return f"""
+      with f as ({found['summary_modes']}), a as ({found['adaptive_summary']}),
+      p as ({found['predictor_summary']})
+      select {group} as source_group, 'allocator_baseline' as result_type,
+        'frozen/' || {group} || '/summary' as source_path, {none}, house_id, mode as allocator_mode,
+        'slot_median_frozen' as predictor_mode, {', '.join(_OF_RUNS)},
+        case when mode <> 'uniform' then mae end as mae, null as prediction_events,
+        {', '.join(f'null as {c}' for c in _OF_PREDICTORS)}, safety_pass
+      from f
+      union all by name
+      select 'predictors' as source_group, 'adaptive_predictor' as result_type,
+        'adaptive/predictors/summary' as source_path, {none}, a.house_id, a.mode as allocator_mode,
+        a.predictor_mode, {', '.join('a.' + c for c in _OF_RUNS)}, a.mae, p.events as prediction_events,
+        {', '.join('p.' + c for c in _OF_PREDICTORS)},
+        a.safety_pass and p.predictor_state_divergence_count = 0 as safety_pass
+      from a join p on a.house_id = p.house_id and a.predictor_mode = p.predictor_mode"""
+
+
 _HIERARCHY = f""",
 pair as (
   select coalesce(f.house_id, t.house_id) as house_id, coalesce(f.cycle, t.cycle) as cycle,
@@ -777,6 +815,44 @@ _SOURCE = """select event_id, case when row_id % 11 <> 0 then timestamp end as t
 
 
 def statements() -> dict[str, str]:
+    found = _statements()
+    return found | {
+        "consolidated_runs": _consolidated(found),
+        "report_files": f"""select format, s.* from ({found['summary_modes']}) s,
+          (values ('csv'), ('json'), ('parquet')) t(format)""",
+        "inspect_drift": f"""select * from ({found['drift_events']})
+          where predictor_mode = 'slot_median_ewma_drift'
+          order by timestamp, household_id, plug_id, event_id limit 25""",
+        "sorted_tables": query(
+            """select mode, house_id, count(*) as rows, 0 as rows_behind, 0 as files_behind,
+            min(timestamp) as first_timestamp, max(timestamp) as last_timestamp from batch group by all"""
+        ),
+        "csv_row_numbers": """
+          select event_id as source_row, place as large, place as small
+          from (select event_id, row_number() over (order by event_id) - 1 as place from events)""",
+        "declared_formats": query(
+            """select 'yyyyMMdd' as pattern, strftime(timestamp, '%Y-%m-%d') as day, count(*) as rows
+            from ev group by all
+            union all
+            select 'epoch', strftime(timestamp '1970-01-01'
+              + to_seconds(strftime(timestamp, '%Y%m%d')::bigint), '%Y-%m-%d'), count(*)
+            from ev group by all"""
+        ),
+        "own_predictor": query(
+            f""",
+            own as (select {PLUG}, avg(value) as mean from warm group by all)
+            select d.event_id, {r('mean', 'prediction')}, {r('threshold_used')},
+              forced_reason is not null or abs(d.value - mean) > threshold_used + 1e-9 as transmitted
+            from dec d left join own using ({PLUG}) where mode = 'uniform'"""
+        ),
+        "adaptive_disabled": adaptive(
+            f"""select event_id, {rs('prediction, threshold_used')}, sent as transmitted
+            from ad where pm = 'slot_median_frozen'"""
+        ),
+    }
+
+
+def _statements() -> dict[str, str]:
     warm_counts = """count(*) as input_rows, count(*) filter ({h}) as wrong_house,
   count(*) filter (not ({h}) and property <> 1) as wrong_property,
   count(*) filter (not ({h}) and property = 1 and not (isfinite(value) and value >= 0))

@@ -8,9 +8,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
+from datetime import timedelta
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,7 +35,7 @@ from bandwise.plans.studies import (
     predictor_points,
     sensitivity,
 )
-from bandwise.session import new_table_path
+from bandwise.session import new_table_path, write_through
 from bandwise.sources.events import (
     PLUG,
     accept,
@@ -44,7 +45,14 @@ from bandwise.sources.events import (
     valid_value,
     write_curated,
 )
-from bandwise.sources.sinks import consolidate
+from bandwise.sources.sinks import (
+    REPORT_FORMATS,
+    consolidate,
+    inspect,
+    read_runs,
+    write_report,
+    write_table,
+)
 
 EPSILON = 5.0
 EPSILONS = (0.5, 1.0, 2.0, 3.0, 4.0, 5.0, 7.5, 10.0, 15.0)
@@ -236,6 +244,52 @@ def q_read_without_id(spark, sf):
     return counts[0].unionByName(counts[1])
 
 
+def q_csv_row_numbers(spark, sf):
+    """Numbers of the rows of a CSV table without ids, read in large and in small splits."""
+    rows = plug_events(spark, sf).select(
+        F.unix_seconds("timestamp").alias("timestamp"), "value", F.col("row_id").alias("property"),
+        "plug_id", "household_id", "house_id",
+    )
+    path = new_table_path(spark, "numbered-csv")
+    ordered = rows.repartitionByRange(4, "property").sortWithinPartitions("property")
+    ordered.write.option("header", True).csv(path)
+    # a row's place among all: its number in the file behind the rows of the files before
+    of_file, place = F.shiftright("row_id", 40), F.col("row_id").bitwiseAND((1 << 40) - 1)
+    found = []
+    setting = "spark.sql.files.maxPartitionBytes"
+    default = spark.conf.get(setting)
+    for label, size in (("large", default), ("small", "64kb")):
+        spark.conf.set(setting, size)
+        try:
+            read = write_through(read_events(spark, path, "csv"), f"numbered-{label}")
+        finally:
+            spark.conf.set(setting, default)
+        before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+        files = read.groupBy(of_file.alias("file")).agg(F.count("*").alias("rows"))
+        files = files.select("file", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
+        found.append(
+            read.withColumn("file", of_file).join(files, "file").select(
+                F.col("property").alias("source_row"), (F.col("start") + place).alias(label)
+            )
+        )
+    return found[0].join(found[1], "source_row")
+
+
+def q_declared_formats(spark, sf):
+    """Days as eight digits are dates if the format says so, and epoch seconds otherwise."""
+    rows = plug_events(spark, sf).withColumn("timestamp", F.date_format("timestamp", "yyyyMMdd"))
+    path = new_table_path(spark, "declared")
+    rows.withColumnRenamed("row_id", "id").drop("event_id").write.option("header", True).csv(path)
+    counts = []
+    for pattern in ("yyyyMMdd", "epoch"):
+        read = read_events(spark, path, "csv", timestamp_format=pattern)
+        day = F.date_format("timestamp", "yyyy-MM-dd")
+        counts.append(
+            read.groupBy(F.lit(pattern).alias("pattern"), day.alias("day")).agg(F.count("*").alias("rows"))
+        )
+    return counts[0].unionByName(counts[1])
+
+
 def q_curated_range(spark, sf):
     """Accepted events written by house and day, one house and some days read back."""
     path = new_table_path(spark, "curated")
@@ -746,18 +800,103 @@ def q_tradeoff_summary(spark, sf):
 
 
 def q_consolidated_runs(spark, sf):
-    frozen = modes_run(spark, sf).summary().drop("config_id").withColumns(
-        {"source_group": F.lit("modes"), "source_path": F.lit("modes")}
+    """Summaries written by several runs, in folders of their own, read by glob and put together."""
+    root = new_table_path(spark, "runs")
+    frozen = modes_run(spark, sf).summary().drop("config_id", "forced_transmit")
+    # one run lacks a column that the other has
+    write_report(frozen.where("mode <> 'uniform'"), f"{root}/frozen/modes/summary", "parquet")
+    write_report(
+        frozen.where("mode = 'uniform'").drop("mae"), f"{root}/frozen/uniform/summary", "parquet"
     )
     rows = comparison(spark, sf).run
-    adaptive = (
-        rows.summary()
+    write_report(
+        rows.summary().drop("forced_transmit")
         .join(rows.predictor_summary(), ["config_id", "house_id"])
-        .withColumnRenamed("mode", "allocator_mode")
-        .withColumns({"source_group": F.lit("predictors"), "source_path": F.lit("predictors")})
-        .drop("config_id")
+        .withColumnRenamed("mode", "allocator_mode").drop("config_id"),
+        f"{root}/adaptive/predictors/summary", "json",
+    )
+    found = consolidate(
+        read_runs(spark, f"{root}/frozen/*/summary"),
+        read_runs(spark, f"{root}/adaptive/*/summary", "json"),
+    )
+    return found.withColumn("source_path", F.regexp_extract("source_path", "([^/]+/[^/]+/[^/]+)$", 1))
+
+
+def q_report_files(spark, sf):
+    """The summary written as a report in every format and read back."""
+    rows = tidy(q_summary_modes(spark, sf))
+    root = new_table_path(spark, "reports")
+    found = []
+    for fmt in REPORT_FORMATS:
+        write_report(rows, f"{root}/{fmt}", fmt)
+        reader = spark.read.schema(rows.schema).option("header", True)
+        found.append(
+            reader.format(fmt).load(f"{root}/{fmt}").select(F.lit(fmt).alias("format"), "*")
+        )
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def q_sorted_tables(spark, sf):
+    """Batches of all modes, written sorted by mode and house: rows behind their successor, over all files."""
+    path = new_table_path(spark, "sorted")
+    rows = modes_run(spark, sf).batches.withColumn("timestamp", F.timestamp_micros("ts_us"))
+    write_table(rows, path, partition_by=["mode", "house_id"])
+    half = rows.where("mode = 'uniform'")
+    # written once more, its partitions are replaced and the others stay
+    write_table(half, path, partition_by=["mode", "house_id"], overwrite=True)
+    read = spark.read.parquet(path).select(
+        "mode", "house_id", "timestamp", F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.row_index").alias("place"),
+    )
+    inside = Window.partitionBy("mode", "house_id", "file").orderBy("place")
+    files = (
+        read.withColumn("behind", F.lag("timestamp").over(inside) > F.col("timestamp"))
+        .groupBy("mode", "house_id", "file")
+        .agg(
+            F.count("*").alias("rows"), F.count_if("behind").alias("behind"),
+            F.min("timestamp").alias("first"), F.max("timestamp").alias("last"),
+        )
+    )
+    over = Window.partitionBy("mode", "house_id").orderBy("file")
+    late = F.coalesce(F.lag("last").over(over) > F.col("first"), F.lit(False))
+    return files.withColumn("late", late).groupBy("mode", "house_id").agg(
+        F.sum("rows").alias("rows"), F.sum("behind").alias("rows_behind"),
+        F.count_if("late").alias("files_behind"), F.min("first").alias("first_timestamp"),
+        F.max("last").alias("last_timestamp"),
+    )
+
+
+def q_inspect_drift(spark, sf):
+    """First rows of a written table of drift events; a table without rows keeps its columns."""
+    root = new_table_path(spark, "inspect")
+    rows = q_drift_events(spark, sf).where("predictor_mode = 'slot_median_ewma_drift'")
+    write_table(rows, f"{root}/drift_events")
+    write_table(rows.where("false"), f"{root}/resynchronization_events")
+    empty = inspect(spark, root, "resynchronization_events")
+    return inspect(spark, root, "drift_events", 25).unionByName(empty)
+
+
+def q_own_predictor(spark, sf):
+    """Decisions with a predictor of the user's own, the mean of a plug's warm-up."""
+    base = study(spark, sf)
+    means = base.hold(base.warm.groupBy(*PLUG).agg(F.avg("value").alias("prediction")), "own-means")
+
+    def predict(events):
+        joined = events.join(means, PLUG, "left")
+        return joined.withColumn("residual", F.col("value") - F.col("prediction"))
+
+    run = Study(base.events, base.params, predictor=predict).run([BASE])
+    return run.decisions.select("event_id", "prediction", "threshold_used", "transmitted")
+
+
+def q_adaptive_disabled(spark, sf):
+    """With the adaptive part disabled every predictor mode decides as the frozen one."""
+    off = replace(
+        TEMPLATE, enabled=False, predictor_mode=_FULL_MODE, allocation=replace(BASE, config_id="off")
+    )
+    return AdaptiveRun(study(spark, sf), [off]).decisions.select(
+        "event_id", "prediction", "threshold_used", "transmitted"
     )
-    return consolidate(frozen, adaptive)
 
 
 # coupled -------------------------------------------------------------------------------------------
@@ -780,7 +919,7 @@ def q_predictor_matrix(spark, sf):
 def q_staged_search(spark, sf):
     search = StagedSearch(
         study(spark, sf, STAGED), BASE, TEMPLATE, maximum_additional_tr=0.1,
-        maximum_unresolved_fraction=0.64,
+        maximum_unresolved_fraction=0.64, slack=timedelta(days=1),
     )
     return search.candidates
 
