@@ -20,6 +20,18 @@ def remainder(doc_id: Column | str, divisor: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit(""))) % divisor
 
 
+def fresh(table: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that the table does not have, in any case of letters."""
+    taken = {c.lower() for c in table.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -48,14 +60,15 @@ def keep_rows(docs: DataFrame, flags: DataFrame, id_column: str, text_column: st
 
     Rows are matched by id and text.  Where rows agree in both, one of them stays if any is kept.
     """
-    keys = flags.groupBy(F.col(id_column).alias("__id"), F.col("text_sha256").alias("__sha")).agg(
-        F.max("kept").alias("__kept"), F.count("*").alias("__rows")
+    key, sha, stays, rows = fresh(docs, "__id", "__sha", "__kept", "__rows")
+    keys = flags.groupBy(F.col(id_column).alias(key), F.col("text_sha256").alias(sha)).agg(
+        F.max("kept").alias(stays), F.count("*").alias(rows)
     )
-    keys = write_through(keys.where("__kept"), "kept")
+    keys = write_through(keys.where(F.col(stays)), "kept")
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    same = F.col(id_column).cast("long").eqNullSafe(F.col("__id")) & (F.sha2(text, 256) == F.col("__sha"))
-    kept = docs.join(keys.where("__rows = 1"), same, "left_semi")
-    repeated = keys.where("__rows > 1")
+    same = F.col(id_column).cast("long").eqNullSafe(F.col(key)) & (F.sha2(text, 256) == F.col(sha))
+    kept = docs.join(keys.where(F.col(rows) == 1), same, "left_semi")
+    repeated = keys.where(F.col(rows) > 1)
     if not repeated.isEmpty():
         kept = kept.unionByName(docs.join(repeated, same, "left_semi").dropDuplicates([id_column, text_column]))
     return kept.select(*docs.columns)

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bandwise.llm.common import non_empty, replaced
+from bandwise.llm.common import fresh, non_empty, replaced
 from bandwise.llm.text import LETTERS, Hasher, blocks, mix, per_document, words
 
 UNKNOWN = "und"
@@ -123,34 +123,51 @@ class Model:
     weights: np.ndarray
     transition: np.ndarray
 
-    def shares(self, column: pa.Array) -> np.ndarray:
-        """Mean probability of each language over the words of each text (0 if there is no word)."""
-        found = []
+    def labelled(self, column: pa.Array) -> Iterator[tuple]:
+        """(block, its words, probability of each language per word), block by block."""
         for block in blocks(pc.utf8_lower(pc.fill_null(column.cast(pa.large_string()), "")), BLOCK_BYTES):
             spans = words(block, LETTERS)
             if not len(spans):
-                found.append(np.zeros((len(block), len(self.languages))))
+                yield block, spans, np.zeros((0, len(self.languages)), np.float32)
                 continue
             hasher = Hasher(block.data)
             _, one, which = np.unique(hasher.slices(spans.start, spans.end), return_index=True, return_inverse=True)
             kinds = word_types(block.data, hasher, spans.start[one], spans.end[one], self.bits)
             emission = kinds.emissions(self.weights).astype(np.float32)[which]
-            gamma = marginals(emission, self.transition, spans.first)
+            yield block, spans, marginals(emission, self.transition, spans.first)
+
+    def shares(self, column: pa.Array) -> np.ndarray:
+        """Mean probability of each language over the words of each text (0 if there is no word)."""
+        found = []
+        for block, spans, gamma in self.labelled(column):
+            if not len(spans):
+                found.append(np.zeros((len(block), len(self.languages))))
+                continue
             found.append(per_document(gamma, spans.first) / np.maximum(spans.counts, 1)[:, None])
         return np.concatenate(found) if found else np.zeros((0, len(self.languages)))
 
 
 def fit_model(texts: list[str], labels: list[str], *, bits: int = 16, chain: int = 100, rounds: int = 30, rate: float = 0.3, penalty: float = 2.0) -> Model:
-    """Adaptive gradient ascent on the likelihood of the word labels given the words, with a Gaussian prior."""
+    """Adaptive gradient ascent on the likelihood of the word labels given the words, with a Gaussian prior.
+
+    Texts are cut into chains of at most `chain` words, and every two chains of a fixed shuffle are joined, so that
+    transitions between languages are observed too.
+    """
     languages = sorted(set(labels))
     number = {name: i for i, name in enumerate(languages)}
     block = next(blocks(pc.utf8_lower(pa.array(texts, pa.large_string())), 1 << 60))
     spans = words(block, LETTERS)
     truth = np.array([number[x] for x in labels], np.int64)[spans.doc]
     starts = [np.arange(a, b, chain) for a, b in zip(spans.first[:-1], spans.first[1:], strict=True)]
-    first = np.append(np.concatenate(starts) if starts else np.zeros(0, np.int64), len(spans)).astype(np.int64)
+    border = np.append(np.concatenate(starts) if starts else np.zeros(0, np.int64), len(spans)).astype(np.int64)
+    shuffled = np.random.default_rng(5).permutation(len(border) - 1)
+    sizes = np.diff(border)[shuffled]
+    ends = np.cumsum(sizes)
+    place = np.repeat(border[:-1][shuffled] - (ends - sizes), sizes) + np.arange(len(spans))
+    truth, first = truth[place], np.append((ends - sizes)[::2], len(spans)).astype(np.int64)
     hasher = Hasher(block.data)
     _, one, which = np.unique(hasher.slices(spans.start, spans.end), return_index=True, return_inverse=True)
+    which = which[place]
     kinds = word_types(block.data, hasher, spans.start[one], spans.end[one], bits)
     k, shape = len(languages), (1 << bits, len(languages))
     weights, transition = np.zeros(shape), np.zeros((k, k))
@@ -194,24 +211,62 @@ def fit(
     return fit_model(found.column("text").to_pylist(), found.column("label").to_pylist(), **options)
 
 
+def label_runs(docs: DataFrame, model: Model | None, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Runs of words of one language: id, run, first_word, last_word (words of letters, from 0), lang, probability (mean).
+
+    A word has the language of its highest marginal probability.  Texts without a word have no run, repeated rows are
+    reported each, and an empty table or no model gives an empty table.  Other columns of docs are not read.
+    """
+    schema = f"`{id_column}` {docs.schema[id_column].dataType.simpleString()}, run int, first_word long, last_word long, lang string, probability double"
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
+    if model is None:
+        return docs.sparkSession.createDataFrame([], schema)
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = np.array(held.value.languages, object)
+        for batch in non_empty(batches):
+            for block, spans, gamma in held.value.labelled(batch.column(1)):
+                if not len(spans):
+                    continue
+                best, doc = gamma.argmax(axis=1), spans.doc
+                at = np.flatnonzero(np.append(True, (best[1:] != best[:-1]) | (doc[1:] != doc[:-1])))
+                size = np.diff(np.append(at, len(best)))
+                mean = np.add.reduceat(gamma[np.arange(len(best)), best].astype(np.float64), at) / size
+                owner = doc[at]
+                number = np.arange(len(at)) - np.searchsorted(owner, owner)
+                begin = at - spans.first[owner]
+                ids = batch.column(0).slice(block.first, len(block)).take(pa.array(owner))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        ids, pa.array(number, pa.int32()), pa.array(begin, pa.int64()), pa.array(begin + size - 1, pa.int64()),
+                        pa.array(names[best[at]], pa.string()), pa.array(np.clip(mean, 0, 1), pa.float64()),
+                    ],
+                    names=[id_column, "run", "first_word", "last_word", "lang", "probability"],
+                )
+
+    return rows.mapInArrow(run, schema)
+
+
 def predict(docs: DataFrame, model: Model | None, *, text_column: str = "text") -> DataFrame:
     """docs without the text, with lang_pred, score (mean probability of that language), n_languages (over 5 % of the words)."""
-    rows = docs.withColumn("__text", F.col(text_column).cast("string")).drop(text_column, "lang_pred", "score", "n_languages")
-    rest = [f for f in rows.schema.fields if f.name != "__text"]
+    plain, letters = fresh(docs, "__text", "__letter")
+    rows = docs.withColumn(plain, F.col(text_column).cast("string")).drop(text_column, "lang_pred", "score", "n_languages")
+    rest = [f for f in rows.schema.fields if f.name != plain]
     if model is None:
         return rows.select(*(f.name for f in rest), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0).alias("n_languages"))
     held = docs.sparkSession.sparkContext.broadcast(model)
-    rows = rows.withColumn("__letter", F.coalesce(F.col("__text").rlike(r"\p{L}"), F.lit(False)))
+    rows = rows.withColumn(letters, F.coalesce(F.col(plain).rlike(r"\p{L}"), F.lit(False)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in non_empty(batches):
             names = batch.schema.names
-            shares = held.value.shares(batch.column(names.index("__text")))
-            letter = batch.column(names.index("__letter")).to_numpy(zero_copy_only=False).astype(bool)
+            shares = held.value.shares(batch.column(names.index(plain)))
+            letter = batch.column(names.index(letters)).to_numpy(zero_copy_only=False).astype(bool)
             best = shares.argmax(axis=1)
             name = np.where(letter, np.array(held.value.languages, object)[best], UNKNOWN)
             score = np.where(letter, np.clip(shares.max(axis=1), 0, 1), 0.0)
-            out = batch.select([n for n in names if not n.startswith("__")])
+            out = batch.select([f.name for f in rest])
             yield replaced(
                 out, lang_pred=pa.array(name, pa.string()), score=pa.array(score, pa.float64()),
                 n_languages=pa.array(np.where(letter, (shares > 0.05).sum(axis=1), 0), pa.int32()),

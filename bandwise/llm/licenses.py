@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from bandwise.llm.license_rules import Rule, rules
 
+#: the one letter beyond ASCII that would become an ASCII word of its own; any other letter does instead
+_KELVIN, _OTHER = "\u212a", "\u0138"
 _NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -42,7 +44,8 @@ def detections(docs: DataFrame, *, id_column: str = "doc_id", text_column: str =
     confidence, rule, start, end (words from 0, end excluded), base, suppressed."""
     table = table or rules()
     spark = docs.sparkSession
-    text = F.concat(F.lit("."), F.lower(F.coalesce(F.col(text_column).cast("string"), F.lit(""))), F.lit("."))
+    plain = F.replace(F.coalesce(F.col(text_column).cast("string"), F.lit("")), F.lit(_KELVIN), F.lit(_OTHER))
+    text = F.concat(F.lit("."), F.lower(plain), F.lit("."))
     normal = docs.select(F.col(id_column).alias("id"), F.regexp_replace(text, _NO_WORD, "  ").alias("wide")).select(
         F.monotonically_increasing_id().alias("row"), "id", F.expr("substring(wide, 2, length(wide) - 2)").alias("norm")
     )

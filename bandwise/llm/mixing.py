@@ -22,6 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bandwise.llm.common import fresh
 from bandwise.session import write_through
 
 WORD = r"[^ \t\n\x0B\f\r]+"
@@ -140,11 +141,11 @@ def mix(docs: DataFrame, path: dict[str, Column], *, id_column: str = "doc_id",
 
     `path` names the levels of the tree and their expressions over docs.
     """
-    names = [f"__{name}" for name in path]
+    *names, copies, copy = fresh(docs, *(f"__{name}" for name in path), "__copies", "__copy")
     placed = docs.select("*", *(c.alias(n) for n, c in zip(names, path.values(), strict=True)))
     settings = {"budget_ratio": 1.0, "max_epochs": 2, "power": 0.5} | options
     _, leaves = leaf_cuts(placed, names, id_column=id_column, text_column=text_column, seed=seed, **settings)
     rows = placed.alias("d").join(leaves.alias("l"), same_columns("d", "l", names))
     times = _copies(F.col(f"d.{id_column}"), seed)
-    taken = rows.select("d.*", times.alias("__copies")).where("__copies > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    taken = rows.select("d.*", times.alias(copies)).where(F.col(copies) > 0)
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bandwise.llm.common import non_empty, replaced
+from bandwise.llm.common import fresh, non_empty, replaced
 from bandwise.llm.text import Block, Hasher, blocks
 
 BLANK = "▁"
@@ -268,17 +268,21 @@ def normalised(column: pa.Array) -> pa.Array:
 
 
 def encode(docs: DataFrame, *, text_column: str = "text", model: str | None = None, merges: bool = True) -> DataFrame:
-    """docs without the text, with ids, n_tokens, n_fallback (ids that are bytes), round_trip (decoding gives the text)."""
+    """docs without the text, with ids, n_tokens, n_fallback (ids that are bytes), round_trip (decoding gives the text).
+
+    Columns of these names are replaced.  Null and empty texts have no ids; an empty table gives an empty one.
+    """
     path = model or default_model()
-    rows = docs.withColumn("__text", F.col(text_column).cast("string")).drop(text_column, "ids", "n_tokens", "n_fallback", "round_trip")
-    rest = [f for f in rows.schema.fields if f.name != "__text"]
+    (text,) = fresh(docs, "__text")
+    rows = docs.withColumn(text, F.col(text_column).cast("string")).drop(text_column, "ids", "n_tokens", "n_fallback", "round_trip")
+    rest = [f for f in rows.schema.fields if f.name != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = compile_model(path, merges)
         is_byte = np.zeros(len(machine.spell_at) - 1, bool)
         is_byte[machine.byte_ids] = True
         for batch in non_empty(batches):
-            column = normalised(batch.column(batch.schema.names.index("__text")))
+            column = normalised(batch.column(batch.schema.names.index(text)))
             for block in blocks(column, BLOCK_BYTES):
                 ids, first = machine.encode_block(block)
                 spelled, at = machine.decode_ids(ids)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bandwise.llm.common import non_empty, replaced
+from bandwise.llm.common import fresh, non_empty, replaced
 from bandwise.llm.text import LETTERS, LOWER, NOT_BLANK, Block, Hasher, blocks, byte_class, per_document, words
 
 PRIOR = 0.5
@@ -266,24 +266,30 @@ def fit(
 def score(
     docs: DataFrame, machine: Machine | None, *, text_column: str = "text", metadata: str | None = "n_chars", output: str = "score"
 ) -> DataFrame:
-    """All columns of docs and the score, 0 to 1 (a column of that name is replaced)."""
+    """All columns of docs and the score, 0 to 1 (a column of that name is replaced).
+
+    Null and empty texts are scored by their statistics, repeated rows alike; an empty table gives an empty one.
+    """
     base = docs.drop(output)
+    text, number = fresh(docs, "__text", "__declared")
     if machine is None:
         return base.withColumn(output, F.lit(PRIOR))
     held = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in non_empty(batches):
-            declared = _declared(batch, "__declared")
+            declared = _declared(batch, number)
             scores = [
                 held.value.scores(extract(b, declared[b.first : b.first + len(b)], held.value.bits))
-                for b in blocks(batch.column(batch.schema.names.index("__text")))
+                for b in blocks(batch.column(batch.schema.names.index(text)))
             ]
-            names = [n for n in batch.schema.names if n not in ("__text", "__declared")]
+            names = [n for n in batch.schema.names if n not in (text, number)]
             yield replaced(batch.select(names), **{output: pa.array(np.concatenate(scores), pa.float64())})
 
-    rows = base.withColumn("__text", F.col(text_column).cast("string"))
+    read = [F.col(text_column).cast("string").alias(text)]
     if metadata in docs.columns:
-        rows = rows.withColumn("__declared", F.col(metadata).cast("double"))
+        read.append(F.col(metadata).cast("double").alias(number))
+    # read before a column of the output's name goes
+    rows = docs.select("*", *read).drop(output)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + f", `{output}` double"
     return rows.mapInArrow(run, schema)

@@ -416,3 +416,111 @@ def test_stages():
     import corpus_pipeline
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact_dedup", "near_dedup", "mixing", "pieces"]
+
+
+HELPERS = ("__text", "__TEXT_", "__declared", "__letter", "__id", "__sha", "__kept", "__rows", "__a", "__copies", "__copy", "__key", "__label")
+
+
+def test_columns_named_like_helpers_stay(spark, docs, rows):
+    odd = docs.select("*", *(F.concat(F.lit(f"{name}-"), F.col("doc_id")).alias(name) for name in HELPERS))
+
+    def kept(found, n):
+        got = found.collect()
+        assert len(got) == n
+        assert all(r[name] == (None if r.doc_id is None else f"{name}-{r.doc_id}") for r in got for name in HELPERS)
+
+    marks = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    machine = quality_fm.fit(odd, marks, steps=5)
+    plain = {(r.doc_id, r.text): r.score for r in quality_fm.score(docs, machine).collect()}
+    scored = quality_fm.score(odd, machine)
+    kept(scored, len(rows))
+    assert {(r.doc_id, r.text): r.score for r in scored.collect()} == plain
+    kept(exact_dedup.drop_copies(odd), exact_dedup.drop_copies(docs).count())
+    kept(dart_minhash.drop_near_copies(odd), dart_minhash.drop_near_copies(docs).count())
+    path = {"a": F.col("lang"), "b": F.col("source")}
+    kept(mixing.mix(odd, path), mixing.mix(docs, path).count())
+    kept(piece_transducer.encode(odd), len(rows))
+    kept(language_crf.predict(odd, language_crf.fit(odd, rounds=2)), len(rows))
+    kept(language_crf.predict(odd, None), len(rows))
+
+
+def test_label_runs_follow_switches(spark, docs, nothing):
+    model = language_crf.fit(docs, rounds=15)
+    # observed switches make another language after a word possible, and the same one likelier
+    assert np.isfinite(model.transition).all() and (np.diag(model.transition) > model.transition[0, 1]).all()
+    switching = " ".join(EN * 3 + DE * 4 + EN * 2)
+    made = [(1, switching), (2, None), (3, "12 !"), (4, " ".join(DE * 2)), (4, " ".join(DE * 2))]
+    table = spark.createDataFrame([(i, t, "x") for i, t in made], "doc_id long, text string, run string")
+    found = language_crf.label_runs(table, model).collect()
+    first = sorted((r.run, r.first_word, r.last_word, r.lang) for r in found if r.doc_id == 1)
+    assert first == [(0, 0, 23, "en"), (1, 24, 55, "de"), (2, 56, 71, "en")]
+    assert [(r.run, r.first_word, r.last_word, r.lang) for r in found if r.doc_id == 4] == [(0, 0, 15, "de")] * 2
+    assert len(found) == 5 and all(0.5 <= r.probability <= 1 for r in found)
+    assert not language_crf.label_runs(nothing, model).collect() and not language_crf.label_runs(table, None).collect()
+
+
+def test_license_scan_lowers_ascii_letters_only(spark):
+    made = [(1, "Public Domain Mar\u212a"), (2, "PUBLIC DOMAIN MARK"), (3, "\u212a CC BY"), (4, "ALL RIGHTS RESERVED")]
+    found = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert found[1].labels == "" and found[1].n_words == 3 and found[2].labels != ""
+    assert found[3].first_word == 1 and found[3].base_labels == "cc-by" and found[4].base_labels == "reserved"
+
+
+def test_pipeline_and_its_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    made, labels = [], []
+    for i in range(240):
+        text = _text(rng, EN, rng.randint(20, 90))
+        bad = i % 4 == 0
+        made.append((i, text.upper().replace(" ", "!! ") if bad else text, "en", f"s{i % 3}"))
+        labels.append((i, int(not bad), 0))
+    long = _text(rng, EN, 20_000)
+    good = {i: t for i, t, _, _ in made if i % 4}
+    made += [(1000, good[1], "en", "s0"), (1001, good[1], None, None), (1002, good[2] + " the", "en", "s1"), (1003, long, "en", "s2")]
+    made += [(1004, None, None, None), (1005, "", "en", "s0"), (7, good[7], "en", "s1")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, __score string, kept string"
+    table = spark.createDataFrame([(i, t, g, s, None if t is None else len(t), "x", "y") for i, t, g, s in made], schema)
+    folder = str(tmp_path / "sf")
+    table.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    docs, seen = spark.read.parquet(f"{folder}/documents.parquet"), []
+    for _, stage in corpus_pipeline.STAGES:
+        after = stage(spark, docs, folder)
+        seen.append([r.asDict() for r in after.collect()])
+        if len(seen) < len(corpus_pipeline.STAGES):
+            assert after.columns == table.columns
+            path = str(tmp_path / f"stage{len(seen)}")
+            after.write.parquet(path)
+            docs = spark.read.parquet(path)
+    quality, exact, near, mixed, pieces = seen
+    held = [i for i, _, _ in labels if crc32(str(i).encode()) % 5 == 0]
+    passed = {r["doc_id"] for r in quality}
+    assert np.mean([(i in passed) == bool(i % 4) for i in held]) > 0.95
+    assert all(r["__score"] == "x" and r["kept"] == "y" for r in quality + exact + near + mixed)
+    # of equal texts the largest id stays
+    by_text = {}
+    for r in quality:
+        by_text[r["text"] or ""] = max(by_text.get(r["text"] or "", -1), r["doc_id"])
+    assert sorted((r["text"] or "", r["doc_id"]) for r in exact) == sorted(by_text.items())
+
+    def shingles(text):
+        found = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+        return {tuple(found[i : i + 5]) for i in range(max(len(found) - 4, 0))}
+
+    # of near copies the smallest id stays; nobody else goes
+    sets = {r["doc_id"]: shingles(r["text"] or "") for r in exact}
+    group = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sets:
+            if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                group[b] = min(group[b], group[a])
+    assert sorted(r["doc_id"] for r in near) == sorted(i for i in group if group[i] == i)
+    assert {r["doc_id"] for r in mixed} <= {r["doc_id"] for r in near} and mixed
+    assert len(pieces) == len(mixed) and all(r["round_trip"] for r in pieces)
+    whole = [(r.doc_id, r.ids) for r in corpus_pipeline.run(spark, folder).collect()]
+    assert sorted(whole) == sorted((r["doc_id"], r["ids"]) for r in pieces)
+    empty = table.where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        assert not stage(spark, empty, folder).collect()
