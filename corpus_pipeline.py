@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bandwise.llm import dart_minhash, exact_dedup, mixing, piece_transducer, quality_fm
-from bandwise.llm.common import remainder, table
+from bandwise.llm.common import fresh, remainder, table
 from bandwise.session import write_through
 
 
@@ -18,8 +18,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go.  It learns as in op1, from labels outside the held-out fold."""
     labels = table(spark, sf_dir, "labels").where(remainder("doc_id", 5) != 0)
     machine = quality_fm.fit(docs, labels)
-    scored = quality_fm.score(docs, machine, output="__score")
-    return scored.where(F.col("__score") >= quality_fm.THRESHOLD).select(*docs.columns)
+    (score,) = fresh(docs, "__score")
+    scored = quality_fm.score(docs, machine, output=score)
+    return scored.where(F.col(score) >= quality_fm.THRESHOLD).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
