@@ -302,3 +302,20 @@ def test_runs_of_all_formats_are_consolidated(spark, tmp_path):
         assert all(r.source_path.endswith(f"{r.source_group}/summary") for r in merged)
     with pytest.raises(ValueError, match="unknown report format"):
         sinks.read_runs(spark, str(tmp_path / "*"), "orc")
+
+
+def test_coverage_is_judged_per_house(spark):
+    rows = [*drifting_house(house=0), *drifting_house(seed=11, house=5)]
+    events = spark.createDataFrame(rows, SCHEMA)
+    params = house_params(
+        validation=interval(START + timedelta(days=1), START + timedelta(hours=35, minutes=59)),
+        evaluation=interval(START + timedelta(hours=36), START + timedelta(hours=47, minutes=45)),
+    )
+    splits.check_splits(events, params)
+    late = events.where((F.col("house_id") == 0) | (F.col("timestamp") > F.lit(START)))
+    with pytest.raises(ValueError, match="starts after warm-up start in 1 houses, the first is 5"):
+        splits.check_splits(late, params)
+    splits.check_splits(late, params, timedelta(minutes=15))
+    short = events.where((F.col("house_id") == 5) | (F.col("timestamp") < F.lit(params.evaluation[1])))
+    with pytest.raises(ValueError, match="ends before evaluation end in 1 houses, the first is 0"):
+        splits.check_splits(short, params)
