@@ -803,6 +803,7 @@ def q_consolidated_runs(spark, sf):
     """Summaries written by several runs, in folders of their own, read by glob and put together."""
     root = new_table_path(spark, "runs")
     frozen = modes_run(spark, sf).summary().drop("config_id", "forced_transmit")
+    frozen = write_through(frozen, "frozen-runs")
     # one run lacks a column that the other has
     write_report(frozen.where("mode <> 'uniform'"), f"{root}/frozen/modes/summary", "parquet")
     write_report(
@@ -824,7 +825,7 @@ def q_consolidated_runs(spark, sf):
 
 def q_report_files(spark, sf):
     """The summary written as a report in every format and read back."""
-    rows = tidy(q_summary_modes(spark, sf))
+    rows = write_through(tidy(q_summary_modes(spark, sf)), "report-rows")
     root = new_table_path(spark, "reports")
     found = []
     for fmt in REPORT_FORMATS:
