@@ -6,6 +6,9 @@
     words of the first block in question, and for each the words of the second that make up the rest.  Threshold and B
     follow from the number of vectors, so that a filter holds `bucket` vectors and a vector exceeds `filters` filters on
     average: the inner product of a fixed vector with a random direction has a known distribution, whatever the data.
+    A vector whose filters lie in too few cells (see 3) takes a lower threshold of its own, which gives it its `enough`
+    best cells.  That number grows with the logarithm of the table, as the share of filters that a pair has in common
+    falls: pairs of cosine 0.9 meet with probability above 0.98 in tables of 1e4 to 1e9 vectors (tested).
 3.  Vectors join on filters.  All filters with the same first word are one cell, and a vector is sent once to each cell it
     has a filter in.  Cells of more than `block` vectors are dealt as pairs of blocks, so no task grows with a cell.
 4.  Every pair in a cell is verified by its cosine in double precision, and counted only in the smallest cell that both
@@ -49,19 +52,28 @@ def code(dims: int, size: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return rotation, *(w / np.linalg.norm(w, axis=1, keepdims=True) for w in words)
 
 
-def decode(vectors: np.ndarray, size: int, least: float, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """List decoding of unit vectors: (vector, first word, second word) of all filters that they exceed."""
+def shape(dims: int, n: int, filters: int, bucket: int) -> tuple[int, float, int]:
+    """Words of a block, threshold, and least number of cells of a vector, for n vectors."""
+    share = min(0.5, bucket / max(n, 1))
+    size = math.ceil(math.sqrt(filters / share))
+    return size, threshold(dims, share), min(size, max(8, math.ceil(3 * math.log10(max(n, 1))) - 6))
+
+
+def decode(vectors: np.ndarray, size: int, least: float, enough: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """List decoding of unit vectors: (vector, first word, second word) of all filters that they exceed, where the
+    threshold of a vector is low enough for `enough` first words."""
     rotation, first, second = code(vectors.shape[1], size, seed)
     turned, half = vectors @ rotation, vectors.shape[1] - vectors.shape[1] // 2
     a = turned[:, :half] @ first.T
     b = turned[:, half:] @ second.T if vectors.shape[1] > 1 else np.zeros((len(vectors), size))
-    need = least * math.sqrt(2)
-    row, i = np.nonzero(a >= need - b.max(axis=1, keepdims=True))
+    top = b.max(axis=1)
+    need = np.minimum(least * math.sqrt(2), np.partition(a, size - enough, axis=1)[:, size - enough] + top - 1e-12)
+    row, i = np.nonzero(a >= (need - top)[:, None])
     found = []
     step = max(1, 8_000_000 // size)
     for at in range(0, len(row), step):
         r, w = row[at : at + step], i[at : at + step]
-        k, j = np.nonzero(b[r] >= (need - a[r, w])[:, None])
+        k, j = np.nonzero(b[r] >= (need[r] - a[r, w])[:, None])
         found.append((r[k], w[k], j))
     if not found:
         empty = np.zeros(0, np.int64)
@@ -115,12 +127,14 @@ def verify(group: pa.Table, least: float) -> pa.Table:
 
 
 def near_vectors(
-    vectors: DataFrame, *, id_column: str = "vec_id", vector_column: str = "embedding", least: float = 0.9, filters: int = 40,
+    vectors: DataFrame, *, id_column: str = "vec_id", vector_column: str = "embedding", least: float = 0.9, filters: int = 24,
     bucket: int = 64, block: int = 2048, seed: int = 11,
 ) -> DataFrame:
     """One row per row: id, n_links (other vectors linked), component_id (smallest id reachable), kept (id = component)."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("embedding"))
+    # float components travel as such; cosines are taken in double precision
+    kind = "array<float>" if dict(vectors.dtypes)[vector_column] == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast(kind).alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.coalesce(F.col("id").isNotNull() & finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
     rows = write_through(rows.withColumn("usable", usable), "cap-rows")
@@ -129,14 +143,13 @@ def near_vectors(
     found = []
     # one pass for each length of vectors; tables hold one or very few
     for dims, n in classes.groupBy(F.size("embedding")).count().collect():
-        share = min(0.5, bucket / max(n, 1))
-        size, cap = math.ceil(math.sqrt(filters / share)), threshold(dims, share)
+        size, cap, enough = shape(dims, n, filters, bucket)
 
-        def cells(batches: Iterator[pa.RecordBatch], dims=dims, size=size, cap=cap) -> Iterator[pa.RecordBatch]:
+        def cells(batches: Iterator[pa.RecordBatch], dims=dims, size=size, cap=cap, enough=enough) -> Iterator[pa.RecordBatch]:
             for batch in non_empty(batches):
                 for at in range(0, batch.num_rows, 2000):
                     part = batch.slice(at, 2000)
-                    row, first, _ = decode(_matrix(part.column(1), dims), size, cap, seed)
+                    row, first, _ = decode(_matrix(part.column(1), dims), size, cap, enough, seed)
                     pairs = np.unique(row.astype(np.int64) * size + first)
                     row, first = pairs // size, pairs % size
                     offsets = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
@@ -146,7 +159,7 @@ def near_vectors(
                     )
 
         decoded = classes.where(F.size("embedding") == dims).select("cid", "embedding", "weight")
-        decoded = write_through(decoded.mapInArrow(cells, "cid long, embedding array<double>, weight long, cells array<long>"), "cap-cells")
+        decoded = write_through(decoded.mapInArrow(cells, f"cid long, embedding {kind}, weight long, cells array<long>"), "cap-cells")
         sizes = decoded.select(F.explode("cells").alias("cell")).groupBy("cell").count()
         sizes = sizes.select("cell", F.ceil(F.col("count") / block).alias("parts"))
         dealt = decoded.select("*", F.explode("cells").alias("cell")).join(sizes, "cell")

@@ -165,6 +165,34 @@ def test_vectors(spark):
         assert not found[None].kept
 
 
+@pytest.mark.parametrize("n", [10**4, 10**6, 10**8, 10**9])
+def test_vectors_meet_in_tables_of_any_size(n):
+    """Pairs of cosine exactly 0.9 share a cell under the threshold and the code of a table of n vectors."""
+    rng = np.random.default_rng(n)
+    x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in rng.normal(size=(2, 300, 128)))
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y = 0.9 * x + np.sqrt(1 - 0.81) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    size, cap, enough = vector_caps.shape(128, n, 24, 64)
+    held = []
+    for vectors in (x, y):
+        row, first, second = vector_caps.decode(vectors, size, cap, enough, 11)
+        turned, a, b = vector_caps.code(128, size, 11)
+        inner = ((vectors[row] @ turned) * np.concatenate([a[first], b[second]], axis=1)).sum(axis=1) / np.sqrt(2)
+        few = np.bincount(np.unique(row * size + first) // size, minlength=300) <= enough
+        assert (inner >= cap - 1e-9)[~few[row]].all()
+        held.append(set(zip(row.tolist(), first.tolist(), strict=True)))
+        assert min(Counter(r for r, _ in held[-1]).values()) >= enough
+    assert len({r for r, _ in held[0] & held[1]}) >= 0.98 * 300
+
+
+def test_vectors_of_doubles_and_empty_tables(spark):
+    odd = "vec_id long, embedding array<double>, component_id string, cell string"
+    made = [(1, [1.0, 0.1, 1e-12], "x", None), (2, [1.0, 0.1, 2e-12], "x", "c"), (3, [-1.0, 0.0, 0.0], None, "c")]
+    found = {r.vec_id: r for r in vector_caps.near_vectors(spark.createDataFrame(made, odd)).collect()}
+    assert [(found[i].n_links, found[i].component_id, found[i].kept) for i in (1, 2, 3)] == [(1, 1, True), (1, 1, False), (0, 3, True)]
+    assert not vector_caps.near_vectors(spark.createDataFrame([], odd)).collect()
+
+
 def test_quality(spark, nothing):
     rng = random.Random(4)
     made, labels = [], []
