@@ -6,11 +6,13 @@
     words of the first block in question, and for each the words of the second that make up the rest.  Threshold and B
     follow from the number of vectors, so that a filter holds `bucket` vectors and a vector exceeds `filters` filters on
     average: the inner product of a fixed vector with a random direction has a known distribution, whatever the data.
-    A vector whose filters lie in too few cells (see 3) takes a lower threshold of its own, which gives it its `enough`
-    best cells.  That number grows with the logarithm of the table, as the share of filters that a pair has in common
-    falls: pairs of cosine 0.9 meet with probability above 0.98 in tables of 1e4 to 1e9 vectors (tested).
-3.  Vectors join on filters.  All filters with the same first word are one cell, and a vector is sent once to each cell it
-    has a filter in.  Cells of more than `block` vectors are dealt as pairs of blocks, so no task grows with a cell.
+    A vector that exceeds too few takes a lower threshold of its own, which gives it its `enough` best filters.  That
+    number grows with the logarithm of the table, as the share of filters that a pair has in common falls: pairs of
+    cosine 0.9 meet with probability above 0.95 in tables of 1e4 to 1e9 vectors (tested).
+3.  Vectors join on filters.  Filters with the same first word whose second words are of one of `groups` kinds are one
+    cell, and a vector is sent once to each cell it has a filter in.  The number of kinds grows with the table, so that
+    an average cell fits a block at any size.  Cells of more than `block` vectors, as made by many near copies, are dealt
+    as pairs of blocks, so no task grows with a cell.
 4.  Every pair in a cell is verified by its cosine in double precision, and counted only in the smallest cell that both
     share.  A task returns per vector its number of links and one link to the root of its local group, not the pairs.
 
@@ -24,6 +26,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -52,22 +55,42 @@ def code(dims: int, size: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return rotation, *(w / np.linalg.norm(w, axis=1, keepdims=True) for w in words)
 
 
-def shape(dims: int, n: int, filters: int, bucket: int) -> tuple[int, float, int]:
-    """Words of a block, threshold, and least number of cells of a vector, for n vectors."""
+class Shape(NamedTuple):
+    """Words of a block, threshold, least number of filters of a vector, and kinds of second words."""
+
+    size: int
+    least: float
+    enough: int
+    groups: int
+
+
+def shape(dims: int, n: int, filters: int, bucket: int, block: int) -> Shape:
+    """What suits n vectors."""
     share = min(0.5, bucket / max(n, 1))
     size = math.ceil(math.sqrt(filters / share))
-    return size, threshold(dims, share), min(size, max(8, math.ceil(3 * math.log10(max(n, 1))) - 6))
+    enough = min(size, max(16, round(12 * math.log10(max(n, 1)) - 36)))
+    # as if every filter were alone in its cell
+    groups = math.ceil(n * max(filters, enough) / (size * 0.9 * block))
+    return Shape(size, threshold(dims, share), enough, max(1, min(size, groups)))
+
+
+def _best(scores: np.ndarray, k: int) -> np.ndarray:
+    """The k highest of every row, in any order."""
+    return np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k :]
 
 
-def decode(vectors: np.ndarray, size: int, least: float, enough: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def decode(vectors: np.ndarray, plan: Shape, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """List decoding of unit vectors: (vector, first word, second word) of all filters that they exceed, where the
-    threshold of a vector is low enough for `enough` first words."""
+    threshold of a vector is low enough for `enough` filters."""
+    size, enough = plan.size, plan.enough
     rotation, first, second = code(vectors.shape[1], size, seed)
     turned, half = vectors @ rotation, vectors.shape[1] - vectors.shape[1] // 2
     a = turned[:, :half] @ first.T
     b = turned[:, half:] @ second.T if vectors.shape[1] > 1 else np.zeros((len(vectors), size))
     top = b.max(axis=1)
-    need = np.minimum(least * math.sqrt(2), np.partition(a, size - enough, axis=1)[:, size - enough] + top - 1e-12)
+    # the best sums are sums of best terms
+    sums = (_best(a, enough)[:, :, None] + _best(b, enough)[:, None, :]).reshape(len(a), -1)
+    need = np.minimum(plan.least * math.sqrt(2), _best(sums, enough).min(axis=1) - 1e-12)
     row, i = np.nonzero(a >= (need - top)[:, None])
     found = []
     step = max(1, 8_000_000 // size)
@@ -112,6 +135,9 @@ def verify(group: pa.Table, least: float) -> pa.Table:
     # one bit for each smaller cell that any vector here has; a pair with a common bit is counted elsewhere
     holder, smaller = np.repeat(np.arange(len(x)), np.diff(offsets)), flat[offsets[0] : offsets[-1]]
     holder, smaller = holder[smaller < cell], smaller[smaller < cell]
+    names, bit, times = np.unique(smaller, return_inverse=True, return_counts=True)
+    shared = times[bit] > 1
+    holder, smaller = holder[shared], smaller[shared]
     names, bit = np.unique(smaller, return_inverse=True)
     bits = np.zeros((len(x), max(1, -(-len(names) // 64))), np.uint64)
     np.bitwise_or.at(bits, (holder, bit // 64), np.uint64(1) << (bit % 64).astype(np.uint64))
@@ -143,18 +169,19 @@ def near_vectors(
     found = []
     # one pass for each length of vectors; tables hold one or very few
     for dims, n in classes.groupBy(F.size("embedding")).count().collect():
-        size, cap, enough = shape(dims, n, filters, bucket)
+        plan = shape(dims, n, filters, bucket, block)
 
-        def cells(batches: Iterator[pa.RecordBatch], dims=dims, size=size, cap=cap, enough=enough) -> Iterator[pa.RecordBatch]:
+        def cells(batches: Iterator[pa.RecordBatch], dims=dims, plan=plan) -> Iterator[pa.RecordBatch]:
+            count = plan.size * plan.groups
             for batch in non_empty(batches):
-                for at in range(0, batch.num_rows, 2000):
-                    part = batch.slice(at, 2000)
-                    row, first, _ = decode(_matrix(part.column(1), dims), size, cap, enough, seed)
-                    pairs = np.unique(row.astype(np.int64) * size + first)
-                    row, first = pairs // size, pairs % size
+                for at in range(0, batch.num_rows, 1000):
+                    part = batch.slice(at, 1000)
+                    row, first, second = decode(_matrix(part.column(1), dims), plan, seed)
+                    pairs = np.unique(row.astype(np.int64) * count + first * plan.groups + second % plan.groups)
+                    row, cell = pairs // count, pairs % count
                     offsets = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(0), part.column(1), part.column(2), pa.ListArray.from_arrays(offsets, pa.array(first, pa.int64()))],
+                        [part.column(0), part.column(1), part.column(2), pa.ListArray.from_arrays(offsets, pa.array(cell, pa.int64()))],
                         names=["cid", "embedding", "weight", "cells"],
                     )
 
