@@ -15,6 +15,11 @@ from bandwise.session import write_through
 PARTS, ROUNDS, CELL_ROWS = 16_384, 2, 100_000
 
 
+def to_digits(value: Column, digits: int | None) -> Column:
+    """The value itself, or rounded to so many digits, for comparisons with a tolerance."""
+    return value if digits is None else F.round(value, digits)
+
+
 def order_bucket(value: Column) -> Column:
     """Order-preserving bucket of a double: about 64 buckets per power of two, 0 for zero."""
     magnitude = F.floor((F.log2(F.abs(value)) + F.lit(1100.0)) * F.lit(64.0)) + F.lit(1)

@@ -8,10 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from bandwise.functions.stats import spearman
+from bandwise.functions.stats import spearman, to_digits
 
 CYCLE = ["house_id", "cycle"]
-TIE_DIGITS = 9
 PLUG_CYCLE = ["house_id", "cycle", "household_id", "plug_id"]
 # Compared objectives, fields of the tail table, compared metrics.
 OBJECTIVES = ("transmission_ratio", "rmse", "cvar99", "max")
@@ -240,11 +239,11 @@ def exact_proxy_comparison(
 
 
 def matched_by(
-    points: DataFrame, baselines: DataFrame, measure: str, prefix: str
+    points: DataFrame, baselines: DataFrame, measure: str, prefix: str, digits: int | None = None
 ) -> DataFrame:
     """For every point the baseline of its house whose ``measure`` is nearest.
 
-    On ties the smallest epsilon counts.  Baselines are collected into one array per house,
+    Gaps are compared exactly, or to ``digits`` digits.  On ties the smallest epsilon counts.  Baselines are collected into one array per house,
     bounded by the sweep's grid, so this is an equi join of per-house rows.
     """
     fields = [c for c in baselines.columns if c != "house_id"]
@@ -254,7 +253,7 @@ def matched_by(
     ranked = F.transform(
         "_choices",
         lambda b: F.struct(
-            F.round(F.abs(b[measure] - F.col(measure)), TIE_DIGITS).alias("gap"),
+            to_digits(F.abs(b[measure] - F.col(measure)), digits).alias("gap"),
             b["epsilon"].alias("epsilon"),
             b.alias("base"),
         ),
@@ -271,12 +270,14 @@ def matched_by(
     )
 
 
-def matched_transmission(points: DataFrame, baseline_mode: str = "uniform") -> DataFrame:
+def matched_transmission(
+    points: DataFrame, baseline_mode: str = "uniform", digits: int | None = None
+) -> DataFrame:
     """Every non-baseline point with the baseline point of the nearest transmission ratio."""
     fields = ["house_id", "epsilon", "transmission_ratio", "rmse", "cvar99"]
     others = points.where(F.col("mode") != baseline_mode).select("mode", *fields)
     base = points.where(F.col("mode") == baseline_mode).select(*fields)
-    matched = matched_by(others, base, "transmission_ratio", "matched_")
+    matched = matched_by(others, base, "transmission_ratio", "matched_", digits)
     return matched.select(
         "house_id",
         "mode",
@@ -315,17 +316,20 @@ def with_dominance(points: DataFrame, objectives: Sequence[str] = OBJECTIVES) ->
     )
 
 
-def predictor_matches(points: DataFrame, frozen: str = "slot_median_frozen") -> DataFrame:
+def predictor_matches(
+    points: DataFrame, frozen: str = "slot_median_frozen", digits: int | None = None
+) -> DataFrame:
     """Adaptive points against the frozen points nearest in transmission and nearest in CVaR99."""
     fields = ["house_id", "epsilon", "transmission_ratio", "rmse", "cvar99", "max"]
     adaptive = points.where(F.col("predictor_mode") != frozen).select("predictor_mode", *fields)
     base = points.where(F.col("predictor_mode") == frozen).select(*fields)
-    by_ratio = matched_by(adaptive, base, "transmission_ratio", "frozen_")
+    by_ratio = matched_by(adaptive, base, "transmission_ratio", "frozen_", digits)
     both = matched_by(
         by_ratio.drop("frozen_gap"),
         base.select("house_id", "epsilon", "transmission_ratio", "cvar99"),
         "cvar99",
         "tail_",
+        digits,
     )
     return both.select(
         "house_id",
@@ -363,15 +367,20 @@ def tradeoff_summary(points: DataFrame, matches: DataFrame, frozen="slot_median_
 
 
 def best_pick(
-    candidates: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
+    candidates: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str | Column],
+    digits: int | None = None,
 ) -> DataFrame:
     """First candidate of every group in a lexicographic order; a bounded grid per group.
 
-    Named figures are compared to nine digits: sums of the same numbers in another order are ties.
+    Named figures are compared exactly.  With ``digits`` they are compared to so many digits, so that sums of the same
+    numbers in another order are ties.
     """
     kinds = dict(candidates.dtypes)
     steps = [
-        F.round(c, TIE_DIGITS) if isinstance(c, str) and kinds[c] == "double" else c for c in order
+        to_digits(F.col(c), digits) if isinstance(c, str) and kinds[c] == "double" else c
+        for c in order
     ]
     ranked = Window.partitionBy(*keys).orderBy(*steps)
     return (

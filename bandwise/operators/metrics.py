@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from bandwise.functions.stats import tail_means
+from bandwise.functions.stats import tail_means, to_digits
 from bandwise.operators.allocate import cycle_budgets
 from bandwise.operators.decide import FORCED_REASONS
 
@@ -188,18 +188,20 @@ def forced_counts(decisions: DataFrame) -> DataFrame:
     return decisions.where(forced).groupBy(*RUN, "forced_reason").agg(F.count("*").alias("events"))
 
 
-def top_batches(batches: DataFrame, k: int) -> DataFrame:
-    """The ``k`` worst timestamps of every run, ranked."""
+def top_batches(batches: DataFrame, k: int, digits: int | None = None) -> DataFrame:
+    """The ``k`` worst timestamps of every run, ranked; errors are compared exactly or to ``digits`` digits."""
     worst = Window.partitionBy(*RUN).orderBy(
-        F.desc(F.round("abs_house_error", 9)), F.asc("ts_us")
+        F.desc(to_digits(F.col("abs_house_error"), digits)), F.asc("ts_us")
     )
     ranked = batches.withColumn("batch_rank", F.row_number().over(worst))
     return ranked.where(F.col("batch_rank") <= k)
 
 
-def top_outliers(decisions: DataFrame, batches: DataFrame, k: int) -> DataFrame:
+def top_outliers(
+    decisions: DataFrame, batches: DataFrame, k: int, digits: int | None = None
+) -> DataFrame:
     """Decisions of the worst timestamps, worst first, the first ``k`` rows per run."""
-    worst = top_batches(batches, k).select(
+    worst = top_batches(batches, k, digits).select(
         *RUN, "cycle", "ts_us", "batch_rank", "house_error", "abs_house_error"
     )
     rows = decisions.join(worst, [*RUN, "cycle", "ts_us"])

@@ -74,6 +74,8 @@ class Params:
     lambda_count: float = 0.1
     cap_tolerance: float = 1e-9
     drift_min_scale: float = 1.0
+    # digits to which figures that put results in order are compared; none: exactly
+    tie_digits: int | None = None
     # rows of one key that a fold works through between two written states
     slice_rows: int = 5_000_000
 

@@ -238,5 +238,8 @@ class FrozenRun:
 
     def outliers(self, k: int | None = None) -> DataFrame:
         return metrics.top_outliers(
-            self.decisions, self.batches, k or self.study.params.top_k
+            self.decisions,
+            self.batches,
+            k or self.study.params.top_k,
+            self.study.params.tie_digits,
         )

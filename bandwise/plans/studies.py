@@ -117,6 +117,7 @@ def sensitivity(study: Study, base: AllocationConfig) -> DataFrame:
         rows.where("safety_pass"),
         ["house_id"],
         ["cvar99", "rmse", "transmission_ratio", "candidate"],
+        study.params.tie_digits,
     ).select("house_id", "candidate", F.lit(True).alias("selected"))
     return rows.join(picked, ["house_id", "candidate"], "left").fillna(False, ["selected"])
 
@@ -169,7 +170,9 @@ class HouseStudy:
         )
 
     def matched(self) -> DataFrame:
-        return compare.matched_transmission(self.points)
+        return compare.matched_transmission(
+            self.points, digits=self.study.params.tie_digits
+        )
 
     @cached_property
     def proxy_runs(self) -> tuple[FrozenRun, ProxyRun]:
@@ -324,7 +327,12 @@ class PredictorComparison:
             & (F.col("predictor_mode") != "slot_median_frozen")
         )
         listed = F.array_position(F.array(*map(F.lit, PREDICTOR_MODES)), F.col("predictor_mode"))
-        return compare.best_pick(eligible, ["house_id"], [*PICK_ORDER, _triggers(), listed])
+        return compare.best_pick(
+            eligible,
+            ["house_id"],
+            [*PICK_ORDER, _triggers(), listed],
+            self.study.params.tie_digits,
+        )
 
     def causes(self, k: int | None = None) -> DataFrame:
         """Root causes of the outliers of the frozen and of each house's selected predictor."""
@@ -534,7 +542,9 @@ class StagedSearch:
             F.col("drift_trigger_count") + F.col("periodic_sync_trigger_count"),
             "candidate_id",
         ]
-        best = compare.best_pick(rows.where(~F.col("rejected")), ["house_id"], order)
+        best = compare.best_pick(
+            rows.where(~F.col("rejected")), ["house_id"], order, self.study.params.tie_digits
+        )
         return self.study.hold(best, f"winners-{name}")
 
     @cached_property

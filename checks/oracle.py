@@ -845,6 +845,18 @@ def statements() -> dict[str, str]:
               forced_reason is not null or abs(d.value - mean) > threshold_used + 1e-9 as transmitted
             from dec d left join own using ({PLUG}) where mode = 'uniform'"""
         ),
+        "own_allocator": query(
+            f"""
+            , mixed as (
+              select u.house_id, u.cycle, u.household_id, u.plug_id, u.score,
+                     (u.threshold + f.threshold) / 2 as threshold
+              from trace u join trace f using (house_id, cycle, household_id, plug_id)
+              where u.mode = 'uniform' and f.mode = 'flat_variance')
+            select house_id, cycle, household_id, plug_id, {rs('score, threshold')},
+              {r('sum(threshold) over (partition by house_id, cycle, household_id)', 'household_budget')},
+              {r('sum(threshold) over (partition by house_id, cycle)', 'used_budget')}
+            from mixed"""
+        ),
         "adaptive_disabled": adaptive(
             f"""select event_id, {rs('prediction, threshold_used')}, sent as transmitted
             from ad where pm = 'slot_median_frozen'"""

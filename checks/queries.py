@@ -65,6 +65,8 @@ PARAMS = Params(
     period_seconds=21_600,
     active_seconds=86_400,
     window=20,
+    # statements add up in another order, so ties are told to nine digits
+    tie_digits=9,
 )
 STAGED = replace(
     PARAMS,
@@ -637,7 +639,7 @@ def q_matched_tr(spark, sf):
 def q_best_pick(spark, sf):
     points = house_study(spark, sf).points
     return compare.best_pick(
-        points, ["house_id"], ["cvar99", "rmse", "max", "transmission_ratio", "mode"]
+        points, ["house_id"], ["cvar99", "rmse", "max", "transmission_ratio", "mode"], PARAMS.tie_digits
     ).select("house_id", "mode", "epsilon", "cvar99")
 
 
@@ -790,12 +792,12 @@ def q_predictor_points(spark, sf):
 
 
 def q_predictor_matches(spark, sf):
-    return compare.predictor_matches(_predictor_points(spark, sf))
+    return compare.predictor_matches(_predictor_points(spark, sf), digits=PARAMS.tie_digits)
 
 
 def q_tradeoff_summary(spark, sf):
     points = tidy(_predictor_points(spark, sf))
-    rows = compare.tradeoff_summary(points, compare.predictor_matches(points))
+    rows = compare.tradeoff_summary(points, compare.predictor_matches(points, digits=PARAMS.tie_digits))
     return rows.withColumn("adaptive_modes", F.array_join("adaptive_modes", ","))
 
 
@@ -890,6 +892,18 @@ def q_own_predictor(spark, sf):
     return run.decisions.select("event_id", "prediction", "threshold_used", "transmitted")
 
 
+def q_own_allocator(spark, sf):
+    """Allocations of an allocator of the user's own: half in equal shares, half by residual score."""
+    if "half_by_score" not in alloc.THRESHOLDS:
+        even = F.lit(0.5) / F.col("n_house")
+        risk = F.when(F.col("sum_house") > 0, F.col("score") / F.col("sum_house") / 2).otherwise(even)
+        alloc.register_allocator("half_by_score", lambda: F.col("house_budget") * (even + risk))
+    own = replace(BASE, config_id="own", mode="half_by_score")
+    return study(spark, sf).run([own]).trace.select(
+        "house_id", "cycle", "household_id", "plug_id", "score", "threshold", "household_budget", "used_budget"
+    )
+
+
 def q_adaptive_disabled(spark, sf):
     """With the adaptive part disabled every predictor mode decides as the frozen one."""
     off = replace(

@@ -368,6 +368,25 @@ def test_dominance_and_nearest_match(spark):
     assert (best["mode"], best.epsilon) == ("flat", 1.0)
 
 
+def test_order_keys_are_exact_unless_digits_are_given(spark):
+    rows = spark.createDataFrame([(0, 2e-12, "a"), (0, 1e-12, "b")], "house_id long, rmse double, mode string")
+    assert compare.best_pick(rows, ["house_id"], ["rmse", "mode"]).first()["mode"] == "b"
+    assert compare.best_pick(rows, ["house_id"], ["rmse", "mode"], 9).first()["mode"] == "a"
+    batches = spark.createDataFrame(
+        [("c", 0, 1, 1e-12), ("c", 0, 2, 2e-12)],
+        "config_id string, house_id long, ts_us long, abs_house_error double",
+    )
+    assert metrics.top_batches(batches, 1).first().ts_us == 2
+    assert metrics.top_batches(batches, 1, 9).first().ts_us == 1
+    points = spark.createDataFrame(
+        [(0, 1.0, 0.5 + 2e-12), (0, 2.0, 0.5 + 1e-12)],
+        "house_id long, epsilon double, transmission_ratio double",
+    )
+    target = spark.createDataFrame([(0, 0.5)], "house_id long, transmission_ratio double")
+    nearest = lambda **kw: compare.matched_by(target, points, "transmission_ratio", "m_", **kw).first().m_epsilon
+    assert nearest() == 2.0 and nearest(digits=9) == 1.0
+
+
 def test_repeatability_counts_differences(spark):
     left = spark.createDataFrame([(1,), (1,), (2,)], "x long")
     right = spark.createDataFrame([(1,), (2,), (3,)], "x long")
