@@ -7,6 +7,7 @@ are widened before use, so an optional blank is written as a group: "share(?: )?
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 
@@ -114,6 +115,25 @@ bluedoc; blueoak 1 0 0; blue; blue oak model licen[sc]e; (?:version |v )?1 0 0
 openrail-m; openrail(?: m)?; openrail; (?:creativeml )?openrail(?: m)?(?: licen[sc]e)?;
 """
 
+# label; abbreviation with its version; version that follows as a word of its own or in parts
+_ABBREVIATIONS = """
+gpl-1.0; gpl; 1; 1(?: 0)?
+gpl-2.0; gpl; 2; 2(?: 0)?
+gpl-3.0; gpl; 3; 3(?: 0)?
+lgpl-2.0; lgpl; 2; 2(?: 0)?
+lgpl-2.1; lgpl; 2 1; 2 1
+lgpl-3.0; lgpl; 3; 3(?: 0)?
+agpl-3.0; agpl; 3; 3(?: 0)?
+gfdl-1.3; gfdl; 1 3; 1 3
+mpl-2.0; mpl; 2; 2(?: 0)?
+epl-2.0; epl; 2; 2(?: 0)?
+eupl-1.2; eupl; 1 2; 1 2
+"""
+
+#: What stands before "or" in an expression of tags: a tag with a version, or one of a single word.
+_MEMBER = "(?:[a-z]+(?: [0-9]+){1,2}(?: only| or later| clause)?|mit|isc|zlib|unlicense|0bsd|x11|ncsa)"
+_LATER = "(?: only| or later| or any later version)?"
+
 # label; keyword; pattern; confidence: statements without a family
 _MENTIONS = """
 cc-by; creative; creative commons attribution(?: [1-4] [05])?(?: international| unported| generic)?; 0.9
@@ -150,22 +170,41 @@ perpetual; perpetual; perpetual worldwide non exclusive; 0.6
 open-government; government; open government licen[sc]e(?: (?:v|version)(?: )?[1-3](?: 0)?)?; 0.8
 crown-copyright; crown; crown copyright; 0.7
 eula; eula; eula; 0.5
-eula; user; end user licen[sc]e agreement; 0.7
+eula; agreement; end user licen[sc]e agreement; 0.7
+bsd; bsd; bsd(?: style)? licen[sc]e; 0.6
+gpl; gpl; (?:gnu )?gpl; 0.5
+lgpl; lgpl; (?:gnu )?lgpl; 0.5
+agpl; agpl; (?:gnu )?agpl; 0.5
 """
 
 
 def rules() -> list[Rule]:
-    """All rules: base phrases, and for each family its tag, its grants and its names, then the mentions."""
+    """All rules: base phrases; for each family its tag, alone and in expressions, its grants and its names; then
+    abbreviations and mentions."""
     found = [Rule(label, 0, phrase.split()[0], phrase, 1.0) for phrase, label in BASE.items()]
     for line in _FAMILIES.strip().splitlines():
         label, tag, keyword, name, version = (part.strip() for part in line.split(";"))
+        version = version.replace("(?:version |v )?", "(?:version |ver |v )?v?")
+        first = re.match(r"\w+", tag).group()
         found.append(Rule(label, 4, "spdx", f"spdx license identifier {tag}", 1.0))
+        found.append(Rule(label, 3, first, f"licen[sc]e(?:s|d)?(?: is| type| expression| under)?(?: the)? {tag}", 0.95))
+        if " " in tag and tag != "mit 0":
+            found.append(Rule(label, 3, first, tag, 0.85))
+        else:
+            found.append(Rule(label, 1, first, f"{_MEMBER} (?:or|and) {tag}", 0.85))
         dated = f"(?:the )?{name} {version}" if version else f"(?:the )?{name}"
         grant = f"(?:is |are )?(?:licen[sc]ed|released|distributed|available|provided) under {dated}"
         found.append(Rule(label, 3, keyword, grant, 0.95))
         found.append(Rule(label, 2, keyword, dated, 0.8))
         if version:
             found.append(Rule(label.rpartition("-")[0], 1, keyword, name, 0.6))
+    for line in _ABBREVIATIONS.strip().splitlines():
+        label, short, joined, version = (part.strip() for part in line.split(";"))
+        found.append(Rule(label, 3, short, f"(?:gnu )?{short} (?:version |ver |v )?v?{version}{_LATER}", 0.9))
+        for mark in ("v", ""):
+            word = f"{short}{mark}{joined.split()[0]}"
+            rest = joined.split()[1] if " " in joined else ""
+            found.append(Rule(label, 3, word, f"(?:gnu )?{word}{f' {rest}' if rest else '(?: 0)?'}{_LATER}", 0.9))
     for line in _MENTIONS.strip().splitlines():
         label, keyword, pattern, confidence = (part.strip() for part in line.split(";"))
         found.append(Rule(label, 1, keyword, pattern, float(confidence)))

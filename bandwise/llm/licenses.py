@@ -2,8 +2,8 @@
 
 1.  A text becomes its words, lower case, each with a blank on both sides ("CC-BY 4.0" is " cc  by  4  0 "), so that a
     pattern that begins and ends with a blank matches whole words and adjacent matches don't compete for a blank.
-2.  Prefilter: one pass looks for any keyword of any rule; only in texts with a hit are the rules chosen whose own
-    keyword occurs, and only those patterns run.
+2.  Prefilter: one pass finds all keywords of a text, by a pattern that branches letter by letter; only the rules of the
+    keywords found are tried.
 3.  Detections become word intervals, from the pieces between the matches.  A detection that lies inside one of higher
     priority (or of the same priority and longer, or equal and earlier in the list) is suppressed; base phrases never
     are.  That needs one running maximum per priority over the detections of a document in order, so it is linear.
@@ -34,9 +34,22 @@ def _words(blanks: Column) -> Column:
     return ((F.length(blanks) - F.length(F.replace(blanks, F.lit(" "), F.lit("")))) / 2).cast("long")
 
 
+def _branches(words: list[str]) -> str:
+    """Pattern of the words, branching at each letter, so that a word of a text is told from them by a few comparisons."""
+    tails: dict[str, list[str]] = {}
+    for word in words:
+        if word:
+            tails.setdefault(word[0], []).append(word[1:])
+    parts = [first + _branches(rest) for first, rest in sorted(tails.items())]
+    if not parts:
+        return ""
+    joined = parts[0] if len(parts) == 1 and "" not in words else f"(?:{'|'.join(parts)})"
+    return f"{joined}?" if "" in words else joined
+
+
 def prefilter(table: list[Rule]) -> str:
     """Pattern that finds any keyword as a whole word."""
-    return " (?:" + "|".join(sorted({r.keyword for r in table})) + ") "
+    return f" ({_branches(sorted({r.keyword for r in table}))}) "
 
 
 def detections(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", table: list[Rule] | None = None) -> DataFrame:
@@ -51,7 +64,7 @@ def detections(docs: DataFrame, *, id_column: str = "doc_id", text_column: str =
     )
     listed = F.array(
         *(
-            F.struct(F.lit(i).alias("rule"), F.lit(f" {r.keyword} ").alias("keyword"), F.lit(spaced(r.pattern)).alias("pattern"))
+            F.struct(F.lit(i).alias("rule"), F.lit(r.keyword).alias("keyword"), F.lit(spaced(r.pattern)).alias("pattern"))
             for i, r in enumerate(table)
         )
     )
@@ -67,8 +80,11 @@ def detections(docs: DataFrame, *, id_column: str = "doc_id", text_column: str =
             ),
         )
 
-    chosen = F.filter(listed, lambda r: F.contains(F.col("norm"), r["keyword"]))
-    hits = F.when(F.col("norm").rlike(prefilter(table)), F.flatten(F.transform(chosen, matches)))
+    keywords = F.array_distinct(F.regexp_extract_all("norm", F.lit(prefilter(table)), F.lit(1)))
+    # used twice below, so the keywords of a text are looked for once
+    normal = normal.select("row", "id", "norm", keywords.alias("keywords"))
+    chosen = F.filter(listed, lambda r: F.array_contains(F.col("keywords"), r["keyword"]))
+    hits = F.when(F.size("keywords") > 0, F.flatten(F.transform(chosen, matches)))
     rows = normal.select("row", "id", _words(F.col("norm")).alias("n_words"), hits.alias("hits"))
     rows = rows.select("row", "id", "n_words", F.explode_outer("hits").alias("hit")).select("row", "id", "n_words", "hit.*")
     facts = spark.createDataFrame(

@@ -322,6 +322,26 @@ def test_licenses(spark, docs, rows, nothing):
     assert licenses.scan(docs).count() == len(rows) and not licenses.scan(nothing).collect()
 
 
+def test_license_tags_abbreviations_and_expressions(spark):
+    texts = {
+        "Released under GPLv2": "gpl-2.0", "GNU GPL v3": "gpl-3.0", "Licensed under the GPL, version 3": "gpl-3.0", "LGPL-2.1 or later": "lgpl-2.1",
+        "License: MIT": "mit", "license: BSD-3-Clause": "bsd-3-clause", "Apache-2.0": "apache-2.0", "MPL 2.0": "mpl-2.0", "GPL3": "gpl-3.0",
+        "SPDX-License-Identifier: MIT OR Apache-2.0": "apache-2.0,mit", "Apache-2.0 OR MIT": "apache-2.0,mit", "GPL-2.0-only AND ISC": "gpl-2.0,isc",
+        "GNU General Public License v3.0": "gpl,gpl-3.0", "Apache License, Version 2.0": "apache-2.0", "LGPLv2.1+": "lgpl-2.1", "the GPL": "gpl",
+        "public domain mar\u212a": "", "the mit and the vim of it": "", "he went to isc": "",
+    }
+    made = [(text, text, "x", 0) for text in texts]
+    docs = spark.createDataFrame(made, "doc_id string, text string, keywords string, row int")
+    assert {r.doc_id: r.labels for r in licenses.scan(docs).collect()} == texts
+
+
+def test_license_prefilter_finds_all_keywords():
+    words = sorted({r.keyword for r in license_rules.rules()} | {"a", "ab", "abc"})
+    pattern = re.compile(licenses.prefilter([license_rules.Rule("", 1, w, w, 1.0) for w in words]))
+    assert pattern.findall("  ".join(["", *words, ""])) == words
+    assert not pattern.findall("  ".join(["", *(w + "x" for w in words), *(w[:-1] for w in words if w[:-1] not in words), ""]))
+
+
 def _examples(pattern: str) -> list[str]:
     """A match of a rule's pattern, and one more for each further alternative, optional part and member of a class."""
 
