@@ -11,7 +11,8 @@
 
 Quoted lines, and a line "On ... wrote:" before them, are left out of the formatted content.
 
-A null text counts as empty, a null conversation id as one conversation of its own, a null turn as the last.  Repeated rows
+A null text counts as empty, a null conversation id as one conversation of its own (an empty id is another), a null turn as
+the last.  An empty table gives an empty result.  Repeated rows
 are messages of their own; a message never replies to one with the same turn.  Extra columns are not read.
 """
 
@@ -41,7 +42,7 @@ def link(conversations: DataFrame, *, conversation: str = "conv_id", turn: str =
     """Messages with an id of their own, and their passages: message, passage, level, lines, digest, original."""
     messages = conversations.select(
         F.monotonically_increasing_id().alias("message"),
-        F.coalesce(F.col(conversation).cast("string"), F.lit("")).alias("conversation"),
+        F.coalesce(F.concat(F.lit("="), F.col(conversation).cast("string")), F.lit("")).alias("conversation"),
         F.col(conversation).alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).cast("string").alias("role"),
         F.coalesce(F.col(turn).cast("long"), F.lit(_LAST_TURN)).alias("place"),
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),

@@ -461,6 +461,20 @@ def test_quotes(spark):
     assert order == [0, 1, 2, 3, 4]
 
 
+def test_quotes_of_null_and_empty_conversations_long_texts_and_odd_columns(spark):
+    odd = "conv_id string, turn long, role string, text string, message string, place string, path string"
+    long = "\n".join(f"line {i} of a long message" for i in range(5000))
+    made = [
+        ("", 0, "user", "shared line"), (None, 1, "user", "> shared line\nno"), (None, 2, "user", "own line"), (None, 3, "user", "> own line"),
+        ("", 1, "user", "> shared line\nyes"), ("x", 0, "user", long), ("x", 1, "user", "> " + long.replace("\n", "\n> ") + "\nseen"),
+    ]
+    table = spark.createDataFrame([(*row, "m", "p", "q") for row in made], odd)
+    found = {(r.conv_id, r.turn): r for r in quotes.format_chats(table).collect()}
+    assert [found[key].reply_to for key in ((None, 1), (None, 3), ("", 1), ("x", 1))] == [None, 2, 0, 0]
+    assert found["x", 1].content == "seen" and found["x", 0].content == long and len(found) == len(made)
+    assert not quotes.format_chats(table.where("false")).collect()
+
+
 def test_stages():
     import corpus_pipeline
 
