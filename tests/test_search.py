@@ -70,3 +70,21 @@ def test_every_house_follows_its_own_winners(spark, monkeypatch):
 
         mixed = [template, AdaptiveConfig(AllocationConfig("b", "flat_variance", 0.05))]
         AdaptiveRun(final, mixed, assigned=want)
+
+
+def test_a_search_without_winners_has_its_judged_candidates(spark, monkeypatch):
+    monkeypatch.setattr(studies, "ALPHAS", (0.05,))
+    events = spark.createDataFrame(drifting_house(house=0), SCHEMA)
+    params = house_params(
+        validation=interval(START + timedelta(days=1), START + timedelta(hours=35, minutes=59)),
+        evaluation=interval(START + timedelta(hours=36), START + timedelta(hours=47, minutes=45)),
+    )
+    base = AllocationConfig("base", "uniform", 0.05)
+    # nothing may cost anything, not even what saves: all candidates are rejected in the first stage
+    search = studies.StagedSearch(
+        Study(events, params), base, AdaptiveConfig(base, detector="cusum"), maximum_additional_tr=-2.0
+    )
+    rows = search.candidates.collect()
+    assert [(r.stage, r.rejected, r.rejection_reason) for r in rows] == [("A_alpha", True, "additional_tr_limit")]
+    with pytest.raises(ValueError, match="all predictor validation candidates rejected"):
+        search.selected  # noqa: B018
