@@ -1,13 +1,16 @@
 """Stateful dead-band decisions on a stream, one state per plug.
 
 Values of one timestamp wait in the state until the watermark has passed it; then the batch is
-decided as a whole by the same recurrence as in the batch operators.  Each timer touches only the
-values of its own moment.  Rows behind the watermark
+decided as a whole by the same recurrence as in the batch operators.  A plug has one timer, for its
+earliest moment: when it fires, all moments that the watermark has passed are decided one after
+another and reported together.  Values wait in bounded lists under their first moment, so only lists
+that the watermark has reached are read.  Rows behind the watermark
 are reported as late and never change a committed batch.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,7 +29,9 @@ _WAITING = T.StructType(
     [*[f for f in INPUT.fields if f.name not in KEY], T.StructField("floor", T.DoubleType())]
 )
 _TIME = _WAITING.names.index("ts_us")
-#: Waiting values by the millisecond of their time, the unit of timers.
+#: Values that are held or decided together, or more if one moment has more.
+_AT_ONCE = 1000
+#: Lists of waiting values by the millisecond of their first time, the unit of timers.
 _MOMENT = T.StructType([T.StructField("ms", T.LongType())])
 _VALUES = T.StructType([T.StructField("values", T.ArrayType(_WAITING))])
 _CARRIED = T.StructType(
@@ -55,33 +60,67 @@ class Deadband(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getMapState("waiting", _MOMENT, _VALUES)
+        self.due = handle.getValueState("due", _MOMENT)
         self.carried = handle.getValueState("carried", _CARRIED)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):  # noqa: N803
         behind = timerValues.getCurrentWatermarkInMs() * 1000
-        late, fresh = [], {}
+        late, fresh = [], []
         for frame in rows:
-            for row in frame[_WAITING.names].itertuples(index=False, name=None):
-                row = tuple(None if pd.isna(x) else x for x in row)
+            for row in zip(*[frame[n].tolist() for n in _WAITING.names], strict=True):
+                row = tuple(None if x is None or x != x else x for x in row)
                 if int(row[_TIME]) < behind:
                     late.append(row)
                 else:
-                    fresh.setdefault(int(row[_TIME]) // 1000, []).append(_typed(row))
-        for moment, values in fresh.items():
-            if self.waiting.containsKey((moment,)):
-                values = [*map(tuple, self.waiting.getValue((moment,))[0]), *values]
-            else:
-                self.handle.registerTimer(moment + 1)
-            self.waiting.updateValue((moment,), (values,))
+                    fresh.append(_typed(row))
+        if fresh:
+            due = self.due.get()
+            fresh.sort(key=_when)
+            for i in range(0, len(fresh), _AT_ONCE):
+                self._keep(fresh[i : i + _AT_ONCE], due is not None or i > 0)
+            self._wait(_moment(fresh[0]), None if due is None else due[0])
         if late:
             yield self._late(key, late)
 
+    def _keep(self, values: list[tuple], others: bool) -> None:
+        """Hold sorted values by the first one's moment."""
+        first = (_moment(values[0]),)
+        if others and self.waiting.containsKey(first):
+            values = [*map(tuple, self.waiting.getValue(first)[0]), *values]
+        self.waiting.updateValue(first, (values,))
+
+    def _wait(self, moment: int, due: int | None) -> None:
+        """One timer for the earliest moment with values."""
+        if due is None or moment < due:
+            if due is not None:
+                self.handle.deleteTimer(due + 1)
+            self.handle.registerTimer(moment + 1)
+            self.due.update((moment,))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N803
-        # one timer for each millisecond with values; Spark fires those of a key in order of time
-        moment = (expiredTimerInfo.getExpiryTimeInMs() - 1,)
-        ready = sorted(map(tuple, self.waiting.getValue(moment)[0]), key=lambda v: (v[_TIME], v[_TIME + 1]))
-        self.waiting.removeKey(moment)
-        yield self._decide(key, ready)
+        behind = timerValues.getCurrentWatermarkInMs()
+        firsts = sorted(moment for (moment,) in self.waiting.keys())
+        ready, open_ = [], []
+        for first, following in zip(firsts, [*firsts[1:], behind], strict=True):
+            if first >= behind:
+                break
+            values = [*map(tuple, self.waiting.getValue((first,))[0])]
+            self.waiting.removeKey((first,))
+            ready += [v for v in values if _moment(v) < behind]
+            open_ += [v for v in values if _moment(v) >= behind]
+            # later lists hold no value before their first moment
+            ready.sort(key=_when)
+            safe = bisect_left(ready, min(following, behind), key=_moment)
+            for part in _parts(ready[:safe]):
+                yield self._decide(key, part)
+            ready = ready[safe:]
+        self.due.clear()
+        left = [first for first in firsts if first >= behind]
+        open_.sort(key=_when)
+        for i in range(0, len(open_), _AT_ONCE):
+            self._keep(open_[i : i + _AT_ONCE], True)
+        if left or open_:
+            self._wait(min([*left, *map(_moment, open_[:1])]), None)
 
     def _decide(self, key, ready: list[tuple]) -> pd.DataFrame:
         carried = dict(zip(_CARRIED.names, self.carried.get(), strict=True)) \
@@ -128,6 +167,26 @@ class Deadband(StatefulProcessor):
         pass
 
 
+def _when(value: tuple) -> tuple:
+    return value[_TIME], value[_TIME + 1]
+
+
+def _moment(value: tuple) -> int:
+    """Millisecond of a value."""
+    return value[_TIME] // 1000
+
+
+def _parts(values: list[tuple]) -> Iterator[list[tuple]]:
+    """Sorted values in lists of about ``_AT_ONCE``; those of one moment stay together."""
+    start = 0
+    while start < len(values):
+        end = min(start + _AT_ONCE, len(values))
+        while end < len(values) and _moment(values[end]) == _moment(values[end - 1]):
+            end += 1
+        yield values[start:end]
+        start = end
+
+
 def _typed(row: tuple) -> tuple:
     made = []
     for value, field in zip(row, _WAITING.fields, strict=True):

@@ -258,3 +258,121 @@ def test_update_trace_of_nothing_keeps_its_schema(spark, rows):
     frozen = AdaptiveConfig(AllocationConfig("f", "uniform", 0.05))
     trace = ad.update_trace(AdaptiveRun(study, [frozen]).decisions)
     assert trace.count() == 0 and "edge_bias_after" in trace.columns
+
+
+class _Store:
+    """What a processor keeps for one key: a map, values and timers, with the calls counted."""
+
+    def __init__(self):
+        self.maps, self.values, self.timers, self.calls = {}, {}, set(), 0
+
+    def getMapState(self, name, *_):  # noqa: N802
+        return _Held(self, self.maps)
+
+    def getValueState(self, name, *_):  # noqa: N802
+        return _Held(self, self.values, name)
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.discard(at)
+
+
+class _Held:
+    def __init__(self, store, rows, name=None):
+        self.store, self.rows, self.name = store, rows, name
+
+    def _key(self, key):
+        self.store.calls += 1
+        return self.name if key is None else key
+
+    def get(self):
+        return self.rows.get(self._key(None))
+
+    def exists(self):
+        return self._key(None) in self.rows
+
+    def update(self, value):
+        self.rows[self._key(None)] = value
+
+    def clear(self):
+        self.rows.pop(self._key(None), None)
+
+    def containsKey(self, key):  # noqa: N802
+        return self._key(key) in self.rows
+
+    def getValue(self, key):  # noqa: N802
+        return self.rows[self._key(key)]
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.rows[self._key(key)] = value
+
+    def removeKey(self, key):  # noqa: N802
+        del self.rows[self._key(key)]
+
+    def keys(self):
+        self._key(None)
+        return iter(list(self.rows))
+
+
+@pytest.mark.parametrize("at_once", (3, 1000))
+def test_a_plug_has_one_timer_and_reports_its_moments_together(monkeypatch, at_once):
+    import random
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from bandwise.streaming import deadband
+
+    monkeypatch.setattr(deadband, "_AT_ONCE", at_once)
+    params = house_params()
+    config = AdaptiveConfig(
+        mode_grid(("uniform",), (0.05,))[0], "slot_median_ewma_drift_periodic_sync", alpha=0.3, detector="cusum",
+        kappa=0.4, threshold_h=3.0, max_suppressions=5,
+    )
+    key = (config.config_id, 0, 0, 0)
+    noise, names = random.Random(5), deadband._WAITING.names
+    rows = []
+    for i in range(200):
+        at = params.start_us + noise.randrange(90) * 60_000_000 + noise.choice((0, 0, 300))
+        fields = dict(
+            mode="uniform", cycle=0, ts_us=at, row_id=i, event_id=str(i), value=10.0 + noise.random(),
+            baseline=10.0, threshold_used=0.4, reactivated=False, robust_scale=1.0, initial_bias=0.0, floor=1.0,
+        )
+        rows.append({n: fields.get(n) for n in names})
+
+    def run(batches, marks):
+        """Rows of each micro-batch and the watermark before it; all is over behind the last mark."""
+        store = _Store()
+        processor = deadband.Deadband([config], params)
+        processor.init(store)
+        out, frames = [], 0
+        for batch, mark in zip([*batches, []], marks, strict=True):
+            times = SimpleNamespace(getCurrentWatermarkInMs=lambda m=mark: m)
+            found = list(processor.handleInputRows(key, iter([pd.DataFrame(batch, columns=names)]), times)) if batch else []
+            for expired in sorted(t for t in store.timers if t <= mark):
+                found += processor.handleExpiredTimer(key, times, None)
+                store.timers.discard(expired)
+            assert len(store.timers) == (1 if store.maps else 0)
+            frames += len(found)
+            out += [r for f in found for r in f.to_dict("records")]
+        assert not store.maps and not store.timers
+        return out, frames, store.calls
+
+    end = params.start_us // 1000 + 10**9
+    want, frames, calls = run([rows], [0, end])
+    shown = [(r["event_id"], r["transmitted"], r["edge_bias"], r["residual_score"]) for r in want]
+    assert [r["row_id"] for r in want] == [r["row_id"] for r in sorted(rows, key=lambda r: (r["ts_us"], r["row_id"]))]
+    if at_once == 1000:  # one list, one report: nothing per moment
+        assert frames == 1 and calls < 20
+    # in pieces that overlap in time, the watermark between them
+    ordered = sorted(rows, key=lambda r: r["ts_us"] + noise.randrange(20) * 60_000_000)
+    pieces = [ordered[i : i + 40] for i in range(0, 200, 40)]
+    marks = [0]
+    for piece in pieces[1:]:
+        marks.append(max(marks[-1], min(r["ts_us"] for r in ordered[ordered.index(piece[0]):]) // 1000))
+    got, _, _ = run(pieces, [*marks, end])
+    assert [(r["event_id"], r["transmitted"], r["edge_bias"], r["residual_score"]) for r in got] == shown
