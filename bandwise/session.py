@@ -18,6 +18,9 @@ SETTINGS = {
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # what is broadcast passes through the driver and its size is guessed from compressed files: only
+    # tables that stay small unpacked, such as one row per house and configuration
+    "spark.sql.autoBroadcastJoinThreshold": "256k",
     # bounds of what a Python worker gets at once, whatever the length of texts
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     "spark.sql.execution.arrow.maxBytesPerBatch": "8388608",

@@ -399,3 +399,19 @@ def test_unsafe_runs_raise(spark):
     bad = spark.createDataFrame([("c", 0, False)], "config_id string, house_id long, safety_pass boolean")
     with pytest.raises(RuntimeError, match="safety"):
         metrics.assert_safe(bad)
+
+
+def test_only_small_tables_are_broadcast(spark):
+    """A table of repeated values is far larger than its files: it does not pass through the driver."""
+    from bandwise.session import write_through
+
+    rows = write_through(spark.range(200_000).selectExpr("id", "id div 50000 as same", "1.5D as value"), "repeated")
+    packed = rows.groupBy("id").agg(F.collect_list(F.struct("same", "value")).alias("packed"))
+    large = write_through(spark.range(1_000_000), "large")
+    few = write_through(spark.range(3), "few")
+
+    def plan(other):
+        return large.join(other, "id")._jdf.queryExecution().executedPlan().toString()
+
+    assert "BroadcastHashJoin" not in plan(packed)
+    assert "BroadcastHashJoin" in plan(few)
