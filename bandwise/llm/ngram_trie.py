@@ -13,7 +13,7 @@ which depends on w and the pair, and a denominator, which depends on v alone; so
 3.  A shard builds tries of two levels, for one range of its words after another: words, and below each word its contexts, from the training documents' entries.
     Sorted keys and pointers are monotone and kept as Elias-Fano sequences, logarithms of smoothed probabilities as 16-bit
     codes.  The levels are a memory-mapped file, and looked up by successor search among the contexts of the word.
-4.  Shards answer with packed sums per chunk and document, which are added up per chunk.
+4.  Shards answer with packed sums per chunk, for its documents that have words there, which are added up per chunk.
 
 Words are compared by 64-bit hashes; contexts, below one word, by 40 bits of theirs.  All counts cover all training
 documents.  Null texts count as empty: one end token.  Without training documents N and all counts are 0.  A null id is kept, and its
@@ -340,38 +340,26 @@ def _entries(batches: Iterator[pa.RecordBatch], shards: int, heavy, start: int)
         yield flush()
 
 
-def _add_range(held: list[tuple], least: int, most: int, share) -> None:
-    """Builds the trie of the words from `least` to `most` (excluded), and adds their numerators to each chunk's scores."""
+def _add_range(pieces: list[tuple], train: np.ndarray, score: np.ndarray, share) -> None:
+    """Builds the trie of one range of words from all chunks' entries, and adds their numerators to the documents' scores.
+
+    A piece is what one chunk has in the range: words, n_contexts, contexts, n_docs, documents (numbered in the shard), times.
+    Pairs are looked up once for all chunks, so the work follows the entries and not the number of chunks.
+    """
     mask = np.uint64((1 << _CONTEXT_BITS) - 1)
-    cuts, names = [], []
-    for _, word, *_ in held:
-        a = int(np.searchsorted(word, np.uint64(least)))
-        b = len(word) if most >> 64 else int(np.searchsorted(word, np.uint64(most)))
-        cuts.append((a, b))
-        names.append(word[a:b])
-    vocabulary = np.unique(np.concatenate(names)) if names else np.zeros(0, np.uint64)
-    if not len(vocabulary):
-        return
-    parts = []
-    for (r, word, context_at, entry_at, train, _), (a, b) in zip(held, cuts, strict=True):
-        c, d = int(context_at[a]), int(context_at[b])
-        e, f = int(entry_at[c]), int(entry_at[d])
-        wide = np.zeros((d - c, 8), np.uint8)
-        wide[:, :5] = np.frombuffer(r["contexts"], np.uint8, 5 * (d - c), 5 * c).reshape(-1, 5)
-        node = np.repeat(np.searchsorted(vocabulary, word[a:b]), np.diff(context_at[a : b + 1]))
-        pairs = (node.astype(np.uint64) << np.uint64(_CONTEXT_BITS)) | wide.view(np.uint64).ravel()
-        doc = np.frombuffer(r["docs"], np.uint16, f - e, 2 * e).astype(np.int64)
-        times = np.frombuffer(r["times"], np.uint32, f - e, 4 * e)
-        pair = np.repeat(np.arange(d - c), np.diff(entry_at[c : d + 1]))
-        parts.append((pairs, np.bincount(pair, times * train[doc], d - c), pair, doc, times))
-    joined, learned = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
+    word, n_contexts, contexts, n_docs, doc, times = (np.concatenate(column) for column in zip(*pieces, strict=True))
+    vocabulary, node = np.unique(word, return_inverse=True)
+    wide = np.zeros((len(n_docs), 8), np.uint8)
+    wide[:, :5] = contexts.reshape(-1, 5)
+    pairs = (np.repeat(node, n_contexts).astype(np.uint64) << np.uint64(_CONTEXT_BITS)) | wide.view(np.uint64).ravel()
+    distinct, inverse = np.unique(pairs, return_inverse=True)
+    pair = np.repeat(inverse, n_docs)
+    learned = np.bincount(pair, times * train[doc], len(distinct))
     used = learned > 0
-    distinct, inverse = np.unique(joined[used], return_inverse=True)
-    number = np.bincount(inverse, learned[used], len(distinct))
-    trie = Trie(vocabulary, share(vocabulary), (distinct >> np.uint64(_CONTEXT_BITS)).astype(np.int64), distinct & mask, number, MASS)
-    for x, (pairs, _, pair, doc, times) in zip(held, parts, strict=True):
-        numerators = trie.log_numerators(vocabulary[(pairs >> np.uint64(_CONTEXT_BITS)).astype(np.int64)], pairs & mask)
-        np.add(x[5], np.bincount(doc, times * numerators[pair], len(x[5])), out=x[5])
+    known, nodes = distinct[used], (distinct >> np.uint64(_CONTEXT_BITS)).astype(np.int64)
+    trie = Trie(vocabulary, share(vocabulary), nodes[used], known & mask, learned[used], MASS)
+    numerators = trie.log_numerators(vocabulary[nodes], distinct & mask)
+    np.add.at(score, doc, times * numerators[pair])
 
 
 def _answer(group: pa.Table, total: float, heavy) -> pa.Table:
@@ -396,23 +384,43 @@ def _answer(group: pa.Table, total: float, heavy) -> pa.Table:
         for r in rows if r["ids"] is not None
     ]
     view = lambda r, n, kind: np.frombuffer(r[n], kind)
-    held = []
-    for r in chunks:
-        context_at = np.concatenate([[0], np.cumsum(view(r, "n_contexts", np.uint32), dtype=np.int64)])
-        entry_at = np.concatenate([[0], np.cumsum(view(r, "n_docs", np.uint32), dtype=np.int64)])
-        train = np.unpackbits(view(r, "train", np.uint8)).astype(bool)
+    trains = [np.unpackbits(view(r, "train", np.uint8)).astype(bool) for r in chunks]
+    #: where each chunk's documents begin among the shard's
+    first = np.concatenate([[0], np.cumsum([len(t) for t in trains], dtype=np.int64)])
+    train = np.concatenate([np.zeros(0, bool), *trains])
+    score = np.zeros(len(train))
+    ranges = max(1, -(-sum(len(r["docs"]) // 2 for r in chunks) // RANGE_ENTRIES))
+    borders = np.array([k * (1 << 64) // ranges for k in range(1, ranges)], np.uint64)
+    parts: list[list[tuple]] = [[] for _ in range(ranges)]
+    for r, at, to in zip(chunks, first, first[1:], strict=False):
         u_doc, u_times = view(r, "u_docs", np.uint16).astype(np.int64), view(r, "u_times", np.uint32)
         c = np.repeat(counts(view(r, "u_words", np.uint64)), view(r, "u_n", np.uint32))
-        score = np.zeros(len(train)) - np.bincount(u_doc, u_times * np.log10(c + MASS), len(train))
-        held.append((r, view(r, "words", np.uint64), context_at, entry_at, train, score))
-        base, known = np.bincount(u_doc, u_times * np.log10(c + ADDED), len(train)), np.bincount(u_doc, u_times * (c > 0), len(train))
-        out.append({"chunk": r["chunk"], "base": base.astype(np.float64).tobytes(), "known": known.astype(np.float32).tobytes()})
-    ranges = max(1, -(-sum(int(x[3][-1]) for x in held) // RANGE_ENTRIES))
-    for k in range(ranges):
-        _add_range(held, k * (1 << 64) // ranges, (k + 1) * (1 << 64) // ranges, lambda w: (counts(w) + ADDED) / total)
-    for row, x in zip(out[len(out) - len(held) :], held, strict=True):
-        row["score"] = x[5].astype(np.float32).tobytes()
-    return pa.Table.from_batches([_rows(out)]).select(["chunk", *_SUMS, "ids", "held", "n_tokens"])
+        docs = to - at
+        score[at:to] -= np.bincount(u_doc, u_times * np.log10(c + MASS), docs)
+        base, known = np.bincount(u_doc, u_times * np.log10(c + ADDED), docs), np.bincount(u_doc, u_times * (c > 0), docs)
+        out.append({"chunk": r["chunk"], "base": base, "known": known})
+        word, n_contexts, n_docs = view(r, "words", np.uint64), view(r, "n_contexts", np.uint32), view(r, "n_docs", np.uint32)
+        cuts = np.concatenate([[0], np.searchsorted(word, borders), [len(word)]])
+        context_at = np.concatenate([[0], np.cumsum(n_contexts, dtype=np.int64)])[cuts]
+        entry_at = np.concatenate([[0], np.cumsum(n_docs, dtype=np.int64)])[context_at]
+        held = (word, n_contexts, view(r, "contexts", np.uint8), n_docs, view(r, "docs", np.uint16), view(r, "times", np.uint32), at)
+        for k in np.flatnonzero(np.diff(cuts)):
+            parts[k].append((held, *cuts[k : k + 2].tolist(), *context_at[k : k + 2].tolist(), *entry_at[k : k + 2].tolist()))
+    for part in filter(None, parts):
+        pieces = [
+            (word[a:b], n_contexts[a:b], contexts[5 * c : 5 * d], n_docs[c:d], docs[e:f] + at, times[e:f])
+            for (word, n_contexts, contexts, n_docs, docs, times, at), a, b, c, d, e, f in part
+        ]
+        _add_range(pieces, train, score, lambda w: (counts(w) + ADDED) / total)
+    for row, r, at, to in zip(out[len(out) - len(chunks) :], chunks, first, first[1:], strict=False):
+        # documents that have none of the shard's words need no answer: with many shards, that is most of them
+        met = np.zeros(to - at, bool)
+        met[view(r, "u_docs", np.uint16)] = True
+        met[view(r, "docs", np.uint16)] = True
+        places = np.flatnonzero(met)
+        row |= {"docs": places.astype(np.uint16).tobytes(), "base": row["base"][places].astype(np.float64).tobytes()}
+        row |= {"known": row["known"][places].astype(np.float32).tobytes(), "score": score[at:to][places].astype(np.float32).tobytes()}
+    return pa.Table.from_batches([_rows(out)]).select(["chunk", "docs", *_SUMS, "ids", "held", "n_tokens"])
 
 
 def _added(group: pa.Table, tokens: int, types: int) -> pa.Table:
@@ -422,9 +430,9 @@ def _added(group: pa.Table, tokens: int, types: int) -> pa.Table:
     docs = len(head["ids"])
     sums = {k: np.zeros(docs) for k in _SUMS}
     for r in rows:
+        places = slice(None) if r is head else np.frombuffer(r["docs"], np.uint16)
         for k in _SUMS:
-            part = np.frombuffer(r[k], np.float64 if k == "base" or r is head else np.float32)
-            sums[k] += part[:docs]
+            sums[k][places] += np.frombuffer(r[k], np.float64 if k == "base" or r is head else np.float32)
     n_tokens = np.array(head["n_tokens"], np.int64)
     return pa.table(
         {
@@ -457,7 +465,7 @@ def score(docs: DataFrame, held_out: Column, *, id_column: str = "doc_id", text_
     total = tokens + ADDED * (types + 1)
     answers = entries.unionByName(known).groupBy("shard").applyInArrow(
         lambda t: _answer(t, total, heavy),
-        "chunk long, base binary, known binary, score binary, ids array<long>, held array<boolean>, n_tokens array<long>",
+        "chunk long, docs binary, base binary, known binary, score binary, ids array<long>, held array<boolean>, n_tokens array<long>",
     )
     found = answers.groupBy("chunk").applyInArrow(
         lambda t: _added(t, tokens, types),

@@ -7,6 +7,7 @@ import random
 import re
 from collections import Counter
 from math import log10
+from types import SimpleNamespace
 from zlib import crc32
 
 import numpy as np
@@ -278,6 +279,32 @@ def test_trie(spark, docs, rows, nothing, monkeypatch, share):
     assert len(untrained) == len(rows) and all(r.train_tokens == 0 and r.n_known == 0 for r in untrained)
 
 
+def test_a_shard_looks_pairs_up_once_for_all_chunks(monkeypatch):
+    """The steps of a shard follow its entries: more chunks with the same texts are no more look-ups."""
+    looked_up = []
+    whole = ngram_trie.Trie.log_numerators
+    monkeypatch.setattr(ngram_trie.Trie, "log_numerators", lambda trie, w, v: looked_up.append(len(w)) or whole(trie, w, v))
+    rng = np.random.default_rng(3)
+    vocabulary = np.sort(rng.integers(1, 1 << 63, 40, dtype=np.uint64))
+    heavy = SimpleNamespace(value=(np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    words = [vocabulary[rng.integers(0, 40, 30)] for _ in range(3)]
+    found = [(np.concatenate(words), np.array([0, 30, 60, 90]))]
+
+    def answers(chunks):
+        rows = []
+        for c in range(chunks):
+            (row,), _ = ngram_trie._packed(found, np.ones(3, bool), 1, heavy.value, 0)
+            rows.append(row | {"chunk": c})
+        looked_up.clear()
+        return ngram_trie._answer(pa.Table.from_batches([ngram_trie._rows(rows)]), 100.0, heavy).to_pylist()
+
+    one, many = answers(1), answers(30)
+    assert len(looked_up) == 1 and looked_up[0] <= 3 * 31
+    assert [r["chunk"] for r in many] == list(range(30)) and len({r["score"] for r in many}) == 1
+    # counts are thirty times as high, so scores differ, but every document is answered in all of them
+    assert all(r["docs"] == one[0]["docs"] and len(r["score"]) == 3 * 4 for r in many)
+
+
 def test_elias_fano():
     rng = np.random.default_rng(1)
     for universe, n in ((10, 5), (1 << 20, 3000), (1 << 60, 500), (1, 1)):
