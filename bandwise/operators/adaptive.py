@@ -8,7 +8,8 @@ bias, so this is a true recurrence per plug.  It runs as a keyed fold; everythin
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,7 +27,7 @@ from bandwise.functions.stats import (
     top_share_rank,
 )
 from bandwise.operators.drift import CALM, Detector, observe
-from bandwise.operators.fold import CARRIED, Walk, with_results
+from bandwise.operators.fold import CARRIED, Walk, keys_at, listed, runs_of_keys, with_results
 from bandwise.operators.metrics import RUN
 from bandwise.params import AdaptiveConfig, Params
 from bandwise.session import write_through
@@ -117,6 +118,7 @@ SCHEMA = T.StructType(
 )
 
 
+@cache
 def detector_of(config: AdaptiveConfig) -> Detector:
     return Detector(
         config.detector,
@@ -141,26 +143,35 @@ def adaptive_walk(configs: Sequence[AdaptiveConfig], params: Params) -> Walk:
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plug = None
         for batch in batches:
-            keys = list(zip(*[batch.column(c).to_pylist() for c in KEY], strict=True))
-            inputs = zip(
-                *[batch.column(c).to_pylist() for c in _READ], strict=True
-            )
+            borders = runs_of_keys(batch, KEY)
+            inputs = list(zip(*[listed(batch.column(c)) for c in _READ], strict=True))
+            first = first_states(batch)
             out = []
-            for i, row in enumerate(inputs):
-                if plug is None or plug.key != keys[i]:
-                    plug = PlugWalk(keys[i], by_id[keys[i][0]], start_us, first_state(batch, i))
-                out.append(plug.advance(*row))
+            for key, start, end in zip(keys_at(batch, KEY, borders[:-1]), borders, borders[1:], strict=False):
+                # a plug may go on from the batch before
+                if plug is None or plug.key != key:
+                    plug = PlugWalk(key, by_id[key[0]], start_us, first(start))
+                advance = plug.advance
+                out += [advance(*row) for row in inputs[start:end]]
             yield with_results(batch, INPUT.names, SCHEMA.fields[len(INPUT.fields) :], out)
 
     return walk
 
 
-def first_state(batch: pa.RecordBatch, i: int) -> dict:
-    """State carried into the slice, or the starting bias alone."""
-    carried = {c: batch.column(CARRIED + c)[i].as_py() for c in STATE}
-    if carried["streak"] is None:
-        return {"initial_bias": batch.column("initial_bias")[i].as_py() or 0.0}
-    return carried
+def first_states(batch: pa.RecordBatch) -> Callable[[int], dict]:
+    """States carried into the slice by the rows of a batch, or their starting biases alone."""
+    biases = listed(batch.column("initial_bias"))
+    streaks = batch.column(CARRIED + "streak")
+    if streaks.null_count == len(streaks):
+        return lambda i: {"initial_bias": biases[i] or 0.0}
+    carried = {c: listed(batch.column(CARRIED + c)) for c in STATE}
+
+    def state(i: int) -> dict:
+        if carried["streak"][i] is None:
+            return {"initial_bias": biases[i] or 0.0}
+        return {c: values[i] for c, values in carried.items()}
+
+    return state
 
 
 class PlugWalk:

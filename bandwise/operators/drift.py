@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from bandwise.operators.fold import CARRIED, fold_by_key, with_results
+from bandwise.operators.fold import CARRIED, fold_by_key, keys_at, listed, runs_of_keys, with_results
 from bandwise.params import DETECTORS
 
 
@@ -63,20 +63,19 @@ def observe(
     after an alarm that triggered or was held back; only a trigger starts the cooldown, which counts
     the key's own events.
     """
-    *levels, cooling = state
+    run, up, down, cooling = state
+    by_run, by_up, by_down = detector.steps(z)
+    run, up, down = run + by_run, up + by_up, down + by_down
     # the zeros keep their types: a whole number, then two doubles
-    zeros = CALM[:3]
-    levels = [
-        max(zero, level + step)
-        for zero, level, step in zip(zeros, levels, detector.steps(z), strict=True)
-    ]
-    alarm = any(level >= limit for level, limit in zip(levels, detector.limits, strict=True))
+    run, up, down = run if run > 0 else 0, up if up > 0.0 else 0.0, down if down > 0.0 else 0.0
+    most_run, most_up, most_down = detector.limits
+    alarm = run >= most_run or up >= most_up or down >= most_down
     held = alarm and cooling > 0
     fires = alarm and enabled and not held
     if held or fires:
-        levels = zeros
+        run, up, down = CALM[:3]
     left = detector.cooldown if fires else max(cooling - 1, 0)
-    return (*levels, left), fires, held and enabled
+    return (run, up, down, left), fires, held and enabled
 
 
 _STATE = ["z_run", "cusum_up", "cusum_down", "cooldown_left"]
@@ -113,21 +112,23 @@ def detect_drift(
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = None, CALM
         for batch in batches:
-            found = list(zip(*[batch.column(c).to_pylist() for c in keys], strict=True))
-            values = batch.column(residual).to_pylist()
-            widths = batch.column(scale).to_pylist()
+            borders = runs_of_keys(batch, keys)
+            values, widths = listed(batch.column(residual)), listed(batch.column(scale))
+            before = [listed(batch.column(CARRIED + c)) for c in _STATE]
             out = []
-            for i, value in enumerate(values):
-                if found[i] != key:
-                    key = found[i]
-                    carried = tuple(batch.column(CARRIED + c)[i].as_py() for c in _STATE)
+            for found, start, end in zip(keys_at(batch, keys, borders[:-1]), borders, borders[1:], strict=False):
+                # a key may go on from the batch before
+                if found != key:
+                    key = found
+                    carried = tuple(c[start] for c in before)
                     state = CALM if carried[0] is None else carried
-                z, fires, held = None, False, False
-                if value is not None:
-                    signed = value / widths[i]
-                    z = abs(signed)
-                    state, fires, held = observe(state, signed, detector, True)
-                out.append((z, fires, held, *state))
+                for value, width in zip(values[start:end], widths[start:end], strict=True):
+                    z, fires, held = None, False, False
+                    if value is not None:
+                        signed = value / width
+                        z = abs(signed)
+                        state, fires, held = observe(state, signed, detector, True)
+                    out.append((z, fires, held, *state))
             yield with_results(batch, kept, result, out)
 
     return fold_by_key(

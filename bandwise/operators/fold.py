@@ -10,7 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,9 +100,14 @@ def fold_by_key(
     *,
     slice_col: str,
     max_rows: int,
+    sized: tuple[DataFrame, Sequence[str]] | None = None,
 ) -> DataFrame:
-    """Fold every key in order; one lazy pass if all keys are small, else slice after slice."""
-    ranges = bounded_slices(rows, keys, slice_col, max_rows)
+    """Fold every key in order; one lazy pass if all keys are small, else slice after slice.
+
+    ``sized``: a table and its keys that tell how many rows a key has in a slice, if there is a cheaper
+    one than ``rows``.
+    """
+    ranges = bounded_slices(*(sized or (rows, keys)), slice_col, max_rows)
     if len(ranges) <= 1:
         return fold_slice(rows, None, keys, order, walk, schema, state_columns)
     state, parts = None, []
@@ -129,6 +136,37 @@ def arrow_type(kind: T.DataType) -> pa.DataType:
     return pa.string()
 
 
+def listed(column: pa.Array) -> list:
+    """The values of a column as Python has them; those of numbers without a detour by Arrow's scalars."""
+    if pa.types.is_string(column.type):
+        return column.to_pylist()
+    if not column.null_count:
+        return column.to_numpy(zero_copy_only=False).tolist()
+    values = pc.fill_null(column, False if pa.types.is_boolean(column.type) else 0)
+    values = values.to_numpy(zero_copy_only=False).tolist()
+    for i in pc.indices_nonzero(column.is_null()).to_pylist():
+        values[i] = None
+    return values
+
+
+def runs_of_keys(batch: pa.RecordBatch, keys: Sequence[str]) -> list[int]:
+    """Rows at which another key begins, and the number of rows; none for an empty batch."""
+    if not batch.num_rows:
+        return []
+    other = np.zeros(batch.num_rows, bool)
+    other[0] = True
+    for name in keys:
+        codes = pc.dictionary_encode(batch.column(name), null_encoding="encode").indices.to_numpy()
+        other[1:] |= codes[1:] != codes[:-1]
+    return [*np.flatnonzero(other).tolist(), batch.num_rows]
+
+
+def keys_at(batch: pa.RecordBatch, keys: Sequence[str], rows: Sequence[int]) -> Iterator[tuple]:
+    """The keys of some rows."""
+    places = pa.array(rows, pa.int64())
+    return zip(*[batch.column(name).take(places).to_pylist() for name in keys], strict=True)
+
+
 def with_results(
     batch: pa.RecordBatch,
     kept: Sequence[str],

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from bandwise.operators import adaptive, cycles, decide, fit, metrics
 from bandwise.operators import allocate as alloc
 from bandwise.operators.fold import fold_by_key
-from bandwise.params import AdaptiveConfig
+from bandwise.params import AdaptiveConfig, AllocationConfig
 from bandwise.plans.coupled import Coupled
 from bandwise.plans.frozen import Study
 from bandwise.session import write_through
@@ -22,6 +22,40 @@ from bandwise.sources.events import PLUG
 SCORE_FREE = ("full_tx", "uniform")
 
 
+def _shared_allocations(
+    configs: Sequence[AdaptiveConfig],
+) -> tuple[list[AllocationConfig], dict[str, list[tuple[str, int]]]]:
+    """The different allocations of score-free candidates, and who follows each: (config_id, place in the grid).
+
+    Their thresholds do not depend on the predictor, so candidates that differ by it alone share one allocation.
+    """
+    first: dict[AllocationConfig, AllocationConfig] = {}
+    followers: dict[str, list[tuple[str, int]]] = {}
+    for place, config in enumerate(configs):
+        allocation = config.allocation
+        owner = first.setdefault(replace(allocation, config_id=""), allocation)
+        followers.setdefault(owner.config_id, []).append((config.config_id, place))
+    return list(first.values()), followers
+
+
+def _repeated(part: DataFrame, followers: dict[str, list[tuple[str, int]]]) -> DataFrame:
+    """The rows of an allocation once for each candidate that follows it."""
+    if all(ids == [(owner, place)] for place, (owner, ids) in enumerate(followers.items())):
+        return part
+    names = F.create_map(
+        *[
+            x
+            for owner, ids in followers.items()
+            for x in (
+                F.lit(owner),
+                F.array(*[F.struct(F.lit(i).alias("config_id"), F.lit(n).alias("config_pos")) for i, n in ids]),
+            )
+        ]
+    )
+    columns = [c for c in part.columns if c not in ("config_id", "config_pos")]
+    return part.select(*columns, F.inline(names[F.col("config_id")])).select(*part.columns)
+
+
 class AdaptiveRun:
     """Decisions and reports of a grid of (allocator, predictor) candidates.
 
@@ -124,13 +158,12 @@ class AdaptiveRun:
         free = [c for c in self.configs if c.allocation.mode in SCORE_FREE]
         coupled = [c for c in self.configs if c.allocation.mode not in SCORE_FREE]
         if free:
-            allocations = [c.allocation for c in free]
+            allocations, followers = _shared_allocations(free)
+            trace = study.run(allocations).trace
+            thresholded = decide.with_thresholds(self.seen, trace, allocations)
             if self.assigned is None:
-                trace = study.run(allocations).trace
-                thresholded = decide.with_thresholds(self.seen, trace, allocations)
+                trace, thresholded = (_repeated(part, followers) for part in (trace, thresholded))
             else:
-                trace = study.run(allocations[:1]).trace
-                thresholded = decide.with_thresholds(self.seen, trace, allocations[:1])
                 thresholded, trace = (
                     part.drop("config_id").join(self.assigned, "house_id").select(*part.columns)
                     for part in (thresholded, trace)
@@ -145,6 +178,8 @@ class AdaptiveRun:
                 adaptive.STATE,
                 slice_col="cycle",
                 max_rows=study.params.slice_rows,
+                # a plug has the same events under every candidate
+                sized=(study.scored, PLUG),
             )
             traces.append(trace)
             folds.append(write_through(folded, "decisions"))

@@ -2,8 +2,10 @@
 
 import math
 
+import pyarrow as pa
 import pytest
 
+from bandwise.operators import fold
 from bandwise.params import AdaptiveConfig, AllocationConfig, mode_grid
 from bandwise.plans.adaptive import AdaptiveRun
 from bandwise.plans.coupled import ProxyRun
@@ -139,3 +141,35 @@ def test_folding_in_slices_changes_nothing(study, spark, rows):
     sliced = AdaptiveRun(study.derive(slice_rows=20), configs)
     left, right = whole.decisions, sliced.decisions
     assert left.exceptAll(right).count() == 0 and right.exceptAll(left).count() == 0
+
+
+def test_predictors_of_one_allocation_share_its_trace(study, monkeypatch):
+    """Score-free thresholds are worked out once, and a plug's rows are counted without the grid."""
+    allocated, counted = [], []
+    run, count = Study.run, fold.bounded_slices
+    monkeypatch.setattr(Study, "run", lambda own, configs: allocated.append(len(configs)) or run(own, configs))
+    monkeypatch.setattr(fold, "bounded_slices", lambda rows, *rest: counted.append(rows.columns) or count(rows, *rest))
+    loose = AllocationConfig("loose", "uniform", 0.2, **CAPS)
+    configs = [*candidates("uniform"), AdaptiveConfig(loose, predictor_mode="slot_median_ewma")]
+    together = AdaptiveRun(study, configs)
+    trace = together.trace
+    assert allocated == [2] and "config_id" not in counted[0]
+    figures = ["config_pos", "cycle", "plug_id", "threshold"]
+    found = {tuple(r) for r in trace.where("house_id = 0").select("config_id", "household_id", *figures).collect()}
+    for place in (1, len(configs) - 1):
+        alone = run(study, [configs[place].allocation]).trace.where("house_id = 0")
+        rows = alone.select("config_id", "household_id", "cycle", "plug_id", "threshold").collect()
+        want = {(r.config_id, r.household_id, place, r.cycle, r.plug_id, r.threshold) for r in rows}
+        assert want and want == {f for f in found if f[2] == place}
+
+
+def test_listed_columns_and_runs_of_keys():
+    columns = {
+        "a": pa.array([1, 1, None, None, 2]), "b": pa.array(["x", "x", "x", "x", "x"]),
+        "v": pa.array([1.5, None, math.inf, 0.0, None]), "f": pa.array([True, None, False, True, True]),
+    }
+    batch = pa.RecordBatch.from_pydict(columns)
+    assert all(fold.listed(batch.column(n)) == batch.column(n).to_pylist() for n in columns)
+    borders = fold.runs_of_keys(batch, ["a", "b"])
+    assert borders == [0, 2, 4, 5] and fold.runs_of_keys(batch.slice(0, 0), ["a"]) == []
+    assert list(fold.keys_at(batch, ["a", "b"], borders[:-1])) == [(1, "x"), (None, "x"), (2, "x")]
