@@ -31,6 +31,17 @@ def order_bucket(value: Column) -> Column:
     )
 
 
+def unit_of(scale: Column) -> Column:
+    """A power of two far below a positive scale, in which `coarse` counts; 1 without such a scale."""
+    return F.when(scale > 0, F.pow(F.lit(2.0), F.floor(F.log2(scale)) - F.lit(24))).otherwise(F.lit(1.0))
+
+
+def coarse(value: Column, unit: Column) -> Column:
+    """Whole units of a value.  Sums of them are exact, whatever their order, up to 2**53 units; what a value has
+    beyond them is tiny.  So the two sums together hold a total of any number of rows to its last digits."""
+    return F.rint(value / unit) * unit
+
+
 Powers = Mapping[str, Callable[[Column], Column]]
 #: What tail means and top shares add up: the values themselves.
 VALUES: Powers = {"s": lambda v: v}

@@ -58,7 +58,11 @@ def batch_metrics(batches: DataFrame, *, reasons: Sequence[str] = FORCED_REASONS
 
 def budget_metrics(trace: DataFrame) -> DataFrame:
     """Unused budget, cap hits, redistribution and budget violations over the allocations."""
-    cycles = cycle_budgets(trace)
+    return budgets_over_cycles(cycle_budgets(trace))
+
+
+def budgets_over_cycles(cycles: DataFrame) -> DataFrame:
+    """`budget_metrics` from one row per configuration, house and allocation."""
     return cycles.groupBy(*RUN).agg(
         F.count_if(
             F.col("used_budget") > F.col("house_budget") + F.lit(BUDGET_TOLERANCE)
@@ -79,13 +83,15 @@ def budget_metrics(trace: DataFrame) -> DataFrame:
 
 def summarize(
     batches: DataFrame,
-    trace: DataFrame,
+    budgets: DataFrame,
     longest: DataFrame | None = None,
     *,
     reasons: Sequence[str] = FORCED_REASONS,
 ) -> DataFrame:
     """The whole summary row per configuration and house.
 
+    ``budgets``: `cycle_budgets` of the trace.
+
     ``longest`` (longest streak per run) is optional because it needs one more pass over the
     events; without it that column is left out.
     """
@@ -104,7 +110,7 @@ def summarize(
     summary = (
         batch_metrics(batches, reasons=reasons)
         .join(error_tails(batches), RUN)
-        .join(budget_metrics(trace), RUN, "left")
+        .join(budgets_over_cycles(budgets), RUN, "left")
         .fillna(0, budget_columns)
         .fillna(0.0, amount_columns)
     )

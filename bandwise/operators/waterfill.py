@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +14,9 @@ from bandwise.functions.stats import CELL_ROWS, PARTS, ROUNDS, held_with, order_
 
 
 def water_levels(
-    rows: DataFrame, keys: Sequence[str], *, room: Column, weight: Column, amounts: DataFrame
-) -> DataFrame:
+    rows: DataFrame, keys: Sequence[str], *, room: Column, weight: Column, amounts: DataFrame,
+    unfold: Callable[[DataFrame], DataFrame] | None = None, packed: Sequence[str] = (),
+) -> DataFrame:
     """Water level per group: rows get ``least(room, level * weight)``, together ``amount`` if there is room.
 
     ``amounts``: the keys and ``amount``.  Rows without room or weight take no part; a group without
@@ -22,10 +25,30 @@ def water_levels(
     that counts.  Only the rows of that cell are read again: cells of many rows are cut into parts
     between their least and largest ratio, and the different ratios of small ones are put in order.
     So neither a house nor a household is ever sorted, or held, in one task.
+
+    ``unfold`` repeats rows for a grid and adds the keys ``packed``: then rows meet the cells to read again before they
+    are repeated, and only rows of these cells are shuffled one by one.
     """
     keys = list(keys)
-    usable = rows.select(*keys, room.alias("_room"), weight.alias("_w")).where((F.col("_w") > 0) & (F.col("_room") > 0))
-    usable = usable.withColumn("_v", F.col("_room") / F.col("_w")).withColumn("_c0", order_bucket(F.col("_v")))
+
+    def measured(repeated: DataFrame, *more: str) -> DataFrame:
+        found = repeated.select(*keys, *more, room.alias("_room"), weight.alias("_w")).where((F.col("_w") > 0) & (F.col("_room") > 0))
+        return found.withColumn("_v", F.col("_room") / F.col("_w")).withColumn("_c0", order_bucket(F.col("_v")))
+
+    def inside(usable: DataFrame, cells: DataFrame) -> DataFrame:
+        """Rows of the cells, with the columns of these."""
+        if unfold is None or len(path) > 1:
+            return usable.join(cells, [*keys, *path])
+        shared = [k for k in keys if k not in packed]
+        fields = [c for c in cells.columns if c not in shared]
+        lists = cells.groupBy(*shared).agg(F.collect_list(F.struct(*fields)).alias("_open"))  # one per member of the grid
+        near = measured(unfold(rows.join(lists, shared)), "_open")
+        same = [*packed, "_c0"]
+        mine = F.filter("_open", lambda c: reduce(and_, [c[k] == F.col(k) for k in same]))
+        near = near.withColumn("_mine", F.get(mine, F.lit(0))).where(F.col("_mine").isNotNull())
+        return near.select(*keys, "_room", "_w", "_v", "_c0", *[F.col(f"_mine.{c}").alias(c) for c in fields if c not in same])
+
+    usable = measured(rows if unfold is None else unfold(rows))
     path, ends = ["_c0"], []
     given = amounts.select(*keys, F.col("amount").alias("_amount"), F.lit(0.0).alias("_under"), F.lit(0.0).alias("_over"))
     # the group as the first cell: what is below it and above it is nothing
@@ -35,7 +58,7 @@ def water_levels(
         step = f"_c{len(path)}"
         edges = cell.where(_wide()).select(*keys, *path, F.col("_lo").alias("_from"), F.col("_hi").alias("_to"))
         part = F.least(F.floor((F.col("_v") - F.col("_from")) / (F.col("_to") - F.col("_from")) * PARTS), F.lit(PARTS - 1)).cast("int")
-        usable = usable.join(edges, [*keys, *path]).withColumn(step, part).drop("_from", "_to")
+        usable = inside(usable, edges).withColumn(step, part).drop("_from", "_to")
         parent = cell.where(_wide()).select(*keys, *path, "_amount", "_under", "_over")
         cells = _cells(usable, [*keys, *path, step])
         cell, largest = held_with(_standing(cells, parent, [*keys, *path], step), "levels", _wide_rows())
@@ -43,9 +66,9 @@ def water_levels(
         path.append(step)
     found = [c.where(~_wide()).select(*keys, _level().alias("level")) for c in ends]
     if largest:
-        inside = cell.where(_wide())
-        ranked = usable.join(inside.select(*keys, *path), [*keys, *path]).withColumn("_ratio", F.col("_v"))
-        parent = inside.select(*keys, *path, "_amount", "_under", "_over")
+        still = cell.where(_wide())
+        ranked = inside(usable, still.select(*keys, *path)).withColumn("_ratio", F.col("_v"))
+        parent = still.select(*keys, *path, "_amount", "_under", "_over")
         cells = _standing(_cells(ranked, [*keys, *path, "_ratio"]), parent, [*keys, *path], "_ratio")
         found.append(cells.select(*keys, _level().alias("level")))
     levels = found[0]

@@ -182,3 +182,10 @@ class ProxyRun(FrozenRun):
     @cached_property
     def trace(self) -> DataFrame:
         return Coupled(self.study, self.configs, "uniform_proxy").walk()[0]
+
+    @cached_property
+    def budgets(self) -> DataFrame:
+        return alloc.cycle_budgets(self.trace)
+
+    def _thresholded(self, events: DataFrame) -> DataFrame:
+        return decide.with_thresholds(events, self.trace, self.configs)

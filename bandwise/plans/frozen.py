@@ -182,22 +182,25 @@ class FrozenRun:
         self.configs = configs
 
     @cached_property
-    def trace(self) -> DataFrame:
+    def allocation(self) -> alloc.Allocation:
         capped = any(c.mode == "true_hierarchical_cap" for c in self.configs)
         quantiles = self.study.quantiles(self.configs) if capped else None
         study = self.study
-        trace = alloc.allocate(
-            study.snapshots, None, quantiles, self.configs, study.params
-        )
-        return study.hold(trace, "trace")
+        return alloc.Allocation(study.snapshots, None, quantiles, self.configs, study.params)
+
+    @cached_property
+    def trace(self) -> DataFrame:
+        return self.study.hold(self.allocation.trace(), "trace")
 
     @cached_property
     def budgets(self) -> DataFrame:
-        return alloc.cycle_budgets(self.trace)
+        return self.allocation.budgets()
+
+    def _thresholded(self, events: DataFrame) -> DataFrame:
+        return self.allocation.meet(events)
 
     def _decide(self, events: DataFrame) -> DataFrame:
-        rows = decide.with_thresholds(events, self.trace, self.configs)
-        return decide.decide(rows)
+        return decide.decide(self._thresholded(events))
 
     @cached_property
     def decisions(self) -> DataFrame:
@@ -223,7 +226,7 @@ class FrozenRun:
     def summary(self, *, streaks: bool = True) -> DataFrame:
         return metrics.summarize(
             self.batches,
-            self.trace,
+            self.budgets,
             decide.longest_streaks(self.decisions) if streaks else None,
         )
 

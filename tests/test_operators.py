@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from bandwise.functions import stats
 from bandwise.operators import allocate as alloc
-from bandwise.operators import compare, cycles, drift, metrics, score
+from bandwise.operators import compare, cycles, decide, drift, metrics, score
 from bandwise.operators.adaptive import moved
 from bandwise.operators.fit import quantile_name
 from bandwise.operators import waterfill as water
@@ -104,6 +104,52 @@ def test_flat_equals_legacy_and_caps_bind(spark):
     assert lacking and {r.plug_id for r in lacking} == {1}
 
 
+def test_grid_stays_packed(spark, monkeypatch):
+    """Nothing that an allocation of a grid writes has a row for each plug and configuration."""
+    rng = random.Random(4)
+    snaps = [(0, 0, 0, p % 2, p, rng.uniform(0.5, 9)) for p in range(40)]
+    quants = [(0, p % 2, p, 99, *[rng.uniform(0, 5)] * 3) for p in range(40)]
+    houses = spark.createDataFrame([(0, 10.0, 0.5)], "house_id long, mean_load double, sigma_floor double")
+    written, write = {}, alloc.write_through
+
+    def counted(table, name, **more):
+        kept = write(table, name, **more)
+        written[name] = kept.count()
+        return kept
+
+    monkeypatch.setattr(alloc, "write_through", counted)
+    configs = mode_grid(MODES, (0.1, 0.5, 1.0, 2.0), cap_fraction=0.2)
+    grid = alloc.Allocation(spark.createDataFrame(snaps, SNAP), houses, spark.createDataFrame(quants, QUANT), configs, house_params())
+    assert written["levelled"] == 40 and max(written.values()) <= max(40, 2 * len(configs))
+    trace = grid.trace()
+    assert trace.count() == 40 * len(configs)
+    # decisions meet the packed rows as they meet the trace; the last event's plug has no allocation
+    events = spark.createDataFrame(
+        [(0, 0, p % 2, p, 10.0, 0.5) for p in range(41)],
+        "house_id long, cycle long, household_id long, plug_id long, mean_load double, sigma_floor double",
+    )
+    fields = ["config_id", "config_pos", "mode", "house_budget", "plug_id", "threshold_used", "cap"]
+    got, want = (
+        sorted(tuple(r) for r in rows.fillna(-1.0, ["cap"]).select(*fields).collect())
+        for rows in (grid.meet(events), decide.with_thresholds(events, trace, configs))
+    )
+    assert len(got) == 41 * len(configs) and got == want
+    budgets = ["config_id", "house_id", "cycle", "house_budget", "used_budget", "cap_hit_count", "trace_rows"]
+    both = (sorted(tuple(r) for r in b.select(*budgets).collect()) for b in (grid.budgets(), alloc.cycle_budgets(trace)))
+    assert next(both) == next(both)
+
+
+def test_budget_is_kept_to_its_last_digits(spark):
+    """Many equal or unlike shares of a large budget add up to it, so no violation is made up."""
+    rng = random.Random(8)
+    snaps = spark.createDataFrame([(0, 0, 0, p % 4, p, rng.uniform(0.5, 9)) for p in range(30_000)], SNAP).coalesce(1)
+    houses = spark.createDataFrame([(0, 70_001.3, 0.5)], "house_id long, mean_load double, sigma_floor double")
+    configs = mode_grid(("uniform", "flat_variance", "true_hierarchical"), (3.0, 7.5, 15.0))
+    budgets = alloc.Allocation(snaps, houses, None, configs, house_params()).budgets()
+    rows = metrics.budgets_over_cycles(budgets).collect()
+    assert len(rows) == 9 and all(r.budget_violation_count == 0 for r in rows)
+
+
 def test_own_allocator_and_predictor(spark):
     from bandwise.plans.frozen import Study
     from tests.fixtures import SCHEMA, drifting_house
