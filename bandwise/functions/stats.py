@@ -91,8 +91,8 @@ def order_statistics(
     }
     placed = _placed(cells, group, "_c0", ["_n", *added]).withColumns(totals)
     wanted = F.array(*[F.struct(F.lit(n).alias("_name"), f(F.col("n")).cast("long").alias("_rank")) for n, f in ranks.items()])
-    inside = F.filter(wanted, lambda w: (w["_rank"] >= F.col("_before")) & (w["_rank"] < F.col("_before") + F.col("_n")))
-    hit = placed.select("*", F.inline(inside)).withColumn("_rank", F.col("_rank") - F.col("_before"))
+    inside = (F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_n"))
+    hit = placed.select("*", F.inline(wanted)).where(inside).withColumn("_rank", F.col("_rank") - F.col("_before"))
     hit, largest = held_with(hit.drop("_before", *[f"_x_{n}" for n in extra]), "ranks", _open_rows())
     settled, still = _settle(hit, powers), hit.where(_open())
     rows = rows.drop(*[f"_x_{n}" for n in extra])
@@ -151,10 +151,12 @@ def _placed(cells: DataFrame, family: list[str], step: str, added: list[str]) ->
     """Cells with the rows before them, and the rows and sums over them."""
     below = Window.partitionBy(*family).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
     over = Window.partitionBy(*family).orderBy(F.desc(step)).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_n").over(below), F.lit(0))
+    after = F.sum("_n").over(Window.partitionBy(*family)) - before - F.col("_n")  # counts need no second order
     return cells.select(
         "*",
-        F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_before"),
-        *[F.coalesce(F.sum(c).over(over), F.lit(0)).alias(f"_over{c}") for c in added],
+        before.alias("_before"),
+        *[(after if c == "_n" else F.coalesce(F.sum(c).over(over), F.lit(0))).alias(f"_over{c}") for c in added],
     )
 
 

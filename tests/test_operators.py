@@ -316,6 +316,16 @@ def test_one_house_of_many_plugs(spark, monkeypatch):
     assert some.used_budget == pytest.approx(min(900.0, math.fsum(r.cap for r in traces[0].values())))
 
 
+def test_counts_above_need_no_second_sort(spark, capsys):
+    cells = spark.createDataFrame([("a", 1, 2), ("a", 5, 3), ("a", 9, 4), ("b", 3, 7)], "k string, c int, _n long")
+    placed = stats._placed(cells, ["k"], "c", ["_n"])
+    assert sorted(tuple(r) for r in placed.select("k", "c", "_before", "_over_n").collect()) == [
+        ("a", 1, 0, 7), ("a", 5, 2, 4), ("a", 9, 5, 0), ("b", 3, 0, 0)
+    ]
+    placed.explain()
+    assert "DESC" not in capsys.readouterr().out
+
+
 @pytest.mark.parametrize("given", ["values", "narrow"])
 def test_tail_means_and_top_share(given, request):
     df, rows = request.getfixturevalue(given)
