@@ -23,6 +23,7 @@ from bandwise.operators import allocate as alloc
 from bandwise.operators import cycles, decide, score
 from bandwise.params import AllocationConfig, Params
 from bandwise.plans.frozen import Study
+from bandwise.session import write_through
 from bandwise.sources.events import PLUG
 from bandwise.streaming.batches import END, end_marks, watermarked
 
@@ -108,7 +109,7 @@ class StreamAllocation:
         )
         ticks = self._write(ticks.select("house_id", "cell", "tick_us", "cycle"), "ticks", epoch)
         cells = ticks.unionByName(initial)
-        rows = cycles.assign_cycle(events.drop("cell"), cells, self.params)
+        rows = write_through(cycles.assign_cycle(events.drop("cell"), cells, self.params), "stream-rows")
         trace = self._allocate(rows, ticks, state=before, epoch=epoch)
         self._thresholds(closed, cells, trace, before, epoch)
 
@@ -119,12 +120,13 @@ class StreamAllocation:
         tail = self._read("tail", state).join(before, "house_id")
         totals = tail.groupBy(*PLUG).agg(F.count("*").alias("n"))
         plugs = self._read("plugs", state).join(totals, PLUG, "left").join(before, "house_id")
-        states = cycles.slice_states(events, plugs).join(self.study.houses, "house_id")
+        states = write_through(cycles.slice_states(events, plugs).join(self.study.houses, "house_id"), "stream-states")
         residuals = events.select(*cycles.SLICE, "ts_us", "row_id", "sq").unionByName(
             tail.select(*cycles.SLICE, "ts_us", "row_id", "sq")
         )
         active = cycles.active_sets(states, ticks, self.params)
-        snapshots = score.scores_at_ticks(active, states, residuals, self.params)
+        # the allocation reads the scores several times
+        snapshots = write_through(score.scores_at_ticks(active, states, residuals, self.params), "stream-snapshots")
         trace = alloc.allocate(snapshots, None, self.quantiles, self.configs, self.params)
         trace = self._write(trace, "trace", epoch)
         newest = ticks.groupBy("house_id").agg(F.max("cycle").alias("newest"))
@@ -162,19 +164,29 @@ class StreamAllocation:
         met = met.withColumn("returned", F.filter(gaps, lambda t: t.isNotNull())).join(cells, ["house_id", "cell"])
         met = met.select(*PLUG, "cell", "tick_us", "cycle", "returned")
         every = trace.select("config_pos", *cycles.SLICE, "threshold", "used_budget").unionByName(self._read("allocated", before))
-        own = every.withColumnsRenamed({"used_budget": "used"})
-        used = own.groupBy("config_pos", "house_id", "cycle").agg(F.max("used").alias("used"))
-        grid = F.explode(F.sequence(F.lit(0), F.lit(len(self.configs) - 1)))
-        met = met.withColumn("config_pos", grid)
-
-        def at(rows: DataFrame, back: int, threshold: str, spent: str) -> DataFrame:
-            mine = own.select("config_pos", *PLUG, (F.col("cycle") + back).alias("cycle"), F.col("threshold").alias(threshold))
-            whole = used.select("config_pos", "house_id", (F.col("cycle") + back).alias("cycle"), F.col("used").alias(spent))
-            return rows.join(mine, ["config_pos", *cycles.SLICE], "left").join(whole, ["config_pos", "house_id", "cycle"], "left")
-
-        met = at(at(met, 0, "threshold", "used"), 1, "previous", "previous_used").fillna(0.0)
-        packed = F.array_sort(F.collect_list(F.struct("config_pos", "threshold", "previous", "used", "previous_used")))
-        rows = met.groupBy(*PLUG, "cell", "tick_us").agg(packed.alias("allocations"), F.first("returned").alias("returned"))
+        # a plug and cycle, and a house and cycle, are one row for the whole grid
+        tick = ["house_id", "cycle"]
+        own = every.groupBy(*cycles.SLICE).agg(F.map_from_entries(F.collect_list(F.struct("config_pos", "threshold"))).alias("given"))
+        used = every.groupBy("config_pos", *tick).agg(F.max("used_budget").alias("used"))
+        used = used.groupBy(*tick).agg(F.map_from_entries(F.collect_list(F.struct("config_pos", "used"))).alias("spent"))
+
+        def at(rows: DataFrame, back: int) -> DataFrame:
+            cycle = (F.col("cycle") + back).alias("cycle")
+            mine = own.select(*PLUG, cycle, F.col("given").alias(f"given_{back}"))
+            whole = used.select("house_id", cycle, F.col("spent").alias(f"spent_{back}"))
+            return rows.join(mine, cycles.SLICE, "left").join(whole, tick, "left")
+
+        def figure(column: str, position: int) -> Column:
+            return F.coalesce(F.try_element_at(F.col(column), F.lit(position)), F.lit(0.0))
+
+        allocations = F.array(*[
+            F.struct(
+                F.lit(i).alias("config_pos"), figure("given_0", i).alias("threshold"), figure("given_1", i).alias("previous"),
+                figure("spent_0", i).alias("used"), figure("spent_1", i).alias("previous_used"),
+            )
+            for i in range(len(self.configs))
+        ])
+        rows = at(at(met, 0), 1).withColumn("allocations", allocations)
         start = F.timestamp_micros(F.lit(self.params.start_us) + F.col("cell") * F.lit(self.params.period_us))
         rows = rows.join(self.study.houses.select("house_id", "mean_load"), "house_id").withColumn("period_start", start)
         wanted = T.StructType.fromDDL(THRESHOLDS)

@@ -376,3 +376,16 @@ def test_a_plug_has_one_timer_and_reports_its_moments_together(monkeypatch, at_o
         marks.append(max(marks[-1], min(r["ts_us"] for r in ordered[ordered.index(piece[0]):]) // 1000))
     got, _, _ = run(pieces, [*marks, end])
     assert [(r["event_id"], r["transmitted"], r["edge_bias"], r["residual_score"]) for r in got] == shown
+
+
+def test_scores_are_written_before_budgets_are_divided(spark, rows, tmp_path, monkeypatch, capsys):
+    """An allocation reads its scores several times; they are not worked out each time."""
+    from bandwise.streaming import allocation as module
+
+    given, divide = [], module.alloc.allocate
+    monkeypatch.setattr(module.alloc, "allocate", lambda scores, *rest: given.append(scores) or divide(scores, *rest))
+    study = Study(spark.createDataFrame(rows, SCHEMA), house_params())
+    StreamAllocation(study, mode_grid(("uniform",), (0.05,)), str(tmp_path / "allocation")).start()
+    given[0].explain()
+    plan = capsys.readouterr().out
+    assert "FileScan parquet" in plan and "Window" not in plan and "Join" not in plan
