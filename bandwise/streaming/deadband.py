@@ -10,6 +10,7 @@ are reported as late and never change a committed batch.
 
 from __future__ import annotations
 
+import pickle
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -31,9 +32,10 @@ _WAITING = T.StructType(
 _TIME = _WAITING.names.index("ts_us")
 #: Values that are held or decided together, or more if one moment has more.
 _AT_ONCE = 1000
-#: Lists of waiting values by the millisecond of their first time, the unit of timers.
+#: Lists of waiting values by the millisecond of their first time, the unit of timers.  Only Python
+#: reads them, so they are kept packed: converting every field for the store took longer than deciding.
 _MOMENT = T.StructType([T.StructField("ms", T.LongType())])
-_VALUES = T.StructType([T.StructField("values", T.ArrayType(_WAITING))])
+_VALUES = T.StructType([T.StructField("values", T.BinaryType())])
 _CARRIED = T.StructType(
     [
         *[f for f in SCHEMA.fields if f.name in STATE],
@@ -70,7 +72,7 @@ class Deadband(StatefulProcessor):
             for row in zip(*[frame[n].tolist() for n in _WAITING.names], strict=True):
                 row = tuple(None if x is None or x != x else x for x in row)
                 if int(row[_TIME]) < behind:
-                    late.append(row)
+                    late.append(_typed(row))
                 else:
                     fresh.append(_typed(row))
         if fresh:
@@ -86,8 +88,11 @@ class Deadband(StatefulProcessor):
         """Hold sorted values by the first one's moment."""
         first = (_moment(values[0]),)
         if others and self.waiting.containsKey(first):
-            values = [*map(tuple, self.waiting.getValue(first)[0]), *values]
-        self.waiting.updateValue(first, (values,))
+            values = [*self._held(first), *values]
+        self.waiting.updateValue(first, (pickle.dumps(values),))
+
+    def _held(self, first: tuple) -> list[tuple]:
+        return pickle.loads(self.waiting.getValue(first)[0])
 
     def _wait(self, moment: int, due: int | None) -> None:
         """One timer for the earliest moment with values."""
@@ -104,7 +109,7 @@ class Deadband(StatefulProcessor):
         for first, following in zip(firsts, [*firsts[1:], behind], strict=True):
             if first >= behind:
                 break
-            values = [*map(tuple, self.waiting.getValue((first,))[0])]
+            values = self._held((first,))
             self.waiting.removeKey((first,))
             ready += [v for v in values if _moment(v) < behind]
             open_ += [v for v in values if _moment(v) >= behind]
@@ -123,8 +128,9 @@ class Deadband(StatefulProcessor):
             self._wait(min([*left, *map(_moment, open_[:1])]), None)
 
     def _decide(self, key, ready: list[tuple]) -> pd.DataFrame:
-        carried = dict(zip(_CARRIED.names, self.carried.get(), strict=True)) \
-            if self.carried.exists() else None
+        carried = self.carried.get()
+        if carried is not None:
+            carried = dict(zip(_CARRIED.names, carried, strict=True))
         state = carried or {"initial_bias": ready[0][_WAITING.names.index("initial_bias")] or 0.0}
         walk = PlugWalk(tuple(key), self.configs[key[0]], self.params.start_us, state)
         fixed = dict(zip(KEY, key, strict=True))
@@ -202,13 +208,8 @@ def _typed(row: tuple) -> tuple:
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    kinds = {T.LongType: "Int64", T.DoubleType: "float64", T.BooleanType: "boolean"}
-    return pd.DataFrame(
-        {
-            f.name: pd.Series([r[i] for r in rows], dtype=kinds.get(type(f.dataType), "object"))
-            for i, f in enumerate(OUTPUT.fields)
-        }
-    )
+    """Rows as they are: Arrow gets the types from the schema, a frame typed by column takes longer than its decisions."""
+    return pd.DataFrame(rows, columns=OUTPUT.names, dtype=object)
 
 
 def decide_stream(

@@ -378,6 +378,44 @@ def test_a_plug_has_one_timer_and_reports_its_moments_together(monkeypatch, at_o
     assert [(r["event_id"], r["transmitted"], r["edge_bias"], r["residual_score"]) for r in got] == shown
 
 
+def test_reports_and_waiting_values_are_not_converted_field_by_field(monkeypatch):
+    """A plug's report is made at once, its waiting values are packed; nulls, times and late rows stay as they are."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from bandwise.streaming import deadband
+
+    params = house_params()
+    config = AdaptiveConfig(mode_grid(("uniform",), (0.05,))[0], "slot_median_ewma", alpha=0.3)
+    names = deadband._WAITING.names
+    fields = dict(
+        mode="uniform", cycle=0, value=10.5, threshold_used=0.4, reactivated=False, robust_scale=1.0, initial_bias=0.0,
+        floor=1.0, last_seen_us=params.start_us - 1,
+    )
+    early = {**fields, "ts_us": params.start_us, "row_id": 1, "event_id": "1", "baseline": 10.0}
+    rows = [early, {**early, "ts_us": params.start_us + 10**15 + 1, "row_id": 2, "event_id": None, "last_seen_us": None,
+                    "baseline": None}]
+    given = pd.DataFrame([{n: r.get(n) for n in names} for r in rows], columns=names)
+    monkeypatch.setattr(deadband, "pd", SimpleNamespace(DataFrame=pd.DataFrame))
+    store = _Store()
+    processor = deadband.Deadband([config], params)
+    processor.init(store)
+    key = (config.config_id, 0, 0, 0)
+    behind = SimpleNamespace(getCurrentWatermarkInMs=lambda: params.start_us // 1000 + 1)
+    over = SimpleNamespace(getCurrentWatermarkInMs=lambda: params.start_us // 1000 + 10**13)
+    (late,) = processor.handleInputRows(key, iter([given]), behind)
+    (held,) = [processor.waiting.getValue(k) for k in processor.waiting.keys()]
+    assert isinstance(held[0], bytes)
+    (done,) = processor.handleExpiredTimer(key, over, None)
+    late, done = late.to_dict("records")[0], done.to_dict("records")[0]
+    assert late["late"] is True and late["last_seen_us"] == params.start_us - 1
+    # an integer beside a null comes as a float; it is reported as an integer
+    assert type(late["last_seen_us"]) is int and late["transmitted"] is None
+    assert (done["row_id"], done["ts_us"], done["event_id"]) == (2, params.start_us + 10**15 + 1, None)
+    assert (done["baseline"], done["forced_reason"], done["late"]) == (None, "missing_prediction", False)
+
+
 def test_scores_are_written_before_budgets_are_divided(spark, rows, tmp_path, monkeypatch, capsys):
     """An allocation reads its scores several times; they are not worked out each time."""
     from bandwise.streaming import allocation as module
