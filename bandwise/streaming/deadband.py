@@ -10,6 +10,7 @@ are reported as late and never change a committed batch.
 
 from __future__ import annotations
 
+import json
 import pickle
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -159,7 +160,7 @@ class Deadband(StatefulProcessor):
         recent = (recent + fresh)[-self.params.window :]
         names = [f.name for f in _CARRIED.fields][: len(STATE)]
         self.carried.update((*[out[-1][n] for n in names], now, recent))
-        return _frame([tuple(row[n] for n in OUTPUT.names) for row in out])
+        return self._report([tuple(row[n] for n in OUTPUT.names) for row in out])
 
     def _late(self, key, rows: list[tuple]) -> pd.DataFrame:
         known = [
@@ -167,12 +168,35 @@ class Deadband(StatefulProcessor):
              **dict(zip(KEY, key, strict=True)), "late": True}
             for row in rows
         ]
-        return _frame([tuple(r.get(n) for n in OUTPUT.names) for r in known])
+        return self._report([tuple(r.get(n) for n in OUTPUT.names) for r in known])
+
+    def _report(self, rows: list[tuple]) -> pd.DataFrame:
+        return _frame(rows)
 
     def close(self) -> None:
         pass
 
 
+#: Fields of a report by their place; a report of one column costs Spark one conversion, not one a field.
+_PLACED = T.ArrayType(T.StructType([T.StructField(f"f{i}", f.dataType) for i, f in enumerate(OUTPUT.fields)]))
+_PACKED = T.StructType([T.StructField("report", T.StringType())])
+
+
+class PackedDeadband(Deadband):
+    """Reports as text, for ``unpacked``; values that are no number are null, as in typed columns."""
+
+    def _report(self, rows: list[tuple]) -> pd.DataFrame:
+        known = [{f"f{i}": x for i, x in enumerate(row) if x is not None and x == x} for row in rows]
+        parts = [json.dumps(known[i : i + _AT_ONCE]) for i in range(0, len(known), _AT_ONCE)]
+        return pd.DataFrame({"report": parts}, dtype=object)
+
+
+def unpacked(reports: DataFrame) -> DataFrame:
+    """Rows of packed reports; one that cannot be read is an error."""
+    rows = reports.select(F.inline(F.from_json("report", _PLACED, {"mode": "FAILFAST"})))
+    return rows.toDF(*OUTPUT.names)
+
+
 def _when(value: tuple) -> tuple:
     return value[_TIME], value[_TIME + 1]
 
@@ -267,12 +291,13 @@ def decide_stream(
         .cast("double")
         .alias("floor"),
     )
-    return rows.groupBy(*KEY).transformWithStateInPandas(
-        statefulProcessor=Deadband([config], params),
-        outputStructType=OUTPUT,
+    reports = rows.groupBy(*KEY).transformWithStateInPandas(
+        statefulProcessor=PackedDeadband([config], params),
+        outputStructType=_PACKED,
         outputMode="Append",
         timeMode="EventTime",
     )
+    return unpacked(reports)
 
 
 def late_counts(decided: DataFrame) -> DataFrame:

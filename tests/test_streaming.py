@@ -416,6 +416,26 @@ def test_reports_and_waiting_values_are_not_converted_field_by_field(monkeypatch
     assert (done["baseline"], done["forced_reason"], done["late"]) == (None, "missing_prediction", False)
 
 
+def test_a_packed_report_gives_the_rows_it_was_made_of(spark, monkeypatch):
+    from pyspark.sql import types as T
+
+    from bandwise.streaming import deadband
+
+    monkeypatch.setattr(deadband, "_AT_ONCE", 2)
+    values = {
+        T.LongType: [2**62 + 1, -1, 0], T.DoubleType: [0.1 + 0.2, float("inf"), -5e-324],
+        T.BooleanType: [True, False, True], T.StringType: ['a"\\\n', "", "\u00e9\U0001f600"],
+    }
+    rows = [tuple(values[type(f.dataType)][i] for f in deadband.OUTPUT.fields) for i in range(3)]
+    rows += [(None,) * len(deadband.OUTPUT.fields)]
+    config = AdaptiveConfig(mode_grid(("uniform",), (0.05,))[0], "slot_median_ewma", alpha=0.3)
+    frame = deadband.PackedDeadband([config], house_params())._report(rows)
+    assert frame.shape == (2, 1)
+    got = deadband.unpacked(spark.createDataFrame(frame))
+    assert [(f.name, f.dataType) for f in got.schema] == [(f.name, f.dataType) for f in deadband.OUTPUT]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(rows, key=str)
+
+
 def test_scores_are_written_before_budgets_are_divided(spark, rows, tmp_path, monkeypatch, capsys):
     """An allocation reads its scores several times; they are not worked out each time."""
     from bandwise.streaming import allocation as module
